@@ -1,5 +1,5 @@
 """Registered queries: the operators bound to the star-schema tables."""
 
-from plainledger.plans import funding
+from plainledger.plans import documents, funding, registry
 
-ALL_PLANS = (funding,)
+ALL_PLANS = (funding, registry, documents)

@@ -140,3 +140,75 @@ def briefing_sql(extra: str = "") -> str:
        count(*) FILTER (WHERE is_planning) AS n_planning,
        CAST(sum(outlayed) AS BIGINT) AS spent, CAST(sum(rem) AS BIGINT) AS remaining,
        count(outlayed) AS n_outlays""" + extra
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as document records; labels give the review, the text the rest."""
+    labels = table(spark, sf, "labels")
+    docs = table(spark, sf, "documents").join(labels, "doc_id", "left")
+    n = F.col("n_chars")
+    kind = (
+        F.when(F.col("lang") == "en", "master_plan").when(F.col("lang") == "fr", "alp")
+        .when(F.col("lang") == "de", "other").otherwise("notice")
+    )
+    review = (
+        F.when(F.col("quality").isNull(), "pending").when(F.col("quality") == 0, "needs_human")
+        .when(F.col("toxic") == 1, "auto_pass").otherwise("published")
+    )
+    status = (
+        F.when(n > 1200, "complete").when(n > 800, "link_only").when(n > 500, "preserved_only")
+        .when(n > 300, "no_plan_known").otherwise("missing")
+    )
+    words = F.split_part("text", F.lit(" "), F.lit(1))
+    title = (
+        F.when(n < 600, F.concat(F.lit("Chapter "), (n % 12).cast("string"), F.lit(" "), words))
+        .when(n < 700, F.concat(words, F.lit(" Appendix B")))
+        .when(n < 800, F.lit("Introduction")).when(n < 1000, F.lit("")).otherwise(words)
+    )
+    return docs.select(
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.col("source").alias("entity"),
+        F.col("lang").alias("region"), kind.alias("kind"), title.alias("title"),
+        F.when(n > 400, F.concat(F.lit("Rev "), (F.lit(2000) + n % 25).cast("string"))).alias("edition"),
+        F.concat(F.lit("https://"), "lang", F.lit(".example.gov/"), "source", F.lit("/"), "n_chars",
+                 F.when(n > 900, ".pdf").otherwise(".html")).alias("source_url"),
+        status.alias("completeness"), review.alias("review_status"),
+        F.when(F.col("lang") != "de", F.floor(F.col("doc_id") / 2)).alias("_half"),
+        F.when(n > 2000, F.date_add(F.lit("2024-01-01").cast("date"), (n % 300).cast("int"))).alias("published_at"),
+        F.date_add(F.lit("2023-01-01").cast("date"), (n % 600).cast("int")).alias("retrieved_at"),
+        F.when(n < 500, "dead").otherwise("live").alias("source_status"),
+        F.when(n > 3000, words).alias("summary"), F.lit(None).cast("string").alias("media"),
+        F.sha2("text", 256).alias("content_sha256"), F.length("text").alias("n_text"), F.col("text"),
+        F.when(F.col("quality") == 1, F.concat(F.lit("/files/"), "doc_id", F.lit(".pdf"))).alias("preserved_url"),
+    ).withColumn("part_of", F.when(F.col("_half") != F.col("id"), F.col("_half"))).drop("_half")
+
+
+DOCS_SQL = """
+docs AS (
+  SELECT d.doc_id AS id, d.doc_id AS seq, source AS entity, lang AS region,
+    CASE lang WHEN 'en' THEN 'master_plan' WHEN 'fr' THEN 'alp' WHEN 'de' THEN 'other' ELSE 'notice' END AS kind,
+    CASE WHEN n_chars < 600 THEN 'Chapter ' || (n_chars % 12) || ' ' || split_part(text, ' ', 1)
+         WHEN n_chars < 700 THEN split_part(text, ' ', 1) || ' Appendix B' WHEN n_chars < 800 THEN 'Introduction'
+         WHEN n_chars < 1000 THEN '' ELSE split_part(text, ' ', 1) END AS title,
+    CASE WHEN n_chars > 400 THEN 'Rev ' || (2000 + n_chars % 25) END AS edition,
+    CASE WHEN n_chars > 400 THEN CAST(2000 + n_chars % 25 AS INTEGER) ELSE 0 END AS edition_year,
+    'https://' || lang || '.example.gov/' || source || '/' || n_chars || CASE WHEN n_chars > 900 THEN '.pdf' ELSE '.html' END AS source_url,
+    CASE WHEN n_chars > 1200 THEN 'complete' WHEN n_chars > 800 THEN 'link_only' WHEN n_chars > 500 THEN 'preserved_only'
+         WHEN n_chars > 300 THEN 'no_plan_known' ELSE 'missing' END AS completeness,
+    CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 0 THEN 'needs_human' WHEN toxic = 1 THEN 'auto_pass' ELSE 'published' END AS review_status,
+    CASE WHEN quality = 1 THEN true ELSE false END AS listed,
+    CASE WHEN lang <> 'de' AND d.doc_id // 2 <> d.doc_id THEN d.doc_id // 2 END AS part_of,
+    CASE WHEN n_chars > 2000 THEN DATE '2024-01-01' + CAST(n_chars % 300 AS INTEGER) END AS published_at,
+    DATE '2023-01-01' + CAST(n_chars % 600 AS INTEGER) AS retrieved_at,
+    CASE WHEN n_chars < 500 THEN 'dead' ELSE 'live' END AS source_status,
+    CASE WHEN n_chars > 3000 THEN split_part(text, ' ', 1) END AS summary,
+    sha256(text) AS content_sha256, text, n_chars,
+    CASE WHEN quality = 1 THEN '/files/' || d.doc_id || '.pdf' END AS preserved_url
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+)"""
+
+# Blanks as the oracle's pattern language writes them.
+BLANKS_SQL = r"[\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def normal_sql(text: str) -> str:
+    return f"lower(trim(regexp_replace({text}, '{BLANKS_SQL}', ' ', 'g')))"
