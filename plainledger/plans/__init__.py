@@ -1,5 +1,5 @@
 """Registered queries: the operators bound to the star-schema tables."""
 
-from plainledger.plans import documents, funding, registry
+from plainledger.plans import documents, funding, registry, web
 
-ALL_PLANS = (funding, registry, documents)
+ALL_PLANS = (funding, registry, documents, web)
