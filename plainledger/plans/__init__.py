@@ -1,5 +1,5 @@
 """Registered queries: the operators bound to the star-schema tables."""
 
-from plainledger.plans import documents, funding, registry, web
+from plainledger.plans import documents, funding, registry, text, web
 
-ALL_PLANS = (funding, registry, documents, web)
+ALL_PLANS = (funding, registry, documents, web, text)
