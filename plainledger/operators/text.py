@@ -173,10 +173,11 @@ def runway_line(ident: Column, length: Column, width: Column, surface: Column |
     return F.concat(line, F.coalesce(F.concat(F.lit(" · "), label), F.lit("")))
 
 
-def _runway_rows(text: Column, pattern: str) -> Column:
-    zipped = F.arrays_zip(_all(text, pattern, 1).alias("a"), _all(text, pattern, 2).alias("b"), _all(text, pattern, 3).alias("c"))
-    return F.transform(zipped, lambda r: F.struct(
-        runway_id(r["a"]).alias("id"), v.count_from_text(r["b"]).alias("length"), v.count_from_text(r["c"]).alias("width")))
+def _runway_rows(hits: Column, pattern: str) -> Column:
+    return F.transform(hits, lambda h: F.struct(
+        runway_id(F.regexp_extract(h, pattern, 1)).alias("id"),
+        v.count_from_text(F.regexp_extract(h, pattern, 2)).alias("length"),
+        v.count_from_text(F.regexp_extract(h, pattern, 3)).alias("width")))
 
 
 def phrases(text: Column | str) -> dict[str, Column]:
@@ -196,23 +197,21 @@ def phrases(text: Column | str) -> dict[str, Column]:
         return F.transform(match_spans(blob, pattern), around)
 
     return {
-        "_long_wide": _runway_rows(blob, rules.RWY_LONG_WIDE),
-        "_by": _runway_rows(blob, rules.RWY_BY),
+        "_long_wide": _all(blob, rules.RWY_LONG_WIDE, 0),
+        "_by": _all(blob, rules.RWY_BY, 0),
         "_one_id": _first(blob, rules.RWY_ID),
-        "_usable": v.count_from_text(_first(blob, rules.RWY_USABLE)),
-        "_wide": v.count_from_text(_first(blob, rules.RWY_WIDE)),
-        "_pair_a": _all(blob, rules.RWY_PAIR, 1),
-        "_pair_b": _all(blob, rules.RWY_PAIR, 2),
-        "_prime_a": _all(blob, rules.RWY_PRIME, 1),
-        "_prime_b": _all(blob, rules.RWY_PRIME, 2),
-        "_count": v.count_from_text(_first(blob, rules.RWY_COUNT)),
-        "_based": v.count_from_text(F.coalesce(_first(blob, rules.BASED_NOW), _first(blob, rules.BASED_AT))),
-        "_hangared": v.count_from_text(_first(blob, rules.HANGARED)),
-        "_rest": v.count_from_text(_first(blob, rules.TIEDOWN_REST)),
+        "_usable": _first(blob, rules.RWY_USABLE),
+        "_wide": _first(blob, rules.RWY_WIDE),
+        "_pairs": _all(blob, rules.RWY_PAIR, 0),
+        "_primes": _all(blob, rules.RWY_PRIME, 0),
+        "_count": _first(blob, rules.RWY_COUNT),
+        "_based": F.coalesce(_first(blob, rules.BASED_NOW), _first(blob, rules.BASED_AT)),
+        "_hangared": _first(blob, rules.HANGARED),
+        "_rest": _first(blob, rules.TIEDOWN_REST),
         "_over": F.slice(spans(rules.OPS_OVER, 80, 0), 1, 1),
         "_annual": spans(rules.OPS_ANNUAL, 120, 40),
         "_units": _all(blob, rules.T_UNIT, 0),
-        "_buildings": v.count_from_text(_first(blob, rules.HANGAR_BUILDINGS)),
+        "_buildings": _first(blob, rules.HANGAR_BUILDINGS),
         "_no_tower": low.rlike(rules.NO_TOWER),
         "_lounge": low.contains("pilot lounge"),
         "_fuel": low.rlike(rules.FUEL),
@@ -222,17 +221,24 @@ def phrases(text: Column | str) -> dict[str, Column]:
     }
 
 
-def refined() -> dict[str, Column]:
-    """Second step over the phrases: lists that the facts use more than once."""
-    pairs = F.arrays_zip(F.col("_pair_a").alias("a"), F.col("_pair_b").alias("b"))
-    sizes = F.transform(
-        F.arrays_zip(F.col("_prime_a").alias("a"), F.col("_prime_b").alias("b")),
-        lambda p: F.struct(v.count_from_text(p["a"]).alias("length"), v.count_from_text(p["b"]).alias("width")))
+COUNTS = ("_usable", "_wide", "_count", "_based", "_hangared", "_rest", "_buildings")
+
+
+def parsed() -> dict[str, Column]:
+    """Second step: counts and lists read from the short hits."""
+    pairs = F.transform("_pairs", lambda h: runway_id(F.concat(
+        F.regexp_extract(h, rules.RWY_PAIR, 1), F.lit("/"), F.regexp_extract(h, rules.RWY_PAIR, 2))))
+    sizes = F.transform("_primes", lambda h: F.struct(
+        v.count_from_text(F.regexp_extract(h, rules.RWY_PRIME, 1)).alias("length"),
+        v.count_from_text(F.regexp_extract(h, rules.RWY_PRIME, 2)).alias("width")))
     numbers = F.transform("_units", lambda h: v.count_from_text(F.regexp_extract(h, r"(\d+)", 1)))
     current = F.try_element_at("_over", F.lit(1))
+    rows = F.concat(_runway_rows(F.col("_long_wide"), rules.RWY_LONG_WIDE), _runway_rows(F.col("_by"), rules.RWY_BY))
     return {
-        "_stated": F.filter(F.concat("_long_wide", "_by"), lambda r: (r["id"] != "") & usable(r["length"], r["width"])),
-        "_names": F.slice(F.array_distinct(F.transform(pairs, lambda p: runway_id(F.concat(p["a"], F.lit("/"), p["b"])))), 1, 3),
+        **{name: v.count_from_text(name) for name in COUNTS},
+        "_one_id": runway_id(F.col("_one_id")),
+        "_stated": F.filter(rows, lambda r: (r["id"] != "") & usable(r["length"], r["width"])),
+        "_names": F.slice(F.array_distinct(pairs), 1, 3),
         "_dims": F.slice(F.filter(sizes, lambda d: usable(d["length"], d["width"])), 1, 3),
         "_numbers": F.filter(numbers, lambda n: n.isNotNull()),
         "_current": F.when(current["window"].contains("currently"),
@@ -249,7 +255,7 @@ def runways() -> Column:
     once = F.filter("_stated", lambda r, i: F.array_position(ids, r["id"]) == i + 1)
     lines = F.array_join(F.transform(F.slice(once, 1, 3), lambda r: runway_line(r["id"], r["length"], r["width"])), "\n")
     single = F.when(F.col("_one_id").isNotNull() & usable(F.col("_usable"), F.col("_wide")),
-                    runway_line(runway_id(F.col("_one_id")), F.col("_usable"), F.col("_wide")))
+                    runway_line(F.col("_one_id"), F.col("_usable"), F.col("_wide")))
     both = F.filter(F.arrays_zip(F.col("_names").alias("id"), F.col("_dims").alias("d")), lambda z: z["id"].isNotNull() & z["d"].isNotNull())
     paired = F.array_join(F.transform(both, lambda z: runway_line(z["id"], z["d"]["length"], z["d"]["width"])), "\n")
     return F.coalesce(F.nullif(lines, F.lit("")), single, F.nullif(paired, F.lit("")), F.col("_count").cast("string"))
@@ -308,7 +314,7 @@ def facilities() -> Column:
 def fact_rows(docs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Facts of a text as rows (keys, label, value); the text itself is left behind."""
     found = docs.select(*keys, *[c.alias(name) for name, c in phrases(text).items()])
-    ready = found.select("*", *[c.alias(name) for name, c in refined().items()])
+    ready = found.withColumns(parsed())
     facts = {
         "Runways": runways(), "Based aircraft": based_aircraft(), "Hangared aircraft": hangared_aircraft(),
         "Operations": operations(), "Hangars": hangars(), "Facilities": facilities(),

@@ -26,6 +26,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def wide(df: DataFrame, key: str, bytes_per_task: int = 128 << 20) -> DataFrame:
+    """Spread a small table over all cores before work that is heavy per row.
+
+    A large table already has enough splits and is left alone, so its rows are
+    never shuffled for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * bytes_per_task else df
+
+
 def level_of(priority: Column) -> Column:
     return (
         F.when(priority == "1-URGENT", "federal")
@@ -145,7 +157,7 @@ def briefing_sql(extra: str = "") -> str:
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Texts as document records; labels give the review, the text the rest."""
     labels = table(spark, sf, "labels")
-    docs = table(spark, sf, "documents").join(labels, "doc_id", "left")
+    docs = wide(table(spark, sf, "documents"), "doc_id").join(labels, "doc_id", "left")
     n = F.col("n_chars")
     kind = (
         F.when(F.col("lang") == "en", "master_plan").when(F.col("lang") == "fr", "alp")

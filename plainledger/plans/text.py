@@ -25,7 +25,8 @@ PROSE = OutlookRules(
 
 
 def docs(spark, sf):
-    return b.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = b.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return b.wide(rows, "doc_id")
 
 
 def paged(spark, sf):

@@ -24,7 +24,7 @@ def pages(spark, sf):
     markup = F.regexp_replace("html", r'href="/([a-zA-Z]*e)"', r'href="../files/$1.pdf#page=2"')
     markup = F.regexp_replace(markup, r'href="/([a-zA-Z]*n)"', r'href="mailto:$1"')
     markup = F.regexp_replace(markup, r'href="/([a-zA-Z]*d)"', r'href="https://Other.gov/news/$1?x=1&amp;y=2"')
-    return b.table(spark, sf, "pages").select("page_id", "url", markup.alias("html"))
+    return b.wide(b.table(spark, sf, "pages"), "page_id").select("page_id", "url", markup.alias("html"))
 
 
 def page_links(spark, sf):
