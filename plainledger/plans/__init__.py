@@ -1,5 +1,5 @@
 """Registered queries: the operators bound to the star-schema tables."""
 
-from plainledger.plans import documents, funding, ops, registry, text, web
+from plainledger.plans import documents, funding, ops, registry, text, versions, web
 
-ALL_PLANS = (funding, registry, documents, web, text, ops)
+ALL_PLANS = (funding, registry, documents, web, text, ops, versions)
