@@ -1,5 +1,5 @@
 """Registered queries: the operators bound to the star-schema tables."""
 
-from plainledger.plans import documents, funding, ops, registry, search, text, versions, web
+from plainledger.plans import documents, evidence, funding, ops, registry, search, streams, text, versions, web
 
-ALL_PLANS = (funding, registry, documents, web, text, ops, versions, search)
+ALL_PLANS = (funding, registry, documents, web, text, evidence, ops, versions, search, streams)

@@ -8,7 +8,7 @@ from plainledger.functions import html, urls
 from plainledger.functions import values as v
 from plainledger.operators import web as ops
 from plainledger.plans import bindings as b
-from plainledger.plans.bindings import BLANKS_SQL
+from plainledger.plans.bindings import BLANKS_SQL, DOCS_SQL
 from plainledger.rules.web import LinkRules
 from plainledger.sources import tables
 
@@ -19,12 +19,16 @@ PAGE_RULES = LinkRules(
 )
 
 
-def pages(spark, sf):
+def rewritten(rows):
     """Pages with some links turned into files, absolute links and mail links."""
     markup = F.regexp_replace("html", r'href="/([a-zA-Z]*e)"', r'href="../files/$1.pdf#page=2"')
     markup = F.regexp_replace(markup, r'href="/([a-zA-Z]*n)"', r'href="mailto:$1"')
     markup = F.regexp_replace(markup, r'href="/([a-zA-Z]*d)"', r'href="https://Other.gov/news/$1?x=1&amp;y=2"')
-    return b.wide(b.table(spark, sf, "pages"), "page_id").select("page_id", "url", markup.alias("html"))
+    return rows.select("page_id", "url", markup.alias("html"))
+
+
+def pages(spark, sf):
+    return rewritten(b.wide(b.table(spark, sf, "pages"), "page_id"))
 
 
 def page_links(spark, sf):
@@ -247,8 +251,6 @@ tr AS (SELECT *, role IN ('artifact', 'part') AND kind <> 'unknown' AND NOT rege
 
 SNIFF = ("CASE WHEN content LIKE '\\%PDF%' ESCAPE '\\' THEN 'pdf' WHEN contains(lower(ltrim(content, E' \\n\\t\\r')[1:512]), '<html') THEN 'html' ELSE 'other' END")
 
-from plainledger.plans.bindings import DOCS_SQL  # noqa: E402
-
 ORACLE = {
     "page_links": f"WITH {LINKS_SQL} SELECT page_id, url, CAST(pos AS INTEGER) AS pos, found_on, label FROM links",
     "page_link_roles": f"WITH {ROLES_SQL} SELECT page_id, url, media, role, kind, confirm FROM conf",
