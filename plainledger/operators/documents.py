@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plainledger.functions import urls
 from plainledger.functions import values as v
-from plainledger.operators.skew import spread_join
+from plainledger.operators.skew import HOT_SHARE, spread_join
 from plainledger.rules import documents as rules
 from plainledger.session import cut
 
@@ -277,12 +277,12 @@ def content_twins(docs: DataFrame) -> DataFrame:
     """
     keys = ["entity", "text_sha256", "images_sha256"]
     full = docs.filter(v.all_of(*[F.col(k).isNotNull() for k in keys])).select("id", "seq", *keys)
-    groups = (
-        full.groupBy(*keys)
-        .agg(F.min_by("id", "seq").alias("twin_id"), F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > 1).drop("_n")
-    )
-    joined = spread_join(full, groups, keys, F.col("id"), "inner")
+    counted = full.groupBy(*keys).agg(F.min_by("id", "seq").alias("twin_id"), F.count(F.lit(1)).alias("_n"))
+    whole = counted.agg(F.sum("_n").alias("_all"))
+    # One row of totals; the hot contents follow from the counts at hand.
+    hot = counted.join(F.broadcast(whole)).filter(F.col("_n") > F.col("_all") * HOT_SHARE)
+    groups = counted.filter(F.col("_n") > 1).drop("_n")
+    joined = spread_join(full, groups, keys, F.col("id"), "inner", hot)
     return joined.filter(F.col("id") != F.col("twin_id")).select("id", "twin_id")
 
 

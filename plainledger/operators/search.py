@@ -12,7 +12,6 @@ from plainledger.functions import values as v
 from plainledger.operators import documents as doc
 from plainledger.operators import funding
 from plainledger.operators.registry import first_row
-from plainledger.operators.skew import spread_join
 
 # Columns of a search record, kinds of a scope, hit limits, bands.
 COLUMNS = (
@@ -67,7 +66,7 @@ def page_records(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages: id (of the document), page, text. Hidden documents and notices carry none."""
     key = F.col("id").cast("string")
     shown = docs.filter(doc.listed("review_status") & ~v.yes(F.col("kind") == "notice") & v.first_text("content_sha256").isNotNull())
-    joined = spread_join(pages.select("id", "page", F.col("text").alias("_text")), shown, ["id"], F.col("page"), "inner")
+    joined = pages.select("id", "page", F.col("text").alias("_text")).join(shown, "id")
     stored = v.first_text("preserved_url")
     url = F.coalesce(F.concat(stored, F.lit("#page="), F.col("page")), F.concat(F.lit("/documents/"), key, F.lit("/")))
     return joined.select(*_record(
@@ -128,25 +127,25 @@ def search(records: DataFrame, queries: DataFrame, limit: int = SUGGEST_LIMIT) -
     batch; only hits leave the map side, and the limit is applied there first.
     Rank: key, title, text, summary, then id.
     """
-    asked = F.collect_list(F.struct("query_id", F.lower("needle").alias("needle"), "scope", "outlook"))
-    fits = F.count(F.lit(1)) <= MAX_BATCH
+    named = queries.select(F.lower("needle").alias("needle"), F.struct("query_id", "scope", "outlook").alias("ask"))
+    grouped = named.groupBy("needle").agg(F.collect_list("ask").alias("asks"), F.count(F.lit(1)).alias("n"))
+    fits = F.sum("n") <= MAX_BATCH
     checked = F.assert_true(fits, F.lit("too many queries in one batch; split it"))
-    batch = queries.agg(asked.alias("_batch"), checked.alias("_checked")).filter("_checked is null").drop("_checked")
+    batch = grouped.agg(F.collect_list(F.struct("needle", "asks")).alias("_batch"), checked.alias("_checked")).filter(
+        "_checked is null").drop("_checked")
+    rows = records.withColumn("_hay", F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))))
+    found = F.filter("_batch", lambda q: F.contains(F.col("_hay"), q["needle"]))
+    named_hits = rows.join(F.broadcast(batch)).select(
+        "id", "type", "title", "url", "kind", "outlook", F.col("entity").alias("_entity"), "text", F.explode(found).alias("_q"))
+    hits = named_hits.select("*", F.explode("_q.asks").alias("_ask")).select(
+        "*", F.struct("_ask.query_id", F.col("_q.needle").alias("needle"), "_ask.scope", F.col("_ask.outlook").alias("band")).alias("q"))
     shown = F.coalesce(v.first_text("kind"), F.col("type"))
-    rows = records.withColumn("_shown", shown).withColumn("_hay", F.lower(
-        F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))))
-
-    def meets(q: Column) -> Column:
-        outlook = F.coalesce(q["outlook"], F.lit(""))
-        scoped = (
-            F.when(outlook != "", (F.col("type") == "airport") & v.yes(F.col("outlook") == outlook))
-            .when(q["scope"] == "plans", F.col("_shown").isin(*SCOPE_KINDS))
-            .when(q["scope"] == "projects", F.col("type") == "funding").otherwise(F.lit(True)))
-        return scoped & F.contains(F.col("_hay"), q["needle"])
-
-    hits = rows.join(F.broadcast(batch)).select(
-        "id", "type", "title", "url", F.col("entity").alias("_entity"), "text",
-        F.explode(F.filter("_batch", meets)).alias("q"))
+    banded = F.coalesce("q.band", F.lit("")) != ""
+    scoped = (
+        F.when(banded, (F.col("type") == "airport") & v.yes(F.col("outlook") == F.col("q.band")))
+        .when(F.col("q.scope") == "plans", shown.isin(*SCOPE_KINDS))
+        .when(F.col("q.scope") == "projects", F.col("type") == "funding").otherwise(F.lit(True)))
+    hits = hits.filter(scoped)
 
     def within(c: str) -> Column:
         return v.yes(F.contains(F.lower(F.col(c)), F.col("q.needle")))

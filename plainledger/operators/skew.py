@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 # most 1/HOT_SHARE hot keys: the table of them is small whatever the data size.
 HOT_SHARE = 0.01
 SPREAD = 32
-BUCKETS = 512
+# Ranges of an ordered numbering: quantile ranges, each cut into equal widths.
+QUANTILES = 64
+WIDTHS = 64
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
@@ -22,14 +24,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Da
 
 
 def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], row_id: Column,
-                how: str = "left") -> DataFrame:
+                how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join a side with hot keys to a lookup side, hot keys over SPREAD tasks.
 
     Only rows of hot keys are spread and only lookup rows of hot keys are
-    repeated. The hot-key table is broadcast; its size is bounded by HOT_SHARE.
+    repeated. The hot-key table is broadcast; its size is bounded by HOT_SHARE. A
+    caller that has counted its keys already passes them as `hot`.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(big, keys).withColumn("_hot", F.lit(True)))
+    found = hot_keys(big, keys) if hot is None else hot.select(*keys)
+    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
     salted = big.join(hot, keys, "left").withColumn(
         "_salt",
         F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int"),
@@ -43,28 +47,30 @@ def ordered_position(df: DataFrame, order: str, tie: Sequence[str] = (),
                      within: Sequence[str] = (), name: str = "position") -> DataFrame:
     """Row number by a numeric order column without sorting a whole group in one task.
 
-    Boundaries from an approximate histogram cut the order into ranges; a small
-    count table turns them into offsets; rows are numbered inside their range.
-    Boundaries only balance the work: any boundaries give the same numbers.
+    Quantile boundaries cut the order into ranges and each range into equal widths;
+    a small count table turns them into offsets; rows are numbered inside their
+    range. Boundaries only balance the work: any boundaries give the same numbers.
     """
     within = list(within)
+    number = F.col(order).cast("double")
+    steps = [i / QUANTILES for i in range(1, QUANTILES)]
     cuts = df.agg(
-        F.percentile_approx(
-            F.col(order).cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 20000
-        ).alias("_cuts")
-    )
-    value = F.col(order).cast("double")
-    placed = df.join(F.broadcast(cuts)).withColumn(
-        "_range",
-        F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: c < value)), F.lit(0)),
-    ).drop("_cuts")
+        F.percentile_approx(number, steps, 10000).alias("_cuts"), F.min(number).alias("_low"), F.max(number).alias("_high"))
+    # One row of boundaries.
+    joined = df.join(F.broadcast(cuts)).withColumn(
+        "_part", F.size(F.filter("_cuts", lambda c: c < number)))
+    low = F.coalesce(F.get("_cuts", F.col("_part") - 1), F.col("_low"))
+    high = F.coalesce(F.get("_cuts", F.col("_part")), F.col("_high"))
+    inner = F.coalesce(F.floor((number - low) / F.nullif(high - low, F.lit(0.0)) * WIDTHS), F.lit(0))
+    place = F.col("_part") * WIDTHS + F.least(F.greatest(inner, F.lit(0)), F.lit(WIDTHS - 1))
+    placed = joined.withColumn("_range", F.coalesce(place.cast("int"), F.lit(-1))).drop("_cuts", "_low", "_high", "_part")
     sizes = placed.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(*within, "_range").orderBy(order, *tie))
     numbered = placed.withColumn("_inside", inside)
-    joined = _null_safe(numbered, offsets, [*within, "_range"])
-    return joined.withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long")).drop(
+    out = _null_safe(numbered, offsets, [*within, "_range"])
+    return out.withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long")).drop(
         "_inside", "_offset", "_range"
     )
 

@@ -51,7 +51,7 @@ def line_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Per order: paid total of settled lines, and its first line."""
     paid = v.half_even(F.col("l_extendedprice") * (1 - F.col("l_discount")))
     return (
-        table(spark, sf, "lineitem")
+        wide(table(spark, sf, "lineitem"), "l_orderkey")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(
             F.sum(F.when(F.col("l_linestatus") == "F", paid)).alias("outlayed"),

@@ -44,7 +44,7 @@ def funding_row_types(spark, sf):
 
 
 def funding_titles(spark, sf):
-    lines = b.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    lines = b.wide(b.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey")
     part = b.table(spark, sf, "part")
     text = F.concat_ws(", ", F.initcap("p_type"), "p_name", "p_brand")
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
@@ -81,7 +81,7 @@ def funding_total_by_entity(spark, sf):
 def funding_award_status(spark, sf):
     """Orders are the grants; settled lines are the status feed, newest line last."""
     rows = b.grants(spark, sf, outlays=False).withColumn("obligated", F.lit(None).cast("long"))
-    feed = b.table(spark, sf, "lineitem").select(
+    feed = b.wide(b.table(spark, sf, "lineitem"), "l_orderkey").select(
         ops.award_key(
             F.concat(F.lit("G-"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"))
         ).alias("award_key"),

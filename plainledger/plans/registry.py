@@ -43,7 +43,7 @@ def registry_admission(spark, sf):
 
 
 def registry_runways(spark, sf):
-    lines = b.table(spark, sf, "lineitem").select(
+    lines = b.wide(b.table(spark, sf, "lineitem"), "l_orderkey").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         F.concat(F.col("l_linenumber").cast("string"), F.lit(" - "), (F.col("l_linenumber") + 18).cast("string")).alias("ident"),
         (F.col("l_extendedprice") / 10).alias("length"), F.col("l_quantity").alias("width"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plainledger.functions import dates
 from plainledger.functions import values as v
 from plainledger.operators import funding
 from plainledger.operators import search as ops
@@ -150,6 +151,27 @@ def query_followups(spark, sf):
 
 # --- sources and sinks ---------------------------------------------------------------
 
+def value_texts(spark, sf):
+    """Figures of an order written as texts and read again."""
+    rows = b.table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    number = F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.concat(F.lit(" $"), F.format_number("o_totalprice", 2), F.lit(" ")))
+    words = F.when(F.col("o_orderpriority") == "1-URGENT", "Seven").when(F.col("o_orderpriority") == "2-HIGH", "dozens").otherwise(F.format_number(key, 0))
+    return rows.select(
+        "o_orderkey", v.money(number).alias("amount"), v.serial_date((key * 10).cast("string")).alias("day"),
+        v.fiscal_year(F.lit(None).cast("string"), F.concat(F.lit("FY_"), F.year("o_orderdate")), F.lit("/2001/")).alias("fiscal_year"),
+        v.edition_range(F.concat(F.lit("x-2025-2029-"), key)).alias("edition"), v.count_from_text(words).alias("count"),
+        v.to_int(F.concat(key, F.lit(".5"))).alias("rounded"), v.slug(F.concat_ws(" / ", "o_orderpriority", "o_orderstatus")).alias("slug"))
+
+
+def date_texts(spark, sf):
+    rows = b.table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", F.lit("soon")).otherwise(
+        dates.iso_text(F.col("ts").cast("timestamp_ntz"))).alias("text"))
+    at = dates.parse_iso("text")
+    return rows.select("event_id", dates.rfc822("text").alias("feed"), dates.month_key(at).alias("month"), dates.zone_month(at).alias("local_month"),
+                       dates.within_days(at, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 7).alias("recent"))
+
+
 def source_csv_round_trip(spark, sf):
     """Parts written as header CSV and read back as text, then typed."""
     path = run_dir(spark, "csv")
@@ -273,7 +295,7 @@ def sink_release_inventory(spark, sf):
 QUERIES = {f.__name__: f for f in (
     search_records, search_gate, search_scoped, search_changed_documents, search_missing_text, feed_items, feed_recent,
     page_last_modified, query_texts_entity, query_texts_region, query_seed_steps, query_followups,
-    source_csv_round_trip, source_json_lines, source_typed, source_sheet_rows, source_sheet_titles,
+    value_texts, date_texts, source_csv_round_trip, source_json_lines, source_typed, source_sheet_rows, source_sheet_titles,
     source_listing_pages, source_workbooks, source_current_cycle, sink_bulk_export, sink_sorted_lines,
     sink_idempotent_append, sink_release_inventory,
 )}
@@ -349,6 +371,12 @@ c AS (SELECT entity, 'lock_host' AS step, pos AS r, 'site:' || host || ' ' || en
   UNION ALL SELECT entity, 'fill_diagram', 102, 'site:' || best || ' ' || entity || ' "airport diagram"' FROM best JOIN sg USING (entity) WHERE NOT has_alp),
 d AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY r, query) AS pos FROM c WHERE query <> 'site:example.gov ' || entity || ' "master plan"')
 SELECT entity, query, step, pos FROM d WHERE pos <= 2""",
+    "value_texts": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(round_even(round_even(o_totalprice, 2), 0) AS BIGINT) END AS amount,
+  CASE WHEN o_orderkey * 10 BETWEEN 20000 AND 80000 THEN DATE '1899-12-30' + CAST(o_orderkey * 10 AS INTEGER) END AS day, CASE WHEN year(o_orderdate) >= 2000 THEN CAST(year(o_orderdate) AS INTEGER) ELSE 2001 END AS fiscal_year, '2025-2029' AS edition,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 7 WHEN o_orderpriority <> '2-HIGH' AND o_orderkey > 0 AND o_orderkey < 5000000 THEN o_orderkey END AS count,
+  CAST(round_even(o_orderkey + 0.5, 0) AS BIGINT) AS rounded, regexp_replace(o_orderpriority || ' / ' || o_orderstatus, '[^A-Za-z0-9]', '-', 'g') AS slug FROM orders""",
+    "date_texts": """SELECT event_id, CASE WHEN event_type <> 'error' THEN strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') END AS feed, CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m') END AS month,
+  CASE WHEN event_type <> 'error' THEN strftime(ts - INTERVAL 8 HOUR, '%Y-%m') END AS local_month, event_type <> 'error' AND date_trunc('second', ts) >= TIMESTAMP '2024-01-13 00:00:00' AS recent FROM events""",
     "source_csv_round_trip": """SELECT p_partkey, p_name || ', "' || p_type || '"' AS p_name, p_size, 'none' AS p_extra FROM part""",
     "source_json_lines": """SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_type = 'error' THEN 'x' || props END AS bad_line FROM events""",
     "source_typed": """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'federal' WHEN '2-HIGH' THEN 'state' WHEN '3-MEDIUM' THEN 'local' ELSE 'other' END AS level, 0 AS n_programs, CAST(round_even(o_totalprice, 0) AS BIGINT) AS amount FROM orders""",

@@ -112,7 +112,7 @@ def registry_facts(spark, sf):
         F.col("p_partkey").alias("key"), F.when(F.col("p_size") > 5, F.col("p_size") * 100).alias("elevation_ft"),
         F.when(F.col("p_size") > 20, F.col("p_type")).alias("fuel"),
         (F.col("p_size") > 30).alias("hangar_storage"), (F.col("p_size") > 40).alias("tiedown_storage"))
-    rows = b.table(spark, sf, "lineitem").select(
+    rows = b.wide(b.table(spark, sf, "lineitem"), "l_partkey").select(
         F.col("l_partkey").alias("key"), F.concat_ws("/", "l_linenumber", "l_suppkey").alias("runway"),
         v.half_even(F.col("l_extendedprice") / 10).alias("length_ft"), F.col("l_quantity").cast("long").alias("width_ft"),
         F.when(F.col("l_returnflag") == "A", "ASPH-G").when(F.col("l_returnflag") == "N", "conc").alias("surface"),
