@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,11 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="plainledger-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="plainledger-"))
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
