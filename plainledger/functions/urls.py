@@ -119,27 +119,38 @@ def _collapse(p: Column) -> Column:
     return F.when(p.rlike(r"/\.\.?(/|$)"), full).otherwise(p)
 
 
-def resolve(base: Column | str, href: Column | str) -> Column:
-    """Absolute URL of a link on a page; the fragment is dropped."""
-    b, h = col(base), F.substring_index(col(href), "#", 1)
-    origin = F.concat(scheme(b), F.lit("://"), F.regexp_extract(b, URI, 2))
+def base_parts(base: Column | str) -> Column:
+    """What resolving links on a page needs of its URL, read once per page."""
+    b = col(base)
     folder = F.regexp_extract(raw_path(b), r"^(.*/)", 1)
-    folder = F.when(folder == "", "/").otherwise(folder)
-    link_path = F.regexp_extract(h, r"^([^?]*)", 1)
-    query = F.substring(h, F.length(link_path) + 1, F.length(h))
-    joined = F.concat(origin, _collapse(F.concat(folder, link_path)), query)
-    rooted = F.concat(origin, _collapse(link_path), query)
-    bare = F.regexp_extract(b, r"^([^?#]*)", 1)
+    return F.struct(
+        scheme(b).alias("scheme"),
+        F.concat(scheme(b), F.lit("://"), F.regexp_extract(b, URI, 2)).alias("origin"),
+        F.when(folder == "", "/").otherwise(folder).alias("folder"),
+        F.regexp_extract(b, r"^([^?#]*)", 1).alias("bare"),
+        F.substring_index(b, "#", 1).alias("whole"),
+    )
+
+
+def resolve_from(parts: Column, href: Column) -> Column:
+    """Absolute URL of a link, its fragment already cut off, from `base_parts`."""
+    link_path = F.regexp_extract(href, r"^([^?]*)", 1)
+    query = F.substring(href, F.length(link_path) + 1, F.length(href))
     return (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme(b), F.lit(":"), h))
-        .when(h.startswith("/"), rooted)
-        .when(h.startswith("?"), F.concat(bare, h))
-        .when(h == "", F.substring_index(b, "#", 1))
-        .otherwise(joined)
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(parts["scheme"], F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(parts["origin"], _collapse(link_path), query))
+        .when(href.startswith("?"), F.concat(parts["bare"], href))
+        .when(href == "", parts["whole"])
+        .otherwise(F.concat(parts["origin"], _collapse(F.concat(parts["folder"], link_path)), query))
     )
 
 
+def resolve(base: Column | str, href: Column | str) -> Column:
+    """Absolute URL of a link on a page; the fragment is dropped."""
+    return resolve_from(base_parts(base), F.substring_index(col(href), "#", 1))
+
+
 def prose_urls(*texts: Column | str, seeds: Sequence[Column | str] = ()) -> Column:
     """Distinct URLs of seeds and prose in first-seen order, closing marks cut off."""
     found = [F.array(F.coalesce(col(s), F.lit(""))) for s in seeds]

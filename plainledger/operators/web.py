@@ -22,32 +22,40 @@ def from_encyclopedia(url: Column | str) -> Column:
 # --- links -----------------------------------------------------------------
 
 def page_links(pages: DataFrame, page_id: str, url: str, markup: str) -> DataFrame:
-    """Links of every page: (page_id, pos, url, label, found_on), first use of a URL.
+    """Links of every page: (page_id, url, pos, found_on, label), first use of a URL.
 
-    Attributes and inner text of all anchors come from one pass each over the
-    markup; a repeated URL of a page is dropped by a grouped first, not a window.
+    All of a page's links sit in its own row, so a repeated URL is dropped there:
+    link extraction needs no shuffle. Attributes and inner text come from one pass
+    each over the markup.
     """
-    anchor = r"(?is)<a\b([^>]*)>(.*?)</a>"
+    anchor = F.lit(r"(?is)<a\b([^>]*)>(.*?)</a>")
     text = F.coalesce(F.col(markup), F.lit(""))
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(anchor), F.lit(1)).alias("attrs"),
-        F.regexp_extract_all(text, F.lit(anchor), F.lit(2)).alias("inner"),
-    )
-    anchors = pages.select(
-        F.col(page_id).alias("page_id"), F.col(url).alias("found_on"),
-        F.posexplode(pairs).alias("pos", "a"),
-    )
-    target = F.regexp_extract("a.attrs", r"(?i)\bhref=[\"']([^\"']+)[\"']", 1)
-    href = F.trim(html.decode_entities(target))
-    found = (
-        anchors.withColumn("href", href)
-        .filter((F.col("href") != "") & ~F.col("href").rlike(rules.SKIP_HREF))
-        .withColumn("url", urls.resolve("found_on", "href"))
-        .filter(F.col("url").startswith("http"))
-        .filter(F.rtrim("url", F.lit("/")) != F.rtrim("found_on", F.lit("/")))
-        .select("page_id", "url", "pos", "found_on", html.clean_text("a.inner").alias("label"))
-    )
-    return first_row(found, ["page_id", "url"], F.col("pos"))
+
+    def href(attrs: Column) -> Column:
+        found = F.regexp_extract(attrs, r"(?i)\bhref=[\"']([^\"']+)[\"']", 1)
+        return F.trim(F.when(found.contains("&"), html.decode_entities(found)).otherwise(found))
+
+    read = pages.select(
+        F.col(page_id).alias("page_id"), F.col(url).alias("found_on"), urls.base_parts(url).alias("_base"),
+        F.transform(F.regexp_extract_all(text, anchor, F.lit(1)), href).alias("_hrefs"),
+        F.regexp_extract_all(text, anchor, F.lit(2)).alias("_inner"))
+
+    def target(h: Column) -> Column:
+        linked = (h != "") & ~h.rlike(rules.SKIP_HREF)
+        return F.when(linked, urls.resolve_from(F.col("_base"), F.substring_index(h, "#", 1)))
+
+    resolved = read.withColumn("_urls", F.transform("_hrefs", target))
+    own = F.rtrim("found_on", F.lit("/"))
+
+    def first_use(u: Column, i: Column) -> Column:
+        return u.startswith("http") & (F.rtrim(u, F.lit("/")) != own) & (F.array_position("_urls", u) == i + 1)
+
+    kept = F.filter(
+        F.transform("_urls", lambda u, i: F.when(first_use(u, i), F.struct(i.alias("pos"), u.alias("url")))),
+        lambda x: x.isNotNull())
+    links = resolved.select("page_id", "found_on", "_inner", F.explode(kept).alias("k"))
+    return links.select(
+        "page_id", "k.url", "k.pos", "found_on", html.clean_text(F.get("_inner", F.col("k.pos"))).alias("label"))
 
 
 def with_link_role(df: DataFrame, url: str, label: Column | str, pack: LinkRules = LinkRules()) -> DataFrame:
@@ -145,6 +153,16 @@ def list_followups(pages: DataFrame, page_id: str, url: str, markup: str) -> Dat
     return first_row(found, ["page_id", "url"], F.col("pos"))
 
 
+def page_heads(pages: DataFrame, page_id: str, url: str, markup: str,
+               pack: LinkRules = LinkRules()) -> DataFrame:
+    """Title, excerpt and hub kind of every page; the markup is cleaned once."""
+    cleaned = pages.select(
+        F.col(page_id).alias("page_id"), F.col(url).alias("url"),
+        html.page_title(markup).alias("title"), html.clean_text(markup).alias("_text"))
+    heads = cleaned.select("page_id", "url", "title", html.excerpt(F.col("_text")).alias("excerpt"))
+    return heads.withColumn("hub_kind", hub_kind("title", "excerpt", pack))
+
+
 def page_report(pages: DataFrame, links: DataFrame, followups: DataFrame, page_id: str, url: str,
                 markup: str, pack: LinkRules = LinkRules()) -> DataFrame:
     """Per page: title, hub kind, source family and counts of what it links to.
@@ -159,10 +177,7 @@ def page_report(pages: DataFrame, links: DataFrame, followups: DataFrame, page_i
         F.count_if(artifact & worth_confirm("role", "kind", "label", pack)).alias("n_confirm"),
     )
     follows = followups.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_followups"))
-    heads = pages.select(
-        F.col(page_id).alias("page_id"), F.col(url).alias("url"),
-        html.page_title(markup).alias("title"), html.page_excerpt(markup).alias("excerpt"),
-    ).withColumn("hub_kind", hub_kind("title", "excerpt", pack))
+    heads = page_heads(pages, page_id, url, markup, pack)
     out = heads.join(counts, "page_id", "left").join(follows, "page_id", "left").na.fill(
         0, ["n_links", "n_artifacts", "n_confirm", "n_followups"])
     family = source_family(F.lit(200), F.lit(None).cast("string"), F.col("n_artifacts"),

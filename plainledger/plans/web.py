@@ -42,10 +42,10 @@ def page_link_roles(spark, sf):
 
 
 def page_heads(spark, sf):
-    out = pages(spark, sf).select(
-        "page_id", html.page_title("html").alias("title"), html.page_excerpt("html").alias("excerpt"),
-        html.html_text_hash("html").alias("text_hash"))
-    return out.withColumn("hub_kind", ops.hub_kind("title", "excerpt", LinkRules(plan=r"(?i)the ", not_plan=r"(?i)one ")))
+    rows = pages(spark, sf)
+    pack = LinkRules(plan=r"(?i)the ", not_plan=r"(?i)one ")
+    hashes = rows.select("page_id", html.html_text_hash("html").alias("text_hash"))
+    return ops.page_heads(rows, "page_id", "url", "html", pack).drop("url").join(hashes, "page_id")
 
 
 def hub_markup(spark, sf):
