@@ -127,6 +127,10 @@ def source_family(status: Column, error: Column, artifacts: Column, followups: C
 
 def list_followups(pages: DataFrame, page_id: str, url: str, markup: str) -> DataFrame:
     """List pointers embedded in a hub page as follow-up URLs, first use per page."""
+    # A pointer's name is plain letters, so only pages that show it, or that hold
+    # numeric entities, need decoding at all.
+    likely = F.col(markup).contains("webPartProperties") | F.col(markup).contains("&#")
+    pages = pages.filter(likely)
     text = html.decode_entities(F.coalesce(F.col(markup), F.lit("")))
     blobs = F.regexp_extract_all(text, F.lit(r"webPartProperties:\s*\{([^}]*)\}"), F.lit(1))
     rows = pages.select(
@@ -154,12 +158,12 @@ def list_followups(pages: DataFrame, page_id: str, url: str, markup: str) -> Dat
 
 
 def page_heads(pages: DataFrame, page_id: str, url: str, markup: str,
-               pack: LinkRules = LinkRules()) -> DataFrame:
+               pack: LinkRules = LinkRules(), keep: Sequence[str] = ()) -> DataFrame:
     """Title, excerpt and hub kind of every page; the markup is cleaned once."""
     cleaned = pages.select(
-        F.col(page_id).alias("page_id"), F.col(url).alias("url"),
+        F.col(page_id).alias("page_id"), F.col(url).alias("url"), *keep,
         html.page_title(markup).alias("title"), html.clean_text(markup).alias("_text"))
-    heads = cleaned.select("page_id", "url", "title", html.excerpt(F.col("_text")).alias("excerpt"))
+    heads = cleaned.select("page_id", "url", *keep, "title", html.excerpt(F.col("_text")).alias("excerpt"))
     return heads.withColumn("hub_kind", hub_kind("title", "excerpt", pack))
 
 

@@ -42,10 +42,9 @@ def page_link_roles(spark, sf):
 
 
 def page_heads(spark, sf):
-    rows = pages(spark, sf)
+    rows = pages(spark, sf).withColumn("text_hash", html.html_text_hash("html"))
     pack = LinkRules(plan=r"(?i)the ", not_plan=r"(?i)one ")
-    hashes = rows.select("page_id", html.html_text_hash("html").alias("text_hash"))
-    return ops.page_heads(rows, "page_id", "url", "html", pack).drop("url").join(hashes, "page_id")
+    return ops.page_heads(rows, "page_id", "url", "html", pack, ["text_hash"]).drop("url")
 
 
 def hub_markup(spark, sf):
