@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plainledger.functions import values as v
 
@@ -129,8 +130,11 @@ def patch_rows(current: DataFrame, updates: DataFrame, key: str, columns: Sequen
 
     def merged(c: str) -> Column:
         kind = current.schema[c].dataType
-        given = F.try_element_at("_p", F.lit(c)).cast(kind)
-        default = F.lit(defaults.get(c)).cast(kind)
+        nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
+        raw = F.try_element_at("_p", F.lit(c))
+        given = F.from_json(raw, kind.simpleString()) if nested else raw.cast(kind)
+        default = F.lit(defaults.get(c)).cast("string" if nested else kind)
+        default = F.from_json(default, kind.simpleString()) if nested else default
         return F.when(v.yes(F.map_contains_key("_p", c)), given).when(new, default).otherwise(F.col(c)).alias(c)
 
     return joined.filter(~new | v.yes(complete)).select(key, *[merged(c) for c in columns])

@@ -86,6 +86,13 @@ def test_patches(spark):
     assert out == {"a": ("x", None, "complete"), "b": ("x", "y", "complete"), "n": ("k", None, "missing")}
 
 
+def test_patch_of_a_list(spark):
+    current = spark.createDataFrame([("a", ["x"], 1), ("b", ["x"], 2)], "id string, mirrors array<string>, n int")
+    ups = spark.createDataFrame([("a", '{"mirrors":["y","z"],"n":7}'), ("n", '{"n":3}')], "id string, patch string")
+    out = {r["id"]: (r["mirrors"], r["n"]) for r in versions.patch_rows(current, ups, "id", ["mirrors", "n"], ["n"], {"mirrors": "[]"}).collect()}
+    assert out == {"a": (["y", "z"], 7), "b": (["x"], 2), "n": ([], 3)}
+
+
 def test_replace_deletes_only_in_the_new_generation(spark):
     schema = "entity_type string, entity_key string, payload string, sha string"
     old = spark.createDataFrame([("d", "a", "1", "1"), ("d", "b", "2", "2"), ("d", "c", "3", "3")], schema)
