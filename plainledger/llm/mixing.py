@@ -1,7 +1,8 @@
 """Mixing to target weights with soft domain membership.
 
 Domains are those of the labelled table: `toxic`, `poor` (quality 0) and `good`. A
-naive Bayes classifier over hashed words (presence per document) gives every document
+naive Bayes classifier over hashed words (presence per document) and over the text's
+shape (length, share of signs, share of distinct words, in steps) gives every document
 posterior domain probabilities. It is fitted on at most `FIT_ROWS` labelled rows, taken
 by a hash of their id; a word bucket counts only where its rate in a domain differs
 from the others' by more than `SIGNIFICANCE` standard errors. Posteriors are rounded
@@ -9,11 +10,11 @@ to `GRID` steps, so documents fall into profiles and the fit below sees one row
 profile.
 
 Rates r >= 0 (and <= max_rate) minimise the sum over domains of
-(expected tokens - target)^2 / target, expected tokens being the sum of rate x tokens
-x posterior. Each projected-gradient step is one small aggregate over the profile
-table; the step length is one over the largest eigenvalue of the weighted moment
-matrix, gathered in one pass. A document's rate follows from its posterior and the
-steps taken, so rates are computed in the row.
+(expected tokens - target)^2 / supply, expected tokens being the sum of rate x tokens
+x posterior and supply the same sum at rate 1. Rates depend on posteriors only, so the
+documents' part of every gradient is one distributed sum per profile; the projected
+gradient steps then run on the bounded profile table. The step length is one over the
+largest eigenvalue of the weighted moment matrix.
 
 Defined results: null and empty texts have no tokens, no evidence and the domains'
 prior as posterior; without labels all domains are equally likely; a domain that no
@@ -38,8 +39,7 @@ BUCKETS = 1 << 16
 SIGNIFICANCE = 5.0
 SMOOTH = 0.5
 GRID = 50
-STEPS = 60
-TOLERANCE = 1e-4
+STEPS = 100
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -48,9 +48,19 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def word_buckets(text: Column) -> Column:
-    """Distinct word buckets of a text, signs and case aside."""
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", " # ")
-    return F.array_distinct(F.transform(word_array(plain), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    """Distinct buckets of a text's words, signs and case aside, and of its shape."""
+    signs = r"[^\p{L}\p{N}\s]"
+    words = word_array(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), signs, ""))
+    distinct = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    n = F.greatest(F.size(words), F.lit(1))
+    marks = F.regexp_count(text, F.lit(signs)) / F.greatest(F.length(text), F.lit(1))
+    shape = [
+        ("length", F.floor(F.log2(n))), ("signs", F.floor(F.coalesce(marks, F.lit(0.0)) * 40)),
+        ("distinct", F.floor(F.size(distinct) / n * 20)),
+    ]
+    # Hashes of a shape have another seed than those of words.
+    seen = F.concat(distinct, F.array(*[F.xxhash64(F.lit(name), step) for name, step in shape]))
+    return F.array_distinct(F.transform(seen, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
 
 
 def fit_sample(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -107,44 +117,44 @@ def posteriors(text: Column, model: dict) -> Column:
     return F.array(F.greatest(1 - sum(others[1:], others[0]), F.lit(0.0)), *others)
 
 
-def rate(p: Column, steps: list[list[float]], max_rate: float | None) -> Column:
-    """A document's rate after the given gradient steps, from 1."""
-    def clip(x: Column) -> Column:
-        x = F.greatest(x, F.lit(0.0))
-        return x if max_rate is None else F.least(x, F.lit(float(max_rate)))
+def fit_rates(profiles: DataFrame, targets: list[float], max_rate: float | None, steps: int = STEPS) -> DataFrame:
+    """(p, rate) of every profile (p, tokens), by projected gradient steps from rate 1.
 
-    begin = F.lit(1.0 if max_rate is None else min(1.0, float(max_rate)))
-    if not steps:
-        return begin
-    taken = constant(steps)
-    dot = lambda s: sum((F.get(p, k) * F.get(s, k) for k in range(1, len(DOMAINS))), F.get(p, 0) * F.get(s, 0))
-    return F.aggregate(taken, begin, lambda r, s: clip(r - dot(s)))
-
-
-def fit_rates(profiles: DataFrame, targets: list[float], max_rate: float | None, limit: int = STEPS) -> list[list[float]]:
-    """Gradient steps of the least squares over (p, tokens) profiles."""
+    Rounded posteriors have at most binomial(GRID + domains - 1, domains - 1) profiles,
+    so they fit one row whatever the data size, and all steps are one expression on it.
+    """
     d = len(targets)
+    part = lambda x, k: x["tokens"] * F.get(x["p"], k)
     moments = profiles.agg(*[
         F.sum(F.col("tokens") * F.get("p", i) * F.get("p", j)).alias(f"m{i}{j}") for i in range(d) for j in range(d)]).first()
-    if moments["m00"] is None:
-        return []
-    matrix = np.array([[moments[f"m{i}{j}"] for j in range(d)] for i in range(d)], dtype=float)
-    goal = np.maximum(np.array(targets, dtype=float), 1.0)
-    weight = 1.0 / goal
+    matrix = np.array([[moments[f"m{i}{j}"] or 0.0 for j in range(d)] for i in range(d)], dtype=float)
+    # Posteriors add up to one, so a row of the moments adds up to its domain's supply.
+    weight = 1.0 / np.maximum(matrix.sum(axis=1), 1.0)
     scaled = np.sqrt(weight)[:, None] * matrix * np.sqrt(weight)[None, :]
     length = 1.0 / max(float(np.linalg.eigvalsh(scaled)[-1]), 1e-12)
-    steps: list[list[float]] = []
-    before = None
-    for _ in range(limit):
-        r = rate(F.col("p"), steps, max_rate)
-        now = profiles.select(r.alias("r"), "p", "tokens").agg(*[
-            F.sum(F.col("r") * F.col("tokens") * F.get("p", k)).alias(f"t{k}") for k in range(d)]).first()
-        have = np.array([now[f"t{k}"] for k in range(d)], dtype=float)
-        if before is not None and np.max(np.abs(have - before) * weight) < TOLERANCE:
-            break
-        before = have
-        steps.append((length * weight * (have - goal)).tolist())
-    return steps
+    begin = 1.0 if max_rate is None else min(1.0, float(max_rate))
+
+    def clip(x: Column) -> Column:
+        x = F.greatest(x, F.lit(0.0))
+        return x if max_rate is None else F.least(x, F.lit(float(max_rate)))
+
+    def totals(rates: Column) -> Column:
+        pairs = F.zip_with(F.col("rows"), rates, lambda x, r: F.struct(x.alias("x"), r.alias("r")))
+        zero = F.array(*[F.lit(0.0)] * d)
+        return F.aggregate(pairs, zero, lambda acc, y: F.array(*[F.get(acc, k) + y["r"] * part(y["x"], k) for k in range(d)]))
+
+    def step(rates: Column) -> Column:
+        # An array of one vector stands for a name: the gradient is computed once.
+        slope = F.array(totals(rates))
+        moved = F.transform(slope, lambda t: F.zip_with(F.col("rows"), rates, lambda x, r: clip(r - sum(
+            (F.get(x["p"], k) * float(length * weight[k]) * (F.get(t, k) - float(targets[k])) for k in range(1, d)),
+            F.get(x["p"], 0) * float(length * weight[0]) * (F.get(t, 0) - float(targets[0]))))))
+        return F.get(moved, 0)
+
+    one = profiles.agg(F.array_sort(F.collect_list(F.struct("p", "tokens"))).alias("rows"))
+    fitted = one.select("rows", F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), F.transform("rows", lambda x: F.lit(begin)), lambda r, _: step(r)).alias("rates"))
+    return fitted.select(F.inline(F.zip_with("rows", "rates", lambda x, r: F.struct(x["p"].alias("p"), r.alias("rate")))))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float | None = None,
@@ -159,12 +169,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     profiles = cut(known.groupBy(F.col("posterior").alias("p")).agg(F.sum("n_tokens").cast("double").alias("tokens")).coalesce(1))
     total = profiles.agg(F.sum("tokens")).first()[0] or 0.0
     share = sum(wanted.values())
-    steps = fit_rates(profiles, [total * wanted[name] / share for name in DOMAINS], max_rate)
+    goal = [total * wanted[name] / share for name in DOMAINS]
+    rates = cut(fit_rates(profiles, goal, max_rate))
     best = F.array_position("posterior", F.array_max("posterior"))
     drawn = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return known.withColumn("domain", F.element_at(F.array(*map(F.lit, DOMAINS)), best.cast("int"))).withColumn(
-        "rate", rate(F.col("posterior"), steps, max_rate)).withColumn(
-        "copies", (F.floor("rate") + (drawn < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    # At most one row per profile, written, so the planner knows how small it is.
+    rated = known.withColumn("drawn", drawn).join(rates.withColumnRenamed("rate", "_rate"), F.col("posterior") == F.col("p"))
+    return rated.withColumn("domain", F.element_at(F.array(*map(F.lit, DOMAINS)), best.cast("int"))).withColumn(
+        "rate", F.col("_rate")).withColumn(
+        "copies", (F.floor("rate") + (F.col("drawn") < F.col("rate") - F.floor("rate")).cast("int")).cast("int")).select(
+        *kept, *names)
 
 
 def draw(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
