@@ -25,6 +25,7 @@ from __future__ import annotations
 import codecs
 import json
 import re
+import struct
 import uuid
 import zlib
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from plainledger.session import cut, run_dir
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 700_000
 SHARD_BYTES = 128 << 20
 READ_IDS = 1 << 22
 
@@ -105,18 +106,20 @@ class Encoder:
 
     def _learn(self, missing: list[str]) -> None:
         """Encode pieces that are not in the lookup; a run of letters needs the merges only."""
-        merge, letters, kind = self.tokenizer.model.tokenize, self.letters, self.width
+        merge, letters, kind = self.tokenizer.model.tokenize, self.letters, "H" if self.width.itemsize == 2 else "I"
         rest = []
         for piece in missing:
             if piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha()):
                 spelt = codecs.charmap_decode(piece.encode(), "strict", letters)[0]
-                self.seen[piece] = np.array([t.id for t in merge(spelt)], dtype=kind).tobytes()
+                ids = [t.id for t in merge(spelt)]
+                self.seen[piece] = struct.pack(f"<{len(ids)}{kind}", *ids)
             else:
                 rest.append(piece)
         for at in range(0, len(rest), 1 << 14):
             some = rest[at: at + (1 << 14)]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.seen[piece] = np.array(found.ids, dtype=kind).tobytes()
+                ids = found.ids
+                self.seen[piece] = struct.pack(f"<{len(ids)}{kind}", *ids)
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """The ids of each text and the end id, as bytes of `width`."""
@@ -222,7 +225,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
     sums = written.select("shard", "number", "n_ids").withColumn(
         "base", F.coalesce(F.sum("n_ids").over(
             Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return written.join(sums.select("shard", "base"), "shard")
+    # One short row per file, so this side is as small as the list of files.
+    return written.join(F.broadcast(sums.select("shard", "base")), "shard")
 
 
 def read_tokens(manifest: DataFrame, folder: str, kind: str = "long") -> DataFrame:
