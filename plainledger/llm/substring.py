@@ -11,6 +11,9 @@ starts at a word whose window starts earlier elsewhere and runs on while each ne
 window does, also across the border where another reference takes over; its words are
 the duplicate span. Windows are judged on the input, never on what is left.
 
+A document whose whole text an earlier one has repeats it in one factor; it is marked
+by two 64-bit hashes of the text and files no blocks.
+
 Spark moves block hashes, then one number per block that is not shared (its place in
 the document), then the windows filed under shared blocks, and the place of each first
 window. Texts move once. A sequence that a third of all documents hold is one
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 
 from plainledger.llm import words as w
 from plainledger.llm.common import per_batch, utf8
+from plainledger.operators.skew import spread_join
+from plainledger.session import cut
 
 WINDOW = 20
 BLOCK = 8
@@ -80,8 +85,8 @@ def _ids(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 def _block_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     keys, owners, ranks = [], [], []
-    for owner, text in zip(_ids(batch, "_doc").tolist(), utf8(batch, "text")):
-        words = w.hashes(text)
+    for owner, text, copied in zip(_ids(batch, "_doc").tolist(), utf8(batch, "text"), batch.column("copied").to_pylist()):
+        words = () if copied else w.hashes(text)
         if len(words) >= WINDOW:
             found = blocks(words)[0]
             keys.append(found.view(np.int64))
@@ -95,8 +100,9 @@ def _block_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _window_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     parts: list[list[np.ndarray]] = [[], [], [], []]
-    for owner, text, single in zip(_ids(batch, "_doc").tolist(), utf8(batch, "text"), batch.column("single")):
-        words = w.hashes(text)
+    copies = batch.column("copied").to_pylist()
+    for owner, text, copied, single in zip(_ids(batch, "_doc").tolist(), utf8(batch, "text"), copies, batch.column("single")):
+        words = () if copied else w.hashes(text)
         if len(words) < WINDOW:
             continue
         at = candidates(words, _places(single))
@@ -115,10 +121,12 @@ def _places(value: pa.Scalar) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _parse_one(text: bytes, single: pa.Scalar, first: pa.Scalar) -> tuple[list[bytes], list[tuple[int, int]]]:
+def _parse_one(text: bytes, copied: bool, single: pa.Scalar, first: pa.Scalar) -> tuple[list[bytes], list[tuple[int, int]]]:
     plain = text.split()
     if len(plain) < WINDOW:
         return plain, []
+    if copied:
+        return plain, [(0, len(plain))]
     words = w.hashes(text)
     at = candidates(words, _places(single))
     if not len(at):
@@ -147,17 +155,26 @@ def _ordered(docs: DataFrame) -> DataFrame:
     keys = tagged.select("doc_id", "_text").distinct()
     ranges = keys.repartitionByRange("doc_id", "_text").sortWithinPartitions("doc_id", "_text")
     # Written once: partition number and place in it are the order.
-    from plainledger.session import cut
-
     order = cut(ranges.withColumn("_doc", F.monotonically_increasing_id())).select(
         F.col("doc_id").alias("_id"), F.col("_text").alias("_same"), "_doc")
     return tagged.join(order, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_same"))).drop(
         "_id", "_same", "_text")
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """(_copy): documents whose whole text an earlier document has."""
+    sums = docs.select("_doc", F.xxhash64("text").alias("one"), F.xxhash64(F.lit("again"), "text").alias("two"))
+    firsts = sums.groupBy("one", "two").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).filter(
+        F.col("first") < F.col("last"))
+    again = spread_join(sums, firsts, ["one", "two"], F.col("_doc"), "inner")
+    return cut(again.filter(F.col("_doc") != F.col("first")).select(F.col("_doc").alias("_copy")).distinct())
+
+
 def _with_matches(docs: DataFrame) -> DataFrame:
-    """Each document with the blocks only it holds and its first-of-all window places."""
-    found = docs.select("_doc", "text").mapInArrow(per_batch(_block_rows), "block long, _doc long, rank int")
+    """Each document with a mark for copies, the blocks only it holds and its first-of-all window places."""
+    docs = docs.join(_copies(docs), F.col("_doc") == F.col("_copy"), "left").withColumn(
+        "copied", F.col("_copy").isNotNull()).drop("_copy")
+    found = docs.select("_doc", "text", "copied").mapInArrow(per_batch(_block_rows), "block long, _doc long, rank int")
     # Equal rows file the same block under the same number: distinct owners count.
     single = (
         found.groupBy("block")
@@ -165,8 +182,8 @@ def _with_matches(docs: DataFrame) -> DataFrame:
         .filter(F.col("_doc") == F.col("_last"))
         .groupBy("_doc").agg(F.collect_list("rank").alias("single")))
     parsed = docs.join(single.withColumnRenamed("_doc", "_own"), F.col("_doc") == F.col("_own"), "left").drop("_own")
-    windows = parsed.select("_doc", "text", "single").mapInArrow(
-        per_batch(_window_rows), "one long, two long, _doc long, place int")
+    # All columns, as the last step needs them: so both share one exchange of the texts.
+    windows = parsed.mapInArrow(per_batch(_window_rows), "one long, two long, _doc long, place int")
     first = (
         windows.groupBy("one", "two").agg(F.min("_doc").alias("_of"), F.min_by("place", "_doc").alias("place"))
         .groupBy("_of").agg(F.collect_list("place").alias("first")))
@@ -178,8 +195,9 @@ def parse(docs: DataFrame) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[list] = [[], [], [], []]
-        for text, single, first in zip(utf8(batch, "text"), batch.column("single"), batch.column("first")):
-            plain, spans = _parse_one(text, single, first)
+        for text, copied, single, first in zip(
+                utf8(batch, "text"), batch.column("copied").to_pylist(), batch.column("single"), batch.column("first")):
+            plain, spans = _parse_one(text, copied, single, first)
             kept = _kept(plain, spans)
             for column, value in zip(rows, (
                     len(plain), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans],
@@ -193,7 +211,7 @@ def parse(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ready = _with_matches(_ordered(docs.select("doc_id", "text")))
-    return ready.select("doc_id", "text", "single", "first").mapInArrow(
+    return ready.select("doc_id", "text", "copied", "single", "first").mapInArrow(
         per_batch(one),
         f"doc_id {kind}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
@@ -213,9 +231,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for text, valid, single, first in zip(
-                utf8(batch, "text"), batch.column("text").is_valid(), batch.column("single"), batch.column("first")):
-            plain, spans = _parse_one(text, single, first)
+        for text, valid, copied, single, first in zip(
+                utf8(batch, "text"), batch.column("text").is_valid(), batch.column("copied").to_pylist(),
+                batch.column("single"), batch.column("first")):
+            plain, spans = _parse_one(text, copied, single, first)
             whole = text if not spans else b" ".join(_kept(plain, spans))
             texts.append(whole.decode("utf-8", "replace") if valid.as_py() else None)
         return pa.RecordBatch.from_arrays(
@@ -223,4 +242,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     ready = _with_matches(_ordered(docs))
-    return ready.select(*docs.columns, "single", "first").mapInArrow(per_batch(strip), ddl)
+    return ready.select(*docs.columns, "copied", "single", "first").mapInArrow(per_batch(strip), ddl)
