@@ -36,8 +36,8 @@ from plainledger.session import cut
 FIT_ROWS = 40_000
 ENTRIES = 20_000
 STARTS = (4, 5, 6)
-MIN_TOXIC = 4
-Z = 3.0
+MIN_TOXIC = 6
+Z = 6.5
 MIN_SHARE = 0.5
 DECISION = 0.3
 HELD_OUT = 2
