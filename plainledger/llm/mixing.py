@@ -29,13 +29,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainledger.llm.common import constant, word_array
+from plainledger.llm.common import BLANKS, constant
 from plainledger.session import cut
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.96, "poor": 0.03, "toxic": 0.01}
 FIT_ROWS = 20_000
 BUCKETS = 1 << 16
+SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 SIGNIFICANCE = 5.0
 SMOOTH = 0.5
 GRID = 50
@@ -47,20 +48,25 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 2).when(quality == 0, 1).otherwise(0)
 
 
-def word_buckets(text: Column) -> Column:
-    """Distinct buckets of a text's words, signs and case aside, and of its shape."""
-    signs = r"[^\p{L}\p{N}\s]"
-    words = word_array(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), signs, ""))
-    distinct = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    n = F.greatest(F.size(words), F.lit(1))
-    marks = F.regexp_count(text, F.lit(signs)) / F.greatest(F.length(text), F.lit(1))
+def with_buckets(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep`, n_tokens and the distinct buckets of each text's words, signs and case aside, and of its shape.
+
+    One step per column: each is used more than once by the next and computed once.
+    """
+    lower = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    words = lambda column: F.array_remove(F.split(column, BLANKS), "")
+    plain = docs.select(*keep, F.size(words(lower)).cast("long").alias("n_tokens"), F.length("text").alias("_length"),
+                        F.translate(lower, SIGNS, "").alias("_plain"))
+    hashed = plain.select(*keep, "n_tokens", "_length", F.length("_plain").alias("_left"), F.array_distinct(
+        F.transform(words(F.col("_plain")), lambda w: F.xxhash64(w))).alias("_distinct"))
+    n = F.greatest(F.col("n_tokens"), F.lit(1))
+    marks = 1 - F.col("_left") / F.greatest("_length", F.lit(1))
     shape = [
         ("length", F.floor(F.log2(n))), ("signs", F.floor(F.coalesce(marks, F.lit(0.0)) * 40)),
-        ("distinct", F.floor(F.size(distinct) / n * 20)),
+        ("distinct", F.floor(F.size("_distinct") / n * 20)),
     ]
-    # Hashes of a shape have another seed than those of words.
-    seen = F.concat(distinct, F.array(*[F.xxhash64(F.lit(name), step) for name, step in shape]))
-    return F.array_distinct(F.transform(seen, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
+    seen = F.concat("_distinct", F.array(*[F.xxhash64(F.lit(name), step) for name, step in shape]))
+    return hashed.select(*keep, "n_tokens", F.transform(seen, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")).alias("buckets"))
 
 
 def fit_sample(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -77,7 +83,7 @@ def classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict
     # A text copied many times is one observation.
     texts = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("of")).groupBy(
         F.xxhash64("text").alias("same"), "domain").agg(F.any_value("text").alias("text"))
-    texts = cut(texts.select("domain", word_buckets(F.col("text")).alias("buckets")))
+    texts = cut(with_buckets(texts, ["domain"]).select("domain", F.array_distinct("buckets").alias("buckets")))
     sizes = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [sizes.get(k, 0) for k in range(len(DOMAINS))]
     total = sum(n)
@@ -98,23 +104,22 @@ def classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict
     return {"prior": prior, "buckets": [row["bucket"] for row in kept], "weights": [[x - max(m) for x in m] for m in mean]}
 
 
-def posteriors(text: Column, model: dict) -> Column:
-    """Array of domain probabilities in steps of 1 / GRID."""
-    if not model["buckets"]:
-        sums = [F.lit(p) for p in model["prior"]]
-    else:
+def with_posterior(rows: DataFrame, model: dict) -> DataFrame:
+    """`rows` with `posterior`, the domain probabilities in steps of 1 / GRID, for `buckets`."""
+    rest = [c for c in rows.columns if c != "buckets"]
+    prior = F.array(*[F.lit(p) for p in model["prior"]])
+    if model["buckets"]:
         known = constant(model["buckets"]).cast("array<int>")
-        hits = F.transform(F.array_intersect(word_buckets(text), known), lambda b: F.array_position(known, b).cast("int") - 1)
-        start = F.array(*[F.lit(p) for p in model["prior"]])
         weights = constant([list(map(float, column)) for column in zip(*model["weights"])])
-        logs = F.aggregate(hits, start, lambda acc, b: F.zip_with(acc, weights, lambda a, w: a + F.get(w, b)))
-        sums = [F.get(logs, k) for k in range(len(DOMAINS))]
-    top = F.greatest(*sums)
-    parts = [F.exp(s - top) for s in sums]
-    whole = sum(parts[1:], parts[0])
-    steps = [F.round(p / whole * GRID) for p in parts[1:]]
-    others = [s / GRID for s in steps]
-    return F.array(F.greatest(1 - sum(others[1:], others[0]), F.lit(0.0)), *others)
+        hits = F.transform(F.array_intersect("buckets", known), lambda b: F.array_position(known, b).cast("int") - 1)
+        prior = F.aggregate(hits, prior, lambda acc, b: F.zip_with(acc, weights, lambda a, w: a + F.get(w, b)))
+    top = F.array_max("_logs")
+    parts = rows.select(*rest, prior.alias("_logs")).select(
+        *rest, F.transform("_logs", lambda x: F.exp(x - top)).alias("_parts"))
+    whole = F.aggregate("_parts", F.lit(0.0), lambda s, x: s + x)
+    steps = parts.select(*rest, F.transform("_parts", lambda x: F.round(x / whole * GRID) / GRID).alias("_steps"))
+    others = [F.get("_steps", k) for k in range(1, len(DOMAINS))]
+    return steps.select(*rest, F.array(F.greatest(1 - sum(others[1:], others[0]), F.lit(0.0)), *others).alias("posterior"))
 
 
 def fit_rates(profiles: DataFrame, targets: list[float], max_rate: float | None, steps: int = STEPS) -> DataFrame:
@@ -164,8 +169,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     names = ("n_tokens", "posterior", "domain", "rate", "copies")
     kept = [c for c in docs.columns if c.lower() not in names]
     model = classifier(docs, labels, rows)
-    known = docs.select(
-        *kept, F.size(word_array("text")).cast("long").alias("n_tokens"), posteriors(F.col("text"), model).alias("posterior"))
+    # Written once: the profiles and the result both need every text's posterior.
+    known = cut(with_posterior(with_buckets(docs.select(*kept), kept), model))
     profiles = cut(known.groupBy(F.col("posterior").alias("p")).agg(F.sum("n_tokens").cast("double").alias("tokens")).coalesce(1))
     total = profiles.agg(F.sum("tokens")).first()[0] or 0.0
     share = sum(wanted.values())
