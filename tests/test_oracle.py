@@ -14,11 +14,16 @@ def oracle():
     return connect(SF)
 
 
+def library_queries():
+    """The library's own queries, whether or not the training-data subpackage is there."""
+    return {name for plan in entry.ALL_PLANS for name in plan.QUERIES}
+
+
 def test_every_query_has_an_oracle():
-    assert set(SQLS) == set(entry.queries())
+    assert library_queries() <= set(SQLS) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(SQLS))
 def test_query(spark, oracle, name):
     fault = compare(spark, oracle, entry.queries()[name], SQLS[name], SF)
     # A rare value may be absent from the smallest tables; equal and empty is fine here.
