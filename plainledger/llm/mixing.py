@@ -37,6 +37,8 @@ TARGETS = {"good": 0.96, "poor": 0.03, "toxic": 0.01}
 FIT_ROWS = 20_000
 BUCKETS = 1 << 16
 SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+SIGN_RUN = "[" + "".join("\\" + c for c in SIGNS) + "]+"
+MARK = "#"
 SIGNIFICANCE = 5.0
 SMOOTH = 0.5
 GRID = 50
@@ -54,11 +56,14 @@ def with_buckets(docs: DataFrame, keep: list[str]) -> DataFrame:
     One step per column: each is used more than once by the next and computed once.
     """
     lower = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    words = lambda column: F.array_remove(F.split(column, BLANKS), "")
-    plain = docs.select(*keep, F.size(words(lower)).cast("long").alias("n_tokens"), F.length("text").alias("_length"),
-                        F.translate(lower, SIGNS, "").alias("_plain"))
-    hashed = plain.select(*keep, "n_tokens", "_length", F.length("_plain").alias("_left"), F.array_distinct(
-        F.transform(words(F.col("_plain")), lambda w: F.xxhash64(w))).alias("_distinct"))
+    # Blanks become single spaces and runs of signs one mark, so the words split at a plain character.
+    marked = F.regexp_replace(F.regexp_replace(lower, r"[\x09-\x0D]", " "), SIGN_RUN, MARK)
+    bare = lambda column: F.replace(column, F.lit(MARK), F.lit(""))
+    lines = docs.select(*keep, F.length("text").alias("_length"), marked.alias("_marked"))
+    split = lines.select(*keep, "_length", F.length(bare(F.col("_marked"))).alias("_left"),
+                         F.array_remove(F.split("_marked", " "), "").alias("_words"))
+    hashed = split.select(*keep, F.size("_words").cast("long").alias("n_tokens"), "_length", "_left", F.array_remove(F.array_distinct(
+        F.transform("_words", lambda w: F.xxhash64(bare(w)))), F.xxhash64(F.lit(""))).alias("_distinct"))
     n = F.greatest(F.col("n_tokens"), F.lit(1))
     marks = 1 - F.col("_left") / F.greatest("_length", F.lit(1))
     shape = [
@@ -107,14 +112,20 @@ def classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict
 def with_posterior(rows: DataFrame, model: dict) -> DataFrame:
     """`rows` with `posterior`, the domain probabilities in steps of 1 / GRID, for `buckets`."""
     rest = [c for c in rows.columns if c != "buckets"]
-    prior = F.array(*[F.lit(p) for p in model["prior"]])
+    logs = [F.lit(p) for p in model["prior"]]
     if model["buckets"]:
-        known = constant(model["buckets"]).cast("array<int>")
-        weights = constant([list(map(float, column)) for column in zip(*model["weights"])])
-        hits = F.transform(F.array_intersect("buckets", known), lambda b: F.array_position(known, b).cast("int") - 1)
-        prior = F.aggregate(hits, prior, lambda acc, b: F.zip_with(acc, weights, lambda a, w: a + F.get(w, b)))
+        # Place of each of the BUCKETS in the weights, or -1: a look-up by position, however many are telling.
+        places = [-1] * BUCKETS
+        for place, bucket in enumerate(model["buckets"]):
+            places[bucket] = place
+        places = constant(places).cast("array<int>")
+        found = F.filter(F.transform("buckets", lambda b: F.get(places, b)), lambda i: i >= 0)
+        rows = rows.select(*rest, F.array_distinct(found).alias("_hits"))
+        weights = [constant([float(x) for x in column]) for column in zip(*model["weights"])]
+        adding = lambda w: lambda acc, i: acc + F.get(w, i)
+        logs = [F.aggregate("_hits", log, adding(w)) for log, w in zip(logs, weights)]
     top = F.array_max("_logs")
-    parts = rows.select(*rest, prior.alias("_logs")).select(
+    parts = rows.select(*rest, F.array(*logs).alias("_logs")).select(
         *rest, F.transform("_logs", lambda x: F.exp(x - top)).alias("_parts"))
     whole = F.aggregate("_parts", F.lit(0.0), lambda s, x: s + x)
     steps = parts.select(*rest, F.transform("_parts", lambda x: F.round(x / whole * GRID) / GRID).alias("_steps"))
