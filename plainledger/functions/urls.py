@@ -107,7 +107,7 @@ def inferred_media(media: Column | str, url: Column | str) -> Column:
 def _collapse(p: Column) -> Column:
     """Resolve `.` and `..` parts of an absolute path."""
     start = F.array().cast("array<string>")
-    parts = F.split(F.substring(p, 2, 100000), "/")
+    parts = F.split(F.substring(p, F.lit(2), F.length(p)), "/")
 
     def step(acc: Column, part: Column) -> Column:
         shorter = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))

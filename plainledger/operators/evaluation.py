@@ -311,8 +311,9 @@ def hybrid_labels(rows: DataFrame, answers: DataFrame, overrides: DataFrame, lab
     the rule is weak). Answers: input_hash, answer. Overrides: id, label, reason. A
     stored label is kept while the input hash is equal and a model or person gave it.
     """
-    said = answers.select("input_hash", answer("answer", "label string, reason string").alias("_a"))
-    forced = overrides.select("id", F.col("label").alias("_forced"), F.col("reason").alias("_why"))
+    said = answers.groupBy("input_hash").agg(F.max("answer").alias("answer")).select("input_hash", answer("answer", "label string, reason string").alias("_a"))
+    forced = overrides.groupBy("id").agg(F.max(F.struct("label", "reason")).alias("_o")).select(
+        "id", F.col("_o.label").alias("_forced"), F.col("_o.reason").alias("_why"))
     joined = rows.join(said, "input_hash", "left").join(forced, "id", "left")
     kept = v.yes((F.col("stored_hash") == F.col("input_hash")) & F.col("stored_by").isin("llm", "human")) & v.first_text("stored_label").isNotNull()
     asked = F.col("review") & F.col("_a").isNotNull()

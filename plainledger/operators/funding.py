@@ -308,12 +308,13 @@ CLASSIFIED = ("spend_category", "spend_reason", "spend_classified_at", "spend_cl
 
 
 def carry_classification(grants: DataFrame, prior: DataFrame) -> DataFrame:
-    """Keep an earlier category while description and number hash alike."""
+    """Keep the newest earlier category while description and number hash alike."""
     old = prior.filter(v.first_text("spend_category").isNotNull()).select(
         F.col("grant_number"),
         input_hash("description", "grant_number").alias("_hash"),
-        F.struct(*CLASSIFIED).alias("_old"),
-    )
+        F.struct("spend_classified_at", F.struct(*CLASSIFIED).alias("row")).alias("_dated"),
+    ).groupBy("grant_number", "_hash").agg(F.max("_dated").alias("_dated")).select(
+        "grant_number", "_hash", F.col("_dated.row").alias("_old"))
     bare = grants.drop(*CLASSIFIED)
     new = bare.withColumn("_hash", input_hash("description", "grant_number"))
     joined = new.join(old, ["grant_number", "_hash"], "left")

@@ -13,6 +13,7 @@ from plainledger.operators import documents as doc
 from plainledger.operators.skew import ordered_position
 from plainledger.rules import documents as doc_rules
 from plainledger.rules import ops as rules
+from plainledger.session import cut
 
 
 # --- outcomes ------------------------------------------------------------------
@@ -100,10 +101,23 @@ def merged_log(*logs: DataFrame) -> DataFrame:
 
 
 def first_seen_retention(rows: DataFrame, key: str, at: str, days: int = rules.RETENTION_DAYS) -> DataFrame:
-    """One row per key with the expiry of its first sight; a repeat never extends it."""
+    """One row per life of a key, with its expiry; a repeat within a life never extends it.
+
+    A sighting at or after the expiry opens the key's next life. Each round opens one
+    life per key with an aggregate that combines before the shuffle and keeps only the
+    sightings after it, so there are at most as many rounds as `days` fit into the log.
+    """
     rest = [c for c in rows.columns if c not in (key, at)]
-    first = rows.groupBy(key).agg(F.min(at).alias(at), F.min_by(F.struct(*rest), F.col(at)).alias("_row"))
-    return first.select(key, at, "_row.*", (F.col(at) + F.expr(f"interval {days} days")).alias("expires_at"))
+    expires = (F.col(at) + F.expr(f"interval {days} days")).alias("expires_at")
+    lives, left = None, rows
+    while True:
+        first = left.groupBy(key).agg(F.min(at).alias(at), F.min_by(F.struct(*rest), F.col(at)).alias("_row"))
+        opened = cut(first.select(key, at, "_row.*", expires))
+        lives = opened if lives is None else lives.unionByName(opened)
+        ended = opened.select(F.col(key).alias("_key"), F.col("expires_at").alias("_ends"))
+        left = cut(left.join(ended, F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) >= F.col("_ends")), "left_semi"))
+        if left.isEmpty():
+            return lives
 
 
 # --- links -----------------------------------------------------------------------

@@ -107,9 +107,10 @@ def completeness_gate(records: DataFrame, expected: int | DataFrame, generation:
 
 def apply_document_changes(records: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """Records of changed documents go, their fresh ones come; hidden ones only go."""
-    gone = changed.select(F.col("id").cast("string").alias("document_id"))
-    kept = records.join(gone, "document_id", "left_anti").select(records.columns)
-    return kept.unionByName(fresh)
+    gone = changed.select(F.col("id").cast("string").alias("_gone"))
+    # Records without a document match nothing; their own ids keep them out of one task.
+    own = F.coalesce("document_id", F.concat(F.lit("\x00"), "id"))
+    return records.join(gone, own == F.col("_gone"), "left_anti").unionByName(fresh)
 
 
 def missing_projections(stored: DataFrame, projections: DataFrame) -> DataFrame:

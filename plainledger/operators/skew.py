@@ -27,16 +27,18 @@ def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], row_id: C
                 how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join a side with hot keys to a lookup side, hot keys over SPREAD tasks.
 
-    Only rows of hot keys are spread and only lookup rows of hot keys are
+    Only rows of hot or null keys are spread and only lookup rows of hot keys are
     repeated. The hot-key table is broadcast; its size is bounded by HOT_SHARE. A
     caller that has counted its keys already passes them as `hot`.
     """
     keys = list(keys)
+    # A null key meets nothing, so its rows may lie anywhere.
+    empty = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
     found = hot_keys(big, keys) if hot is None else hot.select(*keys)
     hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
     salted = big.join(hot, keys, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int"),
+        F.when(F.col("_hot") | empty, F.pmod(F.xxhash64(row_id), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int"),
     ).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     repeated = small.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

@@ -97,9 +97,8 @@ def numbered_docs(spark, sf):
 
 
 def sparse_status(spark, sf):
-    """Touches of rare kinds only, so every stage occurs."""
-    rows = status_events(spark, sf).withColumn("entity", F.col("entity") * 7)
-    return ops.latest_status(rows.filter(F.col("kind").isin("explore", "discovery", "check") & (F.dayofmonth("at") > 27)))
+    """All touches, spread over every seventh entity, so touched and untouched ones occur."""
+    return ops.latest_status(status_events(spark, sf).withColumn("entity", F.col("entity") * 7))
 
 
 def staged(spark, sf):
@@ -279,7 +278,7 @@ def latest_sql(source: str) -> str:
 
 
 SPARSE_SQL = STATUS_SQL + """,
-sp0 AS (SELECT * REPLACE (entity * 7 AS entity) FROM se WHERE kind IN ('explore', 'discovery', 'check') AND day("at") > 27),
+sp0 AS (SELECT * REPLACE (entity * 7 AS entity) FROM se),
 sp AS """ + latest_sql("sp0")
 
 STAGES_SQL = SPARSE_SQL + "," + DOCS_SQL + """,
@@ -309,6 +308,15 @@ pr AS (SELECT *, CASE WHEN length(text) < 600 THEN 'dead' WHEN length(text) < 10
 
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
+
+def retention_sql(value: str, name: str) -> str:
+    """Lives of 20 days per key that have not ended; each starts at the first sighting after the one before."""
+    return f"""WITH RECURSIVE {EVENTS_SQL}, k AS (SELECT entity || '-' || event_type AS key, "at", {value} AS {name} FROM ev),
+f AS (SELECT key, min("at") AS "at", arg_min({name}, "at") AS {name} FROM k GROUP BY 1
+  UNION ALL SELECT f.key, min(k."at"), arg_min(k.{name}, k."at") FROM f JOIN k ON k.key = f.key AND k."at" >= f."at" + INTERVAL 20 DAY GROUP BY f.key, f."at")
+SELECT key, {TS.format('"at"')} AS "at", {name}, {TS.format('"at" + INTERVAL 20 DAY')} AS expires_at FROM f WHERE "at" + INTERVAL 20 DAY > TIMESTAMP '{NOW}'"""
+
+
 ORACLE = {
     "outcome_buckets": f"WITH {EVENTS_SQL} SELECT event_id, bucket FROM bu",
     "outcome_stats": f"""WITH {EVENTS_SQL}
@@ -322,8 +330,7 @@ SELECT event_id AS id, '{{"bucket":"' || bucket || '","id":' || event_id || coal
     "classification_stats": f"""WITH {EVENTS_SQL}, c AS (SELECT "at", event_type AS evaluation, CASE WHEN value > 10 THEN 'high' ELSE 'low' END AS category, CASE WHEN value > 30 THEN 'llm' ELSE 'rules' END AS classifier FROM ev)
 SELECT evaluation, category, classifier, count(*) AS n, count(*) FILTER (WHERE strftime("at", '%Y-%m') = '2024-01') AS n_month FROM c GROUP BY GROUPING SETS ((evaluation, category), (classifier), ())""",
     "audit_log": f"""WITH {EVENTS_SQL} SELECT "at", event_id, CASE WHEN event_type = 'view' THEN 'a' ELSE 'c' END AS log, CASE WHEN event_type <> 'view' THEN value END AS value FROM ev WHERE "at" <= TIMESTAMP '{NOW}'""",
-    "retention_live": f"""WITH {EVENTS_SQL}, f AS (SELECT entity || '-' || event_type AS key, min("at") AS "at", arg_min(event_type, "at") AS event_type FROM ev GROUP BY 1)
-SELECT key, {TS.format('"at"')} AS "at", event_type, {TS.format('"at" + INTERVAL 20 DAY')} AS expires_at FROM f WHERE "at" + INTERVAL 20 DAY > TIMESTAMP '{NOW}'""",
+    "retention_live": retention_sql("event_type", "event_type"),
     "status_latest": f"""WITH {STATUS_SQL}
 SELECT entity, last_job_kind, last_job_status, {', '.join(f'{TS.format(c)} AS {c}' for c in ('last_job_at', 'explored_at', 'snapshot_at', 'vetted_at', 'discovery_at'))} FROM {latest_sql('se')}""",
     "coverage_stages": f"""WITH {STAGES_SQL}
@@ -379,8 +386,8 @@ g AS (SELECT count(*) AS grants, {', '.join(f"CAST(sum(CASE WHEN level = '{s}' T
 SELECT *, (SELECT n FROM stc WHERE stage = 'snapshot_pending') AS snapshot_pending,
   CAST(round_even(100.0 * (entities - (SELECT n FROM stc WHERE stage = 'untouched')) / entities, 0) AS BIGINT) AS pct_reviewed,
   CAST(round_even(100.0 * entities_with_master_plan / entities, 0) AS BIGINT) AS pct_master_plan, CAST(round_even(100.0 * entities_with_alp / entities, 0) AS BIGINT) AS pct_alp FROM e, d, g""",
-    "snapshot_report": f"""WITH {STAGES_SQL}, {JOBS_SQL.strip()},
-f AS (SELECT entity, min("at") AS "at" FROM ev GROUP BY 1), l AS (SELECT * FROM {latest_sql('se')} ORDER BY last_job_at DESC, entity DESC LIMIT 1)
+    "snapshot_report": f"""WITH RECURSIVE {STAGES_SQL}, {JOBS_SQL.strip()},
+f AS (SELECT entity, min("at") AS "at" FROM ev GROUP BY 1 UNION ALL SELECT f.entity, min(ev."at") FROM f JOIN ev ON ev.entity = f.entity AND ev."at" >= f."at" + INTERVAL 24 DAY GROUP BY f.entity, f."at"), l AS (SELECT * FROM {latest_sql('se')} ORDER BY last_job_at DESC, entity DESC LIMIT 1)
 SELECT count(*) FILTER (WHERE state = 'pending') AS jobs_pending, count(*) FILTER (WHERE state = 'active') AS jobs_active, count(*) FILTER (WHERE state = 'succeeded') AS jobs_succeeded, 0 AS jobs_failed,
   {', '.join(f"(SELECT n FROM stc WHERE stage = '{s}') AS stage_{s}" for s in rules.STAGES)},
   (SELECT {TS.format('last_job_at')} FROM l) AS last_job_at, (SELECT entity FROM l) AS last_job_entity, (SELECT last_job_kind FROM l) AS last_job_kind, (SELECT last_job_status FROM l) AS last_job_status,

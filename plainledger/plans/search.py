@@ -84,9 +84,8 @@ def search_changed_documents(spark, sf):
     """Short documents changed: their old records go, their fresh ones carry a new stamp."""
     docs = documents(spark, sf).drop("text")
     changed = docs.filter("n_text < 700")
-    fresh = ops.union_records([ops.document_records(changed)], "g2")
-    return ops.apply_document_changes(records(spark, sf), changed, fresh).groupBy("type", "_generation").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"))
+    fresh = ops.union_records([ops.document_records(changed), ops.page_records(changed, pages(spark, sf))], "g2")
+    return ops.apply_document_changes(records(spark, sf), changed, fresh).select("type", "id", "_generation")
 
 
 def search_missing_text(spark, sf):
@@ -329,9 +328,8 @@ h AS (SELECT q.query_id, r.id, CASE WHEN contains(lower(coalesce(r.entity, '')),
    AND CASE WHEN ol <> '' THEN r.type = 'airport' AND coalesce(r.outlook = ol, false) WHEN scope = 'plans' THEN coalesce(r.kind, r.type) IN ('master_plan', 'alp', 'other') WHEN scope = 'projects' THEN r.type = 'funding' ELSE true END),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY attribute, id) AS pos FROM h)
 SELECT * FROM p WHERE pos <= 8""",
-    "search_changed_documents": f"""WITH {RECORDS_SQL}, k AS (SELECT type, id, 'g1' AS _generation FROM records WHERE document_id IS NULL OR document_id NOT IN (SELECT CAST(id AS VARCHAR) FROM docs WHERE length(text) < 700)),
-f AS (SELECT 'document' AS type, 'document-' || id AS id, 'g2' AS _generation FROM docs WHERE listed AND length(text) < 700)
-SELECT type, _generation, count(*) AS n, count(DISTINCT id) AS n_ids FROM (SELECT * FROM k UNION ALL SELECT * FROM f) GROUP BY ALL""",
+    "search_changed_documents": f"""WITH {RECORDS_SQL}
+SELECT type, r.id, CASE WHEN d.id IS NULL THEN 'g1' ELSE 'g2' END AS _generation FROM records r LEFT JOIN docs d ON CAST(d.id AS VARCHAR) = document_id AND length(d.text) < 700""",
     "search_missing_text": f"""WITH {DOCS_SQL}
 SELECT DISTINCT content_sha256, md5(source_url) AS manifest_key, md5(kind) AS manifest_sha256 FROM docs
 EXCEPT SELECT content_sha256, md5(source_url), md5(CASE WHEN length(text) > 900 THEN kind ELSE 'stale' END) FROM docs WHERE kind <> 'alp'""",

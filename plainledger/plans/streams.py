@@ -30,8 +30,8 @@ def event_stream(spark, sf):
 def stream_first_events(spark, sf):
     path = run_dir(spark, "first")
     keyed = event_stream(spark, sf).withColumn("event_key", F.concat_ws(":", "entity", "provider"))
-    jobs.run_batches(jobs.first_events(keyed, ["event_key"], "at", "2 days").select("event_key", "entity", "provider"), path, "append")
-    return jobs.read_rows(spark, path).drop(jobs.BATCH)
+    jobs.first_events(keyed.select("event_key", "entity", "provider", "at"), path, ["event_key"], "at")
+    return jobs.read_rows(spark, path).select("event_key", "entity", "provider", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 def stream_event_state(spark, sf):
@@ -97,15 +97,14 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE = {
-    "stream_first_events": "SELECT DISTINCT user_id || ':' || event_type AS event_key, user_id AS entity, event_type AS provider FROM events",
+    "stream_first_events": f"SELECT user_id || ':' || event_type AS event_key, user_id AS entity, event_type AS provider, {batch.TS.format('min(ts)')} AS \"at\" FROM events GROUP BY ALL",
     "stream_event_state": batch.ORACLE["status_latest"],
     "stream_quota": """SELECT event_type AS provider, strftime(ts, '%Y-%m') AS month, count(*) AS asked, CAST(max(cap) AS BIGINT) AS cap, count(*) >= max(cap) AS exhausted
 FROM events JOIN (VALUES ('click', 1000), ('view', 2000), ('purchase', 150)) x(provider, cap) ON provider = event_type GROUP BY 1, 2""",
     "stream_daily_buckets": """WITH e AS (SELECT CAST(ts AS DATE) AS d, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'accepted' ELSE 'uncertain' END AS bucket FROM events)
 SELECT CAST(d AS VARCHAR) AS day, bucket, count(*) AS n FROM e WHERE d + 1 <= (SELECT max(ts) - INTERVAL 36 HOUR FROM events) GROUP BY ALL""",
-    "stream_retention": batch.ORACLE["retention_live"].replace(
-        'arg_min(event_type, "at") AS event_type', """arg_min(CASE event_type WHEN 'view' THEN 'explore' WHEN 'click' THEN 'fetch' WHEN 'purchase' THEN 'vet' WHEN 'signup' THEN 'discovery' ELSE 'check' END, "at") AS kind""").replace(
-        ', event_type, strftime("at" +', ', kind, strftime("at" +'),
+    "stream_retention": batch.retention_sql("""CASE event_type WHEN 'view' THEN 'explore' WHEN 'click' THEN 'fetch' WHEN 'purchase' THEN 'vet'
+  WHEN 'signup' THEN 'discovery' ELSE 'check' END""", "kind"),
     "stream_page_candidates": web.ORACLE["page_link_roles"],
     "stream_document_changes": document_plans.ORACLE["document_changes"],
 }

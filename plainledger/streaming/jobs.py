@@ -58,11 +58,6 @@ def latest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
 
 # --- stateful plans ----------------------------------------------------------------
 
-def first_events(stream: DataFrame, keys: Sequence[str], at: str, delay: str) -> DataFrame:
-    """First event per key; a repeat within the watermark delay is dropped."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))
-
-
 def entity_state(stream: DataFrame) -> DataFrame:
     """Last job and touch times per entity, kept up to date (update mode)."""
     return ops.latest_status(stream)
@@ -92,15 +87,33 @@ def _known(spark: SparkSession, path: str, batch: int, schema: T.StructType, col
     return read_rows(spark, path, schema).filter(F.col(BATCH) < batch).select(*columns)
 
 
+def first_events(stream: DataFrame, path: str, keys: Sequence[str], at: str) -> None:
+    """The first event of every key: earliest in its batch, and only if no earlier batch held the key."""
+    spark, schema = stream.sparkSession, stream.schema
+    rest = [c for c in schema.names if c not in (*keys, at)]
+
+    def make(rows: DataFrame, batch: int) -> DataFrame:
+        first = rows.groupBy(*keys).agg(F.min(F.struct(at, *rest)).alias("_row")).select(*keys, "_row.*")
+        known = _known(spark, path, batch, schema, keys)
+        return first.join(known, list(keys), "left_anti").select(*schema.names)
+
+    run_batches(stream, path, "append", make)
+
+
 def retention(stream: DataFrame, path: str, key: str, at: str, days: int = rules.RETENTION_DAYS) -> None:
-    """Keep the first sight of every key with its expiry; repeats change nothing."""
+    """Keep the first sight of every life of a key with its expiry; repeats change nothing.
+
+    Of the rows on file only those that expire after the batch's oldest sighting are read.
+    """
     spark = stream.sparkSession
     schema = T.StructType([*stream.schema.fields, T.StructField("expires_at", stream.schema[at].dataType)])
 
     def make(rows: DataFrame, batch: int) -> DataFrame:
-        kept = ops.first_seen_retention(rows, key, at, days)
-        known = _known(spark, path, batch, schema, [key])
-        return kept.join(known, key, "left_anti").select(*[f.name for f in schema.fields])
+        oldest = rows.agg(F.min(at)).first()[0]
+        known = _known(spark, path, batch, schema, [key, "expires_at"]).filter(F.col("expires_at") > F.lit(oldest))
+        ends = known.groupBy(key).agg(F.max("expires_at").alias("_ends"))
+        fresh = rows.join(ends, key, "left").filter(F.col("_ends").isNull() | (F.col(at) >= F.col("_ends"))).drop("_ends")
+        return ops.first_seen_retention(fresh, key, at, days).select(*schema.names)
 
     run_batches(stream, path, "append", make)
 

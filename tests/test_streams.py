@@ -51,23 +51,31 @@ def test_quota_equals_batch(spark, log, tmp_path):
     assert got == want
 
 
-def test_retention_equals_batch(spark, log, tmp_path):
-    path = str(tmp_path)
-    keyed = stream(spark, log).select(F.col("entity").cast("string").alias("key"), "at", "seq")
-    jobs.retention(keyed, path, "key", "at", 20)
-    batch = log[1].select(F.col("entity").cast("string").alias("key"), "at", "seq")
-    # Files may arrive in any order, so the rows kept are one per key with its own expiry.
-    got = jobs.read_rows(spark, path)
-    assert got.count() == batch.select("key").distinct().count()
-    assert got.filter(F.col("expires_at") != F.col("at") + F.expr("interval 20 days")).count() == 0
-
-
-def test_a_rerun_adds_nothing(spark, log, tmp_path):
-    path = str(tmp_path)
+def put(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_a_key_lives_again_after_its_expiry(spark, tmp_path):
+    folder, path, schema = str(tmp_path / "in"), str(tmp_path / "out"), "key string, at timestamp, seq int"
+    day = dt.datetime(2024, 1, 1)
+    seen = [[("a", 0, 1), ("b", 3, 2)], [("a", 19, 3), ("b", 10, 4), ("b", 40, 5)], [("a", 20, 6), ("a", 25, 7), ("a", 152, 8)]]
+    for part in seen:
+        put(spark, folder, [(k, day + dt.timedelta(days=d), n) for k, d, n in part], schema)
+    jobs.retention(jobs.read_stream(spark, folder, "*.parquet", schema, 1), path, "key", "at", 20)
+    got = sorted((r["key"], r["seq"], (r["expires_at"] - day).days) for r in jobs.read_rows(spark, path).collect())
+    assert got == [("a", 1, 20), ("a", 6, 40), ("a", 8, 172), ("b", 2, 23), ("b", 5, 60)]
+    batch = ops.first_seen_retention(spark.read.schema(schema).parquet(folder), "key", "at", 20)
+    assert sorted((r["key"], r["seq"], (r["expires_at"] - day).days) for r in batch.collect()) == got
+
+
+def test_first_event_of_a_key_comes_once(spark, tmp_path):
+    folder, path, schema = str(tmp_path / "in"), str(tmp_path / "out"), "key string, at timestamp, seq int"
+    day = dt.datetime(2024, 1, 1)
+    for part in ([("a", 5, 1), ("a", 2, 2)], [("b", 400, 3)], [("a", 900, 4), ("b", 1, 5), ("c", 1, 6)]):
+        put(spark, folder, [(k, day + dt.timedelta(days=d), n) for k, d, n in part], schema)
     for _ in range(2):
-        jobs.run_batches(jobs.first_events(stream(spark, log), ["entity", "provider"], "at", "40 days"), path, "append")
-    got = jobs.read_rows(spark, path)
-    assert got.count() == log[1].select("entity", "provider").distinct().count()
+        jobs.first_events(jobs.read_stream(spark, folder, "*.parquet", schema, 1), path, ["key"], "at")
+    assert sorted((r["key"], r["seq"]) for r in jobs.read_rows(spark, path).collect()) == [("a", 2), ("b", 3), ("c", 6)]
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
