@@ -98,3 +98,10 @@ def test_reconciliation_reports_a_gap(spark):
     lines = spark.createDataFrame([("a", "program", 10), ("a", "fund", 10), ("b", "program", 9), ("b", "fund", 10)], "id string, line_group string, amount long")
     out = {r["id"]: (r["ok"], r["double_total"]) for r in ops.reconcile_budget(budgets, lines, "id").collect()}
     assert out == {"a": (True, 20), "b": (False, 19)}
+
+
+def test_a_repeated_prior_never_multiplies_a_grant(spark):
+    cols = "grant_number string, description string, spend_category string, spend_reason string, spend_classified_at string, spend_classifier string"
+    prior = spark.createDataFrame([("n", "d", "growth", "", "2024-01-01", "llm"), ("n", "d", "other", "", "2024-02-01", "llm")], cols)
+    grants = spark.createDataFrame([("n", "d")], "grant_number string, description string")
+    assert [r["spend_category"] for r in ops.carry_classification(grants, prior).collect()] == ["other"]
