@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plainledger.llm import queries
+from plainledger.llm import mixing, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,3 +239,14 @@ def test_empty_tables(spark, folder, tmp_path):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, make in queries.QUERIES.items():
         assert make(spark, str(tmp_path)).count() == 0, name
+
+
+def test_mixing_words_are_those_between_blanks_without_signs(spark):
+    texts = [None, "", " \t\n#!", "Ab-c #x\x0b\x0cdon't  !!! ab\rC", "##", "\u00c0\u00e9 abc abc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r for r in mixing.with_buckets(rows, ["doc_id"]).collect()}
+    for n, text in enumerate(texts):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+        plain = {w.translate({ord(c): None for c in mixing.SIGNS}) for w in words} - {""}
+        assert got[n]["n_tokens"] == len(words)
+        assert len(got[n]["buckets"]) == len(plain) + 3  # three of the text's shape
