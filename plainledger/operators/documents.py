@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from plainledger.functions import urls
 from plainledger.functions import values as v
-from plainledger.operators.skew import HOT_SHARE, spread_join
+from plainledger.operators.skew import hot_of, spread_join
 from plainledger.rules import documents as rules
-from plainledger.session import cut
+from plainledger.session import cut, discard
 
 
 # --- predicates ------------------------------------------------------------
@@ -70,49 +70,53 @@ def is_volume() -> Column:
 
 # --- hierarchy and editions ---------------------------------------------------
 
-def hierarchy_roots(docs: DataFrame, max_rounds: int = 48) -> DataFrame:
+def hierarchy_roots(docs: DataFrame) -> DataFrame:
     """(id, root) for every document by following `part_of` upwards.
 
-    Pointer doubling: each round doubles the distance looked ahead, so a chain of
-    n parents takes log2(n) joins. Each join goes straight into a written table, so
-    adaptive execution is free to split a parent that holds many children. A
-    missing parent ends the chain; ids left over sit on or under a cycle and are
-    walked with their path.
+    A missing parent ends a chain. A walk that runs into a cycle ends where its next
+    step would be a parent it has seen: an id on a cycle is its own root, an id below
+    one takes the cycle id that comes just before its entry point. So the chains are
+    climbed once, and the ids under a cycle once more with the cycle's links left out.
     """
     links = docs.select("id", F.col("part_of").alias("up")).filter(F.col("up").isNotNull())
     known = docs.select(F.col("id").alias("up"))
     links = cut(links.join(known, "up", "left_semi"))
-    done = links.limit(0)
-    active = links
-    for _ in range(max_rounds):
-        table = done.unionByName(active).select(F.col("id").alias("up"), F.col("up").alias("further"))
-        moved = cut(active.join(table, "up", "left"))
-        finished = moved.filter(F.col("further").isNull()).select("id", "up")
-        active = moved.filter(F.col("further").isNotNull()).select("id", F.col("further").alias("up"))
-        done = done.unionByName(finished)
-        if active.isEmpty():
-            break
-    else:
-        done = done.unionByName(_cycle_roots(active.select("id"), links))
+    done, circling = _climb(links)
+    scratch = [links, done]
+    if circling is not None:
+        # After as many steps as there are links, a walk stands on a cycle, and every cycle id is stood on.
+        ring = cut(circling.select(F.col("up").alias("id")).distinct())
+        below = cut(links.join(circling.select("id"), "id", "left_semi").join(ring, "id", "left_anti"))
+        entries, _ = _climb(below)
+        before = links.join(ring, "id", "left_semi").select("up", F.col("id").alias("_last"))
+        under = entries.join(before, "up").select("id", F.col("_last").alias("up"))
+        done = done.unionByName(under)
+        scratch += [circling, ring, below, entries]
     roots = done.select("id", F.col("up").alias("root"))
-    return docs.select("id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-
-def _cycle_roots(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """Walk ids on or under a cycle, each until its next parent was seen."""
-    kind = links.schema["id"].dataType
-    active = ids.select("id", F.col("id").alias("at"), F.array().cast(f"array<{kind.simpleString()}>").alias("seen"))
-    step = links.select(F.col("id").alias("at"), F.col("up").alias("next"))
-    done = None
-    while True:
-        walked = cut(active.join(step, "at", "left"))
-        stop = F.col("next").isNull() | F.array_contains("seen", F.col("next"))
-        ended = walked.filter(stop).select("id", F.col("at").alias("up"))
-        done = ended if done is None else done.unionByName(ended)
-        active = walked.filter(~stop).select(
-            "id", F.col("next").alias("at"), F.array_append("seen", F.col("next")).alias("seen"))
-        if active.isEmpty():
-            return done
+    out = cut(docs.select("id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    discard(*scratch)
+    return out
+
+
+def _climb(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Ids with the end of their chain, and those that go in circles (None if there are none).
+
+    Pointer doubling: each round doubles the distance looked ahead, so it takes about
+    log2 of the number of links in rounds at most. Each round goes straight into a written
+    table, so adaptive execution is free to split a parent that holds many children;
+    the table before it is then deleted.
+    """
+    n = links.count()
+    state = cut(links.withColumn("open", F.lit(True)))
+    for _ in range(n.bit_length() + 1):
+        table = state.select(F.col("id").alias("up"), F.col("up").alias("_further"))
+        moved = state.filter("open").join(table, "up", "left")
+        further = moved.select("id", F.coalesce("_further", "up").alias("up"), F.col("_further").isNotNull().alias("open"))
+        before, state = state, cut(state.filter("not open").unionByName(further))
+        discard(before)
+        if state.filter("open").isEmpty():
+            return state.drop("open"), None
+    return state.filter("not open").drop("open"), state.filter("open").drop("open")
 
 
 def edition_year(edition: Column | str) -> Column:
@@ -278,11 +282,9 @@ def content_twins(docs: DataFrame) -> DataFrame:
     keys = ["entity", "text_sha256", "images_sha256"]
     full = docs.filter(v.all_of(*[F.col(k).isNotNull() for k in keys])).select("id", "seq", *keys)
     counted = full.groupBy(*keys).agg(F.min_by("id", "seq").alias("twin_id"), F.count(F.lit(1)).alias("_n"))
-    whole = counted.agg(F.sum("_n").alias("_all"))
-    # One row of totals; the hot contents follow from the counts at hand.
-    hot = counted.join(F.broadcast(whole)).filter(F.col("_n") > F.col("_all") * HOT_SHARE)
     groups = counted.filter(F.col("_n") > 1).drop("_n")
-    joined = spread_join(full, groups, keys, F.col("id"), "inner", hot)
+    # The hot contents follow from the counts at hand.
+    joined = spread_join(full, groups, keys, F.col("id"), "inner", hot_of(counted))
     return joined.filter(F.col("id") != F.col("twin_id")).select("id", "twin_id")
 
 

@@ -12,6 +12,7 @@ from plainledger.functions import values as v
 from plainledger.operators import documents as doc
 from plainledger.operators import funding
 from plainledger.operators.registry import first_row
+from plainledger.session import cut
 
 # Columns of a search record, kinds of a scope, hit limits, bands.
 COLUMNS = (
@@ -21,10 +22,8 @@ COLUMNS = (
 SCOPE_KINDS = ("master_plan", "alp", "other")
 BANDS = ("declining", "growing", "maintaining")
 SUGGEST_LIMIT = 8
-HIT_LIMIT = 100
 SLUG_CHARS = 80
-# A batch of user queries travels with every task, so its size is checked.
-MAX_BATCH = 10_000
+GRAM = 3
 
 
 def _record(**fields: Column) -> list[Column]:
@@ -76,13 +75,19 @@ def page_records(docs: DataFrame, pages: DataFrame) -> DataFrame:
         summary=F.coalesce("summary", F.lit("")), text=F.col("_text"), document_id=key, page=F.col("page")))
 
 
+def slug_id(slug: Column, chars: int = SLUG_CHARS) -> Column:
+    """A slug of up to `chars` characters; a longer one is cut and gets a hash of the whole, so ids stay apart."""
+    tail = F.concat(F.lit("-"), F.substring(F.md5(slug), 1, 12))
+    return F.when(F.length(slug) > chars, F.concat(F.substring(slug, 1, chars), tail)).otherwise(slug)
+
+
 def funding_records(grants: DataFrame) -> DataFrame:
     """Grants: entity, grant_number, description, fiscal_year, region, programs (text)."""
     title = funding.grant_title("description")
     number = F.coalesce(v.first_text("grant_number"), F.concat_ws("-", "entity", "fiscal_year", title))
     key = F.col("entity").cast("string")
     return grants.filter(F.col("entity").isNotNull()).select(*_record(
-        id=F.concat(F.lit("funding-"), F.substring(v.slug(number), 1, SLUG_CHARS)), type=F.lit("funding"),
+        id=F.concat(F.lit("funding-"), slug_id(v.slug(number))), type=F.lit("funding"),
         title=F.concat_ws(" ", key, title), url=F.concat(F.lit("/airports/"), key, F.lit("/#funding")),
         region=F.col("region"), entity=key, kind=F.lit("funding"), summary=F.lit(""),
         text=v.joined(" ", F.col("grant_number"), F.col("description"), F.col("programs"))))
@@ -119,42 +124,70 @@ def missing_projections(stored: DataFrame, projections: DataFrame) -> DataFrame:
     return stored.join(projections.select(*keys), keys, "left_anti")
 
 
+def runs(text: Column) -> Column:
+    """Distinct runs of GRAM characters of a text, with the shorter ones at its end."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1)))
+
+
+def grams(hays: DataFrame, *columns: str) -> DataFrame:
+    """One row per run of up to GRAM characters in `_hay`, the empty one included; shorter runs may repeat."""
+    long = hays.select(*columns, F.explode_outer(runs(F.col("_hay"))).alias("_run"))
+    heads = [F.substring("_run", 1, n) for n in range(1, GRAM)]
+    return long.select(*columns, F.explode(F.array(F.col("_run"), *heads, F.lit(""))).alias("gram"))
+
+
+def needle_hits(records: DataFrame, needles: DataFrame) -> DataFrame:
+    """Records (with `_hay`, the text searched) beside each needle they contain.
+
+    Equi joins only. The runs of the records that some needle holds are written once;
+    each needle takes the rarest of its runs there, and the records with that run are
+    its candidates. The pairs, which carry no text, then meet the records and are
+    confirmed. A needle shorter than GRAM is a run itself, and a needle with a run
+    that no record holds has no hit. The runs asked for are written first, so the
+    planner knows their size: while they are few, a record's other runs never leave
+    the task that made them. Any number of needles works.
+    """
+    own = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(
+        F.filter(runs(F.col("needle")), lambda g: F.length(g) == GRAM))
+    parts = cut(needles.select("needle", F.explode(own).alias("gram")))
+    asked = cut(parts.select("gram").distinct())
+    held = cut(grams(records.withColumn("_id", F.col("id")), "_id").join(asked, "gram", "left_semi"))
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rated = parts.join(counts, "gram", "left").groupBy("needle").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_best"))
+    anchors = cut(rated.select("needle", F.col("_best.gram").alias("gram")))
+    pairs = held.join(anchors, "gram").select("_id", "needle").distinct()
+    return records.join(pairs, (F.col("id") == F.col("_id")) & F.contains(F.col("_hay"), F.col("needle"))).drop("_id")
+
+
 def search(records: DataFrame, queries: DataFrame, limit: int = SUGGEST_LIMIT) -> DataFrame:
     """Case-insensitive substring search: the best `limit` records per query.
 
-    Queries: query_id, needle, scope (all, plans, projects) and outlook; a batch of
-    user queries, taken to the records as one small array. A batch beyond MAX_BATCH
-    fails rather than being cut. Each record is read once and tested against the
-    batch; only hits leave the map side, and the limit is applied there first.
-    Rank: key, title, text, summary, then id.
+    Queries: query_id, needle, scope (all, plans, projects) and outlook, as many as
+    there are. Hits are ranked in their task first, so only the best leave it.
+    Rank: key, title, text, summary, then id. An empty needle is in every record, a
+    null one in none.
     """
-    named = queries.select(F.lower("needle").alias("needle"), F.struct("query_id", "scope", "outlook").alias("ask"))
-    grouped = named.groupBy("needle").agg(F.collect_list("ask").alias("asks"), F.count(F.lit(1)).alias("n"))
-    fits = F.sum("n") <= MAX_BATCH
-    checked = F.assert_true(fits, F.lit("too many queries in one batch; split it"))
-    batch = grouped.agg(F.collect_list(F.struct("needle", "asks")).alias("_batch"), checked.alias("_checked")).filter(
-        "_checked is null").drop("_checked")
-    rows = records.withColumn("_hay", F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))))
-    found = F.filter("_batch", lambda q: F.contains(F.col("_hay"), q["needle"]))
-    named_hits = rows.join(F.broadcast(batch)).select(
-        "id", "type", "title", "url", "kind", "outlook", F.col("entity").alias("_entity"), "text", F.explode(found).alias("_q"))
-    hits = named_hits.select("*", F.explode("_q.asks").alias("_ask")).select(
-        "*", F.struct("_ask.query_id", F.col("_q.needle").alias("needle"), "_ask.scope", F.col("_ask.outlook").alias("band")).alias("q"))
-    shown = F.coalesce(v.first_text("kind"), F.col("type"))
-    banded = F.coalesce("q.band", F.lit("")) != ""
-    scoped = (
-        F.when(banded, (F.col("type") == "airport") & v.yes(F.col("outlook") == F.col("q.band")))
-        .when(F.col("q.scope") == "plans", shown.isin(*SCOPE_KINDS))
-        .when(F.col("q.scope") == "projects", F.col("type") == "funding").otherwise(F.lit(True)))
-    hits = hits.filter(scoped)
+    asked = queries.select("query_id", F.lower("needle").alias("needle"), "scope", F.col("outlook").alias("_band"))
+    rows = records.select(
+        "id", "type", "title", "url", "kind", "outlook", "entity", "text",
+        F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))).alias("_hay"))
 
     def within(c: str) -> Column:
-        return v.yes(F.contains(F.lower(F.col(c)), F.col("q.needle")))
+        return v.yes(F.contains(F.lower(F.col(c)), F.col("needle")))
 
-    rank = F.when(within("_entity"), 1).when(within("title"), 2).when(within("text"), 3).otherwise(4)
-    ranked = hits.select(F.col("q.query_id").alias("query_id"), "id", "type", "title", "url", rank.alias("attribute"))
+    rank = F.when(within("entity"), 1).when(within("title"), 2).when(within("text"), 3).otherwise(4)
+    found = needle_hits(rows, asked.select("needle").distinct()).select(
+        "id", "type", "title", "url", "outlook", "needle", rank.alias("attribute"),
+        F.coalesce(v.first_text("kind"), F.col("type")).alias("_shown"))
+    banded = F.coalesce("_band", F.lit("")) != ""
+    scoped = (
+        F.when(banded, (F.col("type") == "airport") & v.yes(F.col("outlook") == F.col("_band")))
+        .when(F.col("scope") == "plans", F.col("_shown").isin(*SCOPE_KINDS))
+        .when(F.col("scope") == "projects", F.col("type") == "funding").otherwise(F.lit(True)))
+    hits = found.join(asked, "needle").filter(scoped).select("query_id", "id", "type", "title", "url", "attribute")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("attribute", "id"))
-    return ranked.withColumn("pos", place).filter(F.col("pos") <= limit)
+    return hits.withColumn("pos", place).filter(F.col("pos") <= limit)
 
 
 # --- feeds and page dates -----------------------------------------------------------

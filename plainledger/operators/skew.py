@@ -7,41 +7,53 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this share of the rows, so there can be at
-# most 1/HOT_SHARE hot keys: the table of them is small whatever the data size.
-HOT_SHARE = 0.01
-SPREAD = 32
-# Ranges of an ordered numbering: quantile ranges, each cut into equal widths.
+# A task should hold about this many rows of one key, fewer in a small table: at most
+# PIECE_SHARE of it. A table is never cut into more than MAX_PIECES pieces, which
+# bounds the hot keys, so the table of them may be broadcast whatever the data size.
+PIECE_ROWS = 1_000_000
+PIECE_SHARE = 0.01
+MAX_PIECES = 65_536
+# Quantile ranges of an ordered numbering; each is cut into as many widths as its rows need.
 QUANTILES = 64
 WIDTHS = 64
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than `share` of the rows; at most 1/share of them."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    whole = counts.agg(F.sum("_n").alias("_all"))
-    return counts.join(F.broadcast(whole)).filter(F.col("_n") > F.col("_all") * share).select(*keys)
+def piece(total: Column) -> Column:
+    """Rows of one key that one task takes, in a table of `total` rows."""
+    return F.greatest(F.least(total * PIECE_SHARE, F.lit(float(PIECE_ROWS))), total / MAX_PIECES)
+
+
+def hot_of(counts: DataFrame, n: str = "_n") -> DataFrame:
+    """Keys of a count table that hold more than one piece, and how many `_pieces`."""
+    # One row of totals.
+    whole = counts.agg(piece(F.sum(n)).alias("_piece"))
+    return counts.join(F.broadcast(whole)).filter(F.col(n) > F.col("_piece")).withColumn(
+        "_pieces", F.ceil(F.col(n) / F.col("_piece")).cast("int")).drop("_piece", n)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hot keys of a table and their `_pieces`; at most MAX_PIECES of them."""
+    return hot_of(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
 
 
 def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], row_id: Column,
                 how: str = "left", hot: DataFrame | None = None) -> DataFrame:
-    """Join a side with hot keys to a lookup side, hot keys over SPREAD tasks.
+    """Join a side with hot keys to a lookup side, each hot key over as many tasks as it needs.
 
     Only rows of hot or null keys are spread and only lookup rows of hot keys are
-    repeated. The hot-key table is broadcast; its size is bounded by HOT_SHARE. A
-    caller that has counted its keys already passes them as `hot`.
+    repeated. The hot-key table is broadcast; MAX_PIECES bounds it. A caller that has
+    counted its keys already passes `hot_of` its counts.
     """
     keys = list(keys)
     # A null key meets nothing, so its rows may lie anywhere.
     empty = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
-    found = hot_keys(big, keys) if hot is None else hot.select(*keys)
-    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
-    salted = big.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot") | empty, F.pmod(F.xxhash64(row_id), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int"),
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    repeated = small.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    found = hot_keys(big, keys) if hot is None else hot
+    hot = F.broadcast(found.select(*keys, "_pieces"))
+    place = F.xxhash64(row_id)
+    salted = big.join(hot, keys, "left").withColumn("_salt", F.when(empty, F.pmod(place, F.lit(MAX_PIECES))).otherwise(
+        F.pmod(place, F.coalesce("_pieces", F.lit(1)))).cast("int")).drop("_pieces")
+    copies = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
+    repeated = small.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_pieces")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -57,15 +69,16 @@ def ordered_position(df: DataFrame, order: str, tie: Sequence[str] = (),
     number = F.col(order).cast("double")
     steps = [i / QUANTILES for i in range(1, QUANTILES)]
     cuts = df.agg(
-        F.percentile_approx(number, steps, 10000).alias("_cuts"), F.min(number).alias("_low"), F.max(number).alias("_high"))
+        F.percentile_approx(number, steps, 10000).alias("_cuts"), F.min(number).alias("_low"), F.max(number).alias("_high"),
+        F.greatest(F.lit(WIDTHS), F.ceil(F.count(F.lit(1)) / (QUANTILES * PIECE_ROWS))).cast("int").alias("_widths"))
     # One row of boundaries.
     joined = df.join(F.broadcast(cuts)).withColumn(
         "_part", F.size(F.filter("_cuts", lambda c: c < number)))
     low = F.coalesce(F.get("_cuts", F.col("_part") - 1), F.col("_low"))
     high = F.coalesce(F.get("_cuts", F.col("_part")), F.col("_high"))
-    inner = F.coalesce(F.floor((number - low) / F.nullif(high - low, F.lit(0.0)) * WIDTHS), F.lit(0))
-    place = F.col("_part") * WIDTHS + F.least(F.greatest(inner, F.lit(0)), F.lit(WIDTHS - 1))
-    placed = joined.withColumn("_range", F.coalesce(place.cast("int"), F.lit(-1))).drop("_cuts", "_low", "_high", "_part")
+    inner = F.coalesce(F.floor((number - low) / F.nullif(high - low, F.lit(0.0)) * F.col("_widths")), F.lit(0))
+    place = F.col("_part") * F.col("_widths") + F.least(F.greatest(inner, F.lit(0)), F.col("_widths") - 1)
+    placed = joined.withColumn("_range", F.coalesce(place.cast("int"), F.lit(-1))).drop("_cuts", "_low", "_high", "_part", "_widths")
     sizes = placed.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

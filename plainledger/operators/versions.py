@@ -97,19 +97,22 @@ def apply_changes(current: DataFrame, changes: DataFrame) -> DataFrame:
 def version_history(entities: DataFrame) -> DataFrame:
     """Per entity and generation: previous hash, change kind and version number.
 
-    The previous generation is found by an equi join on the generation's rank, so
-    a long history is never sorted in one task. Version numbers come from counting
-    changes over the few generations of one entity.
+    An entity's earlier row is its previous one only if it stands in the generation
+    just before; that neighbour comes from one aggregate over the list of generations,
+    joined by an equi join. Windows are per entity only.
     """
     gens = entities.select("generation").distinct()
-    order = gens.withColumn("g", F.row_number().over(Window.orderBy("generation")))
-    placed = entities.join(F.broadcast(order), "generation").select("generation", "g", *KEYS, "sha")
-    before = placed.select((F.col("g") + 1).alias("g"), *KEYS, F.col("sha").alias("previous_sha"))
-    joined = placed.join(before, ["g", *KEYS], "left")
+    listed = gens.agg(F.sort_array(F.collect_set("generation")).alias("_all"))
+    at = F.posexplode(F.col("_all")).alias("_i", "generation")
+    order = listed.select("_all", at).select("generation", F.get("_all", F.col("_i") - 1).alias("_before"))
+    per_key = Window.partitionBy(*KEYS).orderBy("generation")
+    placed = entities.join(order, "generation").select("generation", "_before", *KEYS, "sha").withColumns({
+        "_last": F.lag("generation").over(per_key), "_sha": F.lag("sha").over(per_key)})
+    flagged = placed.withColumn("previous_sha", F.when(F.col("_last") == F.col("_before"), F.col("_sha")))
     kind = F.when(F.col("previous_sha").isNull(), "added").when(F.col("previous_sha") != F.col("sha"), "changed").otherwise("same")
-    flagged = joined.withColumn("change", kind)
-    upto = Window.partitionBy(*KEYS).orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.withColumn("version", F.sum(F.when(F.col("change") == "same", 0).otherwise(1)).over(upto)).drop("g")
+    upto = per_key.rowsBetween(Window.unboundedPreceding, 0)
+    return flagged.withColumn("change", kind).withColumn(
+        "version", F.sum(F.when(F.col("change") == "same", 0).otherwise(1)).over(upto)).drop("_before", "_last", "_sha")
 
 
 # --- patches ----------------------------------------------------------------------

@@ -14,7 +14,7 @@ from plainledger.plans import web
 from plainledger.plans.bindings import BLANKS_SQL, DOCS_SQL, GRANTS_SQL
 from plainledger.rules import funding as funding_rules
 from plainledger.rules.web import SKIP_HOSTS
-from plainledger.session import run_dir
+from plainledger.session import cut, run_dir
 from plainledger.sources import exports, tables
 
 
@@ -77,7 +77,8 @@ def queries(spark, sf):
 
 
 def search_scoped(spark, sf):
-    return ops.search(records(spark, sf), queries(spark, sf)).select("query_id", "id", "attribute", "pos")
+    # A search reads the stored record table.
+    return ops.search(cut(records(spark, sf)), queries(spark, sf)).select("query_id", "id", "attribute", "pos")
 
 
 def search_changed_documents(spark, sf):
@@ -260,7 +261,7 @@ def sink_bulk_export(spark, sf):
         F.when(F.col("kind") != "alp", F.col("content_sha256")).alias("content_sha256"), "review_status")
     path = run_dir(spark, "bulk")
     exports.write_bulk(docs, F.col("review_status").isin("published", "auto_pass"), path)
-    rows = tables.read_csv(spark, f"{path}/csv", exports.EXPORT_COLUMNS)
+    rows = tables.read_csv(spark, f"{path}/csv", exports.EXPORT_COLUMNS, multi_line=True)
     return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in exports.EXPORT_COLUMNS])
 
 
@@ -305,6 +306,7 @@ pg AS (SELECT id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, le
 px AS (SELECT id, CAST(page AS INTEGER) AS page, trim(regexp_replace(raw, '{BLANKS_SQL}', ' ', 'g')) AS t FROM pg),
 gd AS (SELECT *, CASE WHEN fiscal_year <> 1997 THEN nullif(description, '') ELSE concat_ws('/', grant_id, nullif(description, '')) END AS ds, CASE WHEN fiscal_year <> 1997 THEN grant_number END AS gn FROM grants),
 gt AS (SELECT *, coalesce(nullif(trim(split_part(trim(regexp_replace(coalesce(ds, ''), '\\s+', ' ', 'g')), ',', 1)), ''), 'Grant') AS ti FROM gd),
+gs AS (SELECT *, regexp_replace(coalesce(gn, entity || '-' || fiscal_year || '-' || ti), '[^\\p{{L}}\\p{{N}}]', '-', 'g') AS sl FROM gt),
 cb AS (SELECT *, CASE WHEN c_acctbal > 5000 THEN 'growing' WHEN c_acctbal < 0 THEN 'declining' END AS band FROM customer),
 records AS (
  SELECT 'airport-' || c_custkey AS id, 'airport' AS type, c_custkey || ' ' || c_name AS title, '/airports/' || c_custkey || '/' AS url, CAST(c_nationkey AS VARCHAR) AS region, CAST(c_custkey AS VARCHAR) AS entity,
@@ -312,7 +314,7 @@ records AS (
  UNION ALL SELECT 'state-' || n_nationkey, 'state', n_name, '/states/' || n_nationkey || '/', CAST(n_nationkey AS VARCHAR), {NO}, {NO}, {NO}, {NO}, '', concat_ws(' ', n_nationkey, CASE WHEN n_regionkey = 1 THEN 'Agency ' || n_nationkey END, 'budget law awards'), {NO}, NULL FROM nation
  UNION ALL SELECT 'document-' || id, 'document', coalesce(nullif(title, ''), CAST(id AS VARCHAR)), '/documents/' || id || '/', region, entity, kind, completeness, {NO}, coalesce(summary, ''), concat_ws(' ', id, kind, edition, nullif(summary, '')), CAST(id AS VARCHAR), NULL FROM docs WHERE listed
  UNION ALL SELECT 'page-' || d.id || '-' || px.page, 'page', coalesce(nullif(title, ''), CAST(d.id AS VARCHAR)) || ' p. ' || px.page, CASE WHEN kind = 'alp' THEN preserved_url || '#page=' || px.page ELSE '/documents/' || d.id || '/' END, region, entity, kind, completeness, {NO}, coalesce(summary, ''), px.t, CAST(d.id AS VARCHAR), px.page FROM px JOIN docs d ON d.id = px.id WHERE px.t <> ''
- UNION ALL SELECT 'funding-' || substr(regexp_replace(coalesce(gn, entity || '-' || fiscal_year || '-' || ti), '[^\\p{{L}}\\p{{N}}]', '-', 'g'), 1, 80), 'funding', entity || ' ' || ti, '/airports/' || entity || '/#funding', CAST(own_region AS VARCHAR), CAST(entity AS VARCHAR), 'funding', {NO}, {NO}, '', concat_ws(' ', gn, ds, level), {NO}, NULL FROM gt)"""
+ UNION ALL SELECT 'funding-' || CASE WHEN length(sl) > 80 THEN substr(sl, 1, 80) || '-' || substr(md5(sl), 1, 12) ELSE sl END, 'funding', entity || ' ' || ti, '/airports/' || entity || '/#funding', CAST(own_region AS VARCHAR), CAST(entity AS VARCHAR), 'funding', {NO}, {NO}, '', concat_ws(' ', gn, ds, level), {NO}, NULL FROM gs)"""
 
 VOTES_SQL = web.ORACLE["search_host_votes"].rsplit("SELECT * FROM (SELECT *", 1)[0]
 

@@ -14,11 +14,17 @@ from plainledger.session import run_dir
 
 
 def generations(spark, sf):
-    """Customer totals as they stood at each year's end, one generation per year."""
+    """Customer totals as they stood at each year's end, one generation per year.
+
+    Years are summed per customer before they are repeated for the later generations.
+    """
     orders = b.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("key"), F.year("o_orderdate").alias("year"), v.half_even("o_totalprice").alias("amount"))
-    upto = orders.withColumn("generation", F.explode(F.sequence(F.col("year"), F.lit(2001))))
-    sums = upto.groupBy("generation", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
+    years = orders.filter("year is not null").groupBy("key", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
+    # One row: the last year of the data.
+    last = years.agg(F.max("year").alias("_last"))
+    upto = years.join(F.broadcast(last)).withColumn("generation", F.explode(F.sequence(F.col("year"), F.col("_last"))))
+    sums = upto.groupBy("generation", "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     named = sums.select("generation", *[F.col(c) for c in ("key", "n", "total")])
     payload = ops.canonical(["key", "n", "total"])
     return named.select(
@@ -195,7 +201,7 @@ QUERIES = {f.__name__: f for f in (
 
 GEN_SQL = """
 o AS (SELECT o_custkey AS key, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(round_even(o_totalprice, 0) AS BIGINT) AS amount FROM orders),
-u AS (SELECT key, amount, CAST(unnest(range(y, 2002)) AS INTEGER) AS generation FROM o),
+u AS (SELECT key, amount, CAST(unnest(range(y, (SELECT max(y) FROM o) + 1)) AS INTEGER) AS generation FROM o),
 s AS (SELECT generation, key, count(*) AS n, CAST(sum(amount) AS BIGINT) AS total FROM u GROUP BY ALL),
 gen AS (SELECT generation, 'customer' AS entity_type, CAST(key AS VARCHAR) AS entity_key, '{"key":' || key || ',"n":' || n || ',"total":' || total || '}' AS payload,
    sha256('{"key":' || key || ',"n":' || n || ',"total":' || total || '}') AS sha FROM s)"""

@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables that `cut` wrote for these frames; nothing may read them any more."""
+    for frame in frames:
+        hadoop = frame.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            path = hadoop.Path(folder)
+            path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_session(cpus: int | str = 8, name: str = "plainledger") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -15,11 +15,15 @@ STRICT = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "report": "PERMISSIVE"}
 BAD_LINE = "_corrupt_record"
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Header CSV in UTF-8 with every column read as text."""
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False) -> DataFrame:
+    """Header CSV in UTF-8 with every column read as text.
+
+    A file is split over tasks. Ask for `multi_line` where quoted values hold line
+    breaks; such a file cannot be split.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return spark.read.csv(path, schema=schema, header=True, encoding="UTF-8",
-                          multiLine=True, escape='"', enforceSchema=False)
+                          multiLine=multi_line, escape='"', enforceSchema=False)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "fail") -> DataFrame:

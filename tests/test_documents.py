@@ -40,12 +40,30 @@ def test_twins(spark):
 def test_roots_with_missing_parent_and_cycles(spark):
     rows = spark.createDataFrame(
         [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "gone"), ("x", "y"), ("y", "x"), ("z", "x"), ("self", "self")], "id string, part_of string")
-    out = {r["id"]: r["root"] for r in ops.hierarchy_roots(rows, max_rounds=6).collect()}
+    out = {r["id"]: r["root"] for r in ops.hierarchy_roots(rows).collect()}
     assert [out[k] for k in "abcd"] == ["a"] * 4 and out["e"] == "e"
     # A loop ends where the walk would step on a parent it has seen.
     assert (out["x"], out["y"], out["z"], out["self"]) == ("x", "y", "y", "self")
 
 
+def test_roots_of_long_chains_and_cycles(spark):
+    """Against a plain walk: a chain of 70, a cycle of 41 with tails of 20, a 3-cycle, a fork."""
+    up = {f"c{i}": f"c{i - 1}" for i in range(1, 70)} | {"c0": None}
+    up |= {f"r{i}": f"r{(i + 1) % 41}" for i in range(41)} | {"t0": "r7", "u": "r7"} | {f"t{i}": f"t{i - 1}" for i in range(1, 20)}
+    up |= {"p": "q", "q": "s", "s": "p", "fork": "q", "twig": "fork", "twig2": "fork"}
+
+    def walk(at):
+        seen = []
+        while up.get(at) in up and up[at] not in seen:
+            at = up[at]
+            seen.append(at)
+        return at
+
+    rows = spark.createDataFrame(list(up.items()), "id string, part_of string")
+    out = {r["id"]: r["root"] for r in ops.hierarchy_roots(rows).collect()}
+    assert out == {k: walk(k) for k in up}
+
+
 def test_editions_prefer_the_whole_file(spark):
     rows = docs(
         spark, {"id": "pdx-2020-plan", "edition": "2020"}, {"id": "pdx-2020-chapter-2", "title": "Plan Chapter 2", "edition": "2020", "part_of": "pdx-2020-plan"},

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from plainledger.operators import skew
+from plainledger.operators import search, skew
 
 SF = "/root/testdata/sf0.001"
 # Streams and sinks run their job when called; their plan is that of a plain read.
@@ -47,6 +47,25 @@ def test_either_or_join_is_an_equi_join(spark):
     assert "NestedLoop" not in text
 
 
+def test_search_joins_on_keys(spark):
+    assert "NestedLoop" not in plan(entry.queries()["search_scoped"](spark, SF))
+
+
+def test_search_of_many_needles(spark):
+    """50,000 needles, short, empty, null, odd and absent ones among them, against a plain scan."""
+    texts = ["Harbour North-24 plan", "", None, "a\nb \U0001f600x", "north", "ab", "İstanbul 100%", "1234512345"]
+    records = spark.createDataFrame(
+        [(f"d{i}", "document", None if i == 1 else "Title", "/u", None, None, None, t) for i, t in enumerate(texts)],
+        "id string, type string, title string, url string, kind string, outlook string, entity string, text string")
+    words = ["", None, "a", "ab", "north", "NORTH", "\U0001f600x", "\U0001f600", "b \U0001f600", "title", "e a", "0%", "451", "zzz", "\n"]
+    words += [str(n) for n in range(50_000)]
+    asked = spark.createDataFrame([(i, w, "all", "") for i, w in enumerate(words)], "query_id long, needle string, scope string, outlook string")
+    got = {(r["query_id"], r["id"]) for r in search.search(records, asked, limit=100).collect()}
+    hays = {f"d{i}": f"{'' if i == 1 else 'Title'} {t or ''}".lower() for i, t in enumerate(texts)}
+    want = {(i, d) for i, w in enumerate(words) if w is not None for d, h in hays.items() if w.lower() in h}
+    assert got == want
+
+
 def test_spread_join_equals_plain_join(spark):
     big = spark.range(5000).select("id", F.when(F.col("id") < 2000, 1).otherwise(F.col("id") % 50).alias("k"))
     small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
@@ -71,6 +90,21 @@ def test_hot_key_spans_tasks(spark):
     assert len(sizes) > 4 and max(sizes) < 10000
 
 
+@pytest.mark.parametrize("key", ["case when id % 10 < 9 then null else id end", "case when id % 100 < 2 then 1 else id end"])
+def test_null_and_lesser_hot_keys_span_tasks(spark, key):
+    big = spark.range(40000).select("id", F.expr(key).cast("long").alias("k"))
+    small = spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("x"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = skew.spread_join(big, small, ["k"], F.col("id"))
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 40000 and max(sizes) < 40000 / 8 * 1.4
+
+
 def test_numbering_within_groups(spark):
     rows = spark.range(2000).select(F.col("id").alias("v"), (F.col("id") % 3).alias("g"))
     out = skew.ordered_position(rows, "v", within=["g"]).collect()
