@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plainledger.llm import mixing, queries
+from plainledger.llm import mixing, queries, urlfilter
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -250,3 +250,49 @@ def test_mixing_words_are_those_between_blanks_without_signs(spark):
         plain = {w.translate({ord(c): None for c in mixing.SIGNS}) for w in words} - {""}
         assert got[n]["n_tokens"] == len(words)
         assert len(got[n]["buckets"]) == len(plain) + 3  # three of the text's shape
+
+
+def test_url_model_equals_brute_force(spark, folder):
+    """Scores and verdicts against models counted character by character."""
+    got = urlfilter.judge(spark.read.parquet(f"{folder}/pages.parquet"), queries.URL_RULES).collect()
+    own = dict(queries.URL_RULES[k][::-1] for k in range(len(queries.URL_RULES)))
+    size, edge = urlfilter.KINDS, urlfilter.KINDS - 1
+
+    def coded(r):
+        text = re.sub("[0-9]", "0", (r["host"] + r["path"]).lower())
+        return [edge, edge] + [urlfilter.LETTERS.find(c) if c in urlfilter.LETTERS else edge - 1 for c in text] + [edge]
+
+    def fold(r):
+        signed = xxhash.xxh64_intdigest(r["path"].encode(), xxhash.xxh64_intdigest(r["host"].encode(), 42))
+        return signed % urlfilter.HOLD_OUT
+
+    seen = {"allow": defaultdict(Counter), "block": defaultdict(Counter)}
+    for r in got:
+        if r["rule"] and fold(r):
+            code = coded(r)
+            for i in range(2, len(code)):
+                for order in (0, 1, 2):
+                    seen[own[r["rule"]]][tuple(code[i - order:i])][code[i]] += 1
+
+    def chance(table, context, c):
+        low = chance(table, context[1:], c) if context else 1 / size
+        after = table.get(context)
+        return (after[c] + len(after) * low) / (sum(after.values()) + len(after)) if after else low
+
+    def ratio(r):
+        code = coded(r)
+        parts = [np.log(chance(seen["allow"], tuple(code[i - 2:i]), code[i]) / chance(seen["block"], tuple(code[i - 2:i]), code[i]))
+                 for i in range(2, len(code))]
+        return sum(parts) / len(parts)
+
+    assert all(r["score"] == pytest.approx(ratio(r), abs=1e-5) for r in got)
+    bins = Counter((int(np.clip(np.floor(r["score"] / urlfilter.BIN), -1000, 1000)), own[r["rule"]]) for r in got if r["rule"] and not fold(r))
+    whole = {v: max(1, sum(n for (_, w), n in bins.items() if w == v)) for v in seen}
+
+    def gain(k):
+        return (sum(n for (b, v), n in bins.items() if v == "allow" and b >= k) / whole["allow"]
+                + sum(n for (b, v), n in bins.items() if v == "block" and b < k) / whole["block"])
+
+    limit = max(((gain(k), -abs(k), k) for k, _ in bins), default=(0, 0, 0))[2] * urlfilter.BIN
+    for r in got:
+        assert r["verdict"] == (own[r["rule"]] if r["rule"] else "allow" if r["score"] >= limit else "block")
