@@ -51,7 +51,11 @@ def against_gold(predicted: DataFrame, gold: DataFrame, key: str, fields: Sequen
     A field whose label is null is not judged.
     """
     want = gold.select(key, *[F.col(f).alias(f"gold_{f}") for f in fields])
-    joined = predicted.select(key, *keep, *fields).join(want, key)
+    return judged(predicted.select(key, *keep, *fields).join(want, key), fields)
+
+
+def judged(joined: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Rows that hold predictions and their labels, named `gold_...`, with the failing fields."""
     fails = F.array_compact(F.array(*[
         F.when(F.col(f"gold_{f}").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"gold_{f}")), f) for f in fields]))
     return joined.withColumn("fail", fails).withColumn("ok", F.size("fail") == 0)

@@ -39,8 +39,17 @@ def _has(text: Column, needle: Column) -> Column:
     return (needle != "") & F.contains(F.lower(text), F.lower(needle))
 
 
-def features(packets: DataFrame, pack: EvidenceRules = EvidenceRules(), keep: Sequence[str] = ("id",)) -> DataFrame:
-    """Packet features as doubles, named `f_...`, next to the kept columns."""
+def features(packets: DataFrame, pack: EvidenceRules = EvidenceRules(), keep: Sequence[str] = ("id",),
+             first_page: int | None = None, first_lines: int | None = None) -> DataFrame:
+    """Packet features as doubles, named `f_...`, next to the kept columns.
+
+    `first_page` and `first_lines` limit the two signals of a document's opening to so
+    many characters (`rules.FIRST_PAGE` and `rules.FIRST_LINES` are usual); by default
+    they read the whole text.
+    """
+    def opening(value: Column, chars: int | None) -> Column:
+        return value if chars is None else F.substring(value, 1, chars)
+
     def text(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(""))
 
@@ -69,7 +78,7 @@ def features(packets: DataFrame, pack: EvidenceRules = EvidenceRules(), keep: Se
         "_source": F.when(F.col("_html"), "").otherwise(body),
         "_hrefs": F.when(F.col("_html"), F.regexp_extract_all(body, F.lit(rules.PDF_HREF), F.lit(1))).otherwise(F.array().cast("array<string>")),
     }).withColumns({
-        "_first": F.substring(F.when(F.col("_source") != "", F.col("_source")).otherwise(F.when(F.col("_html"), body).otherwise("")), 1, rules.FIRST_PAGE),
+        "_first": opening(F.when(F.col("_source") != "", F.col("_source")).otherwise(F.when(F.col("_html"), body).otherwise("")), first_page),
         "_surface": F.concat_ws(" ", label, url, name),
         "_label_name": F.concat_ws(" ", label, name),
     })
@@ -119,7 +128,7 @@ def features(packets: DataFrame, pack: EvidenceRules = EvidenceRules(), keep: Se
         "body_economic_impact": off_plan(pack.econ, label),
         "body_budget": off_plan(pack.budget, F.col("_surface")),
         "body_pavement": off_plan(pack.pave, F.col("_surface")),
-        "body_statewide": F.when(source != "", F.substring("_first", 1, rules.FIRST_LINES)).otherwise(F.col("_label_name")).rlike(pack.statewide),
+        "body_statewide": F.when(source != "", opening(F.col("_first"), first_lines)).otherwise(F.col("_label_name")).rlike(pack.statewide),
         "shape_count": F.col("_shape"), "outline_n": capped(F.col("_outline_n"), 8),
         "body_short": F.col("_pdf") & (F.length(source) < rules.SHORT_BODY),
         "body_long": F.length(source) >= rules.LONG_BODY,

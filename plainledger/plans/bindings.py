@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plainledger.functions import values as v
 from plainledger.operators import funding
 from plainledger.rules.funding import SpendRules
+from plainledger.session import SPREAD_KEY
 
 # Vocabulary of the part descriptions, in place of the grant vocabulary.
 PART_SPEND = SpendRules(
@@ -26,16 +27,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def wide(df: DataFrame, key: str, bytes_per_task: int = 128 << 20) -> DataFrame:
-    """Spread a small table over all cores before work that is heavy per row.
+def wide(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that lies in too few file splits, where the session asks for it.
 
-    A large table already has enough splits and is left alone, so its rows are
-    never shuffled for this.
+    A file of one row group is read by one task. `SPREAD_KEY` names the tasks such a
+    table is dealt to before row-heavy work; a session without the setting, as on a
+    cluster with many splits, never shuffles a table for this. Its size decides nothing.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * bytes_per_task else df
+    tasks = df.sparkSession.conf.get(SPREAD_KEY, None)
+    return df.repartition(int(tasks), key) if tasks else df
 
 
 def level_of(priority: Column) -> Column:

@@ -82,11 +82,12 @@ def evidence_confusion(spark, sf):
 
 def evidence_ablation(spark, sf):
     """Accuracy of every variant that leaves one feature out, worst first."""
-    known = packets(spark, sf).join(gold(spark, sf).select("id"), "id", "left_semi")
-    scored = ops.with_scores(ops.features(known, PACK))
+    # Labels meet the packets before a packet becomes one row per variant.
+    labels = gold(spark, sf).select("id", *[F.col(f).alias(f"gold_{f}") for f in rules.FIELDS])
+    known = packets(spark, sf).join(labels, "id")
+    scored = ops.with_scores(ops.features(known, PACK, labels.columns))
     variants = ops.ablation_variants() + [{"variant": "publish 5", "thresholds": {"publish": 5.0}}, {"variant": "alp +3", "feature": "label_alp", "deltas": {"kind_alp": 3.0}}]
-    decided = ops.variant_scores(scored, variants)
-    judged = ev.against_gold(decided, gold(spark, sf), "id", rules.FIELDS, ["variant"])
+    judged = ev.judged(ops.variant_scores(scored, variants), rules.FIELDS)
     out = ev.accuracy(judged, rules.FIELDS, ["variant"])
     return out.select("variant", "n", "n_ok", *[f"hits_{f}" for f in rules.FIELDS]).orderBy("n_ok", "variant")
 
@@ -265,7 +266,7 @@ p2 AS (SELECT *, coalesce(nullif(regexp_extract(path, '([^/]*)$', 1), ''), 'down
    list_filter(regexp_extract_all(lower(airport), '[a-z0-9]+'), lambda t: length(t) > 3) AS tok, {SHAPE_SQL} AS shape FROM p1),
 p3 AS (SELECT *, ends_with(low, '.pdf') AS pdf, {rx('name', PACK.amp)} AS n_amp, {rx('name', PACK.alp)} AND NOT contains(lower(name), 'narrative') AS n_alp,
    {rx('name', PACK.chapter)} AS n_ch, {rx('label', rules.DIAGRAM)} AS diag FROM p2),
-p4 AS (SELECT *, NOT pdf AS html, CASE WHEN pdf THEN body ELSE '' END AS src, body[1:4000] AS first, (n_amp AND NOT n_ch) OR n_ch OR n_alp OR diag OR shape >= 3 AS planned,
+p4 AS (SELECT *, NOT pdf AS html, CASE WHEN pdf THEN body ELSE '' END AS src, body AS first, (n_amp AND NOT n_ch) OR n_ch OR n_alp OR diag OR shape >= 3 AS planned,
    CASE WHEN NOT pdf THEN regexp_extract_all(body, '{rules.PDF_HREF.replace("'", "''")}', 1) ELSE [] END AS hrefs, concat_ws(' ', label, url, name) AS surface, label || ' ' || name AS ln FROM p3)"""
 
 
@@ -296,7 +297,7 @@ EXPR = {
     "body_economic_impact": rx("(CASE WHEN src <> '' THEN src ELSE label END)", PACK.econ) + " AND NOT planned",
     "body_budget": rx("(CASE WHEN src <> '' THEN src ELSE surface END)", PACK.budget) + " AND NOT planned",
     "body_pavement": rx("(CASE WHEN src <> '' THEN src ELSE surface END)", PACK.pave) + " AND NOT planned",
-    "body_statewide": rx("(CASE WHEN src <> '' THEN first[1:1500] ELSE ln END)", PACK.statewide),
+    "body_statewide": rx("(CASE WHEN src <> '' THEN first ELSE ln END)", PACK.statewide),
     "shape_count": "shape", "outline_n": "outline_n", "body_short": "pdf AND length(src) < 400", "body_long": "length(src) >= 8000",
     "scanned_pdf": "pdf AND bytes > 2000000 AND length(src) < 800", "media_pdf": "pdf", "media_html": "html",
     "sharepoint": "contains(lower(url), 'sharepoint') OR contains(low, 'lists/')", "html_pdf_links": "least(len(hrefs), 8)",

@@ -43,7 +43,7 @@ def _routed(spark, sf):
     return ops.routed_pages(rows.select(
         "doc_id", "page", "native",
         F.when(size < 25, F.lit(2_000_000)).otherwise(F.lit(100)).alias("image_pixels"),
-        F.when(size > 10, F.concat(F.lit(" read "), F.substring("native", 1, 9))).alias("recognised")))
+        F.when(size > 10, F.concat(F.lit(" read "), F.col("native"))).alias("recognised")))
 
 
 def text_page_routing(spark, sf):
@@ -195,7 +195,7 @@ TRIM_SQL = f"regexp_replace(x, '^{BLANKS_SQL}|{BLANKS_SQL}$', '', 'g')"
 
 ROUTED_SQL = f"""
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS native, unnest(range(len(string_split(text, chr(10))))) AS page FROM documents),
-rt AS (SELECT doc_id, CAST(page AS INTEGER) AS page, trim(native) AS nat, length(native) AS size, CASE WHEN length(native) > 10 THEN trim(' read ' || native[1:9]) ELSE '' END AS rd FROM ln),
+rt AS (SELECT doc_id, CAST(page AS INTEGER) AS page, trim(native) AS nat, length(native) AS size, CASE WHEN length(native) > 10 THEN trim(' read ' || native) ELSE '' END AS rd FROM ln),
 rm AS (SELECT *, CASE WHEN length(nat) < 40 AND size < 25 THEN CASE WHEN rd <> '' THEN 'ocr' ELSE 'supervised' END WHEN nat = '' THEN 'empty' ELSE 'native' END AS method FROM rt),
 routed AS (SELECT doc_id, page, method, CASE WHEN method IN ('ocr', 'supervised') THEN rd ELSE nat END AS text,
   CASE WHEN method = 'supervised' THEN 'ocr_empty' END AS error FROM rm)"""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Tasks to which tables in too few file splits are dealt; unset, none is.
+SPREAD_KEY = "plainledger.spread.tasks"
 _local_dirs: dict[str, str] = {}
 
 
@@ -24,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
-    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="plainledger-"))
+    if context.applicationId not in _local_dirs:
+        folder = _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="plainledger-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _local_dirs[context.applicationId]
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
@@ -60,6 +67,7 @@ def local_session(cpus: int | str = 8, name: str = "plainledger") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(SPREAD_KEY, "8" if cpus == "*" else str(cpus))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

@@ -5,13 +5,15 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from plainledger.session import local_session  # noqa: E402
+from plainledger.session import SPREAD_KEY, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, "tests")
     session.sparkContext.setLogLevel("ERROR")
+    # Tests run the plans of a cluster, where no table is dealt out for its few splits.
+    session.conf.unset(SPREAD_KEY)
     yield session
     session.stop()
 
