@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plainledger.llm import nearcopies
 from plainledger.llm.common import per_batch, utf8
 from plainledger.llm.graph import components
 from plainledger.operators.skew import spread_join
@@ -295,11 +296,11 @@ def near_duplicates(docs: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates: that with the smallest doc_id.
+    """One row of each group of near copies: that with the smallest doc_id.
 
-    Rows without a doc_id cannot be named and stay.
+    Near copies are those of `nearcopies` (five-word shingles, similarity 0.8), not pairs
+    of fingerprints. Rows without a doc_id cannot be named and stay.
     """
-    keep = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id").alias("_keep")).distinct()
+    keep = nearcopies.firsts(docs).select(F.col("doc_id").alias("_keep")).distinct()
     named = docs.filter(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
