@@ -1,16 +1,17 @@
 """Toxicity scores of texts after noisy-channel deobfuscation.
 
 A character trigram model is counted over all texts (a table bounded by the alphabet).
-Tokens that look disguised are decoded by the Viterbi algorithm over a lattice: a
-look-alike sign stands for any of its letters, a repeated letter may be one or two
-typed longer, separators between single letters vanish, and paths are weighed by the
-language model and a cost per correction. Spaced-out single letters are first joined
-to one token. Everything else is its own reading.
+Every token with a sign, an inner separator, a digit beside a letter or a doubled
+letter, however long, is decoded by the Viterbi algorithm over a lattice: a look-alike
+sign stands for any of its letters, a repeated letter may be one or two typed longer,
+separators vanish, and paths are weighed by the language model and a cost per
+correction. Spaced-out single letters are first joined to one token, and read again
+without the one-letter words they begin with; quotes, brackets and end signs around a
+token are read with it and without. Readings are added to the words as they stand.
 
 The score is learned from labelled rows (at most FIT_ROWS, taken by a hash of their id;
-copies of a text count once): words, word beginnings and word pairs whose share of
-toxic texts is significantly high are kept with that share, smoothed. A text's score is the
-noisy-or of the entries it holds, with the toxic share of texts that hold none as the
+copies of a text count once): words and word beginnings whose share of toxic texts
+is significantly high are kept with that share, smoothed. A text's score is the noisy-or of the entries it holds, with the toxic share of texts that hold none as the
 floor. The list is bounded by ENTRIES and is the only thing tasks get besides texts.
 
 Defined results: null and empty texts hold no entry and get the floor; without labels
@@ -58,10 +59,15 @@ _OTHER, _BORDER = _KINDS - 2, _KINDS - 1
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
 # Single letters or look-alikes parted by one separator or blank, four at least.
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!+])(?:[ ._\-*~](?:[^\W_]|[@$!+])){3,}(?!\S)")
-# A sign among letters, or one letter three times running.
-_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(€*#%]+[^\W\d_]|(?:^|[^\w])[@$0-9!+][^\W\d_]{2}|([^\W\d_])\1\1")
-_HEX = re.compile(r"[0-9a-f]{12,}")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!+])(?:[ ._\-*~](?:[^\W_]|[@$!+])){3,}(?![^\W_])")
+# A look-alike sign beside another or a letter or digit, a digit beside a letter, a
+# separator between letters, or a doubled letter.
+_DISGUISED = re.compile(
+    r"[@$!|+(€*#%][@$!|+(€*#%]|[^\W_][@$!|+(€*#%]|[@$!|+(€*#%][^\W_]|\d[^\W\d_]|[^\W\d_]\d"
+    r"|[^\W_][.\-_*~]+[^\W_]|([^\W\d_])\1")
+_LEADING = "aiour"  # words of one letter before a spaced-out word
+_POINTS = ".,;:?"
+_EDGES = _POINTS + "!\"'`()[]{}<>…“”„‘’«»"
 
 
 @lru_cache(maxsize=1)
@@ -107,50 +113,61 @@ class Decoder:
 
     def read(self, token: str) -> str:
         """The likeliest plain reading of a lower-case token."""
-        # State: the last two read characters; value: log probability and the reading.
-        paths = {("", ""): (0.0, "")}
+        # State: the last two read characters; value: log probability and the reading,
+        # as a chain from its end, so that time grows with the token's length only.
+        paths: dict = {("", ""): (0.0, None)}
         for c in token:
-            found: dict[tuple[str, str], tuple[float, str]] = {}
+            found: dict = {}
 
             def offer(state, value, text, found=found):
                 if state not in found or found[state][0] < value:
                     found[state] = (value, text)
 
+            looks, letter, own = LOOKS.get(c, ""), c.isalpha(), self.kind(c)
             for (a, b), (value, text) in paths.items():
-                step = lambda x: self.logp[self.kind(a) if a else _BORDER][self.kind(b) if b else _BORDER][self.kind(x)]  # noqa: E731, B023
-                if c.isalpha():
-                    offer((b, c), value + step(c), text + c)
+                logp = self.logp[self.kind(a) if a else _BORDER][self.kind(b) if b else _BORDER]
+                if letter:
+                    offer((b, c), value + logp[own], (text, c))
                     if c == b:
                         offer((a, b), value + _REPEAT, text)
                 else:
-                    for x in LOOKS.get(c, ""):
-                        offer((b, x), value + _CORRECTION + step(x), text + x)
+                    for x in looks:
+                        offer((b, x), value + _CORRECTION + logp[self.kind(x)], (text, x))
                         if x == b:
                             offer((a, b), value + _CORRECTION + _REPEAT, text)
                     if c in _SEPARATORS:
                         offer((a, b), value + _CORRECTION, text)
-                    offer((b, c), value + _KEEP, text + c)
+                    offer((b, c), value + _KEEP, (text, c))
             # The number of states is bounded by the look-alikes of two characters.
             paths = found
         ends = [
             (value + self.logp[self.kind(a) if a else _BORDER][self.kind(b) if b else _BORDER][_BORDER], text)
             for (a, b), (value, text) in paths.items()]
-        return max(ends)[1] if ends else token
+        top = max(value for value, _ in ends)
+        return max(self._spell(text) for value, text in ends if value == top)
+
+    @staticmethod
+    def _spell(text) -> str:
+        out = []
+        while text is not None:
+            text, c = text
+            out.append(c)
+        return "".join(reversed(out))
 
 
 class Reader:
     """Lower-case words of a text, disguised ones restored."""
 
-    def __init__(self, decoder: Decoder, limit: int = 100_000):
+    def __init__(self, decoder: Decoder, limit: int = 300_000):
         self.decoder, self.limit, self.seen = decoder, limit, {}
 
     def _restore(self, token: str) -> str:
+        if len(token) > 64:  # too rare and long to remember
+            return self.decoder.read(token)
         if token not in self.seen:
             if len(self.seen) >= self.limit:
                 self.seen = {}
-            # A long run of signs or hex digits is not a word.
-            plain = _HEX.search(token) is not None or len(token) > 64
-            self.seen[token] = token if plain else self.decoder.read(token)
+            self.seen[token] = self.decoder.read(token)
         return self.seen[token]
 
     def words(self, text: str) -> list[str]:
@@ -158,12 +175,19 @@ class Reader:
         found = _WORD.findall(text)
         for match in _SPACED.finditer(text):
             letters = re.sub(r"[ ._\-*~]", "", match.group())
-            if len(set(letters)) > 2:
-                found.extend(_WORD.findall(self._restore(letters)))
+            if len(set(letters)) > 1:
+                readings = {letters, letters.rstrip("!+")}
+                while len(letters) > 3 and letters[0] in _LEADING:
+                    letters = letters[1:]
+                    readings |= {letters, letters.rstrip("!+")}
+                for letters in sorted(readings):
+                    found.extend(_WORD.findall(self._restore(letters)))
         if _DISGUISED.search(text):
             for token in _TOKEN.findall(text):
                 if _DISGUISED.search(token):
-                    found.extend(_WORD.findall(self._restore(token.strip(".,;:?"))))
+                    for part in {token.strip(_POINTS), token.strip(_EDGES)}:
+                        if _DISGUISED.search(part):
+                            found.extend(_WORD.findall(self._restore(part)))
         return found
 
     def entries(self, text: str) -> set[str]:
