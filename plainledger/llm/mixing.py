@@ -12,9 +12,9 @@ profile.
 Rates r >= 0 (and <= max_rate) minimise the sum over domains of
 (expected tokens - target)^2 / supply, expected tokens being the sum of rate x tokens
 x posterior and supply the same sum at rate 1. Rates depend on posteriors only, so the
-documents' part of every gradient is one distributed sum per profile; the projected
-gradient steps then run on the bounded profile table. The step length is one over the
-largest eigenvalue of the weighted moment matrix.
+documents' part of every gradient is one distributed sum per profile; projected
+gradient steps then run on the bounded profile table until no rate moves. The step
+length is one over the largest eigenvalue of the weighted moment matrix.
 
 Defined results: null and empty texts have no tokens, no evidence and the domains'
 prior as posterior; without labels all domains are equally likely; a domain that no
@@ -42,7 +42,8 @@ MARK = "#"
 SIGNIFICANCE = 5.0
 SMOOTH = 0.5
 GRID = 50
-STEPS = 100
+STEPS = 100_000  # at most; TOLERANCE ends them
+TOLERANCE = 1e-12
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -133,44 +134,40 @@ def with_posterior(rows: DataFrame, model: dict) -> DataFrame:
     return steps.select(*rest, F.array(F.greatest(1 - sum(others[1:], others[0]), F.lit(0.0)), *others).alias("posterior"))
 
 
-def fit_rates(profiles: DataFrame, targets: list[float], max_rate: float | None, steps: int = STEPS) -> DataFrame:
-    """(p, rate) of every profile (p, tokens), by projected gradient steps from rate 1.
+def solve_rates(p: np.ndarray, tokens: np.ndarray, targets: np.ndarray, max_rate: float | None,
+                steps: int = STEPS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Rates of the profiles at the least squares, by projected gradient steps from rate 1.
 
-    Rounded posteriors have at most binomial(GRID + domains - 1, domains - 1) profiles,
-    so they fit one row whatever the data size, and all steps are one expression on it.
+    Ends when no rate moves by more than `tolerance`. Plain steps, as the optimum is not
+    unique in the rates: they end near rate 1.
     """
-    d = len(targets)
-    part = lambda x, k: x["tokens"] * F.get(x["p"], k)
-    moments = profiles.agg(*[
-        F.sum(F.col("tokens") * F.get("p", i) * F.get("p", j)).alias(f"m{i}{j}") for i in range(d) for j in range(d)]).first()
-    matrix = np.array([[moments[f"m{i}{j}"] or 0.0 for j in range(d)] for i in range(d)], dtype=float)
-    # Posteriors add up to one, so a row of the moments adds up to its domain's supply.
+    matrix = (p * tokens[:, None]).T @ p
     weight = 1.0 / np.maximum(matrix.sum(axis=1), 1.0)
     scaled = np.sqrt(weight)[:, None] * matrix * np.sqrt(weight)[None, :]
     length = 1.0 / max(float(np.linalg.eigvalsh(scaled)[-1]), 1e-12)
-    begin = 1.0 if max_rate is None else min(1.0, float(max_rate))
-
-    def clip(x: Column) -> Column:
-        x = F.greatest(x, F.lit(0.0))
-        return x if max_rate is None else F.least(x, F.lit(float(max_rate)))
-
-    def totals(rates: Column) -> Column:
-        pairs = F.zip_with(F.col("rows"), rates, lambda x, r: F.struct(x.alias("x"), r.alias("r")))
-        zero = F.array(*[F.lit(0.0)] * d)
-        return F.aggregate(pairs, zero, lambda acc, y: F.array(*[F.get(acc, k) + y["r"] * part(y["x"], k) for k in range(d)]))
-
-    def step(rates: Column) -> Column:
-        # An array of one vector stands for a name: the gradient is computed once.
-        slope = F.array(totals(rates))
-        moved = F.transform(slope, lambda t: F.zip_with(F.col("rows"), rates, lambda x, r: clip(r - sum(
-            (F.get(x["p"], k) * float(length * weight[k]) * (F.get(t, k) - float(targets[k])) for k in range(1, d)),
-            F.get(x["p"], 0) * float(length * weight[0]) * (F.get(t, 0) - float(targets[0]))))))
-        return F.get(moved, 0)
-
-    one = profiles.agg(F.array_sort(F.collect_list(F.struct("p", "tokens"))).alias("rows"))
-    fitted = one.select("rows", F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), F.transform("rows", lambda x: F.lit(begin)), lambda r, _: step(r)).alias("rates"))
-    return fitted.select(F.inline(F.zip_with("rows", "rates", lambda x, r: F.struct(x["p"].alias("p"), r.alias("rate")))))
+    top = np.inf if max_rate is None else float(max_rate)
+    rate = np.full(len(tokens), min(1.0, top))
+    slope = lambda r: p @ (weight * ((r * tokens) @ p - targets))
+    for _ in range(steps):
+        new = np.clip(rate - length * slope(rate), 0, top)
+        moved = np.max(np.abs(new - rate), initial=0.0)
+        rate = new
+        if moved <= tolerance:
+            break
+    return rate
+
+
+def fit_rates(profiles: DataFrame, targets: list[float], max_rate: float | None) -> DataFrame:
+    """(p, rate) of every profile (p, tokens), at the least squares.
+
+    Rounded posteriors have at most binomial(GRID + domains - 1, domains - 1) profiles,
+    so the driver solves them whatever the data size.
+    """
+    rows = sorted((list(r["p"]), float(r["tokens"] or 0.0)) for r in profiles.collect())
+    p = np.array([x for x, _ in rows], dtype=float).reshape(len(rows), len(targets))
+    rates = solve_rates(p, np.array([n for _, n in rows]), np.array(targets, dtype=float), max_rate)
+    return profiles.sparkSession.createDataFrame(
+        [(x, float(r)) for (x, _), r in zip(rows, rates)], "p array<double>, rate double")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float | None = None,
