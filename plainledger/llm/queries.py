@@ -9,10 +9,13 @@ from plainledger.llm import (
     archive,
     contamination,
     mixing,
+    periodic,
+    phrases,
     quality,
     sharding,
     simhash,
     substring,
+    suffixes,
     tokens,
     toxicity,
     urlfilter,
@@ -81,6 +84,27 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op12_periods(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.find_runs(periodic.with_periods(table(spark, sf, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # Greatest length, then smallest start and period; null without runs.
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("under"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.withColumn("_top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_top.start").alias("start"),
+        (-F.col("_top.under")).alias("length"), F.col("_top.period").alias("period"),
+        F.floor(-1000 * F.col("_top.under") / F.col("_top.period")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -92,6 +116,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_phrases": op11_phrases,
+    "op12_periods": op12_periods,
+    "op13_suffixes": op13_suffixes,
 }
 
 ORACLE: dict[str, str] = {}
