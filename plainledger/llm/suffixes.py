@@ -49,7 +49,8 @@ BLOCK = 16
 MOST_WINDOWS = 63
 # Documents' bytes whose stretches one shard sorts.
 SHARD_BYTES = 4 << 20
-GROUP_BYTES = 4 << 20
+# Bytes of text hashed at once, so that the hashes stay in a core's cache; a longer text alone.
+GROUP_BYTES = 256 << 10
 # An anchor goes out window by window if a sample shows it in this share of the documents, or
 # in this many of them; the sample has HOT_SAMPLE documents, or more if it takes more to show
 # HOT_LEAST documents of so many.
@@ -60,10 +61,15 @@ END = 0xFF
 
 def block_hashes(at: np.ndarray) -> np.ndarray:
     """Hash of the BLOCK bytes from each place on where so many are left, from the eight bytes there."""
-    step, value = np.uint64(0x9E3779B97F4A7C15), at[:len(at) - BLOCK + 1] * np.uint64(0xD6E8FEB86659FD93)
+    count = len(at) - BLOCK + 1
+    value = at[:count] * np.uint64(0xD6E8FEB86659FD93)
     for k in range(8, BLOCK, 8):
-        value = w.mix(value + step) ^ at[k:len(at) - BLOCK + 1 + k]
-    return w.mix(value * step)
+        value ^= value >> np.uint64(32)
+        value += at[k:count + k]
+        value *= np.uint64(0x9E3779B97F4A7C15)
+    value ^= value >> np.uint64(29)
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    return value
 
 
 class Windows:
@@ -78,16 +84,19 @@ class Windows:
         at = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).view("<u8")[:, 0] if n else np.zeros(0, dtype=np.uint64)
         blocks = length - BLOCK + 1
         anchor = w.lowest(block_hashes(at), blocks) if n >= length else np.zeros(0, dtype=np.uint64)
-        owner = np.repeat(np.arange(len(texts)), sizes)
         count = max(0, n - length + 1)
-        valid = owner[:count] == owner[length - 1:] if count else np.zeros(0, dtype=bool)
         anchor = anchor[:count]
-        change = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:count] != owner[:count - 1]) | (valid[1:] != valid[:-1])) if count else valid
+        # A run ends where the anchor changes and where a text ends; windows across texts are none.
+        change = np.ones(count, dtype=bool)
+        np.not_equal(anchor[1:], anchor[:-1], out=change[1:])
+        for border in (self.start, self.start + sizes - length + 1):
+            change[border[(border >= 0) & (border < count)]] = True
         first = np.flatnonzero(change)
-        last = np.append(first[1:], count) if len(first) else first
-        keep = valid[first] if len(first) else np.zeros(0, dtype=bool)
-        self.first, self.last = first[keep], last[keep]
-        self.text, self.anchor = owner[self.first], anchor[self.first]
+        text = np.searchsorted(self.start + sizes, first, "right")
+        keep = first + length <= (self.start + sizes)[text] if len(first) else np.zeros(0, dtype=bool)
+        last = np.append(first[1:], count)[:len(first)]
+        self.first, self.last, self.text = first[keep], last[keep], text[keep]
+        self.anchor = anchor[self.first]
         self.rank = np.arange(len(self.text)) - np.searchsorted(self.text, self.text)
 
 
@@ -130,14 +139,17 @@ def hot_anchors(docs: DataFrame, length: int, share: float = HOT_SHARE, most: in
     return np.sort(np.array([r["anchor"] for r in found.collect()], dtype=np.int64))
 
 
-def stretches(found: Windows, runs: np.ndarray, hot: np.ndarray, length: int) -> Iterator[tuple[bytes, int, int, int]]:
+def stretches(found: Windows, runs: np.ndarray, hot: np.ndarray, length: int, sent: dict[bytes, int], owner: int) -> Iterator[tuple[bytes, int, int, int]]:
     """What a text sends of its shared runs: (bytes, key, rank, shift).
 
-    Rank and shift say where the answer goes: it marks windows of the rank's stretch.
+    Rank and shift say where the answer goes: it marks windows of the rank's stretch. A hot
+    stretch that an earlier document has sent is not taken apart again.
     """
     for rank, run in enumerate(runs.tolist()):
         first, last = int(found.first[run]), int(found.last[run])
         if hot[run]:
+            if sent.setdefault(found.data[first:last + length - 1] + b"\xff", owner) != owner:
+                continue
             for shift, at in enumerate(range(first, last)):
                 data = found.data[at:at + length]
                 yield data, xxhash.xxh3_64_intdigest(data), rank, shift
@@ -183,7 +195,7 @@ def _stretch_rows(length: int, hot: np.ndarray, shards: int):
             out: list[list] = [[], [], [], [], []]
             for k, row in enumerate(rows):
                 owner = owners[row]
-                for data, key, rank, shift in stretches(found, own[k], is_hot, length):
+                for data, key, rank, shift in stretches(found, own[k], is_hot, length, sent, owner):
                     if sent.setdefault(data, owner) == owner:
                         for column, value in zip(out, (key % shards, owner, rank, shift, data)):
                             column.append(value)
@@ -198,19 +210,23 @@ def first_windows(owners: np.ndarray, parts: list[bytes], length: int, memory: i
     text = np.frombuffer(b"".join(p + b"\xff" for p in parts), dtype=np.uint8)
     sizes = np.array([len(p) + 1 for p in parts], dtype=np.int64)
     start = np.cumsum(sizes) - sizes
+    part_of = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     marks = np.zeros(len(parts), dtype=np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def settle(places: np.ndarray, new: np.ndarray) -> None:
-        part = np.searchsorted(start, places, "right") - 1
+    def settle() -> None:
+        """Whole groups: of each, the stretches of the smallest document keep the window."""
+        places, group = np.concatenate([h[0] for h in held]), np.cumsum(np.concatenate([h[1] for h in held]))
+        # Its members start with the same bytes, so a group fits into its stretches whole or not at all.
+        part = part_of[places]
         shift = places - start[part]
         whole = shift + length < sizes[part]
-        # A group is whole or not at all, as all its members start with the same bytes.
-        part, shift, group = part[whole], shift[whole], np.cumsum(new)[whole]
+        part, shift, group = part[whole], shift[whole], group[whole]
         if len(part):
-            least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, group, owners[part])
-            hit = least[group] == owners[part]
+            new = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            owner = owners[part]
+            least = np.repeat(np.minimum.reduceat(owner, new), np.diff(np.append(new, len(part))))
+            hit = owner == least
             np.bitwise_or.at(marks, part[hit], np.int64(1) << shift[hit])
 
     for at, lcp in induced.descending(text, length, memory, base):
@@ -220,12 +236,12 @@ def first_windows(owners: np.ndarray, parts: list[bytes], length: int, memory: i
         if len(ends):
             last = int(ends[-1])
             held.append((at[:last], new[:last]))
-            settle(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            settle()
             held = [(at[last:], new[last:])]
         else:
             held.append((at, new))
     if held:
-        settle(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        settle()
     return marks
 
 
@@ -295,25 +311,25 @@ def _spans(batch: pa.RecordBatch, length: int, hot: np.ndarray) -> Iterator[tupl
     for rows, found in _groups(batch, length):
         sizes = np.append(found.start, len(found.data))
         _, own = cut_runs(found, [single[r] for r in rows], hot)
+        # Windows marked by the shards are first places; all others under shared anchors are repeats.
+        marks = np.zeros(len(found.first), dtype=np.int64)
         for k, row in enumerate(rows):
+            answer = firsts[row]
+            if answer.is_valid:
+                items = answer.values
+                np.bitwise_or.at(marks, own[k][0] + items.field(0).to_numpy(), items.field(1).to_numpy())
+        counts = found.last - found.first
+        shift = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        repeat = np.zeros(len(found.data), dtype=bool)
+        repeat[np.repeat(found.first, counts) + shift] = (np.repeat(marks, counts) >> shift) & 1 == 0
+        covered = w.covered(repeat, length, len(found.data)).view(np.int8)
+        for k in range(len(rows)):
             begin, end = int(sizes[k]), int(sizes[k + 1])
-            text = found.data[begin:end]
-            if not len(own[k]):
-                yield text, []
-                continue
-            marks: dict[int, int] = {}
-            if firsts[row].is_valid:
-                for item in firsts[row].as_py():
-                    marks[item["rank"]] = marks.get(item["rank"], 0) | item["marks"]
-            # Equal stretches of a text share one answer each; windows of hot anchors have their own.
-            repeat = np.zeros(end - begin + 1, dtype=bool)
-            for rank, run in enumerate(own[k].tolist()):
-                first, last = int(found.first[run]), int(found.last[run])
-                mark = marks.get(rank, 0)
-                repeat[first - begin:last - begin] = (mark >> np.arange(last - first)) & 1 == 0
-            covered = w.covered(repeat[:-1], length, end - begin)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
-            yield text, list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+            spans: list[tuple[int, int]] = []
+            if len(own[k]):
+                edges = np.flatnonzero(np.diff(covered[begin:end], prepend=0, append=0))
+                spans = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+            yield found.data[begin:end], spans
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
