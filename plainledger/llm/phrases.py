@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plainledger.llm import words as w
+from plainledger.llm.common import pack, unpack
 from plainledger.operators.skew import spread_join
 from plainledger.session import cut
 
@@ -51,12 +52,12 @@ SHARE = 100
 # Counters of a partition per (mass / threshold); the more, the fewer false survivors.
 SLACK = 8
 # Counters a task keeps before it hands its summaries on.
-TASK_COUNTERS = 4_000_000
+TASK_COUNTERS = 1_500_000
 # Counters of one hash partition that its merge should hold, and the fewest partitions.
 PARTITION_COUNTERS = 1 << 20
 PARTITIONS = 64
 # Text of one language that is taken apart at once.
-BUFFER = 4 << 20
+BUFFER = 2 << 20
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 SEGMENT_BITS = 1 << 20
 
@@ -180,18 +181,6 @@ def merge(have: tuple[np.ndarray, np.ndarray, int], keys: np.ndarray, counts: np
     return k, c, lost
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Numbers with equal bytes side by side, compressed."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).reshape(n)
-
-
 SUMMARY = "part long, mass long, n long, keys binary, counts binary"
 _SUMMARY = pa.schema([("part", pa.int64()), ("mass", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -204,7 +193,7 @@ def _summary_rows(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBat
         own = (keys[start:stop] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         # Gaps are small numbers, and so are nearly all counts.
         gaps = np.diff(own, prepend=np.uint32(0)).astype(np.uint32)
-        rows.append((int(part[start]), int(counts[start:stop].sum()), stop - start, _pack(gaps), _pack(counts[start:stop])))
+        rows.append((int(part[start]), int(counts[start:stop].sum()), stop - start, pack(gaps), pack(counts[start:stop])))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SUMMARY)], schema=_SUMMARY)
 
@@ -255,8 +244,8 @@ def merged_survivors(threshold: int, slack: int):
                         yield out()
                     part, mass = row["part"], row["whole"]
                     have = (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), 0)
-                keys = np.cumsum(_unpack(row["keys"], row["n"], np.uint32), dtype=np.uint32)
-                counts = _unpack(row["counts"], row["n"], np.int64)
+                keys = np.cumsum(unpack(row["keys"], row["n"], np.uint32), dtype=np.uint32)
+                counts = unpack(row["counts"], row["n"], np.int64)
                 have = merge(have, keys, counts, 0, slack * (mass // threshold) + 1)
         if part is not None:
             yield out()

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from plainledger.llm import induced
 from plainledger.llm import words as w
-from plainledger.llm.common import per_batch, utf8
+from plainledger.llm.common import pack, per_batch, unpack, utf8
 from plainledger.llm.substring import _ordered
 
 LENGTH = 50
@@ -49,6 +49,8 @@ BLOCK = 16
 MOST_WINDOWS = 63
 # Documents' bytes whose stretches one shard sorts.
 SHARD_BYTES = 4 << 20
+# Documents' bytes whose anchors one task compares.
+PART_BYTES = 256 << 20
 # Bytes of text hashed at once, so that the hashes stay in a core's cache; a longer text alone.
 GROUP_BYTES = 256 << 10
 # An anchor goes out window by window if a sample shows it in this share of the documents, or
@@ -125,6 +127,69 @@ def _anchor_rows(length: int):
     return per_batch(run)
 
 
+ANCHORS = "part int, n int, anchors binary, docs binary, ranks binary"
+_ANCHORS = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("anchors", pa.binary()), ("docs", pa.binary()), ("ranks", pa.binary())])
+# An anchor is told by its hash partition and so many more bits; a collision only sends a stretch in vain.
+ANCHOR_BITS = 40
+
+
+def _runs_of(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Equal neighbours and where they are."""
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, dtype=np.int64)
+    for start, stop in zip(at.tolist(), np.append(at[1:], len(part)).tolist()):
+        yield int(part[start]), slice(start, stop)
+
+
+def _anchor_tables(length: int, parts: int):
+    """The runs of a batch by hash partition of their anchors, as columns of numbers."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        owners = batch.column("_doc").to_numpy(zero_copy_only=False)
+        columns: list[list[np.ndarray]] = [[], [], []]
+        for rows, found in _groups(batch, length):
+            for column, value in zip(columns, (found.anchor, owners[np.array(rows)[found.text]], found.rank.astype(np.int32))):
+                column.append(value)
+        anchor, owner, rank = (np.concatenate(c) for c in columns)
+        part = ((anchor >> np.uint64(ANCHOR_BITS)) % np.uint64(parts)).astype(np.int64)
+        low = anchor & np.uint64((1 << ANCHOR_BITS) - 1)
+        order = np.lexsort((low, part))
+        part, low, owner, rank = part[order], low[order], owner[order], rank[order]
+        out = []
+        for number, own in _runs_of(part):
+            gaps = np.diff(low[own], prepend=np.uint64(0))
+            out.append((number, own.stop - own.start, pack(gaps), pack(owner[own]), pack(rank[own])))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _ANCHORS)], schema=_ANCHORS)
+
+    return per_batch(run)
+
+
+def _single_runs(batches):
+    """(_own, rank): runs whose anchor one document alone holds; rows come by partition."""
+    part, held = None, []
+
+    def solve():
+        anchor, owner, rank = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((owner, anchor))
+        anchor, owner, rank = anchor[order], owner[order], rank[order]
+        start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        stop = np.append(start[1:], len(anchor)) - 1
+        alone = owner[start] == owner[stop]
+        size = np.where(alone, stop - start + 1, 0)
+        at = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        return pa.RecordBatch.from_arrays([pa.array(owner[at]), pa.array(rank[at])], names=["_own", "rank"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["part"] != part:
+                if held:
+                    yield solve()
+                part, held = row["part"], []
+            n = row["n"]
+            held.append((np.cumsum(unpack(row["anchors"], n, np.uint64)), unpack(row["docs"], n, np.int64), unpack(row["ranks"], n, np.int32)))
+    if held:
+        yield solve()
+
+
 def hot_anchors(docs: DataFrame, length: int, share: float = HOT_SHARE, most: int = HOT_DOCUMENTS) -> np.ndarray:
     """Anchors that many documents hold, by a sample: it only decides how their windows travel.
 
@@ -183,24 +248,37 @@ def _places(value: pa.Scalar) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, dtype=np.int32)
 
 
-def _stretch_rows(length: int, hot: np.ndarray, shards: int):
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+STRETCHES = "shard int, n int, size long, docs binary, ranks binary, shifts binary, data binary"
+_STRETCHES = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), *((c, pa.binary()) for c in ("docs", "ranks", "shifts", "data"))])
+
+
+def _stretch_tables(length: int, hot: np.ndarray, shards: int):
+    """The stretches of a batch by shard, each distinct one from its first document only."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         # In the order of the documents, so that the first to send a stretch is its first document here.
         batch = batch.take(pc.sort_indices(batch, sort_keys=[("_doc", "ascending")]))
         owners = batch.column("_doc").to_pylist()
         single = [_places(x) for x in batch.column("single")]
         sent: dict[bytes, int] = {}
+        out: list[list] = [[], [], [], [], []]
         for rows, found in _groups(batch, length):
             is_hot, own = cut_runs(found, [single[r] for r in rows], hot)
-            out: list[list] = [[], [], [], [], []]
             for k, row in enumerate(rows):
                 owner = owners[row]
                 for data, key, rank, shift in stretches(found, own[k], is_hot, length, sent, owner):
                     if sent.setdefault(data, owner) == owner:
                         for column, value in zip(out, (key % shards, owner, rank, shift, data)):
                             column.append(value)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["shard", "_doc", "rank", "shift", "data"])
+        shard, owner, rank, shift = (np.array(c, dtype=k) for c, k in zip(out, (np.int32, np.int64, np.int32, np.int8)))
+        order = np.argsort(shard, kind="stable")
+        tables = []
+        for number, own in _runs_of(shard[order]):
+            chosen = order[own]
+            text = b"\xff".join([out[4][i] for i in chosen.tolist()])
+            tables.append((number, len(chosen), len(text), pack(owner[chosen]), pack(rank[chosen]), pack(shift[chosen]),
+                           pa.compress(text, codec="zstd", asbytes=True)))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*tables) if tables else [[]] * 7, _STRETCHES)], schema=_STRETCHES)
 
     return per_batch(run)
 
@@ -264,17 +342,20 @@ def _shard_rows(length: int, memory: int, base: int):
     def run(batches):
         shard, stretch = None, {}
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "_doc", "rank", "shift", "data")]
-            for number, owner, rank, shift, data in zip(*columns):
-                if number != shard:
+            for row in batch.to_pylist():
+                if row["shard"] != shard:
                     if stretch:
                         yield solve(stretch)
-                    shard, stretch = number, {}
-                have = stretch.get(data)
-                if have is None or owner < have[0]:
-                    stretch[data] = [owner, [(rank, shift)]]
-                elif owner == have[0]:
-                    have[1].append((rank, shift))
+                    shard, stretch = row["shard"], {}
+                n = row["n"]
+                numbers = (unpack(row[c], n, k).tolist() for c, k in (("docs", np.int64), ("ranks", np.int32), ("shifts", np.int8)))
+                texts = pa.decompress(row["data"], row["size"], codec="zstd", asbytes=True).split(b"\xff")
+                for owner, rank, shift, data in zip(*numbers, texts):
+                    have = stretch.get(data)
+                    if have is None or owner < have[0]:
+                        stretch[data] = [owner, [(rank, shift)]]
+                    elif owner == have[0]:
+                        have[1].append((rank, shift))
         if stretch:
             yield solve(stretch)
 
@@ -288,15 +369,15 @@ def _with_firsts(docs: DataFrame, length: int, memory: int, base: int, hot_share
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     hot = hot_anchors(texts, length, hot_share)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHARD_BYTES))
-    found = texts.mapInArrow(_anchor_rows(length), "anchor long, _doc long, rank int")
-    # Equal rows have the same number and runs, so distinct owners count. Of several runs of one
-    # document the last is told; the others are sorted in vain.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_BYTES))
+    found = texts.mapInArrow(_anchor_tables(length, parts), ANCHORS)
+    # Equal rows have the same number and runs, so they are one document here too.
     single = (
-        found.groupBy("anchor").agg(F.min("_doc").alias("_own"), F.max("_doc").alias("_last"), F.max("rank").alias("rank"))
-        .filter(F.col("_own") == F.col("_last")).groupBy("_own").agg(F.collect_list("rank").alias("single")))
+        found.repartition("part").sortWithinPartitions("part").mapInArrow(_single_runs, "_own long, rank int")
+        .groupBy("_own").agg(F.collect_list("rank").alias("single")))
     parsed = docs.join(single, F.col("_doc") == F.col("_own"), "left").drop("_own")
     # All columns, as the last step needs them: so both share one exchange of the texts.
-    sent = parsed.mapInArrow(_stretch_rows(length, hot, shards), "shard int, _doc long, rank int, shift int, data binary")
+    sent = parsed.mapInArrow(_stretch_tables(length, hot, shards), STRETCHES)
     sorted_ = sent.repartition("shard").sortWithinPartitions("shard")
     first = (
         sorted_.mapInArrow(_shard_rows(length, memory, base), "_of long, rank int, marks long")
