@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plainledger.functions import urls
 from plainledger.functions import values as v
 from plainledger.operators import documents as doc
-from plainledger.operators.skew import ordered_position
+from plainledger.operators.skew import ordered_position, spread_join
 from plainledger.rules import documents as doc_rules
 from plainledger.rules import ops as rules
 from plainledger.session import cut
@@ -103,21 +103,58 @@ def merged_log(*logs: DataFrame) -> DataFrame:
 def first_seen_retention(rows: DataFrame, key: str, at: str, days: int = rules.RETENTION_DAYS) -> DataFrame:
     """One row per life of a key, with its expiry; a repeat within a life never extends it.
 
-    A sighting at or after the expiry opens the key's next life. Each round opens one
-    life per key with an aggregate that combines before the shuffle and keeps only the
-    sightings after it, so there are at most as many rounds as `days` fit into the log.
+    A sighting at or after the expiry opens the key's next life. Every sighting gets a
+    pointer to the one that would open the life after its own (`next_sightings`); the
+    lives are the first sighting of a key and what its pointers lead to, and pointers
+    that double reach it in as many rounds as the number of lives has binary digits.
+    Of equal sightings the smallest row stays.
     """
     rest = [c for c in rows.columns if c not in (key, at)]
+    sights = cut(rows.groupBy(key, at).agg(F.min(F.struct(*rest)).alias("_row")))
+    pointers = cut(next_sightings(sights.select(key, at), key, at, days))
+    lives = sights.groupBy(key).agg(F.min(at).alias(at))
+    # A key has no more lives than spans of time in which it was seen.
+    spans = sights.groupBy(key).agg(F.count_distinct(_span(F.col(at), days)).alias("n")).agg(F.max("n")).first()[0] or 1
+    for _ in range(int(spans - 1).bit_length()):
+        lives = lives.unionByName(_follow(lives, pointers, key, at).select(key, F.col("_to").alias(at)))
+        further = _follow(pointers.select(key, F.col(at).alias("_from"), F.col("_to").alias(at)), pointers, key, at)
+        pointers = cut(further.select(key, F.col("_from").alias(at), "_to"))
     expires = (F.col(at) + F.expr(f"interval {days} days")).alias("expires_at")
-    lives, left = None, rows
-    while True:
-        first = left.groupBy(key).agg(F.min(at).alias(at), F.min_by(F.struct(*rest), F.col(at)).alias("_row"))
-        opened = cut(first.select(key, at, "_row.*", expires))
-        lives = opened if lives is None else lives.unionByName(opened)
-        ended = opened.select(F.col(key).alias("_key"), F.col("expires_at").alias("_ends"))
-        left = cut(left.join(ended, F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) >= F.col("_ends")), "left_semi"))
-        if left.isEmpty():
-            return lives
+    kept = sights.join(lives.select(F.col(key).alias("_key"), F.col(at).alias("_life")),
+                       F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) == F.col("_life")), "left_semi")
+    return kept.select(key, at, "_row.*", expires)
+
+
+def _span(at: Column, days: int) -> Column:
+    """Number of a stretch of `days` days; it only splits the work and bounds the lives."""
+    return F.floor(F.datediff(at, F.lit("1970-01-01").cast("date")) / days)
+
+
+def _follow(rows: DataFrame, pointers: DataFrame, key: str, at: str) -> DataFrame:
+    """Rows with `_to`, where the pointer of (key, at) leads; rows whose pointer ends are left out."""
+    steps = pointers.select(F.col(key).alias("_key"), F.col(at).alias("_at"), "_to")
+    return rows.join(steps, F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) == F.col("_at"))).drop("_key", "_at")
+
+
+def next_sightings(sights: DataFrame, key: str, at: str, days: int) -> DataFrame:
+    """(key, at, _to): for each sighting the first one of its key `days` days later or after that.
+
+    An as-of search: expiries and sightings of one span of time are sorted together, so a
+    hot key is split by time; where a span has none, the next span with a sighting
+    follows from one row per key and span.
+    """
+    probe = F.col(at) + F.expr(f"interval {days} days")
+    both = sights.select(key, F.col(at).alias("_at"), F.lit(None).cast(sights.schema[at].dataType).alias("_from")).unionByName(
+        sights.select(key, probe.alias("_at"), F.col(at).alias("_from"))).withColumn("_span", _span(F.col("_at"), days))
+    is_probe = F.col("_from").isNotNull()
+    # From the latest on, sightings before expiries of the same time.
+    back = Window.partitionBy(key, "_span").orderBy(F.col("_at").desc(), is_probe).rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("_to", F.min(F.when(~is_probe, F.col("_at"))).over(back)).filter(is_probe)
+    spans = both.groupBy(key, "_span").agg(F.min(F.when(~is_probe, F.col("_at"))).alias("_first"))
+    later = Window.partitionBy(key).orderBy(F.col("_span").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = spans.select(F.col(key).alias("_key"), F.col("_span").alias("_of"), F.min("_first").over(later).alias("_after"))
+    found = here.join(after, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_span") == F.col("_of")))
+    return found.select(key, F.col("_from").alias(at), F.coalesce("_to", "_after").alias("_to")).filter("_to is not null")
 
 
 # --- links -----------------------------------------------------------------------
@@ -212,6 +249,62 @@ def no_plan_found() -> Column:
         F.col("last_job_status").isin(*rules.NO_PLAN_STATUSES))
 
 
+# Touches that decide a stage, in the order of `touch_stage`.
+STAGE_TOUCHES = ("explored_at", "snapshot_at", "discovery_at")
+
+
+def touch_stage(explored: Column, snapshot: Column, discovered: Column, last_status: Column) -> Column:
+    """Stage of an entity without plans, from whether it was touched and how its last job ended."""
+    without_plan = ~snapshot & explored & v.yes(last_status.isin(*rules.NO_PLAN_STATUSES))
+    return F.when(explored | snapshot, F.when(without_plan, "no_plan_found").otherwise("explored")).when(
+        discovered, "searched").otherwise("untouched")
+
+
+def _touched_events(events: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Events of entities with what had been touched by then, the stage after each, and the stage before all."""
+    events = events.filter(F.col("entity").isNotNull())
+    kinds = {c: k for k, c in rules.TOUCH_KINDS.items()}
+    place = F.struct("at", "seq")
+    firsts = events.groupBy("entity").agg(*[
+        F.min(F.when(F.col("kind") == kinds[c], place)).alias(f"_first_{c}") for c in STAGE_TOUCHES])
+    if before is None:
+        known = firsts.select("*", *[F.lit(False).alias(f"_had_{c}") for c in STAGE_TOUCHES], F.lit("untouched").alias("_was"))
+    else:
+        old = before.select("entity", *[F.col(c).alias(f"_had_{c}") for c in STAGE_TOUCHES], F.col("stage").alias("_was"))
+        known = firsts.join(old, "entity", "left").na.fill(False, [f"_had_{c}" for c in STAGE_TOUCHES]).na.fill("untouched", ["_was"])
+    # One entity may hold a third of all events.
+    joined = spread_join(events, known, ["entity"], place, "inner")
+    for c in STAGE_TOUCHES:
+        joined = joined.withColumn(c, F.col(f"_had_{c}") | v.yes(F.col(f"_first_{c}") <= place))
+    return joined.withColumn("stage", touch_stage(*[F.col(c) for c in STAGE_TOUCHES], F.col("status")))
+
+
+def stage_changes(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(entity, at, seq, previous, stage): events after which an entity's stage is another one.
+
+    Events: entity, kind, status, at, seq; those without an entity count for none.
+    Before: entity, touches and stage as of earlier events (`stage_state`). An entity's
+    events are compared day by day, and each day's first with the last of the day before.
+    """
+    staged = _touched_events(events, before).withColumn("_day", F.to_date("at"))
+    inside = Window.partitionBy("entity", "_day").orderBy("at", "seq")
+    lagged = staged.withColumn("_lag", F.lag("stage").over(inside))
+    days = staged.groupBy("entity", "_day").agg(F.max_by("stage", F.struct("at", "seq")).alias("_last"))
+    earlier = Window.partitionBy("entity").orderBy("_day")
+    ends = days.select("entity", "_day", F.lag("_last").over(earlier).alias("_end"))
+    first = lagged.filter(F.col("_lag").isNull()).join(ends, ["entity", "_day"]).withColumn("_lag", F.coalesce("_end", "_was")).drop("_end")
+    rows = first.unionByName(lagged.filter(F.col("_lag").isNotNull()))
+    return rows.filter(F.col("stage") != F.col("_lag")).select(
+        "entity", "at", "seq", F.col("_lag").alias("previous"), "stage")
+
+
+def stage_state(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Touches and stage of the entities of some events after the last of them."""
+    staged = _touched_events(events, before)
+    last = F.max_by(F.struct(*STAGE_TOUCHES, "stage"), F.struct("at", "seq"))
+    return staged.groupBy("entity").agg(last.alias("_last")).select("entity", "_last.*")
+
+
 def coverage_stages(entities: DataFrame, docs: DataFrame, status: DataFrame) -> DataFrame:
     """Coverage stage of every entity from its plans, pending files and touches."""
     listed_plan = doc.listed("review_status") & F.col("kind").isin(*doc_rules.WORK_KINDS)
@@ -221,14 +314,12 @@ def coverage_stages(entities: DataFrame, docs: DataFrame, status: DataFrame) ->
         F.bool_or(listed_plan).alias("_listed"))
     joined = entities.select(F.col("key").alias("entity")).join(flags, "entity", "left").join(status, "entity", "left")
     touched = v.any_of(*[F.col(c).isNotNull() for c in ("discovery_at", "explored_at", "snapshot_at")])
-    fetched = F.col("explored_at").isNotNull() | F.col("snapshot_at").isNotNull()
+    by_touch = touch_stage(*[F.col(c).isNotNull() for c in STAGE_TOUCHES], F.col("last_job_status"))
     stage = (
         F.when(v.yes(F.col("_verified")), "published")
         .when(v.yes(F.col("_pending")), "snapshot_pending")
         .when(v.yes(F.col("_listed")), F.when(touched, "published").otherwise("untouched"))
-        .when(fetched, F.when(no_plan_found(), "no_plan_found").otherwise("explored"))
-        .when(F.col("discovery_at").isNotNull(), "searched")
-        .otherwise("untouched")
+        .otherwise(by_touch)
     )
     return joined.withColumn("stage", stage).drop("_verified", "_pending", "_listed")
 

@@ -92,6 +92,11 @@ def status_latest(spark, sf):
     return out.select("entity", "last_job_kind", "last_job_status", *shown)
 
 
+def stage_changes(spark, sf):
+    out = ops.stage_changes(status_events(spark, sf))
+    return out.select("entity", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "seq", "previous", "stage")
+
+
 def numbered_docs(spark, sf):
     return b.documents(spark, sf).drop("text").withColumn("entity", F.col("id"))
 
@@ -249,7 +254,7 @@ def spend_spot_check(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     outcome_buckets, outcome_stats, outcome_last, outcome_recent, outcome_compact, classification_stats,
-    audit_log, retention_live, status_latest, coverage_stages, coverage_counts, work_ranking, jobs_next,
+    audit_log, retention_live, status_latest, stage_changes, coverage_stages, coverage_counts, work_ranking, jobs_next,
     jobs_per_entity, job_batches, job_rotation, quota_meter, quota_rate_limits, dataset_readiness,
     link_patches, link_recovery, link_due, document_profile, stale_entities, catalogue_counts,
     snapshot_report, spend_spot_check,
@@ -331,6 +336,11 @@ SELECT event_id AS id, '{{"bucket":"' || bucket || '","id":' || event_id || coal
 SELECT evaluation, category, classifier, count(*) AS n, count(*) FILTER (WHERE strftime("at", '%Y-%m') = '2024-01') AS n_month FROM c GROUP BY GROUPING SETS ((evaluation, category), (classifier), ())""",
     "audit_log": f"""WITH {EVENTS_SQL} SELECT "at", event_id, CASE WHEN event_type = 'view' THEN 'a' ELSE 'c' END AS log, CASE WHEN event_type <> 'view' THEN value END AS value FROM ev WHERE "at" <= TIMESTAMP '{NOW}'""",
     "retention_live": retention_sql("event_type", "event_type"),
+    "stage_changes": f"""WITH e AS (SELECT user_id AS entity, ts, event_id AS seq, CASE WHEN value < 8 THEN 'dead' ELSE 'ok' END AS status, event_type AS t FROM events),
+f AS (SELECT *, bool_or(t = 'view') OVER w AS x, bool_or(t = 'click') OVER w AS s, bool_or(t = 'signup') OVER w AS d FROM e WINDOW w AS (PARTITION BY entity ORDER BY ts, seq)),
+g AS (SELECT *, CASE WHEN x OR s THEN CASE WHEN NOT s AND status = 'dead' THEN 'no_plan_found' ELSE 'explored' END WHEN d THEN 'searched' ELSE 'untouched' END AS stage FROM f),
+h AS (SELECT *, lag(stage, 1, 'untouched') OVER (PARTITION BY entity ORDER BY ts, seq) AS previous FROM g)
+SELECT entity, {TS.format('ts')} AS "at", seq, previous, stage FROM h WHERE previous <> stage""",
     "status_latest": f"""WITH {STATUS_SQL}
 SELECT entity, last_job_kind, last_job_status, {', '.join(f'{TS.format(c)} AS {c}' for c in ('last_job_at', 'explored_at', 'snapshot_at', 'vetted_at', 'discovery_at'))} FROM {latest_sql('se')}""",
     "coverage_stages": f"""WITH {STAGES_SQL}

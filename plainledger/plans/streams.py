@@ -15,9 +15,8 @@ from plainledger.session import run_dir
 from plainledger.streaming import jobs
 
 
-def event_stream(spark, sf):
-    schema = b.table(spark, sf, "events").schema
-    rows = jobs.read_stream(spark, sf, "events.parquet", schema)
+def event_stream(spark, folder, pattern="events.parquet", schema=None):
+    rows = jobs.read_stream(spark, folder, pattern, schema or b.table(spark, folder, "events").schema)
     kind = F.col("event_type")
     job = (F.when(kind == "view", "explore").when(kind == "click", "fetch").when(kind == "purchase", "vet")
            .when(kind == "signup", "discovery").otherwise("check"))
@@ -27,9 +26,27 @@ def event_stream(spark, sf):
         F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("provider"), outcome.alias("job_status"))
 
 
+FILES = 6
+
+
+def in_files(spark, sf):
+    """The event log as files of equal stretches of time, written one after the other, one for each micro-batch."""
+    folder, log = run_dir(spark, "log"), b.table(spark, sf, "events")
+    low, high = log.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(FILES):
+        start, end = (low + (high - low) * k / FILES for k in (i, i + 1))
+        last = F.lit(True) if i == FILES - 1 else F.col("ts") < F.lit(end)
+        log.filter((F.col("ts") >= F.lit(start)) & last).write.mode("append").parquet(folder)
+    return folder
+
+
+def event_batches(spark, sf):
+    return event_stream(spark, in_files(spark, sf), "*.parquet", b.table(spark, sf, "events").schema)
+
+
 def stream_first_events(spark, sf):
     path = run_dir(spark, "first")
-    keyed = event_stream(spark, sf).withColumn("event_key", F.concat_ws(":", "entity", "provider"))
+    keyed = event_batches(spark, sf).withColumn("event_key", F.concat_ws(":", "entity", "provider"))
     jobs.first_events(keyed.select("event_key", "entity", "provider", "at"), path, ["event_key"], "at")
     return jobs.read_rows(spark, path).select("event_key", "entity", "provider", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
@@ -46,7 +63,7 @@ def stream_quota(spark, sf):
     path = run_dir(spark, "quota")
     caps = audit.provider_table(spark, (
         rules.Provider("click", 5.0, 0.0, 5.0), rules.Provider("view", 5.0, 5.0, 5.0), rules.Provider("purchase", 1.0, 0.0, 5.0, free=100, per_prompt=4.0)))
-    jobs.run_batches(jobs.monthly_quota(event_stream(spark, sf), caps), path, "update")
+    jobs.run_batches(jobs.monthly_quota(event_batches(spark, sf), caps), path, "update")
     return jobs.latest_rows(spark, path, ["provider", "month"])
 
 
@@ -60,13 +77,19 @@ def stream_daily_buckets(spark, sf):
 
 def stream_retention(spark, sf):
     path = run_dir(spark, "retention")
-    rows = event_stream(spark, sf).select(F.concat_ws("-", "entity", "provider").alias("key"), "at", "kind")
+    rows = event_batches(spark, sf).select(F.concat_ws("-", "entity", "provider").alias("key"), "at", "kind")
     jobs.retention(rows, path, "key", "at", 20)
     kept = audit.live_rows(jobs.read_rows(spark, path), "expires_at", F.lit(batch.NOW).cast("timestamp"))
     return kept.select("key", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "kind",
                        F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
 
 
+def stream_stage_changes(spark, sf):
+    path = run_dir(spark, "stages")
+    jobs.stage_changes(event_batches(spark, sf).select("entity", "kind", "status", "at", "seq"), path)
+    return jobs.read_rows(spark, path).select("entity", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "seq", "previous", "stage")
+
+
 def stream_page_candidates(spark, sf):
     path = run_dir(spark, "pages")
     schema = b.table(spark, sf, "pages").schema
@@ -93,7 +116,7 @@ def stream_document_changes(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     stream_first_events, stream_event_state, stream_quota, stream_daily_buckets, stream_retention,
-    stream_page_candidates, stream_document_changes,
+    stream_stage_changes, stream_page_candidates, stream_document_changes,
 )}
 
 ORACLE = {
@@ -105,6 +128,7 @@ FROM events JOIN (VALUES ('click', 1000), ('view', 2000), ('purchase', 150)) x(p
 SELECT CAST(d AS VARCHAR) AS day, bucket, count(*) AS n FROM e WHERE d + 1 <= (SELECT max(ts) - INTERVAL 36 HOUR FROM events) GROUP BY ALL""",
     "stream_retention": batch.retention_sql("""CASE event_type WHEN 'view' THEN 'explore' WHEN 'click' THEN 'fetch' WHEN 'purchase' THEN 'vet'
   WHEN 'signup' THEN 'discovery' ELSE 'check' END""", "kind"),
+    "stream_stage_changes": batch.ORACLE["stage_changes"],
     "stream_page_candidates": web.ORACLE["page_link_roles"],
     "stream_document_changes": document_plans.ORACLE["document_changes"],
 }
