@@ -22,8 +22,11 @@ COLUMNS = (
 SCOPE_KINDS = ("master_plan", "alp", "other")
 BANDS = ("declining", "growing", "maintaining")
 SUGGEST_LIMIT = 8
+MAX_HITS = 100
 SLUG_CHARS = 80
 GRAM = 3
+# Postings of a gram and group that a search confirms first.
+HEADS = 64
 
 
 def _record(**fields: Column) -> list[Column]:
@@ -136,58 +139,103 @@ def grams(hays: DataFrame, *columns: str) -> DataFrame:
     return long.select(*columns, F.explode(F.array(F.col("_run"), *heads, F.lit(""))).alias("gram"))
 
 
-def needle_hits(records: DataFrame, needles: DataFrame) -> DataFrame:
-    """Records (with `_hay`, the text searched) beside each needle they contain.
+# What a scope can tell records apart by: postings are kept per group of equal values.
+GROUP = ("type", "_shown", "outlook")
 
-    Equi joins only. The runs of the records that some needle holds are written once;
-    each needle takes the rarest of its runs there, and the records with that run are
-    its candidates. The pairs, which carry no text, then meet the records and are
-    confirmed. A needle shorter than GRAM is a run itself, and a needle with a run
-    that no record holds has no hit. The runs asked for are written first, so the
-    planner knows their size: while they are few, a record's other runs never leave
-    the task that made them. Any number of needles works.
-    """
-    own = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(
-        F.filter(runs(F.col("needle")), lambda g: F.length(g) == GRAM))
-    parts = cut(needles.select("needle", F.explode(own).alias("gram")))
-    asked = cut(parts.select("gram").distinct())
-    held = cut(grams(records.withColumn("_id", F.col("id")), "_id").join(asked, "gram", "left_semi"))
-    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
-    rated = parts.join(counts, "gram", "left").groupBy("needle").agg(
-        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_best"))
-    anchors = cut(rated.select("needle", F.col("_best.gram").alias("gram")))
-    pairs = held.join(anchors, "gram").select("_id", "needle").distinct()
-    return records.join(pairs, (F.col("id") == F.col("_id")) & F.contains(F.col("_hay"), F.col("needle"))).drop("_id")
 
+def postings(rows: DataFrame, needles: DataFrame) -> DataFrame:
+    """(gram, id, type, _shown, outlook, cls) of the grams that some needle holds.
 
-def search(records: DataFrame, queries: DataFrame, limit: int = SUGGEST_LIMIT) -> DataFrame:
-    """Case-insensitive substring search: the best `limit` records per query.
-
-    Queries: query_id, needle, scope (all, plans, projects) and outlook, as many as
-    there are. Hits are ranked in their task first, so only the best leave it.
-    Rank: key, title, text, summary, then id. An empty needle is in every record, a
-    null one in none.
+    `cls` is the best attribute a needle with that gram can have in the record: key,
+    title, or text and beyond. The grams asked for are written first, so the planner
+    knows their size: while they are few, a record's other grams never leave the task
+    that made them. Postings carry no text; those of grams shorter than GRAM may repeat,
+    which only makes a group look longer.
     """
-    asked = queries.select("query_id", F.lower("needle").alias("needle"), "scope", F.col("outlook").alias("_band"))
-    rows = records.select(
-        "id", "type", "title", "url", "kind", "outlook", "entity", "text",
-        F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))).alias("_hay"))
+    own = rows.withColumn("_key", F.lower("entity")).withColumn("_name", F.lower("title"))
+    best = F.when(v.yes(F.contains("_key", F.col("gram"))), 1).when(v.yes(F.contains("_name", F.col("gram"))), 2).otherwise(3)
+    asked = cut(needles.select("gram").distinct())
+    found = grams(own, "id", *GROUP, "_key", "_name").join(asked, "gram", "left_semi")
+    return found.select("gram", "id", *GROUP, best.alias("cls"))
 
-    def within(c: str) -> Column:
-        return v.yes(F.contains(F.lower(F.col(c)), F.col("needle")))
 
-    rank = F.when(within("entity"), 1).when(within("title"), 2).when(within("text"), 3).otherwise(4)
-    found = needle_hits(rows, asked.select("needle").distinct()).select(
-        "id", "type", "title", "url", "outlook", "needle", rank.alias("attribute"),
-        F.coalesce(v.first_text("kind"), F.col("type")).alias("_shown"))
+def in_scope() -> Column:
+    """Whether a record of a group belongs to a query's scope."""
     banded = F.coalesce("_band", F.lit("")) != ""
-    scoped = (
+    return (
         F.when(banded, (F.col("type") == "airport") & v.yes(F.col("outlook") == F.col("_band")))
         .when(F.col("scope") == "plans", F.col("_shown").isin(*SCOPE_KINDS))
         .when(F.col("scope") == "projects", F.col("type") == "funding").otherwise(F.lit(True)))
-    hits = found.join(asked, "needle").filter(scoped).select("query_id", "id", "type", "title", "url", "attribute")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("attribute", "id"))
-    return hits.withColumn("pos", place).filter(F.col("pos") <= limit)
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, id, type, title, url, attribute) of the pairs (query_id, needle, id) whose record holds the needle."""
+    # Written, so that the planner knows how few there are and texts need not be shuffled.
+    wanted = cut(pairs.select("query_id", "needle", F.col("id").alias("_id")).distinct())
+
+    def within(c: str) -> Column:
+        return v.yes(F.contains(F.lower(F.col(c)), F.col("needle")))
+
+    rank = F.when(within("entity"), 1).when(within("title"), 2).when(within("text"), 3).otherwise(4)
+    return rows.join(wanted, (F.col("id") == F.col("_id")) & F.contains(F.col("_hay"), F.col("needle"))).select(
+        "query_id", "id", "type", "title", "url", rank.alias("attribute"))
+
+
+def search(records: DataFrame, queries: DataFrame, limit: int = SUGGEST_LIMIT, offset: int = 0, heads: int = HEADS) -> DataFrame:
+    """Case-insensitive substring search: per query the hits after `offset`, at most `limit`, none beyond MAX_HITS.
+
+    Queries: query_id, needle, scope (all, plans, projects) and outlook, as many as
+    there are. Rank: key, title, text, summary, then id. An empty needle is in every
+    record, a null one in none.
+
+    Equi joins over postings only. Each needle takes its rarest gram; one shorter than a
+    gram is a gram itself. Of a gram's postings the first `heads` of every group come
+    first, in the order of the best attribute they can have. They are confirmed against
+    the records, and a query is done if its groups have no more or if its last wanted
+    hit ranks no later than all that was left out: so a needle that every record holds
+    costs its heads. Only the other queries, with a rare needle of common grams, meet
+    the rest of their postings, and of those only what can still enter the result.
+    """
+    last = min(offset + limit, MAX_HITS)
+    asked = queries.select("query_id", F.lower("needle").alias("needle"), "scope", F.col("outlook").alias("_band"))
+    rows = records.select(
+        "id", "type", "title", "url", "kind", "outlook", "entity", "text", F.coalesce(v.first_text("kind"), F.col("type")).alias("_shown"),
+        F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))).alias("_hay"))
+    own = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(
+        F.filter(runs(F.col("needle")), lambda g: F.length(g) == GRAM))
+    parts = cut(asked.select("needle").distinct().select("needle", F.explode(own).alias("gram")))
+    held = cut(postings(rows, parts))
+    groups = cut(held.groupBy("gram", *GROUP).agg(F.count(F.lit(1)).alias("n")))
+    counts = groups.groupBy("gram").agg(F.sum("n").alias("_n"))
+    rarest = parts.join(counts, "gram", "left").groupBy("needle").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_best"))
+    wanted = cut(asked.join(rarest.select("needle", F.col("_best.gram").alias("gram")), "needle"))
+
+    place = F.struct("cls", "id")
+    first = held.withColumn("_at", F.row_number().over(Window.partitionBy("gram", *GROUP).orderBy("cls", "id")))
+    head = cut(first.filter(F.col("_at") <= heads))
+    found = cut(confirmed(wanted.join(head, "gram").filter(in_scope()), rows))
+    best = F.struct(F.col("attribute").alias("cls"), "id")
+    # What is left out of a group ranks after its last head, and a query's last wanted hit is one row.
+    more = groups.filter(F.col("n") > heads)
+    ends = head.filter(F.col("_at") == heads).join(*_same(more, ("gram", *GROUP)), "left_semi").select(
+        "gram", *GROUP, place.alias("_end"))
+    bounds = wanted.join(ends, "gram").filter(in_scope()).groupBy("query_id").agg(F.min("_end").alias("_end"))
+    ranked = found.withColumn("_pos", F.row_number().over(Window.partitionBy("query_id").orderBy("attribute", "id")))
+    lasts = ranked.filter(F.col("_pos") == last).select("query_id", best.alias("_last"))
+    open_ = bounds.join(lasts, "query_id", "left").filter(F.col("_last").isNull() | (F.col("_last") > F.col("_end")))
+    left = wanted.join(cut(open_), "query_id").join(held, "gram").filter(
+        in_scope() & (F.col("_last").isNull() | (place < F.col("_last"))))
+    pairs = left.join(*_same(head, ("gram", "id", *GROUP)), "left_anti")
+    hits = found.unionByName(confirmed(pairs, rows))
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("attribute", "id"))
+    return hits.withColumn("pos", pos).filter((F.col("pos") <= last) & (F.col("pos") > offset))
+
+
+def _same(other: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Column]:
+    """A table to join by equal columns, nulls included, and the condition."""
+    renamed = other.select(*[F.col(c).alias(f"_on_{c}") for c in columns])
+    return renamed, v.all_of(*[F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in columns])
 
 
 # --- feeds and page dates -----------------------------------------------------------

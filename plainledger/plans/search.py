@@ -81,6 +81,11 @@ def search_scoped(spark, sf):
     return ops.search(cut(records(spark, sf)), queries(spark, sf)).select("query_id", "id", "attribute", "pos")
 
 
+def search_last_hits(spark, sf):
+    """The page of hits that the cap on all hits cuts short."""
+    return ops.search(cut(records(spark, sf)), queries(spark, sf), offset=96).select("query_id", "id", "attribute", "pos")
+
+
 def search_changed_documents(spark, sf):
     """Short documents changed: their old records go, their fresh ones carry a new stamp."""
     docs = documents(spark, sf).drop("text")
@@ -293,7 +298,7 @@ def sink_release_inventory(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    search_records, search_gate, search_scoped, search_changed_documents, search_missing_text, feed_items, feed_recent,
+    search_records, search_gate, search_scoped, search_last_hits, search_changed_documents, search_missing_text, feed_items, feed_recent,
     page_last_modified, query_texts_entity, query_texts_region, query_seed_steps, query_followups,
     value_texts, date_texts, source_csv_round_trip, source_json_lines, source_typed, source_sheet_rows, source_sheet_titles,
     source_listing_pages, source_workbooks, source_current_cycle, sink_bulk_export, sink_sorted_lines,
@@ -329,7 +334,7 @@ h AS (SELECT q.query_id, r.id, CASE WHEN contains(lower(coalesce(r.entity, '')),
   FROM records r JOIN q ON contains(lower(coalesce(title, '') || ' ' || coalesce(r.text, '')), nd)
    AND CASE WHEN ol <> '' THEN r.type = 'airport' AND coalesce(r.outlook = ol, false) WHEN scope = 'plans' THEN coalesce(r.kind, r.type) IN ('master_plan', 'alp', 'other') WHEN scope = 'projects' THEN r.type = 'funding' ELSE true END),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY attribute, id) AS pos FROM h)
-SELECT * FROM p WHERE pos <= 8""",
+SELECT * FROM p WHERE {{pos}}""",
     "search_changed_documents": f"""WITH {RECORDS_SQL}
 SELECT type, r.id, CASE WHEN d.id IS NULL THEN 'g1' ELSE 'g2' END AS _generation FROM records r LEFT JOIN docs d ON CAST(d.id AS VARCHAR) = document_id AND length(d.text) < 700""",
     "search_missing_text": f"""WITH {DOCS_SQL}
@@ -390,3 +395,5 @@ SELECT entity, query, step, pos FROM d WHERE pos <= 2""",
     "sink_idempotent_append": "SELECT user_id || ':' || event_type AS event_key, min(ts) AS at, arg_min(event_id, ts) AS event_id FROM events GROUP BY 1".replace(" AS at", ' AS "at"'),
     "sink_release_inventory": "SELECT 'half=false' AS folder, 'changed' AS state WHERE EXISTS (SELECT 1 FROM pages WHERE length(html) <= 2000)",
 }
+ORACLE["search_last_hits"] = ORACLE["search_scoped"].replace("{pos}", "pos BETWEEN 97 AND 100")
+ORACLE["search_scoped"] = ORACLE["search_scoped"].replace("{pos}", "pos <= 8")

@@ -109,3 +109,51 @@ def test_numbering_within_groups(spark):
     rows = spark.range(2000).select(F.col("id").alias("v"), (F.col("id") % 3).alias("g"))
     out = skew.ordered_position(rows, "v", within=["g"]).collect()
     assert all(r["position"] == r["v"] // 3 + 1 for r in out)
+
+
+def plain_search(records, needle, scope, band, low, high):
+    found = []
+    for r in records:
+        hay = ((r["title"] or "") + " " + (r["text"] or "")).lower()
+        shown = r["kind"] or r["type"]
+        if band:
+            fits = r["type"] == "airport" and r["outlook"] == band
+        else:
+            fits = shown in search.SCOPE_KINDS if scope == "plans" else r["type"] == "funding" if scope == "projects" else True
+        if fits and needle.lower() in hay:
+            rank = next((k for k, c in ((1, "entity"), (2, "title"), (3, "text")) if r[c] is not None and needle.lower() in r[c].lower()), 4)
+            found.append((rank, r["id"]))
+    return [(i, rank, pos) for pos, (rank, i) in enumerate(sorted(found), 1) if low < pos <= high]
+
+
+def test_search_stops_at_the_best_hits(spark, monkeypatch):
+    """A needle that all records hold confirms its heads only; rare needles of common grams meet the rest."""
+    import random
+
+    rnd = random.Random(6)
+    words = ["plan", "airport", "runway", "and", "The", "ann", "abab", "bab", "x"]
+    rows = []
+    for i in range(1500):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randint(2, 7))) + " common"
+        kind = rnd.choice(["airport", "funding", "document"])
+        rows.append((f"r{i:04}", kind, rnd.choice([None, "", "Plan x", "Title"]), f"/{i}", rnd.choice([None, "alp", "notice"]),
+                     rnd.choice([None, "growing"]), rnd.choice([None, str(i), "AN"]), None if i % 50 == 0 else text + (" zebra plan" if i == 1400 else "")))
+    schema = "id string, type string, title string, url string, kind string, outlook string, entity string, text string"
+    records = spark.createDataFrame(rows, schema)
+    needles = ["common", "plan", "an", "", "zebra plan", "abab bab", "nothing here", "PLAN X", "e c", "title "]
+    asked = [(f"{n}|{s}|{o}", n, s, o) for n in needles for s, o in (("all", ""), ("plans", ""), ("projects", ""), ("all", "growing"))]
+    asked.append(("null", None, "all", ""))
+    queries = spark.createDataFrame(asked, "query_id string, needle string, scope string, outlook string")
+    confirmed, pairs = search.confirmed, []
+    monkeypatch.setattr(search, "confirmed", lambda p, r: pairs.append(p) or confirmed(p, r))
+    plain = [dict(zip(schema.replace(" string", "").split(", "), r)) for r in rows]
+    for limit, offset, heads in ((8, 0, 10), (8, 96, 64), (200, 0, 5)):
+        pairs.clear()
+        got = search.search(records, queries, limit, offset, heads).collect()
+        want = {(q, *hit) for q, n, s, o in asked if n is not None for hit in plain_search(plain, n, s, o, offset, min(offset + limit, 100))}
+        assert {(r["query_id"], r["id"], r["attribute"], r["pos"]) for r in got} == want
+        if limit == 8 and not offset:
+            # A query confirms at most its heads in each of the 18 groups, and the common needle nothing beyond.
+            first = {r["query_id"]: r["count"] for r in pairs[0].groupBy("query_id").count().collect()}
+            assert max(first.values()) <= 18 * heads
+            assert not {"common|all|", "|all|"} & {r["query_id"] for r in pairs[1].select("query_id").distinct().collect()}
