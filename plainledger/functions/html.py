@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+from collections.abc import Iterator
+from html.entities import html5
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plainledger.functions.values import col
 
-# Named entities that are decoded; the ampersand comes last.
-ENTITIES = {
-    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•",
-    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
-    "&rdquo;": "”", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&deg;": "°",
-    "&times;": "×", "&euro;": "€", "&pound;": "£", "&sect;": "§", "&para;": "¶",
-}
+# A reference: a number, or a name that may lack its semicolon.
+REFERENCE = r"&(?:#\d{1,7};|#[xX][0-9A-Fa-f]{1,6};|[A-Za-z][A-Za-z0-9]{0,31};?)"
+# Names that HTML knows without a semicolon, the longest first.
+BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
 
 
 # Every blank a text may hold, hard and exotic ones included.
@@ -22,29 +23,33 @@ BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
 def decode_entities(text: Column | str) -> Column:
-    """Numeric entities and the named ones above."""
-    out = col(text)
-    out = F.when(out.contains("&#"), _numeric(out)).otherwise(out)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Numeric references and all names of HTML 5, in one pass.
+
+    A name without a semicolon counts as far as HTML knows it so: of `&notit;` the
+    longest known start, `&not`, is decoded. Anything else stays as it is.
+    """
+    whole = col(text)
+    found = F.regexp_extract_all(whole, F.lit(REFERENCE), F.lit(0))
+    between = F.split(whole, REFERENCE, -1)
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
 
+    def one(part: Column, reference: Column) -> Column:
+        exact = F.try_element_at(names, F.substring(reference, F.lit(2), F.length(reference)))
+        bare = F.regexp_extract(reference, "^&(" + "|".join(BARE_NAMES) + ")", 1)
+        rest = F.substring(reference, F.length(bare) + 2, F.length(reference))
+        named = F.when(exact.isNotNull(), exact).when(bare != "", F.concat(F.try_element_at(names, bare), rest)).otherwise(reference)
+        decoded = F.when(reference.startswith("&#"), _numeric(reference)).otherwise(named)
+        return F.concat(part, F.coalesce(decoded, F.lit("")))
 
-def _numeric(text: Column) -> Column:
-    parts = F.split(text, "&#")
-    head = F.element_at(parts, 1)
-    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.when(whole.contains("&"), F.array_join(F.zip_with(between, found, one), "")).otherwise(whole)
 
-    def one(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"^(\d{1,7});", 1)
-        hexed = F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
-        code = F.when(digits != "", digits.try_cast("long")).when(hexed != "", F.conv(hexed, 16, 10).try_cast("long"))
-        good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        tail = F.regexp_replace(part, r"^(?:\d{1,7}|[xX][0-9A-Fa-f]{1,6});", "")
-        return F.when(good, F.concat(char, tail)).otherwise(F.concat(F.lit("&#"), part))
 
-    return F.concat(head, F.array_join(F.transform(rest, one), ""))
+def _numeric(reference: Column) -> Column:
+    digits = F.regexp_extract(reference, r"^&#(\d+);", 1)
+    hexed = F.regexp_extract(reference, r"^&#[xX]([0-9A-Fa-f]+);", 1)
+    code = F.when(digits != "", digits.try_cast("long")).when(hexed != "", F.conv(hexed, 16, 10).try_cast("long"))
+    good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(reference)
 
 
 def clean_text(html: Column | str) -> Column:
@@ -88,27 +93,37 @@ def outlook_text(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(whole, r"(?U)(\w)-\s+", "$1"), BLANKS, " ")
 
 
-def text_chunks(text: Column | str, size: int = 24_000) -> Column:
-    """Windows of at most `size` characters as an array, cut at a blank if late enough.
+def cut_text(text: str | None, size: int) -> Iterator[str]:
+    """Pieces of at most `size` characters, cut at a blank if that is late enough.
 
-    Each step cuts one window off the rest; the number of steps follows from the
-    text's length, so no text is left over. A cut takes at least a quarter of a
-    window plus one character.
+    One walk over the text: each step looks at one window. A cut takes more than a
+    quarter of a window.
     """
-    whole = F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"[ \t]+", " "))
-    least = size // 4 + 1
-    steps = F.sequence(F.lit(0), F.ceil(F.length(whole) / least).cast("int"))
-    start = F.struct(whole.alias("rest"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, _: Column) -> Column:
-        rest = acc["rest"]
-        cut = F.substring(rest, 1, size)
-        at = F.length(cut) - F.instr(F.reverse(cut), " ")
-        spaced = cut.contains(" ") & (at > size // 4)
-        take = F.when(F.length(rest) <= size, rest).when(spaced, F.substring(cut, F.lit(1), at)).otherwise(cut)
-        left = F.ltrim(F.substring(rest, F.length(take) + 1, F.length(rest)))
-        return F.when(rest == "", acc).otherwise(
-            F.struct(left.alias("rest"), F.array_append(acc["out"], F.trim(take)).alias("out"))
-        )
-
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    whole = re.sub(r"[ \t]+", " ", text or "").strip(" ")
+    at = 0
+    while at < len(whole):
+        end = at + size
+        if end < len(whole):
+            blank = whole.rfind(" ", at, end)
+            if blank - at > size // 4:
+                end = blank
+        yield whole[at:end].strip(" ")
+        at = end
+        while at < len(whole) and whole[at] == " ":
+            at += 1
+
+
+@F.udtf(returnType="pos int, chunk string", useArrow=True)
+class TextChunks:
+    """Table function (text, size): the pieces of a text, numbered from 0."""
+
+    def eval(self, text: str, size: int):
+        yield from enumerate(cut_text(text, size))
+
+
+def text_chunks(docs: DataFrame, text: str, size: int = 24_000) -> DataFrame:
+    """`docs` without their text, beside (pos, chunk) of each piece of it; a blank text has none."""
+    spark = docs.sparkSession
+    spark.udtf.register("plainledger_text_chunks", TextChunks)
+    kept = ", ".join(f"d.`{c}`" for c in docs.columns if c != text)
+    return spark.sql(f"SELECT {kept}, c.pos, c.chunk FROM {{d}} AS d, LATERAL plainledger_text_chunks(d.`{text}`, {int(size)}) AS c", d=docs)

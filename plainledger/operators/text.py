@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -372,11 +373,21 @@ def merge_facts(facts: DataFrame, registry: DataFrame) -> DataFrame:
 
 # --- outlook -----------------------------------------------------------------
 
-def _guarded(pattern: str) -> str:
-    """A pattern that does not count where a negation stands shortly before it."""
+def signal_hits(text: Column, pattern: str, negatable: bool) -> Column:
+    """Matches of a pattern from left to right, none overlapping, that no negation precedes closely.
+
+    Every match is consumed, negated or not. Each comes with what stands before it, up
+    to the reach of a negation, in a group of a look-behind.
+    """
+    if not negatable:
+        return F.regexp_count(text, F.lit(f"(?i){pattern}"))
     reach = rules.NEGATION_REACH
-    words = "|".join(rf"\b{w}\b[\s\S]{{0,{reach - len(w)}}}" for w in rules.NEGATIONS)
-    return rf"(?i)(?=(?:{pattern}))(?<!(?:{words}))(?:{pattern})"
+    before = rf"(?<=(\A[\s\S]{{0,{reach - 1}}}|[\s\S]{{{reach}}}))"
+    own = re.compile(pattern).groups
+    # The pattern is tried first: it fails sooner than the look-behind.
+    found = F.regexp_extract_all(text, F.lit(f"(?i)(?=(?:{pattern})){before}(?:{pattern})"), F.lit(own + 1))
+    negated = rf"(?i)\b(?:{'|'.join(rules.NEGATIONS)})\b"
+    return F.size(F.filter(found, lambda c: ~c.rlike(negated)))
 
 
 def signal_scores(docs: DataFrame, text: str, pack: OutlookRules = OutlookRules(),
@@ -391,8 +402,7 @@ def signal_scores(docs: DataFrame, text: str, pack: OutlookRules = OutlookRules(
     staged = blob.withColumn("_best", F.array_join(_all(seen, pack.preferred, 0), " "))
 
     def hits(source: str, pattern: str, negatable: bool) -> Column:
-        full = _guarded(pattern) if negatable else f"(?i){pattern}"
-        return F.least(F.regexp_count(F.col(source), F.lit(full)), F.lit(rules.MAX_HITS))
+        return F.least(signal_hits(F.col(source), pattern, negatable), F.lit(rules.MAX_HITS))
 
     def score(group: str) -> Column:
         terms = [

@@ -11,6 +11,7 @@ from plainledger.operators import funding
 from plainledger.operators import text as ops
 from plainledger.plans import bindings as b
 from plainledger.plans.bindings import BLANKS_SQL, DOCS_SQL, GRANTS_SQL
+from plainledger.rules import text as rules
 from plainledger.rules.text import OutlookRules
 
 # Vocabulary of the invented prose, in place of the outlook vocabulary.
@@ -24,6 +25,16 @@ PROSE = OutlookRules(
 )
 
 
+# Signals of words that occur, with negations and with matches that overlap.
+NEGATABLE = OutlookRules(
+    signals=(
+        ("decline", r"(?:the|that) [a-z]+ (?:the|of)", 4, True), ("grow", r"of (?:the|that)", 3, True),
+        ("grow", r"de (?:la|l)", 2, True), ("hold", r"and", 2, False),
+    ),
+    preferred=r"(?is)ation.{0,90}",
+)
+
+
 def docs(spark, sf):
     rows = b.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return b.wide(rows, "doc_id")
@@ -77,7 +88,7 @@ def text_citations(spark, sf):
 
 
 def text_chunks(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(html.text_chunks("text", 2000)).alias("pos", "chunk"))
+    return html.text_chunks(docs(spark, sf).select("doc_id", "text"), "text", 2000)
 
 
 def described(spark, sf):
@@ -139,6 +150,16 @@ def outlook_scores(spark, sf):
         "doc_id", "decline", "grow", "hold", "t.*")
 
 
+def negated_docs(spark, sf):
+    """Documents whose frequent short words are negations."""
+    said = F.replace(F.replace("text", F.lit(" is "), F.lit(" is not ")), F.lit(" est "), F.lit(" never "))
+    return docs(spark, sf).select("doc_id", said.alias("text"))
+
+
+def outlook_negated(spark, sf):
+    return ops.signal_scores(negated_docs(spark, sf), "text", NEGATABLE).drop("text")
+
+
 def _outlooks(spark, sf):
     scored = ops.signal_scores(docs(spark, sf), "text", PROSE).select(
         F.col("source").alias("entity"), "n_chars", "doc_id", "decline", "grow", "hold")
@@ -187,7 +208,7 @@ def text_assertions(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     text_page_rows, text_page_routing, text_manifests, text_excerpts, text_word_pages, text_citations,
-    text_chunks, text_facts, registry_facts, text_merged_facts, outlook_scores, outlook_by_source,
+    text_chunks, text_facts, registry_facts, text_merged_facts, outlook_scores, outlook_negated, outlook_by_source,
     outlook_with_funding, outlook_entity_lists, text_assertions,
 )}
 
@@ -327,3 +348,28 @@ m AS (SELECT doc_id, 'seq' AS id, contains(' ' || tx || ' ', ' ' || sq || ' ') A
   UNION ALL SELECT doc_id, 'win', win <> '' AND contains(' ' || win || ' ', ' ' || se || ' ') FROM w)
 SELECT doc_id, id FROM m WHERE NOT ok""",
 }
+
+
+def _hits_sql(source: str, pattern: str, negatable: bool) -> str:
+    """Matches, each with the 48 characters before it: the pieces between matches put together again."""
+    if not negatable:
+        return f"least(len(regexp_extract_all({source}, '(?i){pattern}')), 2)"
+    pieces, found = f"string_split_regex({source}, '(?i){pattern}')", f"regexp_extract_all({source}, '(?i){pattern}')"
+    before = f"right(array_to_string(list_transform(range(1, i + 1), lambda j: {pieces}[j] || CASE WHEN j < i THEN {found}[j] ELSE '' END), ''), 48)"
+    words = "|".join(rules.NEGATIONS)
+    return f"least(len(list_filter(range(1, len({found}) + 1), lambda i: NOT regexp_matches({before}, '(?i)\\b(?:{words})\\b'))), 2)"
+
+
+def _negated_sql() -> str:
+    def score(group):
+        terms = [f"({_hits_sql('blob', p, n)} + {rules.PREFERRED_WEIGHT} * {_hits_sql('best', p, n)}) * {w}" for g, p, w, n in NEGATABLE.signals if g == group]
+        return f"CAST(CASE WHEN length(blob) < {rules.MIN_OUTLOOK_CHARS} THEN 0 ELSE {' + '.join(terms)} END AS BIGINT) AS {group}"
+
+    said = "replace(replace(text, ' is ', ' is not '), ' est ', ' never ')"
+    return f"""WITH documents2 AS (SELECT doc_id, {said} AS text FROM documents),
+bl AS (SELECT doc_id, {BLOB_SQL} AS blob FROM documents2),
+be AS (SELECT *, array_to_string(regexp_extract_all(blob, '{NEGATABLE.preferred}'), ' ') AS best FROM bl)
+SELECT doc_id, {score('decline')}, {score('grow')}, {score('hold')} FROM be"""
+
+
+ORACLE["outlook_negated"] = _negated_sql()

@@ -19,6 +19,14 @@ PAGE_RULES = LinkRules(
 )
 
 
+# Named references that the tables hold; the library decodes all names.
+TABLE_ENTITIES = {
+    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®",
+    "&middot;": "·", "&bull;": "•", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&deg;": "°", "&times;": "×",
+    "&euro;": "€", "&pound;": "£", "&sect;": "§",
+}
+
+
 def rewritten(rows):
     """Pages with some links turned into files, absolute links and mail links."""
     markup = F.regexp_replace("html", r'href="/([a-zA-Z]*e)"', r'href="../files/$1.pdf#page=2"')
@@ -189,7 +197,7 @@ URI = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)"
 
 
 def decode_sql(text: str) -> str:
-    for name, char in html.ENTITIES.items():
+    for name, char in TABLE_ENTITIES.items():
         shown = char.replace("'", "''")
         text = f"replace({text}, '{name}', '{shown}')"
     return f"replace({text}, '&amp;', '&')"

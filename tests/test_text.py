@@ -95,3 +95,84 @@ def test_assertions(spark):
             (57, "far", "window", ["131,003"], "city", 30)]
     asserted = spark.createDataFrame(rows, "page int, id string, kind string, terms array<string>, anchor string, max_characters int")
     assert sorted(r["id"] for r in ops.assertion_misses(pages, asserted, "page").collect()) == ["far", "fees"]
+
+
+def test_every_name_of_html(spark):
+    """All names of the HTML standard, with text around them, as Python's parser decodes them."""
+    import html as plain
+    from html.entities import html5
+
+    from plainledger.functions import html
+
+    texts = [f"x &{name} y&{name}z &amp;{name}" for name in html5] + [
+        "&notit; &notin; &copy2024 &ampamp; &unknown; && & &; &#65;&#x42; &#0; &#xD800; plain", "&CounterClockwiseContourIntegral;&x",
+        None, "", "&amp;lt; &#38;lt; &AMP;&amp", "a &ltb &gtc"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4)
+    got = {r["i"]: r["x"] for r in rows.select("i", html.decode_entities("t").alias("x")).collect()}
+    kept = {"&#0;": "\ufffd", "&#xD800;": "\ufffd"}
+    for i, text in enumerate(texts):
+        want = text if text is None else plain.unescape(text)
+        for reference, mark in kept.items():
+            if text and reference in text:
+                want = want.replace(mark, reference, 1)
+        assert got[i] == want, text
+
+
+def test_chunks_of_a_long_text(spark):
+    """Twenty million characters in linear time: nothing is lost, and twice the text takes no four times as long."""
+    import time
+
+    from plainledger.functions import html
+
+    def took(n):
+        started = time.perf_counter()
+        parts = list(html.cut_text("word and more " * (n // 14), 2000))
+        return time.perf_counter() - started, parts
+
+    short, _ = took(10_000_000)
+    long, parts = took(20_000_000)
+    assert long < 4 * short + 1 and " ".join(parts).split() == ["word", "and", "more"] * (20_000_000 // 14)
+    assert max(map(len, parts)) <= 2000
+    rows = [(1, "aaa bb  c\tdd " * 3, "k"), (2, None, "k"), (3, "  ", "k"), (4, "x" * 25, "k"), (5, "word and more " * 100_000, "k")]
+    df = spark.createDataFrame(rows, "id int, text string, chunk_of string")
+    got = html.text_chunks(df, "text", 10)
+    assert got.columns == ["id", "chunk_of", "pos", "chunk"]
+    found = {}
+    for r in got.orderBy("id", "pos").collect():
+        found.setdefault(r["id"], []).append(r["chunk"])
+    assert found[4] == ["x" * 10, "x" * 10, "x" * 5] and set(found) == {1, 4, 5}
+    assert found[1] == list(html.cut_text(rows[0][1], 10)) and all(len(c) <= 10 for c in found[1])
+    assert " ".join(found[5]).split() == rows[4][1].split()
+
+
+def test_signals_equal_a_plain_scan(spark):
+    """Overlapping, negated and capped hits, the default signals included, as a scan by hand counts them."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from plainledger.operators import text as ops
+    from plainledger.rules import text as rules
+
+    def scan(text, pattern, negatable):
+        n = 0
+        for match in re.finditer(f"(?i){pattern}", text):
+            before = text[max(0, match.start() - rules.NEGATION_REACH):match.start()]
+            n += not (negatable and re.search(rf"(?i)\b(?:{'|'.join(rules.NEGATIONS)})\b", before))
+        return n
+
+    rnd = random.Random(8)
+    words = ["not", "No", "cannot", "the", "airport", "close", "closing", "runway", "shorten", "reduced", "length", "expand",
+             "hangar", "development", "industrial", "surplus", "property", "ab", "aba", "x" * 20, "land", "release", "neither."]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60))) for _ in range(150)]
+    texts += ["no " + "y" * 45 + "close the airport", "no " + "y" * 46 + " close the airport", "not close airport closing", "abababa no ababa"]
+    signals = [(p, n) for _, p, _, n in rules.SIGNALS] + [("aba", True), ("(a)b(a)", True), ("aba", False), (r"airport clos\w+|closing the", True)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    columns = [ops.signal_hits(F.col("t"), p, n).alias(f"c{k}") for k, (p, n) in enumerate(signals)]
+    total = 0
+    for row in df.select("i", *columns).collect():
+        want = [scan(texts[row["i"]], p, n) for p, n in signals]
+        assert list(row)[1:] == want, texts[row["i"]]
+        total += sum(want)
+    assert total > 100
