@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plainledger.functions import dates
 from plainledger.functions import values as v
@@ -194,6 +195,18 @@ def source_json_lines(spark, sf):
     return parsed.select("event_id", "k", F.col(tables.BAD_LINE).alias("bad_line"))
 
 
+def source_bad_lines(spark, sf):
+    """Order lines as line JSON, a file per status, the largest quantities cut off: each with its file and line number."""
+    folder = run_dir(spark, "lines")
+    whole = F.to_json(F.struct("l_orderkey", "l_linenumber", "l_quantity"))
+    line = F.when(F.col("l_quantity") == 50, F.substring(whole, 1, 20)).otherwise(whole)
+    rows = b.table(spark, sf, "lineitem").select(F.concat_ws("", "l_returnflag", "l_linestatus").alias("status"), "l_orderkey", "l_linenumber", line.alias("value"))
+    rows.repartition("status").sortWithinPartitions("status", "l_orderkey", "l_linenumber").select("status", "value").write.partitionBy("status").text(folder)
+    schema = T.StructType.fromDDL("l_orderkey long, l_linenumber long, l_quantity double")
+    found = tables.read_jsonl(spark, f"{folder}/*", schema, "report").filter(F.col(tables.BAD_LINE).isNotNull())
+    return found.select(F.regexp_extract("_file", "status=([A-Z]+)", 1).alias("status"), F.col("_line").alias("line"), F.col(tables.BAD_LINE).alias("text"))
+
+
 def source_typed(spark, sf):
     rows = b.table(spark, sf, "orders").withColumn("level", b.level_of(F.col("o_orderpriority")))
     return tables.typed(rows, {"o_orderkey": "long", "level": "string", "programs": "array<string>", "o_totalprice": "decimal(12,2)"},
@@ -300,7 +313,7 @@ def sink_release_inventory(spark, sf):
 QUERIES = {f.__name__: f for f in (
     search_records, search_gate, search_scoped, search_last_hits, search_changed_documents, search_missing_text, feed_items, feed_recent,
     page_last_modified, query_texts_entity, query_texts_region, query_seed_steps, query_followups,
-    value_texts, date_texts, source_csv_round_trip, source_json_lines, source_typed, source_sheet_rows, source_sheet_titles,
+    value_texts, date_texts, source_csv_round_trip, source_json_lines, source_bad_lines, source_typed, source_sheet_rows, source_sheet_titles,
     source_listing_pages, source_workbooks, source_current_cycle, sink_bulk_export, sink_sorted_lines,
     sink_idempotent_append, sink_release_inventory,
 )}
@@ -397,3 +410,6 @@ SELECT entity, query, step, pos FROM d WHERE pos <= 2""",
 }
 ORACLE["search_last_hits"] = ORACLE["search_scoped"].replace("{pos}", "pos BETWEEN 97 AND 100")
 ORACLE["search_scoped"] = ORACLE["search_scoped"].replace("{pos}", "pos <= 8")
+ORACLE["source_bad_lines"] = """WITH l AS (SELECT l_returnflag || l_linestatus AS status, l_orderkey, l_linenumber, l_quantity,
+  row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_orderkey, l_linenumber) AS line FROM lineitem)
+SELECT status, line, substr('{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber, 1, 20) AS text FROM l WHERE l_quantity = 50"""

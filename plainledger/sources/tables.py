@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +27,32 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "fail") -> DataFrame:
-    """Line JSON: fail on a bad line, skip it, or report it with its file."""
-    reader = spark.read.option("mode", STRICT[mode])
+    """Line JSON: fail on a bad line, skip it, or report it with its file and line number."""
     if mode != "report":
-        return reader.schema(schema).json(path)
-    wide = T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
-    rows = reader.schema(wide).option("columnNameOfCorruptRecord", BAD_LINE).json(path)
-    return rows.withColumn("_file", F.input_file_name())
+        return spark.read.option("mode", STRICT[mode]).schema(schema).json(path)
+    full = T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
+    lines, before = _placed_lines(spark, path)
+    options = {"mode": STRICT[mode], "columnNameOfCorruptRecord": BAD_LINE}
+    rows = lines.filter(F.trim("value") != "").withColumn("_row", F.from_json("value", full, options))
+    # One row per block of a file, and a block is read by one task.
+    numbered = rows.join(before, (F.col("_file") == F.col("_of")) & (F.col("_block") == F.col("_start")))
+    return numbered.select("_row.*", "_file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("_line"))
+
+
+def _placed_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with their file, block and running id; and of each block its first id and the lines before it.
+
+    A file is split over tasks. Ids run on within a block, so lines are counted once per
+    block and a sum over a file's blocks in order gives each block's first line number.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(
+        F.col("_file").alias("_of"), F.col("_block").alias("_start"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return lines, before
 
 
 def parse_json_lines(df: DataFrame, column: str, schema: str, mode: str = "skip") -> DataFrame:

@@ -114,3 +114,30 @@ def test_scope():
 def test_truthy_and_percent(one):
     assert one(v.percent(F.lit(5), F.lit(40))) == 12
     assert one(v.percent(F.lit(5), F.lit(0))) == 0
+
+
+def test_bad_lines_of_a_split_file(spark, tmp_path):
+    """Files of many splits, blank lines and line ends of both kinds: each bad line has its own number."""
+    from pyspark.sql import types as T
+
+    want = set()
+    for name in ("one", "two"):
+        lines = []
+        for i in range(1, 4001):
+            bad, blank = i % 371 == 5, i % 100 == 0
+            lines.append("" if blank else f'{{"k": {i}' if bad else f'{{"k": {i}, "t": "{"x" * (i % 50)}"}}')
+            if bad and not blank:
+                want.add((name, i, lines[-1]))
+        (tmp_path / f"{name}.json").write_bytes(("\r\n" if name == "two" else "\n").join(lines).encode())
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "5000")
+    try:
+        rows = tables.read_jsonl(spark, str(tmp_path), T.StructType.fromDDL("k long, t string"), "report")
+        assert rows.rdd.getNumPartitions() >= 1 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = rows.collect()
+    finally:
+        spark.conf.set(key, old)
+    bad = {(r["_file"].rsplit("/", 1)[1][:3], r["_line"], r[tables.BAD_LINE]) for r in got if r[tables.BAD_LINE] is not None}
+    assert bad == want
+    assert all(r["_line"] == r["k"] for r in got if r[tables.BAD_LINE] is None) and len(got) == 2 * 3960
