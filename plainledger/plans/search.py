@@ -200,8 +200,8 @@ def source_bad_lines(spark, sf):
     folder = run_dir(spark, "lines")
     whole = F.to_json(F.struct("l_orderkey", "l_linenumber", "l_quantity"))
     line = F.when(F.col("l_quantity") == 50, F.substring(whole, 1, 20)).otherwise(whole)
-    rows = b.table(spark, sf, "lineitem").select(F.concat_ws("", "l_returnflag", "l_linestatus").alias("status"), "l_orderkey", "l_linenumber", line.alias("value"))
-    rows.repartition("status").sortWithinPartitions("status", "l_orderkey", "l_linenumber").select("status", "value").write.partitionBy("status").text(folder)
+    rows = b.table(spark, sf, "lineitem").select(F.concat_ws("", "l_returnflag", "l_linestatus").alias("status"), "l_orderkey", "l_linenumber", "l_quantity", line.alias("value"))
+    rows.repartition("status").sortWithinPartitions("status", "l_orderkey", "l_linenumber", "l_quantity").select("status", "value").write.partitionBy("status").text(folder)
     schema = T.StructType.fromDDL("l_orderkey long, l_linenumber long, l_quantity double")
     found = tables.read_jsonl(spark, f"{folder}/*", schema, "report").filter(F.col(tables.BAD_LINE).isNotNull())
     return found.select(F.regexp_extract("_file", "status=([A-Z]+)", 1).alias("status"), F.col("_line").alias("line"), F.col(tables.BAD_LINE).alias("text"))
@@ -411,5 +411,5 @@ SELECT entity, query, step, pos FROM d WHERE pos <= 2""",
 ORACLE["search_last_hits"] = ORACLE["search_scoped"].replace("{pos}", "pos BETWEEN 97 AND 100")
 ORACLE["search_scoped"] = ORACLE["search_scoped"].replace("{pos}", "pos <= 8")
 ORACLE["source_bad_lines"] = """WITH l AS (SELECT l_returnflag || l_linestatus AS status, l_orderkey, l_linenumber, l_quantity,
-  row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_orderkey, l_linenumber) AS line FROM lineitem)
+  row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_orderkey, l_linenumber, l_quantity) AS line FROM lineitem)
 SELECT status, line, substr('{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber, 1, 20) AS text FROM l WHERE l_quantity = 50"""
