@@ -36,14 +36,45 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.full(shards, rows // shards, dtype=np.int64) + (np.arange(shards) < rows % shards)
 
 
+# Totals that numpy's own draws take.
+PLAIN_TOTAL = 1_000_000_000
+
+
+def hypergeometric(dice: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of `drawn` rows out of good + bad are good ones, for totals of any size.
+
+    Inversion over the probabilities around the mode, each from the one next to it by
+    their exact ratio; beyond 40 standard deviations they are far below the last bit.
+    """
+    low, high = max(0, drawn - bad), min(good, drawn)
+    total = good + bad
+    if low == high:
+        return low
+    mode = min(high, max(low, (drawn + 1) * (good + 1) // (total + 2)))
+    spread = 40 * (1 + math.isqrt(drawn * good // total * bad // total))
+    up = np.arange(mode, min(high, mode + spread), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - spread), -1, dtype=np.float64)
+    rising = np.cumprod((good - up) * (drawn - up) / ((up + 1) * (bad - drawn + up + 1)))
+    falling = np.cumprod(down * (bad - drawn + down) / ((good - down + 1) * (drawn - down + 1)))
+    sums = np.cumsum(np.concatenate([falling[::-1], [1.0], rising]))
+    return mode - len(falling) + int(np.searchsorted(sums, dice.random() * sums[-1], side="right"))
+
+
 def communication(blocks: list[int], shards: int, seed: int) -> np.ndarray:
     """Rows of each block that go to each shard; both margins are exact."""
     left = shard_sizes(sum(blocks), shards)
     dice = np.random.Generator(np.random.Philox(seed))
     out = np.zeros((len(blocks), shards), dtype=np.int64)
     for k, size in enumerate(blocks):
-        # The marginal method is exact for any totals.
-        out[k] = dice.multivariate_hypergeometric(left, size, method="marginals")
+        if left.sum() < PLAIN_TOTAL:
+            out[k] = dice.multivariate_hypergeometric(left, size, method="marginals")
+        else:
+            # One shard after the other, out of what the later ones hold.
+            others, wanted = int(left.sum()), size
+            for j, own in enumerate(left.tolist()):
+                others -= own
+                out[k, j] = hypergeometric(dice, own, others, wanted) if others else wanted
+                wanted -= int(out[k, j])
         left -= out[k]
     return out
 
