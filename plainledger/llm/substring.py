@@ -1,15 +1,14 @@
-"""Repeated word windows by relative Lempel-Ziv parsing against the whole corpus.
-
-Every document is a reference for all others. Its index blocks are chosen by content:
-each window of `WINDOW` words is filed under the smallest hash among its `BLOCK`-word
-blocks, so equal windows anywhere are filed under the same block, and neighbouring
-windows mostly share one. A block held by a single document cannot match. The windows
-filed under blocks that several documents hold (or one document repeatedly) are looked
-up by their own 128-bit hash, which gives each window sequence the first document and
-place where it starts. A document is then parsed greedily from left to right: a factor
-starts at a word whose window starts earlier elsewhere and runs on while each next
-window does, also across the border where another reference takes over; its words are
-the duplicate span. Windows are judged on the input, never on what is left.
+"""Repeated word windows by hashes of windows, filed under blocks chosen by content.
+
+This stands in for a relative Lempel-Ziv parse: no factor is extended against a
+reference block. Each window of `WINDOW` words is filed under the smallest hash among its
+`BLOCK`-word blocks, so equal windows anywhere are filed under the same block, and
+neighbouring windows mostly share one. A block held by a single document cannot match.
+The windows filed under blocks that several documents hold (or one document repeatedly)
+are looked up by two 64-bit hashes, which give each window sequence the first document and
+place where it starts; both rest on one 64-bit hash per word. A document's marked windows
+are merged into spans from left to right; a span is a duplicate. Windows are judged on the
+input, never on what is left.
 
 A document whose whole text an earlier one has repeats it in one factor; it is marked
 by two 64-bit hashes of the text and files no blocks.
