@@ -14,6 +14,8 @@ from plainledger.functions.values import col
 
 # A reference: a number, or a name that may lack its semicolon.
 REFERENCE = r"&(?:#\d{1,7};|#[xX][0-9A-Fa-f]{1,6};|[A-Za-z][A-Za-z0-9]{0,31};?)"
+# Names that most pages use, looked at before the whole table.
+FREQUENT = ("amp;", "nbsp;", "lt;", "gt;", "quot;", "copy;", "mdash;", "ndash;")
 # Names that HTML knows without a semicolon, the longest first.
 BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
 
@@ -28,9 +30,6 @@ def decode_entities(text: Column | str) -> Column:
     A name without a semicolon counts as far as HTML knows it so: of `&notit;` the
     longest known start, `&not`, is decoded. Anything else stays as it is.
     """
-    whole = col(text)
-    found = F.regexp_extract_all(whole, F.lit(REFERENCE), F.lit(0))
-    between = F.split(whole, REFERENCE, -1)
     names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
 
     def one(part: Column, reference: Column) -> Column:
@@ -38,10 +37,19 @@ def decode_entities(text: Column | str) -> Column:
         bare = F.regexp_extract(reference, "^&(" + "|".join(BARE_NAMES) + ")", 1)
         rest = F.substring(reference, F.length(bare) + 2, F.length(reference))
         named = F.when(exact.isNotNull(), exact).when(bare != "", F.concat(F.try_element_at(names, bare), rest)).otherwise(reference)
-        decoded = F.when(reference.startswith("&#"), _numeric(reference)).otherwise(named)
+        decoded = F.when(reference.startswith("&#"), _numeric(reference))
+        for name in FREQUENT:
+            decoded = decoded.when(reference == f"&{name}", html5[name])
+        decoded = decoded.otherwise(named)
         return F.concat(part, F.coalesce(decoded, F.lit("")))
 
-    return F.when(whole.contains("&"), F.array_join(F.zip_with(between, found, one), "")).otherwise(whole)
+    def decode(whole: Column) -> Column:
+        found = F.regexp_extract_all(whole, F.lit(REFERENCE), F.lit(0))
+        between = F.split(whole, REFERENCE, -1)
+        return F.when(whole.contains("&"), F.array_join(F.zip_with(between, found, one), "")).otherwise(whole)
+
+    # An array of one, so that a text that takes work to make is made once.
+    return F.element_at(F.transform(F.array(col(text)), decode), 1)
 
 
 def _numeric(reference: Column) -> Column:
