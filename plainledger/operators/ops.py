@@ -83,6 +83,17 @@ def recent(events: DataFrame, seq: str, limit: int, condition: Column | None = N
     return chosen.orderBy(F.col(seq).desc()).limit(limit)
 
 
+def review_list(docs: DataFrame, review: str | None, limit: int | None = None, key: str = "id") -> DataFrame:
+    """Documents of a review status (blank: of any) by key, with `n`, the number that match.
+
+    The limit is held between 1 and MAX_LISTED; without one it is LISTED.
+    """
+    shown = rules.LISTED if limit is None else max(1, min(limit, rules.MAX_LISTED))
+    chosen = docs.filter(F.col("review_status") == review) if (review or "").strip() else docs
+    # A single row of totals.
+    return chosen.orderBy(key).limit(shown).join(F.broadcast(chosen.agg(F.count(F.lit(1)).alias("n"))))
+
+
 def live_rows(df: DataFrame, expires: str, now: Column) -> DataFrame:
     """Rows not yet expired; a row without expiry stays."""
     return df.filter(F.col(expires).isNull() | (F.col(expires) > now))
@@ -512,11 +523,12 @@ def stale_keys(rows: DataFrame, stale: Column, empty: Column, limit: int = 200)
     return top.join(counts, "fault")
 
 
-def catalogue_counts(entities: DataFrame, docs: DataFrame, grants: DataFrame, stages: DataFrame) -> DataFrame:
+def catalogue_counts(entities: DataFrame, docs: DataFrame, grants: DataFrame, stages: DataFrame,
+                     regions: DataFrame, budgets: DataFrame, jobs: DataFrame) -> DataFrame:
     """Headline figures of the whole catalogue in one row.
 
-    Each table is read once into a single-row aggregate; the rows are put side by
-    side, so no side of these joins is larger than one row.
+    Budgets: region, total. Each table is read once into a single-row aggregate; the
+    rows are put side by side, so no side of these joins is larger than one row.
     """
     status = doc.best_completeness(entities, docs)
     per_status = status.agg(
@@ -526,6 +538,7 @@ def catalogue_counts(entities: DataFrame, docs: DataFrame, grants: DataFrame, st
     per_docs = docs.agg(
         F.count_if(seen).alias("documents_listed"),
         F.count_if(seen & (F.col("completeness") == "complete")).alias("documents_complete"),
+        F.count_if(seen & (F.col("completeness") == "complete")).alias("saved_copies"),
         F.count_if(seen & (F.col("completeness") == "link_only")).alias("documents_link_only"),
         F.count_if(seen & F.col("kind").isin("statute", "sasp")).alias("statutes"),
         F.countDistinct(F.when(seen & (F.col("kind") == "master_plan"), F.col("entity"))).alias("entities_with_master_plan"),
@@ -541,9 +554,14 @@ def catalogue_counts(entities: DataFrame, docs: DataFrame, grants: DataFrame, st
     per_stage = stages.agg(
         F.sum("n").alias("_stages"),
         F.sum(F.when(F.col("stage") == "untouched", F.col("n")).otherwise(0)).alias("_untouched"),
-        F.sum(F.when(F.col("stage") == "snapshot_pending", F.col("n")).otherwise(0)).alias("snapshot_pending"))
-    one = per_status
-    for other in (per_docs, per_grants, per_stage):
+        F.sum(F.when(F.col("stage") == "snapshot_pending", F.col("n")).otherwise(0)).alias("snapshot_pending"),
+        F.sum(F.when(F.col("stage").isin("searched", "explored"), F.col("n")).otherwise(0)).alias("searched"))
+    per_budget = budgets.agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("funding_state_budget_total"),
+        F.countDistinct("region").alias("funding_states_with_budgets"))
+    per_job = jobs.agg(*[F.count_if(F.col("state") == s).alias(f"queue_{s}") for s in ("pending", "active")])
+    one = per_status.withColumn("entities_with_plans", F.col("entities_complete"))
+    for other in (per_docs, per_grants, per_stage, regions.agg(F.count(F.lit(1)).alias("states")), per_budget, per_job):
         one = one.join(F.broadcast(other))
 
     def share(part: Column, whole: Column) -> Column:
@@ -556,20 +574,67 @@ def catalogue_counts(entities: DataFrame, docs: DataFrame, grants: DataFrame, st
         .drop("_stages", "_untouched"))
 
 
-def snapshot_report(jobs: DataFrame, stages: DataFrame, status: DataFrame, live_rejects: DataFrame) -> DataFrame:
-    """One status row: job counts, coverage counts, last job, live rejects."""
+def first_jobs(jobs: DataFrame, limit: int = rules.SHOWN_JOBS) -> DataFrame:
+    """One row with the first jobs in order as an array; no longer than the limit."""
+    top = jobs.orderBy("seq").limit(limit)
+    return top.agg(F.array_sort(F.collect_list(F.struct("seq", "id", "entity"))).alias("jobs"))
+
+
+def snapshot_report(jobs: DataFrame, stages: DataFrame, status: DataFrame, live_rejects: DataFrame,
+                    scoped: DataFrame) -> DataFrame:
+    """One status row: job counts, active and next jobs, scope, coverage, last job, live rejects.
+
+    Of the active jobs the first SHOWN_JOBS are named, `jobs_active` counts them all; the
+    next jobs are the first pending ones, one per entity (`next_per_entity`). Scoped: the
+    entities in the search scope.
+    """
     counts = jobs.agg(*[F.count_if(F.col("state") == s).alias(f"jobs_{s}") for s in ("pending", "active", "succeeded", "failed")])
     cover = stages.agg(*[
         F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("n"))), F.lit(0)).alias(f"stage_{s}") for s in rules.STAGES])
     last = status.agg(F.max(F.struct(F.col("last_job_at").alias("at"), "entity", F.col("last_job_kind").alias("kind"), F.col("last_job_status").alias("status"))).alias("_l"))
     last = last.select(*[F.col(f"_l.{c}").alias(f"last_job_{c}") for c in ("at", "entity", "kind", "status")])
     gone = live_rejects.agg(F.count(F.lit(1)).alias("live_rejects"))
+    waiting = jobs.filter("state = 'pending'").select("entity", "id", "seq")
+    following = first_jobs(next_per_entity(waiting, "seq", rules.SHOWN_JOBS)).withColumnRenamed("jobs", "next_jobs")
+    running = first_jobs(jobs.filter("state = 'active'")).withColumnRenamed("jobs", "active_jobs")
+    wide = scoped.agg(F.count(F.lit(1)).alias("scoped_entities"))
     out = counts
-    for one_row in (cover, last, gone):
+    for one_row in (cover, last, gone, following, running, wide):
         out = out.join(F.broadcast(one_row))
     return out
 
 
+def kinds_in(state: str) -> Column:
+    """Aggregate: kinds of the jobs in a state, in order; kinds are few."""
+    return F.array_sort(F.collect_set(F.when(F.col("state") == state, F.col("kind"))))
+
+
+def health_report(jobs: DataFrame, datasets: DataFrame, requires: Sequence[str], critical: str,
+                  worker_log: DataFrame, live_rejects: DataFrame) -> DataFrame:
+    """One row: whether the next search can run, what blocks it, and how the worker does.
+
+    Jobs: state, kind. Datasets as in `readiness`. The search needs the datasets
+    `requires`; a fault of the dataset `critical` blocks as well, named once. The worker
+    is wedged when jobs are active, none waits and its log has no line.
+    """
+    spark = jobs.sparkSession
+    job = spark.createDataFrame([("search", list(requires))], "job string, requires array<string>")
+    ready = readiness(job, datasets).select(F.col("ready").alias("search_ready"), F.col("reason").alias("detail"))
+    one = spark.createDataFrame([(critical,)], "name string").join(datasets, "name", "left").select(dataset_fault().alias("_critical"))
+    queue = jobs.agg(
+        F.count_if(F.col("state") == "pending").alias("pending"), F.count_if(F.col("state") == "active").alias("active"),
+        kinds_in("pending").alias("pending_kinds"), kinds_in("active").alias("active_kinds"))
+    out = ready
+    for row in (one, queue, worker_log.agg(F.count(F.lit(1)).alias("worker_lines")), live_rejects.agg(F.count(F.lit(1)).alias("live_rejects"))):
+        out = out.join(F.broadcast(row))
+    wedged = (F.col("active") > 0) & (F.col("pending") == 0) & (F.col("worker_lines") == 0)
+    return (
+        out.withColumn("blocking", F.array_distinct(F.array_compact(F.array("detail", "_critical"))))
+        .withColumn("worker_ok", ~wedged)
+        .withColumn("worker_detail", F.when(wedged, rules.WEDGED))
+        .withColumn("ok", F.col("search_ready") & F.col("worker_ok")).drop("_critical"))
+
+
 def spot_check(grants: DataFrame) -> DataFrame:
     """Rows a model put in the other category, for a human look."""
     return grants.filter((F.col("spend_classifier") == "llm") & (F.col("spend_category") == "other"))

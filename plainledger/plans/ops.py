@@ -49,6 +49,17 @@ def outcome_recent(spark, sf):
     return ops.recent(bucketed(spark, sf), "event_id", 200, F.col("bucket") == "failed").select("event_id", "at", "entity")
 
 
+def classification_recent(spark, sf):
+    """The last classifications, with what they say."""
+    return ops.recent(classified(spark, sf), "event_id", rules.RECENT_CLASSIFICATIONS).select(
+        "event_id", "evaluation", "category", "classifier")
+
+
+def review_documents(spark, sf):
+    """Pending documents, more asked for than are ever shown."""
+    return ops.review_list(b.documents(spark, sf).drop("text"), "pending", 5000).select("id", "kind", "n")
+
+
 def outcome_compact(spark, sf):
     rows = bucketed(spark, sf).select(
         F.col("event_id").alias("id"), "bucket", "job_status", F.coalesce("review_status", F.lit("")).alias("review_status"),
@@ -56,11 +67,25 @@ def outcome_compact(spark, sf):
     return ops.compact(rows, rules.OUTCOME_COLUMNS, "gold", ["confirm"]).select("id", "compact")
 
 
-def classification_stats(spark, sf):
+def reject_compact(spark, sf):
+    """Events as rejected files: blank fields, a zero size and a body that may not be shown."""
     rows = events(spark, sf).select(
-        "at", F.col("event_type").alias("evaluation"), F.when(F.col("value") > 10, "high").otherwise("low").alias("category"),
+        "event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), F.sha2("props", 256).alias("sha256"),
+        F.when(F.col("value") > 20, ".pdf").otherwise("").alias("suffix"),
+        F.when(F.col("event_type") == "view", 0).otherwise(F.col("entity")).alias("bytes"),
+        (F.col("value") > 50).alias("stored"), F.col("job_status").alias("reason"), F.col("props").alias("body"),
+        F.col("props").alias("excerpt"), F.when(F.col("event_type") == "error", 404).alias("http_status"))
+    return ops.compact(rows, rules.REJECT_COLUMNS).select("event_id", "compact")
+
+
+def classified(spark, sf):
+    return events(spark, sf).select(
+        "event_id", "at", F.col("event_type").alias("evaluation"), F.when(F.col("value") > 10, "high").otherwise("low").alias("category"),
         F.when(F.col("value") > 30, "llm").otherwise("rules").alias("classifier"))
-    return ops.classification_stats(rows, "2024-01")
+
+
+def classification_stats(spark, sf):
+    return ops.classification_stats(classified(spark, sf), "2024-01")
 
 
 def audit_log(spark, sf):
@@ -179,17 +204,21 @@ def quota_rate_limits(spark, sf):
         "o_orderkey", "w.limit", "w.remaining", "w.used", F.col("w.reset").alias("reset_seconds"))
 
 
-def dataset_readiness(spark, sf):
-    """Nations as datasets, each depending on its region's first one; customers as jobs."""
+def datasets(spark, sf):
+    """Nations as datasets, each depending on its region's first one."""
     kind = F.col("n_nationkey")
-    sets = b.table(spark, sf, "nation").select(
+    return b.table(spark, sf, "nation").select(
         F.col("n_name").alias("name"),
         F.when(kind > F.col("n_regionkey"), F.array(F.concat(F.lit("NATION_"), "n_regionkey"))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
         F.when(kind == 3, "failed").when(kind == 8, "building").when(kind == 9, "stale").when(kind == 11, "missing").otherwise("ready").alias("status"),
         (kind != 12).alias("available"), F.when(kind == 14, False).alias("healthy"), F.when(kind == 3, "disk").alias("error"))
+
+
+def dataset_readiness(spark, sf):
+    """Datasets that customers, as jobs, ask for."""
     wanted = b.entities(spark, sf).select(
         F.col("key").alias("job"), F.array(F.concat(F.lit("NATION_"), "region"), F.when(F.col("balance") < 500, "NATION_9").otherwise("NATION_0")).alias("requires"))
-    return ops.readiness(wanted, sets, allow_stale=False)
+    return ops.readiness(wanted, datasets(spark, sf), allow_stale=False)
 
 
 def link_checks(spark, sf):
@@ -234,15 +263,40 @@ def stale_entities(spark, sf):
 
 
 def catalogue_counts(spark, sf):
+    """Every supplier is a budget of its nation; one below zero has no total."""
+    amount = v.half_even("s_acctbal")
+    budgets = b.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("region"), F.when(amount >= 0, amount).alias("total"))
     return ops.catalogue_counts(
-        b.entities(spark, sf), numbered_docs(spark, sf), b.grants(spark, sf, outlays=False), ops.stage_counts(staged(spark, sf)))
+        b.entities(spark, sf), numbered_docs(spark, sf), b.grants(spark, sf, outlays=False), ops.stage_counts(staged(spark, sf)),
+        b.table(spark, sf, "nation"), budgets, jobs(spark, sf))
 
 
-def snapshot_report(spark, sf):
+def gone_files(spark, sf):
     rows = events(spark, sf).select(F.col("entity").alias("key"), "at", "event_type")
-    live = ops.live_rows(ops.first_seen_retention(rows, "key", "at", 24), "expires_at", now())
-    out = ops.snapshot_report(jobs(spark, sf), ops.stage_counts(staged(spark, sf)), ops.latest_status(status_events(spark, sf)), live)
-    return out.withColumn("last_job_at", F.date_format("last_job_at", "yyyy-MM-dd HH:mm:ss"))
+    return ops.live_rows(ops.first_seen_retention(rows, "key", "at", 24), "expires_at", now())
+
+
+def job_ids(rows):
+    """Jobs of an array in order, as one text."""
+    return F.array_join(F.transform(rows, lambda j: F.concat_ws(":", j["id"], j["entity"])), " ")
+
+
+def snapshot_report(spark, sf):
+    scoped = b.entities(spark, sf).filter(F.col("city") == "BUILDING")
+    out = ops.snapshot_report(
+        jobs(spark, sf), ops.stage_counts(staged(spark, sf)), ops.latest_status(status_events(spark, sf)), gone_files(spark, sf), scoped)
+    return out.withColumns({
+        "last_job_at": F.date_format("last_job_at", "yyyy-MM-dd HH:mm:ss"), "next_jobs": job_ids("next_jobs"),
+        "active_jobs": job_ids("active_jobs")})
+
+
+def health_report(spark, sf):
+    """Orders as jobs, their priority as kind; errors are the worker's log."""
+    kinds = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"))
+    rows = jobs(spark, sf).join(kinds, "id")
+    log = events(spark, sf).filter("event_type = 'error'")
+    out = ops.health_report(rows, datasets(spark, sf), ["NATION_7", "NATION_4"], "NATION_12", log, gone_files(spark, sf))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("blocking", "pending_kinds", "active_kinds")})
 
 
 def spend_spot_check(spark, sf):
@@ -254,6 +308,7 @@ def spend_spot_check(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     outcome_buckets, outcome_stats, outcome_last, outcome_recent, outcome_compact, classification_stats,
+    classification_recent, review_documents, reject_compact, health_report,
     audit_log, retention_live, status_latest, stage_changes, coverage_stages, coverage_counts, work_ranking, jobs_next,
     jobs_per_entity, job_batches, job_rotation, quota_meter, quota_rate_limits, dataset_readiness,
     link_patches, link_recovery, link_due, document_profile, stale_entities, catalogue_counts,
@@ -311,6 +366,8 @@ LINKS_SQL = DOCS_SQL + """,
 pr AS (SELECT *, CASE WHEN length(text) < 600 THEN 'dead' WHEN length(text) < 1000 THEN 'error' WHEN length(text) > 2000 THEN 'live' WHEN length(text) > 1500 THEN 'moved' ELSE 'live' END AS st,
    CASE WHEN length(text) > 2000 THEN source_url || '/' WHEN length(text) > 1500 THEN 'https://new.example.org/' || id ELSE source_url END AS fin FROM docs)"""
 
+GONE_SQL = """f AS (SELECT entity, min("at") AS "at" FROM ev GROUP BY 1 UNION ALL SELECT f.entity, min(ev."at") FROM f JOIN ev ON ev.entity = f.entity AND ev."at" >= f."at" + INTERVAL 24 DAY GROUP BY f.entity, f."at")"""
+
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -332,6 +389,12 @@ SELECT * FROM r WHERE pos <= CASE bucket WHEN 'accepted' THEN 20 ELSE 80 END""",
     "outcome_recent": f"""WITH {EVENTS_SQL} SELECT event_id, "at", entity FROM bu WHERE bucket = 'failed' ORDER BY event_id DESC LIMIT 200""",
     "outcome_compact": f"""WITH {EVENTS_SQL}
 SELECT event_id AS id, '{{"bucket":"' || bucket || '","id":' || event_id || coalesce(',"job_status":"' || job_status || '"', '') || coalesce(',"review_status":"' || review_status || '"', '') || ',"gold":{{"confirm":true}}}}' AS compact FROM bu""",
+    "classification_recent": f"""WITH {EVENTS_SQL} SELECT event_id, event_type AS evaluation, CASE WHEN value > 10 THEN 'high' ELSE 'low' END AS category, CASE WHEN value > 30 THEN 'llm' ELSE 'rules' END AS classifier
+FROM ev ORDER BY event_id DESC LIMIT 50""",
+    "review_documents": f"""WITH {DOCS_SQL} SELECT id, kind, (SELECT count(*) FROM docs WHERE review_status = 'pending') AS n FROM docs WHERE review_status = 'pending' ORDER BY id LIMIT 2000""",
+    "reject_compact": f"""WITH {EVENTS_SQL}
+SELECT event_id, '{{"at":"' || {TS.format('"at"')} || '","sha256":"' || sha256(props) || '"' || CASE WHEN value > 20 THEN ',"suffix":".pdf"' ELSE '' END || ',"bytes":' || CASE event_type WHEN 'view' THEN 0 ELSE entity END ||
+  ',"stored":' || (value > 50) || coalesce(',"reason":"' || job_status || '"', '') || CASE event_type WHEN 'error' THEN ',"http_status":404' ELSE '' END || '}}' AS compact FROM ev""",
     "classification_stats": f"""WITH {EVENTS_SQL}, c AS (SELECT "at", event_type AS evaluation, CASE WHEN value > 10 THEN 'high' ELSE 'low' END AS category, CASE WHEN value > 30 THEN 'llm' ELSE 'rules' END AS classifier FROM ev)
 SELECT evaluation, category, classifier, count(*) AS n, count(*) FILTER (WHERE strftime("at", '%Y-%m') = '2024-01') AS n_month FROM c GROUP BY GROUPING SETS ((evaluation, category), (classifier), ())""",
     "audit_log": f"""WITH {EVENTS_SQL} SELECT "at", event_id, CASE WHEN event_type = 'view' THEN 'a' ELSE 'c' END AS log, CASE WHEN event_type <> 'view' THEN value END AS value FROM ev WHERE "at" <= TIMESTAMP '{NOW}'""",
@@ -387,20 +450,36 @@ SELECT id, retrieved_at, source_status FROM docs WHERE DATE '2024-03-01' - retri
 SELECT x.field, x.value, count(*) AS n FROM (SELECT unnest([{{'field': 'review_status', 'value': review_status}}, {{'field': 'completeness', 'value': completeness}}, {{'field': 'kind', 'value': kind}}, {{'field': 'edition', 'value': coalesce(edition, 'unset')}}]) AS x FROM docs) GROUP BY ALL""",
     "stale_entities": f"""WITH {DOCS_SQL}, t AS (SELECT id AS entity, 'stale' AS fault FROM docs WHERE retrieved_at < DATE '2023-06-01' UNION ALL SELECT id, 'empty' FROM docs WHERE edition IS NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY fault ORDER BY entity) AS pos, count(*) OVER (PARTITION BY fault) AS n FROM t) SELECT * FROM r WHERE pos <= 200""",
-    "catalogue_counts": f"""WITH {STAGES_SQL}, {GRANTS_SQL.strip()},
+    "catalogue_counts": f"""WITH {STAGES_SQL}, {GRANTS_SQL.strip()}, {JOBS_SQL.strip()},
 b AS (SELECT c_custkey, CASE WHEN d.id IS NOT NULL THEN CASE completeness WHEN 'missing' THEN 'missing' ELSE completeness END ELSE 'missing' END AS s FROM customer LEFT JOIN docs d ON d.id = c_custkey AND listed AND kind IN ('master_plan', 'alp')),
 e AS (SELECT count(*) AS entities, {', '.join(f"count(*) FILTER (WHERE s = '{s}') AS entities_{s}" for s in ('complete', 'link_only', 'preserved_only', 'no_plan_known', 'missing'))} FROM b),
 d AS (SELECT count(*) FILTER (WHERE listed) AS documents_listed, count(*) FILTER (WHERE listed AND completeness = 'complete') AS documents_complete, count(*) FILTER (WHERE listed AND completeness = 'link_only') AS documents_link_only,
   0 AS statutes, count(*) FILTER (WHERE listed AND kind = 'master_plan') AS entities_with_master_plan, count(*) FILTER (WHERE listed AND kind = 'alp') AS entities_with_alp FROM docs),
 g AS (SELECT count(*) AS grants, {', '.join(f"CAST(sum(CASE WHEN level = '{s}' THEN coalesce(nullif(obligated, 0), nullif(amount, 0), 0) ELSE 0 END) AS BIGINT) AS funding_{s}, count(DISTINCT CASE WHEN level = '{s}' THEN entity END) AS funding_{s}_entities" for s in ('federal', 'local'))} FROM grants)
-SELECT *, (SELECT n FROM stc WHERE stage = 'snapshot_pending') AS snapshot_pending,
+SELECT *, (SELECT n FROM stc WHERE stage = 'snapshot_pending') AS snapshot_pending, (SELECT CAST(sum(n) AS BIGINT) FROM stc WHERE stage IN ('searched', 'explored')) AS searched,
+  documents_complete AS saved_copies, entities_complete AS entities_with_plans, (SELECT count(*) FROM nation) AS states,
+  (SELECT CAST(sum(CASE WHEN s_acctbal >= -0.5 THEN round_even(s_acctbal, 0) END) AS BIGINT) FROM supplier) AS funding_state_budget_total, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS funding_states_with_budgets,
+  (SELECT count(*) FROM jb WHERE state = 'pending') AS queue_pending, (SELECT count(*) FROM jb WHERE state = 'active') AS queue_active,
   CAST(round_even(100.0 * (entities - (SELECT n FROM stc WHERE stage = 'untouched')) / entities, 0) AS BIGINT) AS pct_reviewed,
   CAST(round_even(100.0 * entities_with_master_plan / entities, 0) AS BIGINT) AS pct_master_plan, CAST(round_even(100.0 * entities_with_alp / entities, 0) AS BIGINT) AS pct_alp FROM e, d, g""",
     "snapshot_report": f"""WITH RECURSIVE {STAGES_SQL}, {JOBS_SQL.strip()},
-f AS (SELECT entity, min("at") AS "at" FROM ev GROUP BY 1 UNION ALL SELECT f.entity, min(ev."at") FROM f JOIN ev ON ev.entity = f.entity AND ev."at" >= f."at" + INTERVAL 24 DAY GROUP BY f.entity, f."at"), l AS (SELECT * FROM {latest_sql('se')} ORDER BY last_job_at DESC, entity DESC LIMIT 1)
+{GONE_SQL}, l AS (SELECT * FROM {latest_sql('se')} ORDER BY last_job_at DESC, entity DESC LIMIT 1)
 SELECT count(*) FILTER (WHERE state = 'pending') AS jobs_pending, count(*) FILTER (WHERE state = 'active') AS jobs_active, count(*) FILTER (WHERE state = 'succeeded') AS jobs_succeeded, 0 AS jobs_failed,
   {', '.join(f"(SELECT n FROM stc WHERE stage = '{s}') AS stage_{s}" for s in rules.STAGES)},
   (SELECT {TS.format('last_job_at')} FROM l) AS last_job_at, (SELECT entity FROM l) AS last_job_entity, (SELECT last_job_kind FROM l) AS last_job_kind, (SELECT last_job_status FROM l) AS last_job_status,
-  (SELECT count(*) FROM f WHERE "at" + INTERVAL 24 DAY > TIMESTAMP '{NOW}') AS live_rejects FROM jb""",
+  (SELECT count(*) FROM f WHERE "at" + INTERVAL 24 DAY > TIMESTAMP '{NOW}') AS live_rejects, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS scoped_entities,
+  (SELECT string_agg(concat_ws(':', id, entity), ' ' ORDER BY id) FROM (SELECT * FROM jb AS p WHERE state = 'pending' AND (entity IS NULL OR NOT EXISTS (FROM jb AS q WHERE q.state = 'pending' AND q.entity = p.entity AND q.id < p.id)) ORDER BY id LIMIT 10)) AS next_jobs,
+  (SELECT string_agg(concat_ws(':', id, entity), ' ' ORDER BY id) FROM (SELECT * FROM jb WHERE state = 'active' ORDER BY id LIMIT 10)) AS active_jobs FROM jb""",
+    "health_report": f"""WITH RECURSIVE {EVENTS_SQL}, {JOBS_SQL.strip()}, {GONE_SQL}, w AS (SELECT jb.*, o_orderpriority AS kind FROM jb JOIN orders ON o_orderkey = id),
+c AS (SELECT count(*) FILTER (WHERE state = 'pending') AS pending, count(*) FILTER (WHERE state = 'active') AS active,
+  string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (WHERE state = 'pending') AS pending_kinds, string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (WHERE state = 'active') AS active_kinds FROM w),
+n AS (SELECT n_nationkey AS k, n_regionkey AS r, n_name AS name,
+   CASE n_nationkey WHEN 3 THEN n_name || ': failed (disk)' WHEN 8 THEN n_name || ': building' WHEN 11 THEN n_name || ': missing' WHEN 12 THEN n_name || ': missing' WHEN 14 THEN n_name || ': unhealthy' END AS fault FROM nation),
+a AS (SELECT k, CASE k WHEN 7 THEN 0 ELSE 1 END AS pos, 1 AS own FROM n WHERE k IN (4, 7) UNION ALL SELECT r, CASE k WHEN 7 THEN 0 ELSE 1 END, 0 FROM n WHERE k IN (4, 7) AND k > r),
+d AS (SELECT arg_min(fault, row(pos, own)) FILTER (WHERE fault IS NOT NULL) AS detail FROM a JOIN n USING (k)),
+l AS (SELECT count(*) AS worker_lines FROM ev WHERE event_type = 'error'), g AS (SELECT count(*) AS live_rejects FROM f WHERE "at" + INTERVAL 24 DAY > TIMESTAMP '{NOW}')
+SELECT detail IS NULL AS search_ready, detail, c.*, worker_lines, live_rejects, concat_ws(',', detail, (SELECT fault FROM n WHERE k = 12)) AS blocking,
+  NOT (active > 0 AND pending = 0 AND worker_lines = 0) AS worker_ok, CASE WHEN active > 0 AND pending = 0 AND worker_lines = 0 THEN '{rules.WEDGED}' END AS worker_detail,
+  detail IS NULL AND NOT (active > 0 AND pending = 0 AND worker_lines = 0) AS ok FROM c, d, l, g""",
     "spend_spot_check": f"""WITH {GRANTS_SQL} SELECT grant_id, nullif(description, '') AS description, purpose AS spend_category, 'llm' AS spend_classifier FROM grants WHERE purpose = 'other' AND level <> 'federal'""",
 }

@@ -60,6 +60,12 @@ TIER_RECENT, TIER_NO_PLAN, TIER_PUBLISHED = 3, 4, 5
 FUNDED_LEVELS = ("federal", "state", "local")
 RECENCY_DAYS = 30
 
+# Rows a review list shows and may show at most, jobs a status report names.
+LISTED, MAX_LISTED = 200, 2000
+RECENT_CLASSIFICATIONS = 50
+SHOWN_JOBS = 10
+WEDGED = "active job with no worker log lines"
+
 # Dataset statuses that can be used.
 USABLE = ("ready", "stale")
 
