@@ -258,6 +258,18 @@ def place_dimension(spark) -> DataFrame:
     return spark.createDataFrame(rows, "place string, code string, region string")
 
 
+def place_code(place: Column | str) -> Column:
+    """Code of a place name; a name the dimension does not know stops the job."""
+    name = F.trim(v.col(place))
+    known = v.lookup(rules.PLACE_CODES, name)
+    return F.when(name.isNotNull(), F.coalesce(known, F.raise_error(F.concat(F.lit("unknown place "), name)).cast("string")))
+
+
+def in_places(rows: DataFrame, dimension: DataFrame, place: str) -> DataFrame:
+    """Rows with the code and region of their place; both null where it is not known."""
+    return rows.join(F.broadcast(dimension.withColumnRenamed("place", place)), place, "left")
+
+
 def unknown_keys(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Key values of the rows that the dimension does not know, with their count."""
     return df.join(dimension.select(key), key, "left_anti").groupBy(key).agg(

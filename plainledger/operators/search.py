@@ -121,6 +121,17 @@ def apply_document_changes(records: DataFrame, changed: DataFrame, fresh: DataFr
     return records.join(gone, own == F.col("_gone"), "left_anti").unionByName(fresh)
 
 
+def refresh_entities(records: DataFrame, entities: DataFrame, generation: str, keys: DataFrame | None = None) -> DataFrame:
+    """Records with those of the entities `keys` names made anew; without keys, of all entities.
+
+    A refreshed record replaces the one with its id or is added. Records of other
+    entities stay as they are, and so does one whose entity is no longer in the table.
+    """
+    chosen = entities if keys is None else entities.join(keys.select("key"), "key", "left_semi")
+    fresh = entity_records(chosen).withColumn("_generation", F.lit(generation))
+    return records.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+
+
 def missing_projections(stored: DataFrame, projections: DataFrame) -> DataFrame:
     """Stored contents without a text projection of the same manifest."""
     keys = ["content_sha256", "manifest_key", "manifest_sha256"]

@@ -119,6 +119,7 @@ def citation_faults(citations: DataFrame, pages: DataFrame, key: str) -> DataFra
 
 
 def uncited(results: DataFrame, citations: DataFrame, key: str) -> DataFrame:
+    """Results without a single citation."""
     return results.join(citations.select(key), key, "left_anti")
 
 
@@ -356,6 +357,25 @@ def with_surface(plan: Column, surfaces: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"), F.lit("")), plan)
 
 
+def with_surfaces(facts: DataFrame, runway_rows: DataFrame) -> DataFrame:
+    """Runway lines with the surface the registry knows; lines that show one stay as they are.
+
+    Facts: entity, label, value, one row per entity and label (`merge_facts`). Runways:
+    key, seq, runway, surface; the last row of a runway counts. Only the surfaces of the runways a line names are looked
+    up, so an entity with many runways brings no more than its lines ask for.
+    """
+    bare = (F.col("label") == "Runways") & ~v.yes(F.col("value").rlike(r"ft\s*·\s*\S"))
+    known = runway_rows.groupBy(F.col("key").alias("entity"), runway_id(F.col("runway")).alias("_id")).agg(
+        F.max_by("surface", "seq").alias("_surface"))
+    ids = F.array_distinct(F.transform(_all(F.col("value"), rules.RWY_LINE, 1), runway_id))
+    asked = facts.filter(bare).select("entity", F.explode(ids).alias("_id"))
+    found = asked.join(known, ["entity", "_id"]).filter("_surface is not null").groupBy("entity").agg(
+        F.map_from_entries(F.collect_list(F.struct("_id", "_surface"))).alias("_surfaces"))
+    joined = facts.join(found, "entity", "left")
+    value = F.when(bare & F.col("_surfaces").isNotNull(), with_surface(F.col("value"), F.col("_surfaces"))).otherwise(F.col("value"))
+    return joined.withColumn("value", value).drop("_surfaces")
+
+
 def merge_facts(facts: DataFrame, registry: DataFrame) -> DataFrame:
     """One value per entity and label: the best-ranked work's, else the registry's.
 

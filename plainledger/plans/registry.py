@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plainledger.functions import urls
 from plainledger.functions import values as v
 from plainledger.operators import registry as ops
 from plainledger.plans import bindings as b
+from plainledger.rules import registry as rules
 
 
 def raw_registry(spark, sf):
@@ -103,6 +105,34 @@ def registry_best_ranked(spark, sf):
     return ops.best_ranked(external_rows(spark, sf), "key", F.col("rank"), ["website", "iata"], "seq")
 
 
+def third_registry(spark, sf):
+    """Orders as raw rows of the third registry, with the keys, types and links people write."""
+    status, rank = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
+    key = F.col("o_custkey").cast("string")
+    return b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        F.when(rank == "5", "CA").when(rank == "1", " us ").otherwise("US").alias("country"),
+        F.when(status == "F", F.concat(F.lit(" a"), key)).when(status == "O", "").alias("local"),
+        F.when(status == "O", F.concat(F.lit("k"), F.lpad(key, 3, "0"))).otherwise(F.concat(F.lit("p-"), key)).alias("ident"),
+        F.when(rank == "2", "Large_Airport ").when(rank == "3", "heliport").when(rank == "4", "closed").otherwise("other").alias("type"),
+        F.when(F.col("o_totalprice") > 200000, F.concat(F.lit(" http://site.example/"), "o_orderkey"))
+        .when(F.col("o_totalprice") > 100000, "ftp://site.example/").alias("home"),
+        F.when(F.col("o_totalprice") < 150000, F.concat(F.lit("i"), F.col("o_orderkey"), F.lit(" "))).otherwise(" ").alias("code"))
+
+
+def registry_site_keys(spark, sf):
+    return third_registry(spark, sf).select(
+        "seq", ops.external_key("country", "local", "ident").alias("key"), ops.site_rank("type").alias("rank"))
+
+
+def registry_best_sites(spark, sf):
+    """Website and code per key of the third registry, from its raw rows."""
+    rows = third_registry(spark, sf).select(
+        ops.external_key("country", "local", "ident").alias("key"), "seq", "type",
+        urls.http_url("home").alias("website"), F.upper(F.trim("code")).alias("iata"))
+    return ops.best_ranked(rows.filter("key is not null"), "key", ops.site_rank("type"), ["website", "iata"], "seq")
+
+
 def registry_fill_blanks(spark, sf):
     base = merged(spark, sf).withColumn(
         "website", F.when(F.col("in_b"), F.concat(F.lit("http://own/"), "key")).otherwise(F.lit(""))
@@ -148,6 +178,21 @@ def registry_unknown_keys(spark, sf):
     return ops.unknown_keys(users, known, "key")
 
 
+def placed(spark, sf):
+    """Customers live in the place of their nation's number; some places are no states."""
+    names = F.array(*[F.lit(name) for name in sorted(rules.PLACE_CODES)])
+    place = F.when(F.col("balance") < 0, F.initcap("city")).otherwise(F.element_at(names, F.col("region").cast("int") * 2 + 1))
+    return b.entities(spark, sf).select("key", place.alias("place"))
+
+
+def registry_places(spark, sf):
+    return ops.in_places(placed(spark, sf), ops.place_dimension(spark), "place").select("key", "code", "region")
+
+
+def registry_unknown_places(spark, sf):
+    return ops.unknown_keys(placed(spark, sf), ops.place_dimension(spark), "place")
+
+
 def registry_per_region(spark, sf):
     regions = b.table(spark, sf, "part").select(F.col("p_size").alias("region")).distinct()
     return ops.count_by_region(b.entities(spark, sf), regions)
@@ -213,6 +258,7 @@ def registry_intake_forms(spark, sf):
 QUERIES = {f.__name__: f for f in (
     registry_admission, registry_runways, registry_merge, registry_carry_forward,
     registry_best_ranked, registry_fill_blanks, registry_reference_overlay, registry_entity_rows,
+    registry_site_keys, registry_best_sites, registry_places, registry_unknown_places,
     registry_region_lookup, registry_unknown_keys, registry_per_region, registry_scope,
     registry_row_scope, registry_quota_sample, registry_display, registry_intake_forms,
 )}
@@ -242,6 +288,20 @@ u AS (SELECT *, min(rank) OVER (PARTITION BY key) AS best FROM x WHERE website I
 best AS (SELECT key, arg_min(website, seq) FILTER (WHERE website IS NOT NULL) AS website,
         arg_min(iata, seq) FILTER (WHERE iata IS NOT NULL) AS iata FROM u WHERE rank = best GROUP BY key)"""
 
+PLACED_SQL = """
+pd(place, code, region) AS (VALUES """ + ", ".join(
+    f"('{name}', '{code}', " + next((f"'{r}'" for r, codes in rules.REGION_PLACES.items() if code in codes), "NULL") + ")"
+    for name, code in rules.PLACE_CODES.items()) + """),
+pc AS (SELECT c_custkey AS key, CASE WHEN c_acctbal < 0 THEN c_mktsegment[1] || lower(c_mktsegment[2:])
+  ELSE (SELECT list(place ORDER BY place) FROM pd)[c_nationkey * 2 + 1] END AS place FROM customer)"""
+
+SITES_SQL = """
+raw AS (SELECT o_orderkey AS seq, substr(o_orderpriority, 1, 1) AS p, o_orderstatus AS st, CAST(o_custkey AS VARCHAR) AS k, o_totalprice AS t FROM orders),
+lpk AS (SELECT *, CASE WHEN length(k) >= 3 THEN k[1:3] ELSE lpad(k, 3, '0') END AS k3 FROM raw),
+ky AS (SELECT *, CASE WHEN p <> '5' THEN CASE WHEN st = 'F' THEN 'A' || k WHEN st = 'O' THEN k3 END END AS key,
+  CASE p WHEN '2' THEN 0 WHEN '3' THEN 8 WHEN '4' THEN 9 ELSE 5 END AS rank,
+  CASE WHEN t > 200000 THEN 'http://site.example/' || seq END AS website, CASE WHEN t < 150000 THEN 'I' || seq END AS iata FROM lpk)"""
+
 ORACLE = {
     "registry_admission": f"""
 SELECT upper('p' || p_partkey) AS key, p_name AS name, {TITLE.format('upper(p_name)')} AS city,
@@ -281,6 +341,11 @@ FROM merged m FULL JOIN supplier ON s_suppkey = m.key""",
 SELECT o_custkey AS entity, o_orderkey AS grant_id, CAST(o_orderdate AS DATE) AS award_date,
   CAST(round_even(o_totalprice, 0) AS BIGINT) AS amount
 FROM orders JOIN customer ON c_custkey = o_custkey AND c_acctbal < 0""",
+    "registry_site_keys": f"WITH {SITES_SQL} SELECT seq, key, rank FROM ky",
+    "registry_best_sites": f"""WITH {SITES_SQL}, u AS (SELECT *, min(rank) OVER (PARTITION BY key) AS best FROM ky WHERE key IS NOT NULL AND coalesce(website, iata) IS NOT NULL)
+SELECT key, arg_min(website, seq) FILTER (WHERE website IS NOT NULL) AS website, arg_min(iata, seq) FILTER (WHERE iata IS NOT NULL) AS iata FROM u WHERE rank = best GROUP BY key""",
+    "registry_places": f"WITH {PLACED_SQL} SELECT key, code, region FROM pc LEFT JOIN pd USING (place)",
+    "registry_unknown_places": f"WITH {PLACED_SQL} SELECT place, count(*) AS n FROM pc WHERE place NOT IN (SELECT place FROM pd) GROUP BY 1",
     "registry_region_lookup": """
 SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey
 LEFT JOIN region ON r_regionkey = n_regionkey""",

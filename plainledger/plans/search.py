@@ -95,6 +95,13 @@ def search_changed_documents(spark, sf):
     return ops.apply_document_changes(records(spark, sf), changed, fresh).select("type", "id", "_generation")
 
 
+def search_refreshed_entities(spark, sf):
+    """Entities with settled grants have a new fact sheet: their records, texts included, are made anew."""
+    settled = b.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"))
+    sheets = entities(spark, sf).withColumn("outlook", F.when(F.col("outlook") == "growing", "maintaining").otherwise(F.col("outlook")))
+    return ops.refresh_entities(records(spark, sf), sheets, "g2", settled).select("type", "id", "outlook", "_generation")
+
+
 def search_missing_text(spark, sf):
     stored = documents(spark, sf).select("content_sha256", F.md5("source_url").alias("manifest_key"), F.md5("kind").alias("manifest_sha256")).distinct()
     known = documents(spark, sf).filter("kind <> 'alp'").select(
@@ -311,7 +318,8 @@ def sink_release_inventory(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    search_records, search_gate, search_scoped, search_last_hits, search_changed_documents, search_missing_text, feed_items, feed_recent,
+    search_records, search_gate, search_scoped, search_last_hits, search_changed_documents, search_refreshed_entities,
+    search_missing_text, feed_items, feed_recent,
     page_last_modified, query_texts_entity, query_texts_region, query_seed_steps, query_followups,
     value_texts, date_texts, source_csv_round_trip, source_json_lines, source_bad_lines, source_typed, source_sheet_rows, source_sheet_titles,
     source_listing_pages, source_workbooks, source_current_cycle, sink_bulk_export, sink_sorted_lines,
@@ -350,6 +358,9 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY attribute, id)
 SELECT * FROM p WHERE {{pos}}""",
     "search_changed_documents": f"""WITH {RECORDS_SQL}
 SELECT type, r.id, CASE WHEN d.id IS NULL THEN 'g1' ELSE 'g2' END AS _generation FROM records r LEFT JOIN docs d ON CAST(d.id AS VARCHAR) = document_id AND length(d.text) < 700""",
+    "search_refreshed_entities": f"""WITH {RECORDS_SQL}, n AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS k FROM orders WHERE o_orderstatus = 'F')
+SELECT r.type, r.id, CASE WHEN n.k IS NOT NULL AND r.outlook = 'growing' THEN 'maintaining' ELSE r.outlook END AS outlook, CASE WHEN n.k IS NULL THEN 'g1' ELSE 'g2' END AS _generation
+FROM records r LEFT JOIN n ON r.type = 'airport' AND n.k = r.entity""",
     "search_missing_text": f"""WITH {DOCS_SQL}
 SELECT DISTINCT content_sha256, md5(source_url) AS manifest_key, md5(kind) AS manifest_sha256 FROM docs
 EXCEPT SELECT content_sha256, md5(source_url), md5(CASE WHEN length(text) > 900 THEN kind ELSE 'stale' END) FROM docs WHERE kind <> 'alp'""",

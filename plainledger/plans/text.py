@@ -87,6 +87,12 @@ def text_citations(spark, sf):
     return ops.citation_faults(cited, pages, "doc_id").select("doc_id", "page", "fault")
 
 
+def text_uncited(spark, sf):
+    """Documents none of whose pages is cited; pages of up to 900 characters are."""
+    cited = _routed(spark, sf).filter("characters <= 900").select("doc_id")
+    return ops.uncited(docs(spark, sf).select("doc_id", "lang"), cited, "doc_id")
+
+
 def text_chunks(spark, sf):
     return html.text_chunks(docs(spark, sf).select("doc_id", "text"), "text", 2000)
 
@@ -144,6 +150,18 @@ def text_merged_facts(spark, sf):
     return ops.merge_facts(facts, known)
 
 
+def text_runway_surfaces(spark, sf):
+    """Runway lines of every text with the surfaces of the part of its number, as written in order lines."""
+    flag = F.col("l_returnflag")
+    rows = b.wide(b.table(spark, sf, "lineitem"), "l_partkey").select(
+        F.col("l_partkey").alias("key"),
+        F.when(flag == "A", "10 - 28").when(flag == "N", "4/22").otherwise("10L–28R").alias("runway"),
+        F.when(F.col("l_quantity") > 30, "ASPH-G").when(F.col("l_quantity") > 10, "conc").alias("surface"),
+        F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("seq"))
+    facts = ops.fact_rows(described(spark, sf), ["doc_id"], "text").withColumnRenamed("doc_id", "entity")
+    return ops.with_surfaces(facts.filter("label in ('Runways', 'Hangars')"), rows)
+
+
 def outlook_scores(spark, sf):
     scored = ops.signal_scores(docs(spark, sf).select("doc_id", "text"), "text", PROSE)
     return scored.drop("text").withColumn("t", ops.trajectory("decline", "grow", "hold")).select(
@@ -207,8 +225,8 @@ def text_assertions(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    text_page_rows, text_page_routing, text_manifests, text_excerpts, text_word_pages, text_citations,
-    text_chunks, text_facts, registry_facts, text_merged_facts, outlook_scores, outlook_negated, outlook_by_source,
+    text_page_rows, text_page_routing, text_manifests, text_excerpts, text_word_pages, text_citations, text_uncited,
+    text_chunks, text_facts, registry_facts, text_merged_facts, text_runway_surfaces, outlook_scores, outlook_negated, outlook_by_source,
     outlook_with_funding, outlook_entity_lists, text_assertions,
 )}
 
@@ -288,6 +306,7 @@ c AS (SELECT doc_id, CASE WHEN length(text) > 900 THEN page + 1000 ELSE page END
 f AS (SELECT c.doc_id, c.page, CASE WHEN r.doc_id IS NULL THEN 'page out of range' WHEN sh <> sha256(r.text) THEN 'text hash differs' WHEN n - 60 <= 0 THEN 'bad box' END AS fault
   FROM c LEFT JOIN routed r ON r.doc_id = c.doc_id AND r.page = c.page)
 SELECT * FROM f WHERE fault IS NOT NULL""",
+    "text_uncited": f"WITH {ROUTED_SQL} SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM routed WHERE length(text) <= 900)",
     "text_chunks": """
 WITH RECURSIVE s AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS rest FROM documents),
 c(doc_id, pos, rest, chunk) AS (
@@ -308,6 +327,12 @@ n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq, runway) AS pos
 SELECT key AS entity, 'Runways' AS label, string_agg(runway || ', ' || format('{:,}', len) || ' by ' || wid || ' ft' || surf, chr(10) ORDER BY pos) AS value FROM n WHERE pos <= 3 GROUP BY key
 UNION ALL SELECT p_partkey, 'Elevation', format('{:,}', p_size * 100) || ' ft' FROM part WHERE p_size > 5
 UNION ALL SELECT p_partkey, 'Facilities', concat_ws(' · ', p_type, CASE WHEN p_size > 30 THEN 'hangar storage' END, CASE WHEN p_size > 40 THEN 'tiedowns' END) FROM part WHERE p_size > 20""",
+    "text_runway_surfaces": f"""WITH {FACTS_SQL},
+s AS (SELECT l_partkey AS entity, CASE l_returnflag WHEN 'A' THEN '10/28' WHEN 'N' THEN '4/22' ELSE '10L/28R' END AS rw, arg_max(CASE WHEN l_quantity > 30 THEN ' · Asphalt' WHEN l_quantity > 10 THEN ' · Concrete' ELSE '' END,
+   row(l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) AS surface FROM lineitem GROUP BY ALL),
+l AS (SELECT doc_id, unnest(string_split(value, chr(10))) AS line, unnest(range(len(string_split(value, chr(10))))) AS pos FROM facts WHERE label = 'Runways')
+SELECT doc_id AS entity, 'Runways' AS label, string_agg(line || coalesce(surface, ''), chr(10) ORDER BY pos) AS value FROM l LEFT JOIN s ON s.entity = doc_id AND rw = split_part(line, ',', 1) GROUP BY doc_id
+UNION ALL SELECT doc_id, label, value FROM facts WHERE label = 'Hangars'""",
     "text_merged_facts": f"""WITH {FACTS_SQL},
 b AS (SELECT source AS entity, label, arg_min(value, row(-n_chars, doc_id)) AS plan FROM facts GROUP BY ALL),
 k AS (SELECT DISTINCT source AS entity, x.label, x.own FROM documents, (VALUES ('Runways', '9/27, 5,000 by 100 ft'), ('Elevation', '30 ft')) x(label, own))
