@@ -6,13 +6,15 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plainledger.functions import html
 from plainledger.functions import values as v
+from plainledger.operators.skew import spread_join
 from plainledger.rules import text as rules
 from plainledger.rules.text import OutlookRules
+from plainledger.session import cut
 
 
 # --- pages -------------------------------------------------------------------
@@ -331,8 +333,6 @@ def registry_facts(entities: DataFrame, runway_rows: DataFrame) -> DataFrame:
     Entities: key, elevation_ft, fuel, hangar_storage, tiedown_storage. Runways: key,
     seq, runway, length_ft, width_ft, surface; the first three ids are shown.
     """
-    from pyspark.sql import Window
-
     first = runway_rows.groupBy("key", "runway").agg(
         F.min_by(F.struct("length_ft", "width_ft", "surface"), "seq").alias("r"), F.min("seq").alias("seq"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("seq", "runway"))
@@ -451,12 +451,24 @@ def trajectory(decline: Column | str, grow: Column | str, hold: Column | str) ->
         F.bround(100 - 72 * F.sin(angle), 1).alias("needle_y")))
 
 
-def combine_outlooks(scores: DataFrame, key: str = "entity", rank: str = "work_rank") -> DataFrame:
-    """Scores of an entity's works summed by rank weight: newest 4, second 3, others 1."""
+def combine_outlooks(scores: DataFrame, order: Column, key: str = "entity") -> DataFrame:
+    """Scores of an entity's works summed by rank weight: newest 4, second 3, others 1.
+
+    `order` ranks the works, greatest first, and must tell them apart. The scores are
+    written once, with nothing but numbers. Every work counts with the least weight and
+    the two newest, found by a limit that acts before the shuffle, once more with the
+    rest of theirs: one sum, no join, so an entity that holds most works is no hot key.
+    """
     first, second, other = rules.EDITION_WEIGHTS
-    weight = F.when(F.col(rank) == 1, first).when(F.col(rank) == 2, second).otherwise(other)
-    sums = scores.groupBy(key).agg(*[F.sum(F.col(c) * weight).alias(c) for c in ("decline", "grow", "hold")])
-    return sums.withColumn("trajectory", trajectory("decline", "grow", "hold"))
+    parts = ("decline", "grow", "hold")
+    plain = cut(scores.select(key, order.alias("_order"), *parts))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("_order").desc()))
+    top = plain.withColumn("_rank", rank).filter("_rank <= 2")
+    extra = F.when(F.col("_rank") == 1, first - other).otherwise(second - other)
+    weighed = plain.select(key, *[(F.col(c) * other).alias(c) for c in parts]).unionByName(
+        top.select(key, *[(F.col(c) * extra).alias(c) for c in parts]))
+    sums = weighed.groupBy(key).agg(*[F.sum(c).alias(c) for c in parts])
+    return sums.withColumn("trajectory", trajectory(*parts))
 
 
 def with_funding_outlook(works: DataFrame, lines: DataFrame, pack: OutlookRules = OutlookRules()) -> DataFrame:
@@ -506,20 +518,36 @@ def _holds(text: Column, term: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), term, F.lit(" ")))
 
 
+# Tests of one page that meet its text together.
+PAGE_TESTS = 1000
+
+
 def assertion_misses(pages: DataFrame, assertions: DataFrame, key: str) -> DataFrame:
     """Assertions that a page's text does not meet: (key, id).
 
     Assertions: key, id, kind (sequence, all_of, window), terms, anchor, max_characters.
-    A term counts only as whole tokens.
+    A term counts only as whole tokens. A page's tests are gathered before they meet
+    its text, at most about PAGE_TESTS in a row, so the text is there once and not once
+    per assertion and term; what leaves that row are the ids of the misses.
     """
-    texts = pages.select(key, plain_tokens(F.col("text")).alias("_text"))
     wanted = assertions.withColumn("_terms", F.filter(F.col("terms"), lambda t: t.isNotNull()))
-    rows = wanted.join(texts, key, "left").withColumn("_anchor", plain_tokens(F.coalesce("anchor", F.lit(""))))
-    exploded = rows.select(key, "id", "kind", "max_characters", "_text", "_anchor", F.explode_outer("_terms").alias("_term"))
-    tested = exploded.withColumn("_term", plain_tokens(F.coalesce("_term", F.lit(""))))
-    spaced = F.concat(F.lit(" "), F.col("_text"), F.lit(" "))
-    at = F.instr(spaced, F.concat(F.lit(" "), F.col("_anchor"), F.lit(" ")))
-    window = F.when(at > 0, F.substring("_text", at, F.col("max_characters"))).otherwise("")
-    held = F.when(F.col("kind") == "window", (window != "") & _holds(window, F.col("_term"))).otherwise(
-        _holds(F.col("_text"), F.col("_term")))
-    return tested.groupBy(key, "id").agg(F.bool_and(v.yes(held)).alias("_ok")).filter(~F.col("_ok")).drop("_ok")
+    terms = wanted.select(key, "id", "kind", "max_characters", "anchor", F.explode_outer("_terms").alias("term"))
+    tests = terms.select(
+        key, "id", (F.col("kind") == "window").alias("windowed"), "max_characters",
+        plain_tokens(F.coalesce("anchor", F.lit(""))).alias("anchor"), plain_tokens(F.coalesce("term", F.lit(""))).alias("term"))
+    many = tests.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > PAGE_TESTS)
+    dealt = spread_join(tests, many, [key], F.struct("id", "term", "anchor"))
+    rows = F.greatest(F.lit(1), F.ceil(F.coalesce("_n", F.lit(0)) / PAGE_TESTS)).cast("long")
+    group = dealt.withColumn("_group", F.pmod(F.xxhash64("id", "term", "anchor"), rows)).groupBy(key, "_group").agg(
+        F.collect_set(F.struct("id", "windowed", "max_characters", "anchor", "term")).alias("_tests"))
+    texts = pages.select(key, plain_tokens(F.col("text")).alias("_text"))
+
+    def held(t: Column) -> Column:
+        text, spaced = F.col("_text"), F.concat(F.lit(" "), F.col("_text"), F.lit(" "))
+        at = F.instr(spaced, F.concat(F.lit(" "), t["anchor"], F.lit(" ")))
+        window = F.when(at > 0, F.substring(text, at, t["max_characters"])).otherwise("")
+        return v.yes(F.when(t["windowed"], (window != "") & _holds(window, t["term"])).otherwise(_holds(text, t["term"])))
+
+    missed = F.array_distinct(F.transform(F.filter("_tests", lambda t: ~held(t)), lambda t: t["id"]))
+    found = group.join(texts, key, "left").select(key, missed.alias("_missed"))
+    return found.select(key, F.explode("_missed").alias("id")).distinct()

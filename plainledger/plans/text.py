@@ -181,13 +181,7 @@ def outlook_negated(spark, sf):
 def _outlooks(spark, sf):
     scored = ops.signal_scores(docs(spark, sf), "text", PROSE).select(
         F.col("source").alias("entity"), "n_chars", "doc_id", "decline", "grow", "hold")
-    # Only ranks one and two weigh more, so the rest need no place of their own.
-    newest = F.struct("n_chars", "doc_id")
-    top = scored.groupBy("entity").agg(F.max(newest).alias("_one"))
-    second = scored.join(top, "entity").filter(newest < F.col("_one")).groupBy("entity").agg(F.max(newest).alias("_two"))
-    ranked = scored.join(top, "entity").join(second, "entity", "left")
-    rank = F.when(newest == F.col("_one"), 1).when(newest == F.col("_two"), 2).otherwise(3)
-    return ops.combine_outlooks(ranked.withColumn("work_rank", rank))
+    return ops.combine_outlooks(scored, F.struct("n_chars", "doc_id"))
 
 
 def outlook_by_source(spark, sf):
