@@ -18,6 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carry(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """`docs` with its columns beyond `own` under names nothing else has, and what gives them their names back.
+
+    The second part takes a result that holds all columns of the first, and the names of
+    columns added to it: those follow the columns of `docs`, whose own column of such a
+    name gives way.
+    """
+    names = [c.lower() if c.lower() in own else f"carried_{i}" for i, c in enumerate(docs.columns)]
+
+    def restore(out: DataFrame, *added: str) -> DataFrame:
+        kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns) if c.lower() not in added]
+        return out.select(*kept, *added)
+
+    return docs.toDF(*names), restore
+
+
 def word_array(text: Column | str) -> Column:
     """Words of a text; an empty array for null or blank text."""
     parts = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), BLANKS)

@@ -14,8 +14,11 @@ only; it is written first, so the planner broadcasts it when it is small and shu
 when it is not.
 
 Defined results: null and short texts (under five words) have no shingle and are
-neither found nor contained; repeated items are found each; rows that share a doc_id
-are one document; empty tables give an empty table; extra columns are ignored.
+neither found nor contained; repeated items are found each; in `find` rows that share a
+doc_id are one document and rows without an id are passed over, in `decontaminate` every
+row counts by its text; equal similarities need no order, as every pair is returned; very
+long texts are read whole; empty tables give an empty table; extra columns are ignored by
+`find` and kept by `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plainledger.llm.common import carry
 from plainledger.session import cut
 
 SHINGLE = 5
@@ -103,7 +107,19 @@ def find(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) ->
         F.col("containment") >= containment - 1e-9)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of hashes that stand for a text."""
+    return F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit("again"), text)))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """Documents that contain no test item; the columns of `docs`."""
-    found = cut(find(docs, items, containment).select(F.col("doc_id").alias("_found")).distinct())
-    return docs.join(found, F.col("doc_id") == F.col("_found"), "left_anti")
+    """Documents that contain no test item; the columns of `docs`.
+
+    Texts are judged, not ids: documents and items without an id or with a repeated one
+    count like all others, and equal texts share one verdict.
+    """
+    docs, restore = carry(docs, ("text",))
+    own = text_key(F.col("text"))
+    found = cut(find(docs.select(own.alias("doc_id"), "text"), items.select(own.alias("item_id"), "text"), containment)
+                .select(F.col("doc_id").alias("_found")).distinct())
+    return restore(docs.withColumn("_own", own).join(found, F.col("_own") == F.col("_found"), "left_anti"))

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainledger.llm.common import BLANKS, constant
+from plainledger.llm.common import BLANKS, carry, constant
 from plainledger.session import cut
 
 DOMAINS = ("good", "poor", "toxic")
@@ -175,7 +175,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """`docs` with n_tokens, posterior, domain, rate and copies (the rate drawn to a whole number)."""
     wanted = targets or TARGETS
     names = ("n_tokens", "posterior", "domain", "rate", "copies")
-    kept = [c for c in docs.columns if c.lower() not in names]
+    docs, restore = carry(docs, ("doc_id", "text"))
+    kept = docs.columns
     model = classifier(docs, labels, rows)
     # Written once: the profiles and the result both need every text's posterior.
     known = cut(with_posterior(with_buckets(docs.select(*kept), kept), model))
@@ -188,13 +189,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     drawn = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     # At most one row per profile, written, so the planner knows how small it is.
     rated = known.withColumn("drawn", drawn).join(rates.withColumnRenamed("rate", "_rate"), F.col("posterior") == F.col("p"))
-    return rated.withColumn("domain", F.element_at(F.array(*map(F.lit, DOMAINS)), best.cast("int"))).withColumn(
+    return restore(rated.withColumn("domain", F.element_at(F.array(*map(F.lit, DOMAINS)), best.cast("int"))).withColumn(
         "rate", F.col("_rate")).withColumn(
-        "copies", (F.floor("rate") + (F.col("drawn") < F.col("rate") - F.floor("rate")).cast("int")).cast("int")).select(
-        *kept, *names)
+        "copies", (F.floor("rate") + (F.col("drawn") < F.col("rate") - F.floor("rate")).cast("int")).cast("int")), *names)
 
 
 def draw(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """Each document as often as its drawn rate says; the columns of `docs`."""
+    docs, restore = carry(docs, ("doc_id", "text"))
     mixed = mix(docs, labels, **settings).filter(F.col("copies") > 0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return restore(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plainledger.llm import words as w
-from plainledger.llm.common import per_batch, utf8
+from plainledger.llm.common import carry, per_batch, utf8
 from plainledger.session import cut
 
 MIN_WORDS = 50
@@ -150,6 +150,8 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     texts keep their own verdicts.
     """
 
+    docs, restore = carry(docs, ("doc_id", "source", "text", "n_chars"))
+
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
         for text, gone in zip(utf8(batch, "text"), batch.column("_gone").to_pylist()):
@@ -172,7 +174,7 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     out = kept.mapInArrow(per_batch(strip), _ddl(docs))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return restore(out)
 
 
 def _ddl(df: DataFrame) -> str:

@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plainledger.llm.common import carry
 from plainledger.session import cut
 
 BLOCKS = 4096
@@ -82,22 +83,23 @@ def communication(blocks: list[int], shards: int, seed: int) -> np.ndarray:
 def shard(docs: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     """`docs` with `shard` and a gapless `slot` from 0 in each shard."""
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    docs, restore = carry(docs, ())
     place = F.monotonically_increasing_id()
-    tagged = cut(docs.select(*columns).withColumn("_place", place))
+    tagged = cut(docs.withColumn("_place", place))
     # The high bits of the place are the partition that wrote the row.
     block = (F.shiftright("_place", 33) % BLOCKS).cast("int")
     tagged = tagged.withColumn("_block", block)
     counts = sorted((r["_block"], r["n"]) for r in tagged.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect())
     if not counts:
-        return tagged.drop("_block", "_place").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).filter("false")
+        empty = tagged.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).filter("false")
+        return restore(empty, "shard", "slot")
     matrix = communication([n for _, n in counts], shards, seed)
     plan = spark.createDataFrame(
         [(b, np.cumsum(row).tolist()) for (b, _), row in zip(counts, matrix)], "_of int, _ends array<long>")
     dealt = _in_block(tagged, seed).join(plan, F.col("_block") == F.col("_of")).withColumn(
         "shard", F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))).cast("int")).drop("_of", "_ends", "_block", "_rank")
     ranges = max(1, math.ceil(sum(n for _, n in counts) / shards / RANGE_ROWS))
-    return _in_shard(dealt, ranges, seed).drop("_place")
+    return restore(_in_shard(dealt, ranges, seed), "shard", "slot")
 
 
 def _in_block(rows: DataFrame, seed: int) -> DataFrame:

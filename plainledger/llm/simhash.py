@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plainledger.llm import nearcopies
-from plainledger.llm.common import per_batch, utf8
+from plainledger.llm.common import carry, per_batch, utf8
 from plainledger.llm.graph import components
 from plainledger.operators.skew import spread_join
 from plainledger.session import cut
@@ -296,11 +296,14 @@ def near_duplicates(docs: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies: that with the smallest doc_id.
+    """One row of each group of near copies: that with the smallest doc_id, if one has an id.
 
     Near copies are those of `nearcopies` (five-word shingles, similarity 0.8), not pairs
-    of fingerprints. Rows without a doc_id cannot be named and stay.
+    of fingerprints. A row is known by its doc_id and its text: unlike texts under one id
+    (or none) are judged apart, and of rows equal in both one stays.
     """
-    keep = nearcopies.firsts(docs).select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    docs, restore = carry(docs, ("doc_id", "text"))
+    keep = nearcopies.firsts(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_same"))
+    kept = docs.withColumn("_hash", F.xxhash64("text")).join(
+        keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_same")), "left_semi")
+    return restore(kept.dropDuplicates(["doc_id", "_hash"]))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plainledger.llm import words as w
-from plainledger.llm.common import per_batch, utf8
+from plainledger.llm.common import carry, per_batch, utf8
 from plainledger.operators.skew import spread_join
 from plainledger.session import cut
 
@@ -228,6 +228,9 @@ def _kept(plain: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with the repeated words out of `text`; texts that lose none are unchanged."""
 
+    docs, restore = carry(docs, ("doc_id", "text"))
+    names = docs.columns
+
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
         for text, valid, copied, single, first in zip(
@@ -237,8 +240,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             whole = text if not spans else b" ".join(_kept(plain, spans))
             texts.append(whole.decode("utf-8", "replace") if valid.as_py() else None)
         return pa.RecordBatch.from_arrays(
-            [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], names=docs.columns)
+            [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     ready = _with_matches(_ordered(docs))
-    return ready.select(*docs.columns, "copied", "single", "first").mapInArrow(per_batch(strip), ddl)
+    return restore(ready.select(*docs.columns, "copied", "single", "first").mapInArrow(per_batch(strip), ddl))

@@ -3,7 +3,9 @@
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. A word's hash is a
 polynomial over a table of pseudo-random byte values, mixed with its length; the
 hash of a run of words is a polynomial over their hashes. All arithmetic wraps at
-64 bits.
+64 bits, under which long words made of few letters in a certain order (Thue-Morse)
+meet, so a word of more than LONG bytes is hashed by XXH3 instead. Two different words
+share a hash with probability 2^-64; hashes of runs are no better than those of words.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 CHUNK = 1 << 20
+LONG = 32
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
 _OTHER_BASE = 0xA0761D6478BD642F
@@ -91,7 +95,10 @@ def hashes(text: bytes) -> np.ndarray:
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_byte_values()[data] * up[: len(data)], out=sums[1:])
         own = (sums[ends] - sums[starts]) * down[starts]
-        parts.append(mix(own + (ends - starts).astype(np.uint64)))
+        found = mix(own + (ends - starts).astype(np.uint64))
+        for k in np.flatnonzero(ends - starts > LONG).tolist():
+            found[k] = xxhash.xxh3_64_intdigest(data[starts[k]:ends[k]])
+        parts.append(found)
     if not parts:
         return np.zeros(0, dtype=np.uint64)
     return parts[0] if len(parts) == 1 else np.concatenate(parts)

@@ -53,7 +53,14 @@ def test_deduplicate_equals_brute_force_jaccard(spark):
     assert 60 < len(want) < len(texts) - 60
     found = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == want
-    assert sum(r["doc_id"] is None for r in found) == 2
+    assert sum(r["doc_id"] is None for r in found) == 0
+
+
+def test_deduplicate_knows_rows_by_id_and_text(spark):
+    one, two, three, four = (family(seed, 80, [])[0] for seed in range(100, 104))
+    rows = [(1, one), (1, two), (1, two), (None, three), (None, three), (None, three), (7, four), (None, four)]
+    found = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(found.collect(), key=str) == sorted([(1, one), (1, two), (None, three), (7, four)], key=str)
 
 
 def test_band_recall_at_the_limit():

@@ -95,7 +95,7 @@ def shingles_of(text):
 
 
 def one_of_each(docs):
-    """The row with the least id of every component of texts with a Jaccard similarity of 0.8; rows without id stay."""
+    """The row with the least id of every component of texts with a Jaccard similarity of 0.8; rows without id come last."""
     sets = [shingles_of(text) for _, text in docs]
     root = list(range(len(docs)))
 
@@ -109,10 +109,11 @@ def one_of_each(docs):
         if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
             root[top(i)] = top(j)
     least = {}
-    for i, (doc_id, _) in enumerate(docs):
-        if doc_id is not None:
-            least[top(i)] = min(doc_id, least.get(top(i), doc_id))
-    return [d for i, d in enumerate(docs) if d[0] is None or d[0] == least[top(i)]]
+    for i, (doc_id, text) in enumerate(docs):
+        place = (doc_id is None, doc_id or 0, signed(xxhash.xxh64_intdigest(text.encode(), 42)))
+        if top(i) not in least or place < least[top(i)][0]:
+            least[top(i)] = (place, (doc_id, text))
+    return [d for _, d in least.values()]
 
 
 def without_items(docs, items):
@@ -124,7 +125,7 @@ def without_items(docs, items):
 
     tests = [shingles(r["text"] or "") for r in items]
     held = [(d, shingles(d[1])) for d in docs]
-    return [d for d, h in held if d[0] is None or not any(t and len(t & h) >= 0.8 * len(t) for t in tests)]
+    return [d for d, h in held if not any(t and len(t & h) >= 0.8 * len(t) for t in tests)]
 
 
 def signed(x):
