@@ -619,7 +619,9 @@ def health_report(jobs: DataFrame, datasets: DataFrame, requires: Sequence[str],
     """
     spark = jobs.sparkSession
     job = spark.createDataFrame([("search", list(requires))], "job string, requires array<string>")
-    ready = readiness(job, datasets).select(F.col("ready").alias("search_ready"), F.col("reason").alias("detail"))
+    # One row, also when nothing is required.
+    ready = readiness(job, datasets).agg(
+        F.coalesce(F.bool_and("ready"), F.lit(True)).alias("search_ready"), F.min("reason").alias("detail"))
     one = spark.createDataFrame([(critical,)], "name string").join(datasets, "name", "left").select(dataset_fault().alias("_critical"))
     queue = jobs.agg(
         F.count_if(F.col("state") == "pending").alias("pending"), F.count_if(F.col("state") == "active").alias("active"),

@@ -209,3 +209,20 @@ def test_inventory(spark, tmp_path):
     (tmp_path / "b.txt").rename(tmp_path / "c.txt")
     states = {r["path"].rsplit("/", 1)[-1]: r["state"] for r in tables.compare_inventory(tables.file_inventory(spark, str(tmp_path)), table).collect()}
     assert states == {"a.txt": "changed", "b.txt": "removed", "c.txt": "added"}
+
+
+def test_review_list_limits_and_counts(spark):
+    docs = spark.createDataFrame([(k, "pending" if k % 2 else "published") for k in range(9)], "id long, review_status string")
+    assert [(r["id"], r["n"]) for r in ops.review_list(docs, "pending", 0).collect()] == [(1, 4)]
+    assert sorted(r["id"] for r in ops.review_list(docs, " ", 99_999).collect()) == list(range(9))
+    assert ops.review_list(docs, "none").count() == 0
+
+
+def test_health_names_each_blocker_once(spark):
+    sets = spark.createDataFrame(
+        [("a", [], "failed", True, None, "disk")], "name string, depends_on array<string>, status string, available boolean, healthy boolean, error string")
+    jobs = spark.createDataFrame([("active", "fetch")], "state string, kind string")
+    none = jobs.filter("false")
+    row = ops.health_report(jobs, sets, ["a"], "a", none, none).first()
+    assert row["blocking"] == ["a: failed (disk)"] and row["worker_detail"] and not row["worker_ok"] and not row["ok"]
+    assert ops.health_report(jobs, sets, [], "a", jobs, none).first()["worker_ok"]

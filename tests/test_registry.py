@@ -1,5 +1,6 @@
 """Registry operators against literal rows."""
 
+import pytest
 from plainledger.operators import registry as ops
 
 BASE = ("ARPT_ID", "ARPT_NAME", "CITY", "STATE_CODE", "COUNTY_NAME", "ICAO_ID", "LAT_DECIMAL", "LONG_DECIMAL", "ELEV",
@@ -85,3 +86,10 @@ def test_places(spark):
     places = {r["place"]: (r["code"], r["region"]) for r in ops.place_dimension(spark).collect()}
     assert len(places) == 56
     assert places["Oregon"] == ("OR", "northwest_mountain") and places["Guam"] == ("GU", None)
+
+
+def test_unknown_place_stops_the_job(spark):
+    rows = spark.createDataFrame([(" Oregon ",), (None,)], "place string")
+    assert [r[0] for r in rows.select(ops.place_code("place")).collect()] == ["OR", None]
+    with pytest.raises(Exception, match="unknown place Nowhere"):
+        spark.createDataFrame([("Nowhere",)], "place string").select(ops.place_code("place")).collect()

@@ -176,3 +176,12 @@ def test_signals_equal_a_plain_scan(spark):
         assert list(row)[1:] == want, texts[row["i"]]
         total += sum(want)
     assert total > 100
+
+
+def test_surfaces_only_where_a_line_shows_none(spark):
+    facts = spark.createDataFrame(
+        [(1, "Runways", "3/21, 5,000 by 75 ft\n4/22, 900 by 60 ft"), (2, "Runways", "3/21, 5,000 by 75 ft · Turf"), (3, "Runways", "2")],
+        "entity long, label string, value string")
+    rows = spark.createDataFrame([(1, 1, "3-21", "CONC"), (1, 2, "3 - 21", "ASPH"), (2, 1, "3/21", "CONC")], "key long, seq long, runway string, surface string")
+    got = {r["entity"]: r["value"] for r in ops.with_surfaces(facts, rows).collect()}
+    assert got == {1: "3/21, 5,000 by 75 ft · Asphalt\n4/22, 900 by 60 ft", 2: "3/21, 5,000 by 75 ft · Turf", 3: "2"}
