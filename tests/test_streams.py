@@ -226,3 +226,17 @@ def test_a_stage_is_emitted_when_it_changes(spark, log, tmp_path):
     path = str(tmp_path / "out")
     jobs.stage_changes(stream(), path, buckets=4, merge_every=2)
     assert sorted(tuple(r)[:5] for r in jobs.read_rows(spark, path).collect()) == plain_changes(rows)
+
+
+def parted(spark, folder, name):
+    """A folder of tables in which one table is a folder of parts itself."""
+    rows = spark.read.parquet(f"{SF}/{name}.parquet")
+    rows.repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_document_changes_of_a_table_in_parts(spark, tmp_path):
+    from plainledger.plans import streams
+
+    got = streams.stream_document_changes(spark, parted(spark, str(tmp_path), "conversations"))
+    assert rows_of(got) == rows_of(streams.stream_document_changes(spark, SF).select(got.columns)) != []
