@@ -240,3 +240,10 @@ def test_document_changes_of_a_table_in_parts(spark, tmp_path):
 
     got = streams.stream_document_changes(spark, parted(spark, str(tmp_path), "conversations"))
     assert rows_of(got) == rows_of(streams.stream_document_changes(spark, SF).select(got.columns)) != []
+
+
+def test_page_candidates_of_a_table_in_parts(spark, tmp_path):
+    from plainledger.plans import streams, web
+
+    got = streams.stream_page_candidates(spark, parted(spark, str(tmp_path), "pages"))
+    assert rows_of(got) == rows_of(web.page_link_roles(spark, SF).select(got.columns)) != []
