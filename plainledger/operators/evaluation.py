@@ -284,7 +284,7 @@ def gated_hints(sessions: DataFrame) -> DataFrame:
 
     Sessions: id, lid, packet_text, allowed_hosts (array), ran (array), answer. Each
     proposal must name the entity and a plan word, hold no URL, stay short, and keep
-    to hosts and years the packet has shown.
+    to hosts and years the packet has shown; the entity's own name is no year.
     """
     parsed = answer("answer", "queries array<struct<query: string, why: string>>")
     rows = sessions.select("id", "lid", "packet_text", "allowed_hosts", "ran", F.posexplode(parsed["queries"]).alias("pos", "q"))
@@ -298,7 +298,9 @@ def gated_hints(sessions: DataFrame) -> DataFrame:
         under = F.exists(allowed, lambda a: (h == a) | F.endswith(h, F.concat(F.lit("."), a)) | F.endswith(a, F.concat(F.lit("."), h)))
         return ~h.isin("gov", "com", "org", "net", "us", "") & under
 
-    years = F.regexp_extract_all(q, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
+    named = F.regexp_extract_all(q, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
+    # An entity that is called like a year is named once before the rest counts as years.
+    years = F.filter(named, lambda y, i: i + 1 != F.array_position(named, F.col("lid")))
     seen = (F.coalesce("packet_text", F.lit("")) == "") | F.forall(years, lambda y: F.contains(F.col("packet_text"), y))
     ok = v.all_of(
         q != "", ~F.array_contains("ran", q), F.contains(F.lower(q), F.lower("lid")), ~q.rlike(HINT_BAD),

@@ -129,3 +129,12 @@ def test_merge_keeps_the_first(spark):
     b = spark.createDataFrame([("c", "http://x", 1), ("d", "http://y", 2)], "id string, url string, seq int")
     assert sorted(r["id"] for r in ev.merge_cases([a, b], "seq").collect()) == ["a", "d"]
     assert [r["id"] for r in ev.novel_cases(b, a).collect()] == ["d"]
+
+
+def test_an_entity_called_like_a_year(spark):
+    """Its name is no year the packet must show; a year beside it is one."""
+    said = json.dumps({"queries": [{"query": q} for q in ("1999 ALP 1999", "1999 ALP 2001", "1999 master plan", "ALP 2012 of 1999")]})
+    row = [(1, "1999", "hits from 2012", ["a.gov"], [], said), (2, "19", "hits from 2012", ["a.gov"], [], said)]
+    schema = "id int, lid string, packet_text string, allowed_hosts array<string>, ran array<string>, answer string"
+    got = sorted(tuple(r) for r in ev.gated_hints(spark.createDataFrame(row, schema)).select("id", "rank", "query").collect())
+    assert got == [(1, 1, "1999 master plan"), (1, 2, "ALP 2012 of 1999")]
