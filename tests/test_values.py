@@ -141,3 +141,9 @@ def test_bad_lines_of_a_split_file(spark, tmp_path):
     bad = {(r["_file"].rsplit("/", 1)[1][:3], r["_line"], r[tables.BAD_LINE]) for r in got if r[tables.BAD_LINE] is not None}
     assert bad == want
     assert all(r["_line"] == r["k"] for r in got if r[tables.BAD_LINE] is None) and len(got) == 2 * 3960
+
+
+def test_names_without_semicolon_are_a_choice(one):
+    raw = "<title>the&amp;&amp</title> &copy; &amp&amp; &lt &#65;"
+    assert one(html.clean_text("x0"), x0=raw) == "the&& © && < A"
+    assert one(html.clean_text("x0", bare_names=False), x0=raw) == "the&&amp © &amp& &lt A"
