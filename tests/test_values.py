@@ -147,3 +147,13 @@ def test_names_without_semicolon_are_a_choice(one):
     raw = "<title>the&amp;&amp</title> &copy; &amp&amp; &lt &#65;"
     assert one(html.clean_text("x0"), x0=raw) == "the&& © && < A"
     assert one(html.clean_text("x0", bare_names=False), x0=raw) == "the&&amp © &amp& &lt A"
+
+
+def test_report_titles_keep_open_names(spark):
+    from plainledger.operators import web
+
+    rows = spark.createDataFrame([(1, "https://a.gov/x", "<title>the&amp;&amp</title><a href='/b'>on&amp</a>")], "page_id int, url string, html string")
+    links = web.classified_links(web.page_links(rows, "page_id", "url", "html", bare_names=False))
+    follows = web.list_followups(rows, "page_id", "url", "html")
+    report = web.page_report(rows, links, follows, "page_id", "url", "html", bare_names=False).first()
+    assert (report["title"], report["n_links"], links.first()["label"]) == ("the&&amp", 1, "on&amp")
