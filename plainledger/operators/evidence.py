@@ -31,6 +31,20 @@ def name_tokens(name: Column | str) -> Column:
     return F.filter(words, lambda t: (F.length(t) > 3) & ~t.isin(*rules.NAME_STOP))
 
 
+def _names(blob: Column, low: Column, name: Column) -> Column:
+    """Whether a text holds a name when both are folded; `low` is the text in lower case.
+
+    A text is folded only if it may hold the name in other words than as it is: all of
+    its words, the first one before a blank or a mark that folds to one.
+    """
+    folded = _fold(name)
+    words = F.split(folded, " ", -1)
+    lead = F.element_at(words, 1)
+    likely = (F.size(words) > 1) & v.any_of(*[F.contains(low, F.concat(lead, F.lit(c))) for c in " _-"]) & F.forall(
+        words, lambda w: F.contains(low, w))
+    return (name != "") & (F.contains(low, folded) | (likely & F.contains(_fold(blob), folded)))
+
+
 def token_hits(tokens: Column, text: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.contains(F.lower(text), t)))
 
@@ -62,11 +76,26 @@ def features(packets: DataFrame, pack: EvidenceRules = EvidenceRules(), keep: Se
         "_path": urls.path("_url"), "_name": urls.file_name("_url"), "_host": urls.host("_url"),
         "_text": F.concat_ws(" ", "_label", "_body", "_outline"),
         "_blob": v.joined(" ", F.col("_label"), F.col("_url"), F.col("_body"), F.col("_outline")),
-    }).withColumn("_low", F.lower("_path"))
+    }).withColumns({
+        "_low": F.lower("_path"), "_low_body": F.lower("_body"), "_odd": v.has_odd_case("_text"),
+    }).withColumns({
+        "_low_text": F.concat_ws(" ", F.lower("_label"), "_low_body", F.lower("_outline")),
+        "_low_blob": v.joined(" ", F.lower("_label"), F.lower("_url"), F.col("_low_body"), F.lower("_outline")),
+    })
     name, label, body, url = F.col("_name"), F.col("_label"), F.col("_body"), F.col("_url")
     pdf = F.col("_low").endswith(".pdf") | F.lower(name).endswith(".pdf") | (
         url.rlike(rules.GUID) & ~F.col("_low").rlike(rules.PAGE_END))
-    shape = reduce(lambda a, c: a + c, [F.col("_text").rlike(p).cast("int") for p in pack.shapes.values()])
+
+    def in_text(pattern: str) -> Column:
+        return v.found(F.col("_text"), F.col("_low_text"), F.col("_odd"), pattern, pack.parts.get(pattern))
+
+    def in_body(text: Column, pattern: str, chars: int | None = None) -> Column:
+        """Match in a text that is the body, its opening of so many characters or empty."""
+        parts = pack.parts.get(pattern)
+        hit = v.found(text, opening(F.col("_low_body"), chars), F.col("_odd"), pattern, parts)
+        return (text != "") & hit if parts else hit
+
+    shape = reduce(lambda a, c: a + c, [in_text(p).cast("int") for p in pack.shapes.values()])
     staged = parts.withColumns({
         "_pdf": pdf, "_shape": shape,
         "_n_amp": name.rlike(pack.amp), "_n_alp": name.rlike(pack.alp) & ~F.lower(name).contains("narrative"),
@@ -76,7 +105,7 @@ def features(packets: DataFrame, pack: EvidenceRules = EvidenceRules(), keep: Se
         "_planned": (F.col("_n_amp") & ~F.col("_n_chapter")) | F.col("_n_chapter") | F.col("_n_alp") | F.col("_diagram") | (F.col("_shape") >= 3),
     }).withColumns({
         "_source": F.when(F.col("_html"), "").otherwise(body),
-        "_hrefs": F.when(F.col("_html"), F.regexp_extract_all(body, F.lit(rules.PDF_HREF), F.lit(1))).otherwise(F.array().cast("array<string>")),
+        "_hrefs": F.when(F.col("_html") & F.contains("_low_body", F.lit("href=")), F.regexp_extract_all(body, F.lit(rules.PDF_HREF), F.lit(1))).otherwise(F.array().cast("array<string>")),
     }).withColumns({
         "_first": opening(F.when(F.col("_source") != "", F.col("_source")).otherwise(F.when(F.col("_html"), body).otherwise("")), first_page),
         "_surface": F.concat_ws(" ", label, url, name),
@@ -86,7 +115,7 @@ def features(packets: DataFrame, pack: EvidenceRules = EvidenceRules(), keep: Se
     path, low, host, lid, tokens = F.col("_path"), F.col("_low"), F.col("_host"), F.col("_lid"), F.col("_tokens")
 
     def off_plan(pattern: str, other: Column) -> Column:
-        return F.when(source != "", source).otherwise(other).rlike(pattern) & ~planned
+        return ~planned & F.when(source != "", in_body(source, pattern)).otherwise(other.rlike(pattern))
 
     def capped(n: Column, cap: int) -> Column:
         return F.least(n, F.lit(cap))
@@ -95,9 +124,9 @@ def features(packets: DataFrame, pack: EvidenceRules = EvidenceRules(), keep: Se
     strange = F.exists(others, lambda t: (F.upper(t) != F.upper(lid)) & ~F.lower(t).isin(*rules.PATH_STOP) & ~t.rlike(r"^\d+$"))
     hrefs = F.col("_hrefs")
     found = {
-        "lid_in_url": _has(url, lid), "lid_in_text": _has(F.col("_text"), lid),
+        "lid_in_url": _has(url, lid), "lid_in_text": (lid != "") & F.contains("_low_text", F.lower(lid)),
         "lid_in_filename": _has(name, lid), "lid_in_label": _has(label, lid),
-        "name_in_text": (F.col("_airport") != "") & F.contains(_fold(F.col("_blob")), _fold(F.col("_airport"))),
+        "name_in_text": _names(F.col("_blob"), F.col("_low_blob"), F.col("_airport")),
         "name_in_filename": token_hits(tokens, name) >= 1,
         "name_token_host": capped(token_hits(tokens, host), 3),
         "name_token_host_strong": capped(token_hits(F.filter(tokens, lambda t: F.length(t) >= 6), host), 3),
@@ -122,13 +151,15 @@ def features(packets: DataFrame, pack: EvidenceRules = EvidenceRules(), keep: Se
         "label_alp": label.rlike(pack.alp), "label_chapter": label.rlike(pack.chapter),
         "label_appendix": label.rlike(pack.appendix) | name.rlike(pack.appendix),
         "label_statewide": F.col("_label_name").rlike(pack.statewide),
-        "text_amp": F.col("_text").rlike(pack.amp), "first_page_amp": F.col("_first").rlike(pack.amp),
+        "text_amp": in_text(pack.amp), "first_page_amp": in_body(F.col("_first"), pack.amp, first_page),
         "packet_not_plan": F.col("_surface").rlike(pack.not_plan),
-        "body_nepa": source.rlike(pack.ea) & ~planned,
+        "body_nepa": ~planned & in_body(source, pack.ea),
         "body_economic_impact": off_plan(pack.econ, label),
         "body_budget": off_plan(pack.budget, F.col("_surface")),
         "body_pavement": off_plan(pack.pave, F.col("_surface")),
-        "body_statewide": F.when(source != "", opening(F.col("_first"), first_lines)).otherwise(F.col("_label_name")).rlike(pack.statewide),
+        "body_statewide": F.when(source != "", in_body(
+            opening(F.col("_first"), first_lines), pack.statewide, min((n for n in (first_page, first_lines) if n is not None), default=None))).otherwise(
+            F.col("_label_name").rlike(pack.statewide)),
         "shape_count": F.col("_shape"), "outline_n": capped(F.col("_outline_n"), 8),
         "body_short": F.col("_pdf") & (F.length(source) < rules.SHORT_BODY),
         "body_long": F.length(source) >= rules.LONG_BODY,

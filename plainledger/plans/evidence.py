@@ -17,7 +17,8 @@ from plainledger.rules.evidence import EvidenceRules
 from plainledger.rules.funding import CATEGORIES
 
 # The prose holds the short words of the pattern by chance, so they are left out.
-PACK = EvidenceRules(ea=r"(?i)environmental assessment|\bNEPA\b")
+EA = r"(?i)environmental assessment|\bNEPA\b"
+PACK = EvidenceRules(ea=EA, parts={**rules.PARTS, EA: (("environmental assessment", None), ("nepa", r"(?i)\bNEPA\b"))})
 
 
 def packets(spark, sf):

@@ -58,6 +58,26 @@ SHAPES = {
     "implementation": r"(?iu)implementation|capital improvement|\bcip\b",
 }
 
+# Alternatives of the patterns that meet whole texts, each with the word its matches begin with
+# or have one character before; none where the word alone is the alternative.
+PARTS = {
+    AMP: (("final amp", None), ("master", r"(?iu)master[_\s-]?plan"), ("amp", r"(?iu)(?:^|[^a-z0-9])amp(?:[^a-z0-9]|$)")),
+    ALP: (("airport layout plan", None), ("airport diagram", None), ("alp", r"(?iu)(?:^|[^a-z0-9])alp(?:[^a-z0-9]|$)")),
+    EA: (("environmental assessment", None), ("nepa", r"(?iu)\bNEPA\b"), ("fonsi", r"(?iu)\bFONSI\b"), ("ea", r"(?iu)\bEA\b")),
+    ECON: (("economic impact", None), ("payroll and output", None), ("implan", r"(?iu)\bIMPLAN\b"), ("aeis", r"(?iu)\bAEIS\b")),
+    BUDGET: (("legislatively adopted budget", None), ("passenger facility", None), ("pfc", r"(?iu)\bPFC\b")),
+    PAVE: (("pavement management", None), ("pavement condition", None), ("pci", r"(?iu)\bPCI\b")),
+    STATEWIDE: (
+        ("aviation system plan", None), ("state aviation system", None), ("statewide airport", None), ("statewide aviation", None),
+        ("statewide economic impact", None), ("sasp", r"(?iu)\bSASP\b")),
+    SHAPES["inventory"]: (("existing conditions", None), ("inventory", r"(?iu)\binventory\b")),
+    SHAPES["forecasts"]: (("forecast", SHAPES["forecasts"]),),
+    SHAPES["facility_requirements"]: (("facility requirement", None), ("demand", r"(?iu)demand.?capacity")),
+    SHAPES["alternatives"]: (("alternative", SHAPES["alternatives"]),),
+    SHAPES["alp"]: (("airport layout plan", None), ("alp", r"(?iu)\balp\b")),
+    SHAPES["implementation"]: (("implementation", None), ("capital improvement", None), ("cip", r"(?iu)\bcip\b")),
+}
+
 # Linear weights of the three decisions.
 CONFIRM = {
     "lid_in_url": 2.0, "lid_in_text": 1.5, "lid_in_filename": 1.5, "lid_in_label": 1.0,
@@ -139,6 +159,8 @@ class EvidenceRules:
     appendix: str = APPENDIX
     not_plan: str = NOT_PLAN
     shapes: dict = field(default_factory=lambda: dict(SHAPES))
+    # Alternatives by pattern (`values.found`); a pattern may have none.
+    parts: dict = field(default_factory=lambda: dict(PARTS))
 
 
 @dataclass(frozen=True)

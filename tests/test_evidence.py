@@ -1,6 +1,7 @@
 """Evidence scoring and gated answers against labelled cases."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,41 @@ def test_an_entity_called_like_a_year(spark):
     schema = "id int, lid string, packet_text string, allowed_hosts array<string>, ran array<string>, answer string"
     got = sorted(tuple(r) for r in ev.gated_hints(spark.createDataFrame(row, schema)).select("id", "rank", "query").collect())
     assert got == [(1, 1, "1999 master plan"), (1, 2, "ALP 2012 of 1999")]
+
+
+def test_patterns_tried_where_their_words_stand(spark):
+    """Every pattern finds in random texts what it finds when tried on the whole of them, odd letters included."""
+    import random
+
+    from plainledger.functions import values as v
+    from plainledger.rules import evidence as rules
+
+    rnd = random.Random(5)
+    words = [w for parts in rules.PARTS.values() for w, _ in parts] + [
+        "amp", "Amped", "champ", "MASTER_PLAN", "master  plan", "mastermind", "demand-capacity", "demands", "principal", "Alternatives", "alternativeness",
+        "pavement conditions", "NEPA", "nepal", "fon\u017fi", "\u0130nventory", "payroll", "sea", "EA", "e\u0301a\u0301", "inventory\u0301", "\u212aa", "\u03a3 x"]
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", " ", ". ", "-", "", "\u00e9", "x" * 40]) for _ in range(rnd.randint(0, 5))) for _ in range(400)] + [""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("low", F.lower("t")).withColumn("odd", v.has_odd_case("t"))
+    for pattern, parts in rules.PARTS.items():
+        got = v.found(F.col("t"), F.col("low"), F.col("odd"), pattern, parts)
+        assert rows.filter(got != F.col("t").rlike(pattern)).select("t").collect() == [], pattern
+
+
+def test_features_of_pages_and_limits(spark):
+    """Features are the same when all patterns are tried on whole texts: pages have no body text, openings are cut."""
+    from plainledger.rules.evidence import EvidenceRules
+
+    body = "x" * 30 + " economic impact NEPA statewide aviation Harbor_Field final amp"
+    rows = spark.createDataFrame(
+        [(i, "ABC", name, url, label, text, ["Inventory"], 10) for i, (name, url, label, text) in enumerate(
+            (n, u, l, t) for n in ("Harbor Field", "Harbor", "", "Field-X y") for u in ("https://a.gov/x", "https://a.gov/x.pdf")
+            for l in ("", "Meeting", "harbor  field") for t in (body, "", None, "harbor -field"))],
+        "id int, lid string, name string, url string, label string, body string, outline array<string>, source_bytes long")
+    for limits in ({}, {"first_page": 40, "first_lines": 50}, {"first_page": 80}):
+        a, b = ops.features(rows, **limits), ops.features(rows, EvidenceRules(parts={}), **limits)
+        assert a.exceptAll(b).collect() == []
+    plain = {r["id"]: r["f_name_in_text"] for r in ops.features(rows).collect()}
+    for r in rows.collect():
+        blob = " ".join(x for x in (r["label"], r["url"], r["body"], "Inventory") if x)
+        fold = lambda x: re.sub(r"[_\-]+", " ", x.lower())
+        assert plain[r["id"]] == float(r["name"] != "" and fold(r["name"]) in fold(blob)), r
