@@ -184,38 +184,48 @@ def _runway_rows(hits: Column, pattern: str) -> Column:
         v.count_from_text(F.regexp_extract(h, pattern, 3)).alias("width")))
 
 
-def phrases(text: Column | str) -> dict[str, Column]:
+def phrases(text: str, lowered: str, odd_case: str) -> dict[str, Column]:
     """What each phrase pattern finds in a text: the one pass over the text itself.
 
-    The facts below are built from these small columns, so no pattern runs twice.
+    A pattern is tried only in texts that hold its words, where it can from the first of
+    them on. The facts below are built from these small columns, so no pattern runs twice.
     """
-    blob = F.coalesce(v.col(text), F.lit(""))
-    low = F.lower(blob)
+    blob, low, odd = F.col(text), F.col(lowered), F.col(odd_case)
 
-    def spans(pattern: str, back: int, ahead: int) -> Column:
+    def near(*words: str) -> Column:
+        """The text from the first of the words that a pattern's matches begin with."""
+        return v.from_first(blob, low, odd, words)
+
+    def holding(*words: str) -> Column:
+        """The text if it holds all words that a match holds, else an empty one."""
+        return F.when(odd | v.all_of(*[F.contains(low, F.lit(w)) for w in words]), blob).otherwise("")
+
+    def spans(pattern: str, back: int, ahead: int, *words: str) -> Column:
         """Hits with the lower-case text from `back` before to `ahead` after their start."""
         def around(m: Column) -> Column:
             left = F.greatest(m["start"] - back, F.lit(1))
             return F.struct(m["hit"].alias("hit"), F.lower(F.substring(blob, left, m["start"] + ahead - left)).alias("window"))
 
-        return F.transform(match_spans(blob, pattern), around)
+        return F.transform(match_spans(holding(*words), pattern), around)
 
+    runway = near("runway")
+    primes = F.when(odd | F.contains(low, F.lit("'")) | F.contains(low, F.lit("′")), blob).otherwise("")
     return {
-        "_long_wide": _all(blob, rules.RWY_LONG_WIDE, 0),
-        "_by": _all(blob, rules.RWY_BY, 0),
-        "_one_id": _first(blob, rules.RWY_ID),
-        "_usable": _first(blob, rules.RWY_USABLE),
-        "_wide": _first(blob, rules.RWY_WIDE),
-        "_pairs": _all(blob, rules.RWY_PAIR, 0),
-        "_primes": _all(blob, rules.RWY_PRIME, 0),
-        "_count": _first(blob, rules.RWY_COUNT),
-        "_based": F.coalesce(_first(blob, rules.BASED_NOW), _first(blob, rules.BASED_AT)),
-        "_hangared": _first(blob, rules.HANGARED),
-        "_rest": _first(blob, rules.TIEDOWN_REST),
-        "_over": F.slice(spans(rules.OPS_OVER, 80, 0), 1, 1),
-        "_annual": spans(rules.OPS_ANNUAL, 120, 40),
-        "_units": _all(blob, rules.T_UNIT, 0),
-        "_buildings": _first(blob, rules.HANGAR_BUILDINGS),
+        "_long_wide": _all(runway, rules.RWY_LONG_WIDE, 0),
+        "_by": _all(runway, rules.RWY_BY, 0),
+        "_one_id": _first(holding("one", "runway"), rules.RWY_ID),
+        "_usable": _first(near("usable"), rules.RWY_USABLE),
+        "_wide": _first(runway, rules.RWY_WIDE),
+        "_pairs": _all(runway, rules.RWY_PAIR, 0),
+        "_primes": _all(primes, rules.RWY_PRIME, 0),
+        "_count": _first(holding("has", "runway"), rules.RWY_COUNT),
+        "_based": F.coalesce(_first(near("currently"), rules.BASED_NOW), _first(holding("based aircraft at the airport"), rules.BASED_AT)),
+        "_hangared": _first(holding("stored in hangars"), rules.HANGARED),
+        "_rest": _first(near("stored in hangars,"), rules.TIEDOWN_REST),
+        "_over": F.slice(spans(rules.OPS_OVER, 80, 0, "over", "annual operations"), 1, 1),
+        "_annual": spans(rules.OPS_ANNUAL, 120, 40, "annual", "operations"),
+        "_units": _all(holding("t-hangar"), rules.T_UNIT, 0),
+        "_buildings": _first(holding("hangar buildings"), rules.HANGAR_BUILDINGS),
         "_no_tower": low.rlike(rules.NO_TOWER),
         "_lounge": low.contains("pilot lounge"),
         "_fuel": low.rlike(rules.FUEL),
@@ -317,7 +327,10 @@ def facilities() -> Column:
 
 def fact_rows(docs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Facts of a text as rows (keys, label, value); the text itself is left behind."""
-    found = docs.select(*keys, *[c.alias(name) for name, c in phrases(text).items()])
+    # The text in lower case is a column of its own, so it is made once.
+    lowered = docs.select(*keys, F.coalesce(v.col(text), F.lit("")).alias("_blob")).withColumns(
+        {"_low": F.lower("_blob"), "_odd": v.has_odd_case("_blob")})
+    found = lowered.select(*keys, *[c.alias(name) for name, c in phrases("_blob", "_low", "_odd").items()])
     ready = found.withColumns(parsed())
     facts = {
         "Runways": runways(), "Based aircraft": based_aircraft(), "Hangared aircraft": hangared_aircraft(),
