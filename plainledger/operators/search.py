@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,11 @@ SLUG_CHARS = 80
 GRAM = 3
 # Postings of a gram and group that a search confirms first.
 HEADS = 64
+# Bits of the filter of grams that the tasks get, however many grams there are; bits of
+# a character in a gram's number; characters of records that a task looks at together.
+FILTER_BITS = 22
+CHAR_BITS = 21
+PIECE_CHARS = 1 << 20
 
 
 def _record(**fields: Column) -> list[Column]:
@@ -143,31 +149,125 @@ def runs(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1)))
 
 
-def grams(hays: DataFrame, *columns: str) -> DataFrame:
-    """One row per run of up to GRAM characters in `_hay`, the empty one included; shorter runs may repeat."""
-    long = hays.select(*columns, F.explode_outer(runs(F.col("_hay"))).alias("_run"))
-    heads = [F.substring("_run", 1, n) for n in range(1, GRAM)]
-    return long.select(*columns, F.explode(F.array(F.col("_run"), *heads, F.lit(""))).alias("gram"))
+def gram_number(gram: str) -> int:
+    """A gram as one number: its characters' codes and one more, so that none is zero."""
+    codes = [ord(c) + 1 for c in gram] + [0] * (GRAM - len(gram))
+    return sum(c << CHAR_BITS * (GRAM - 1 - i) for i, c in enumerate(codes))
+
+
+def gram_text(number: int) -> str:
+    codes = [number >> CHAR_BITS * i & (1 << CHAR_BITS) - 1 for i in reversed(range(GRAM))]
+    return "".join(chr(c - 1) for c in codes if c)
+
+
+def _bit(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)
+
+
+def gram_filter(asked: DataFrame) -> tuple[np.ndarray, bool]:
+    """A bit for every gram asked for, in a table of fixed size; and whether some are shorter than GRAM.
+
+    It spares the tasks most grams that nobody asked for; a join by the grams follows.
+    """
+    import pyarrow as pa
+
+    def bits(batches: Iterator) -> Iterator:
+        for batch in batches:
+            numbers = np.array([gram_number(g) for g in batch.column("gram").to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(numbers).astype(np.int64) + 1)], names=["bit"])
+
+    table = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
+    parts = asked.select("gram").mapInArrow(bits, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    for row in parts.collect():
+        part = np.frombuffer(row["bits"], dtype=np.uint8)[: len(table)]
+        at = (row["bucket"] - 1) * 4096
+        table[at: at + len(part)] = part
+    return table, not asked.filter(F.length("gram") < GRAM).isEmpty()
+
+
+def _found_grams(hays, bits: np.ndarray, short: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """(rows, places, grams) of the texts of a batch: row rows[i] holds grams[places[i]], each pair once."""
+    at = 0
+    while at < len(hays):
+        texts, size, first = [], 0, at
+        while at < len(hays) and size < PIECE_CHARS:
+            texts.append(hays[at].as_py())
+            size += len(texts[-1])
+            at += 1
+        rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        # Every text ends in zeros, so that runs at its end are the shorter ones.
+        starts = np.arange(len(rows)) + (GRAM - 1) * rows
+        codes = np.zeros(len(rows) + (GRAM - 1) * len(texts), dtype=np.int64)
+        codes[starts] = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64) + 1
+        numbers = np.zeros(len(rows), dtype=np.int64)
+        for n in range(GRAM):
+            numbers = numbers << CHAR_BITS | codes[starts + n]
+        if short:
+            every = [numbers >> CHAR_BITS * n << CHAR_BITS * n for n in range(GRAM)]
+            numbers = np.concatenate([*every, np.zeros(len(texts), dtype=np.int64)])
+            rows = np.concatenate([rows] * GRAM + [np.arange(len(texts))])
+        bit = _bit(numbers)
+        asked = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        known, places = np.unique(numbers[asked], return_inverse=True)
+        if len(known):
+            pairs = np.unique(rows[asked] * len(known) + places)
+            yield first + pairs // len(known), pairs % len(known), [gram_text(int(k)) for k in known]
 
 
 # What a scope can tell records apart by: postings are kept per group of equal values.
 GROUP = ("type", "_shown", "outlook")
 
 
-def postings(rows: DataFrame, needles: DataFrame) -> DataFrame:
-    """(gram, id, type, _shown, outlook, cls) of the grams that some needle holds.
+def group_counts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(gram, type, _shown, outlook, n) of the grams asked for: how many records of a group hold one.
+
+    Counted in the tasks, so that no posting of a frequent gram leaves them.
+    """
+    import pyarrow as pa
+
+    bits, short = gram_filter(asked)
+
+    def count(batches: Iterator) -> Iterator:
+        for batch in batches:
+            groups: dict[tuple, int] = {}
+            of = np.array([groups.setdefault(g, len(groups)) for g in zip(*(batch.column(c).to_pylist() for c in GROUP))], dtype=np.int64)
+            names = list(groups)
+            for at, places, found in _found_grams(batch.column("_hay"), bits, short):
+                both, n = np.unique(places * len(names) + of[at], return_counts=True)
+                owners = [names[i] for i in both % len(names)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([found[i] for i in both // len(names)], pa.string()),
+                     *(pa.array([o[k] for o in owners], pa.string()) for k in range(len(GROUP))), pa.array(n, pa.int64())],
+                    names=["gram", *GROUP, "n"])
+
+    schema = ", ".join(f"{c} string" for c in ("gram", *GROUP)) + ", n long"
+    parts = rows.select(*GROUP, "_hay").mapInArrow(count, schema).groupBy("gram", *GROUP).agg(F.sum("n").alias("n"))
+    return parts.join(asked, "gram", "left_semi")
+
+
+def postings(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(gram, id, type, _shown, outlook, cls) of the grams asked for, without texts.
 
     `cls` is the best attribute a needle with that gram can have in the record: key,
-    title, or text and beyond. The grams asked for are written first, so the planner
-    knows their size: while they are few, a record's other grams never leave the task
-    that made them. Postings carry no text; those of grams shorter than GRAM may repeat,
-    which only makes a group look longer.
+    title, or text and beyond.
     """
+    import pyarrow as pa
+
+    bits, short = gram_filter(asked)
+    kept = ["id", *GROUP, "_key", "_name"]
+
+    def post(batches: Iterator) -> Iterator:
+        for batch in batches:
+            others = batch.select(kept)
+            for at, places, found in _found_grams(batch.column("_hay"), bits, short):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.string()).take(pa.array(places)), *others.take(pa.array(at)).columns], names=["gram", *kept])
+
     own = rows.withColumn("_key", F.lower("entity")).withColumn("_name", F.lower("title"))
     best = F.when(v.yes(F.contains("_key", F.col("gram"))), 1).when(v.yes(F.contains("_name", F.col("gram"))), 2).otherwise(3)
-    asked = cut(needles.select("gram").distinct())
-    found = grams(own, "id", *GROUP, "_key", "_name").join(asked, "gram", "left_semi")
-    return found.select("gram", "id", *GROUP, best.alias("cls"))
+    found = own.select(*kept, "_hay").mapInArrow(post, ", ".join(f"{c} string" for c in ("gram", *kept)))
+    return found.join(asked, "gram", "left_semi").select("gram", "id", *GROUP, best.alias("cls"))
 
 
 def in_scope() -> Column:
@@ -200,7 +300,8 @@ def search(records: DataFrame, queries: DataFrame, limit: int = SUGGEST_LIMIT, o
     record, a null one in none.
 
     Equi joins over postings only. Each needle takes its rarest gram; one shorter than a
-    gram is a gram itself. Of a gram's postings the first `heads` of every group come
+    gram is a gram itself. Grams are counted first, and only those taken get postings. Of
+    a gram's postings the first `heads` of every group come
     first, in the order of the best attribute they can have. They are confirmed against
     the records, and a query is done if its groups have no more or if its last wanted
     hit ranks no later than all that was left out: so a needle that every record holds
@@ -215,12 +316,12 @@ def search(records: DataFrame, queries: DataFrame, limit: int = SUGGEST_LIMIT, o
     own = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(
         F.filter(runs(F.col("needle")), lambda g: F.length(g) == GRAM))
     parts = cut(asked.select("needle").distinct().select("needle", F.explode(own).alias("gram")))
-    held = cut(postings(rows, parts))
-    groups = cut(held.groupBy("gram", *GROUP).agg(F.count(F.lit(1)).alias("n")))
+    groups = cut(group_counts(rows, cut(parts.select("gram").distinct())))
     counts = groups.groupBy("gram").agg(F.sum("n").alias("_n"))
     rarest = parts.join(counts, "gram", "left").groupBy("needle").agg(
         F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_best"))
     wanted = cut(asked.join(rarest.select("needle", F.col("_best.gram").alias("gram")), "needle"))
+    held = cut(postings(rows, cut(wanted.select("gram").distinct())))
 
     place = F.struct("cls", "id")
     first = held.withColumn("_at", F.row_number().over(Window.partitionBy("gram", *GROUP).orderBy("cls", "id")))

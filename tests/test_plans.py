@@ -157,3 +157,25 @@ def test_search_stops_at_the_best_hits(spark, monkeypatch):
             first = {r["query_id"]: r["count"] for r in pairs[0].groupBy("query_id").count().collect()}
             assert max(first.values()) <= 18 * heads
             assert not {"common|all|", "|all|"} & {r["query_id"] for r in pairs[1].select("query_id").distinct().collect()}
+
+
+def test_only_the_rarest_grams_get_postings(spark, monkeypatch):
+    """Grams are counted without postings, short, empty and odd ones as well; a needle of many takes one."""
+    texts = ["north plan", "north", "", "a\U0001f600b", "é" * 5]
+    rows = spark.createDataFrame(
+        [(f"d{i}", "document", None, "/u", "alp" if i % 2 else None, None, "k", t) for i, t in enumerate(texts)],
+        "id string, type string, title string, url string, kind string, outlook string, entity string, text string")
+    asked = spark.createDataFrame([(i, w, "all", "") for i, w in enumerate(["north plan", "north", "", "\U0001f600", "é", "zz"])],
+                                  "query_id long, needle string, scope string, outlook string")
+    made, taken = search.postings, []
+    monkeypatch.setattr(search, "postings", lambda r, g: taken.append({x["gram"] for x in g.collect()}) or made(r, g))
+    got = {(r["query_id"], r["id"]) for r in search.search(rows, asked).collect()}
+    assert got == {(0, "d0"), (1, "d0"), (1, "d1"), *((2, f"d{i}") for i in range(5)), (3, "d3"), (4, "d4")}
+    assert len(taken[0]) <= 6
+
+    monkeypatch.setattr(search, "PIECE_CHARS", 4)
+    hays = rows.select("id", "type", F.coalesce("kind", "type").alias("_shown"), "outlook", "entity", "title", F.col("text").alias("_hay"))
+    grams = ["nor", "n", "", "an", "\U0001f600b", "ééé", "xyz"]
+    counts = search.group_counts(hays, spark.createDataFrame([(g,) for g in grams], "gram string"))
+    want = {(g, "alp" if i % 2 else "document"): sum(g in t for t in texts[i % 2::2]) for g in grams for i in (0, 1)}
+    assert {(r["gram"], r["_shown"]): r["n"] for r in counts.collect()} == {k: n for k, n in want.items() if n}
