@@ -203,14 +203,15 @@ def source_json_lines(spark, sf):
 
 
 def source_bad_lines(spark, sf):
-    """Order lines as line JSON, a file per status, the largest quantities cut off: each with its file and line number."""
+    """Order lines as line JSON, a file in parts per status, the largest quantities cut off: each with its file and line number."""
     folder = run_dir(spark, "lines")
     whole = F.to_json(F.struct("l_orderkey", "l_linenumber", "l_quantity"))
     line = F.when(F.col("l_quantity") == 50, F.substring(whole, 1, 20)).otherwise(whole)
     rows = b.table(spark, sf, "lineitem").select(F.concat_ws("", "l_returnflag", "l_linestatus").alias("status"), "l_orderkey", "l_linenumber", "l_quantity", line.alias("value"))
-    rows.repartition("status").sortWithinPartitions("status", "l_orderkey", "l_linenumber", "l_quantity").select("status", "value").write.partitionBy("status").text(folder)
+    order = ["status", "l_orderkey", "l_linenumber", "l_quantity"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("status", "value").write.partitionBy("status").text(folder)
     schema = T.StructType.fromDDL("l_orderkey long, l_linenumber long, l_quantity double")
-    found = tables.read_jsonl(spark, f"{folder}/*", schema, "report").filter(F.col(tables.BAD_LINE).isNotNull())
+    found = tables.read_jsonl(spark, f"{folder}/*", schema, "report", parts=True).filter(F.col(tables.BAD_LINE).isNotNull())
     return found.select(F.regexp_extract("_file", "status=([A-Z]+)", 1).alias("status"), F.col("_line").alias("line"), F.col(tables.BAD_LINE).alias("text"))
 
 

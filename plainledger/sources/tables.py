@@ -26,12 +26,16 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line:
                           multiLine=multi_line, escape='"', enforceSchema=False)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "fail") -> DataFrame:
-    """Line JSON: fail on a bad line, skip it, or report it with its file and line number."""
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "fail", parts: bool = False) -> DataFrame:
+    """Line JSON: fail on a bad line, skip it, or report it with its file and line number.
+
+    A file that lies in parts in a folder of its own is named with `parts`: its lines are
+    numbered through all parts of the folder, in the order of their names.
+    """
     if mode != "report":
         return spark.read.option("mode", STRICT[mode]).schema(schema).json(path)
     full = T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
-    lines, before = _placed_lines(spark, path)
+    lines, before = _placed_lines(spark, path, parts)
     options = {"mode": STRICT[mode], "columnNameOfCorruptRecord": BAD_LINE}
     rows = lines.filter(F.trim("value") != "").withColumn("_row", F.from_json("value", full, options))
     # One row per block of a file, and a block is read by one task.
@@ -39,17 +43,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str =
     return numbered.select("_row.*", "_file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("_line"))
 
 
-def _placed_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def _placed_lines(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """Lines with their file, block and running id; and of each block its first id and the lines before it.
 
     A file is split over tasks. Ids run on within a block, so lines are counted once per
     block and a sum over a file's blocks in order gives each block's first line number.
     """
+    With `parts` the sum goes over all files of a folder.
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"))
     blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.regexp_replace("_file", "/[^/]*$", "") if parts else F.col("_file")
+    earlier = Window.partitionBy(whole).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(
         F.col("_file").alias("_of"), F.col("_block").alias("_start"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return lines, before
