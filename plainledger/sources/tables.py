@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from plainledger.functions import urls
 from plainledger.functions import values as v
+from plainledger.session import cut
 
 STRICT = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "report": "PERMISSIVE"}
 BAD_LINE = "_corrupt_record"
@@ -48,8 +49,8 @@ def _placed_lines(spark: SparkSession, path: str, parts: bool = False) -> tuple[
 
     A file is split over tasks. Ids run on within a block, so lines are counted once per
     block and a sum over a file's blocks in order gives each block's first line number.
-    """
     With `parts` the sum goes over all files of a folder.
+    """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"))
@@ -124,17 +125,19 @@ def map_sheet(cells: DataFrame, aliases: Mapping[str, Sequence[str]], required:
     )
     # The alias table is a fixed handful of rows.
     named = cells.withColumn("alias", header_text("value")).join(F.broadcast(table), "alias")
-    header = (
+    # Headers and columns are written, so that the planner knows how few there are and
+    # the cells of a large sheet stay in the tasks that read them.
+    header = cut(
         named.filter(F.col("field") == required).groupBy(*keys).agg(F.min("row").alias("_header"))
     )
-    columns = (
+    columns = cut(
         named.join(header, keys).filter(F.col("row") == F.col("_header"))
         .groupBy(*keys, "field", "rank").agg(F.max("col").alias("col"))
         .groupBy(*keys, "field").agg(F.min_by("col", "rank").alias("col"))
     )
-    body = cells.join(header, keys).filter(F.col("row") > F.col("_header"))
+    body = cells.join(columns.join(header, keys), [*keys, "col"]).filter(F.col("row") > F.col("_header"))
     return (
-        body.join(columns, [*keys, "col"])
+        body
         .groupBy(*keys, "row")
         .pivot("field", list(aliases))
         .agg(F.first("value"))
@@ -146,9 +149,10 @@ def sheet_titles(cells: DataFrame, aliases: Mapping[str, Sequence[str]], require
     """Text of the last row above the header, its cells joined in column order."""
     keys = list(keys)
     is_key = header_text("value").isin(*aliases[required])
-    header = cells.filter(is_key).groupBy(*keys).agg(F.min("row").alias("_header"))
+    # Written, so that the planner knows how few headers there are and no sheet is shuffled.
+    header = cut(cells.filter(is_key).groupBy(*keys).agg(F.min("row").alias("_header")))
     above = cells.join(header, keys).filter((F.col("row") < F.col("_header")) & (F.col("value") != ""))
-    last = above.groupBy(*keys).agg(F.max("row").alias("row"))
+    last = cut(above.groupBy(*keys).agg(F.max("row").alias("row")))
     texts = above.join(last, [*keys, "row"]).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("col", "value"))).alias("_cells")
     )
