@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plainledger.functions import values as v
 from plainledger.rules import funding as rules
 from plainledger.rules.funding import SpendRules
+from plainledger.session import cut
 
 
 # --- row level -------------------------------------------------------------
@@ -176,30 +177,28 @@ def money_overview(grants: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def allocation_cube(grants: DataFrame, scope: str) -> DataFrame:
-    """Totals by purpose, year, entity and their crosses, in one aggregate."""
-    c = {name: F.col(name) for name in (scope, "purpose", "fiscal_year", "entity")}
-    s, p, y, e = c[scope], c["purpose"], c["fiscal_year"], c["entity"]
+    """Totals by purpose, year, entity and their crosses.
+
+    The finest cells are summed first and written, an entity's cells side by side; every
+    coarser slice is a sum of cells, summed before its shuffle. A task holds the groups
+    of one slice at a time, not of all six.
+    """
     amount = F.coalesce("amount", F.lit(0))
-    flat = grants.select(s, p, y, e, F.col("fiscal_year").alias("_year"), amount.alias("_amount"))
-    cube = flat.groupingSets(
-        [[s, p], [s, y], [s, e], [s, e, p], [s, y, e], [s, y, e, p]], s, p, y, e
-    ).agg(
-        F.grouping("purpose").alias("_gp"),
-        F.grouping("fiscal_year").alias("_gy"),
-        F.grouping("entity").alias("_ge"),
-        F.sum("_amount").alias("total"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("_year").alias("year_min"),
-        F.max("_year").alias("year_max"),
-    )
-    named = F.concat_ws(
-        "+",
-        F.when(F.col("_gy") == 0, "year"),
-        F.when(F.col("_ge") == 0, "entity"),
-        F.when(F.col("_gp") == 0, "purpose"),
-    )
-    dated = (F.col("_gy") == 1) | y.isNotNull()
-    return cube.filter(dated).withColumn("slice", named).drop("_gp", "_gy", "_ge")
+    sums = [F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("year_min").alias("year_min"), F.max("year_max").alias("year_max")]
+    cells = cut(grants.groupBy(scope, "purpose", "fiscal_year", "entity").agg(
+        F.sum(amount).alias("total"), F.count(F.lit(1)).alias("n"),
+        F.min("fiscal_year").alias("year_min"), F.max("fiscal_year").alias("year_max")).repartition(scope, "entity"))
+    out = None
+    for axes in (["purpose"], ["fiscal_year"], ["entity"], ["entity", "purpose"], ["fiscal_year", "entity"],
+                 ["fiscal_year", "entity", "purpose"]):
+        part = cells if len(axes) == 3 else cells.groupBy(scope, *axes).agg(*sums)
+        if "fiscal_year" in axes:
+            part = part.filter(F.col("fiscal_year").isNotNull())
+        shown = [F.col(c) if c in axes else F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in ("purpose", "fiscal_year", "entity")]
+        named = "+".join(n for n, c in (("year", "fiscal_year"), ("entity", "entity"), ("purpose", "purpose")) if c in axes)
+        part = part.select(scope, *shown, "total", "n", "year_min", "year_max", F.lit(named).alias("slice"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def purpose_shares(grants: DataFrame, scope: str) -> DataFrame:

@@ -4,9 +4,11 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
-from plainledger.operators import search, skew
+from plainledger.operators import funding, search, skew
+from plainledger.sources import tables
 
 SF = "/root/testdata/sf0.001"
 # Streams and sinks run their job when called; their plan is that of a plain read.
@@ -179,3 +181,43 @@ def test_only_the_rarest_grams_get_postings(spark, monkeypatch):
     counts = search.group_counts(hays, spark.createDataFrame([(g,) for g in grams], "gram string"))
     want = {(g, "alp" if i % 2 else "document"): sum(g in t for t in texts[i % 2::2]) for g in grams for i in (0, 1)}
     assert {(r["gram"], r["_shown"]): r["n"] for r in counts.collect()} == {k: n for k, n in want.items() if n}
+
+
+def large_sheet(spark):
+    """One sheet of 2,000,000 cells below its title and header."""
+    key = F.col("id")
+    value = F.when(key == 0, "FY 2025").when(key == 2, "LocID").otherwise(F.concat(F.lit("c"), "id"))
+    return spark.range(1 << 21).select(F.lit("F").alias("sheet"), key.alias("row"), F.lit(1).alias("col"), value.alias("value")).filter("row <> 1")
+
+
+def test_cells_of_a_large_sheet_stay_in_their_tasks(spark):
+    rows = tables.map_sheet(large_sheet(spark), {"entity": ["locid"]}, "entity")
+    assert "SortMergeJoin" not in plan(rows)
+    assert rows.filter("row in (3, 2097151)").orderBy("row").collect() == [("F", 3, "c3"), ("F", 2097151, "c2097151")]
+
+
+def test_title_of_a_large_sheet_is_found_without_a_shuffle(spark):
+    titles = tables.sheet_titles(large_sheet(spark), {"entity": ["locid"]}, "entity")
+    assert "SortMergeJoin" not in plan(titles)
+    assert titles.collect() == [("F", "FY 2025")]
+
+
+def test_lines_of_a_file_in_parts_are_numbered_through(spark, tmp_path):
+    for folder, name, text in (("a", "part-0", '{"k":1}\nx\n\n'), ("a", "part-1", "y\n"), ("b", "part-0", "z\n")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(text)
+    bad = tables.read_jsonl(spark, f"{tmp_path}/*", T.StructType.fromDDL("k long"), "report", parts=True).filter(F.col(tables.BAD_LINE).isNotNull())
+    assert sorted((r[tables.BAD_LINE], r["_line"]) for r in bad.collect()) == [("x", 2), ("y", 4), ("z", 1)]
+
+
+def test_allocation_cube_holds_one_slice_at_a_time(spark):
+    rows = spark.createDataFrame([(1, "a", 2000, 7, 5), (1, "a", 2001, 7, 3), (1, "b", None, 7, None), (1, None, 2000, 8, 1)],
+                                 "region int, purpose string, fiscal_year int, entity long, amount long")
+    cube = funding.allocation_cube(rows, "region")
+    assert "Expand" not in plan(cube)
+    got = {(r["slice"], r["purpose"], r["fiscal_year"], r["entity"], r["total"], r["n"], r["year_min"], r["year_max"]) for r in cube.collect()}
+    assert {g for g in got if g[0] in ("entity", "purpose", "year")} == {
+        ("entity", None, None, 7, 8, 3, 2000, 2001), ("entity", None, None, 8, 1, 1, 2000, 2000),
+        ("purpose", "a", None, None, 8, 2, 2000, 2001), ("purpose", "b", None, None, 0, 1, None, None),
+        ("purpose", None, None, None, 1, 1, 2000, 2000), ("year", None, 2000, None, 6, 2, 2000, 2000), ("year", None, 2001, None, 3, 1, 2001, 2001)}
+    assert len(got) == 16
