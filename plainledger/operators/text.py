@@ -85,16 +85,32 @@ def words_to_pages(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Word table to page text: words to lines, lines to pages, in order.
 
     Words: keys, block, par, line, seq, text, conf. A page is one row of the
-    result, so what is gathered is never more than one page.
+    result, so what is gathered is never more than one page. A word is shuffled
+    once, to its page.
     """
     keys = list(keys)
-    kept = words.filter(F.trim("text") != "").withColumn("text", F.trim("text"))
-    good = F.when(F.col("conf") >= 0, F.col("conf"))
+    kept = words.filter(F.trim("text") != "").repartition(*keys)
     lines = kept.groupBy(*keys, "block", "par", "line").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("_words"),
-        F.sum(good).alias("_sum"), F.count(good).alias("_n"), F.count(F.lit(1)).alias("_all"),
-    ).withColumn("_line", F.array_join(F.transform("_words", lambda w: w["text"]), " "))
-    return lines.groupBy(*keys).agg(
+        F.collect_list(F.struct("seq", "text", "conf")).alias("words"))
+    return lines_to_pages(lines, keys)
+
+
+def lines_to_pages(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Word lists to page text, as `words_to_pages`: a row holds the words of a whole line.
+
+    Lines: keys, block, par, line, words (seq, text, conf). Words become the line's
+    text and its sums in their row, so only those are shuffled.
+    """
+    keys = list(keys)
+    kept = lines.withColumn("_words", F.array_sort(F.transform(
+        F.filter("words", lambda w: F.trim(w["text"]) != ""),
+        lambda w: F.struct(w["seq"].alias("seq"), F.trim(w["text"]).alias("text"), w["conf"].alias("conf")))))
+    good = F.filter("_words", lambda w: w["conf"] >= 0)
+    whole = kept.filter(F.size("_words") > 0).select(
+        *keys, "block", "par", "line", F.array_join(F.transform("_words", lambda w: w["text"]), " ").alias("_line"),
+        F.when(F.size(good) > 0, F.aggregate(good, F.lit(0.0), lambda total, w: total + w["conf"])).alias("_sum"),
+        F.size(good).alias("_n"), F.size("_words").alias("_all"))
+    return whole.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("block", "par", "line", "_line"))).alias("_lines"),
         F.sum("_all").alias("word_count"),
         F.round(F.sum("_sum") / F.sum("_n"), 3).alias("mean_confidence"),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from plainledger.operators import funding, search, skew
+from plainledger.operators import text as ops
 from plainledger.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -221,3 +222,12 @@ def test_allocation_cube_holds_one_slice_at_a_time(spark):
         ("purpose", "a", None, None, 8, 2, 2000, 2001), ("purpose", "b", None, None, 0, 1, None, None),
         ("purpose", None, None, None, 1, 1, 2000, 2000), ("year", None, 2000, None, 6, 2, 2000, 2000), ("year", None, 2001, None, 3, 1, 2001, 2001)}
     assert len(got) == 16
+
+
+def test_words_are_shuffled_once_at_most(spark):
+    text = plan(entry.queries()["text_word_pages"](spark, SF))
+    exchange = re.findall(r"\n[^\n]*Exchange hashpartitioning\(([^\n]*)", text)
+    assert len([e for e in exchange if "REPARTITION_BY_NUM" not in e]) == 1
+    assert text.count("Generate ") == 1  # lines only: no row per word
+    words = spark.createDataFrame([], "doc int, block int, par int, line int, seq int, text string, conf double")
+    assert plan(ops.words_to_pages(words, ["doc"])).count("Exchange") == 1

@@ -185,3 +185,13 @@ def test_surfaces_only_where_a_line_shows_none(spark):
     rows = spark.createDataFrame([(1, 1, "3-21", "CONC"), (1, 2, "3 - 21", "ASPH"), (2, 1, "3/21", "CONC")], "key long, seq long, runway string, surface string")
     got = {r["entity"]: r["value"] for r in ops.with_surfaces(facts, rows).collect()}
     assert got == {1: "3/21, 5,000 by 75 ft · Asphalt\n4/22, 900 by 60 ft", 2: "3/21, 5,000 by 75 ft · Turf", 3: "2"}
+
+
+def test_words_to_pages_in_order_and_without_blanks(spark):
+    words = spark.createDataFrame(
+        [(1, 1, 1, 1, 2, " b ", 7.0), (1, 1, 1, 1, 1, "a", -1.0), (1, 1, 2, 0, 1, "d", 4.0), (1, 2, 1, 0, 1, "e", None),
+         (1, 1, 1, 2, 1, "c", 1.0), (1, 1, 1, 3, 1, " ", 90.0), (2, 1, 1, 1, 1, "x", -1.0), (3, 1, 1, 1, 1, "", 5.0)],
+        "doc int, block int, par int, line int, seq int, text string, conf double")
+    lists = words.groupBy("doc", "block", "par", "line").agg(F.collect_list(F.struct("seq", "text", "conf")).alias("words"))
+    for pages in (ops.words_to_pages(words, ["doc"]), ops.lines_to_pages(lists, ["doc"])):
+        assert sorted(map(tuple, pages.collect())) == [(1, "a b\nc\nd\ne", 5, 4.0), (2, "x", 1, None)]
