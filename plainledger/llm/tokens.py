@@ -12,8 +12,9 @@ a lost or repeated task leaves no half file; only shards of the manifest are rea
 
 For a byte-level BPE, texts are cut at single blanks, line breaks and where letters
 meet signs before they are encoded. The pre-tokeniser always starts a new piece there,
-so the ids are those of the whole text, and a piece seen before is looked up instead of
-merged again. The lookups are cleared at a fixed number of entries.
+so the ids are those of the whole text. Words after single blanks are parted by Arrow, and
+each distinct one of a bounded amount of text is encoded once; the other pieces are looked
+up in what was seen before, which is cleared at a fixed number of entries.
 
 Defined results: null and empty texts hold the end id alone; rows that share a doc_id
 are ordered by their text's hash; a null doc_id sorts first; an empty table gives an
@@ -31,15 +32,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plainledger.session import cut, run_dir
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 100_000
 SHARD_BYTES = 128 << 20
 READ_IDS = 1 << 22
+# Characters of text whose distinct words are encoded together, and words in one such text.
+GROUP_CHARS = 16 << 20
+WORDS_AT_ONCE = 4096
 
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _MARK = r"!-&(-/:-@\[-`{-~"  # ASCII signs but the apostrophe, which may begin a contraction
@@ -48,7 +53,6 @@ _MARK = r"!-&(-/:-@\[-`{-~"  # ASCII signs but the apostrophe, which may begin a
 _CUT = re.compile(
     r"(?<=\S)(?=[ ]\S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)"
     f"|(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[{_MARK}])(?=[{_LETTER}])")
-_SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 # Blanks other than space and line break.
 _ODD = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -58,16 +62,6 @@ def pieces(text: str) -> list[str]:
     return [text] if "<|" in text else _CUT.split(text)
 
 
-def word_pieces(word: str) -> list[str]:
-    """The pieces of a word after a single blank."""
-    if word.isalpha():
-        return [f" {word}"]
-    stem = word.rstrip(_SIGNS)
-    if stem.isalpha():
-        return [f" {stem}", word[len(stem):]]
-    return pieces(f" {word}")
-
-
 def is_loose(text: str) -> bool:
     """Has a blank next to another blank or at an end, or a sign pair that may begin a special token."""
     return (
@@ -83,7 +77,7 @@ def byte_letters() -> str:
 
 
 class Encoder:
-    """Encodes texts piece by piece, with bounded lookups of words and pieces seen before.
+    """Encodes distinct words of the texts once, other pieces with a bounded lookup of those seen before.
 
     Tokenizers other than plain byte-level BPE encode whole texts.
     """
@@ -94,9 +88,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.limit = limit
-        self.words: dict[str, bytes] = {}
         self.seen: dict[str, bytes] = {}
         self.letters = byte_letters()
+        # Ids that begin with a blank: among words parted by single blanks these are the words' first ones.
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=bool)
+        self.opens[[n for token, n in vocabulary.items() if token[:1] == self.letters[0x20]]] = True
         kind = json.loads(self.tokenizer.to_str())
         before = kind.get("pre_tokenizer") or {}
         self.by_piece = (
@@ -121,29 +118,54 @@ class Encoder:
                 ids = found.ids
                 self.seen[piece] = struct.pack(f"<{len(ids)}{kind}", *ids)
 
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that stand after a blank, end to end, and how many each has."""
+        ids, counts = [np.zeros(0, self.width)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), WORDS_AT_ONCE):  # an encoding holds far more than its ids
+            part = words[at: at + WORDS_AT_ONCE]
+            found = self.tokenizer.encode_batch_fast([f" {' '.join(part)}"], add_special_tokens=False)[0]
+            own = np.array(found.ids, dtype=self.width)
+            first = np.flatnonzero(self.opens[own])
+            if len(first) == len(part):
+                ids.append(own)
+                counts.append(np.diff(first, append=len(own)))
+            else:  # a vocabulary whose ids do not tell where words begin
+                alone = [x.ids for x in self.tokenizer.encode_batch_fast([f" {w}" for w in part], add_special_tokens=False)]
+                ids.append(np.array([i for x in alone for i in x], dtype=self.width))
+                counts.append(np.array(list(map(len, alone))))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _tails(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts of words after single blanks, but for the first word of each."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        sizes = np.diff(split.offsets.to_numpy()) - 1
+        mask = np.ones(len(split.values), dtype=bool)
+        mask[split.offsets.to_numpy()[:-1]] = False
+        coded = split.values.filter(pa.array(mask)).dictionary_encode()
+        ids, counts = self._word_ids(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy()
+        n = counts[index]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(counts) - counts)[index] - (ends - n), n)
+        place += np.arange(len(place))
+        data = ids[place].tobytes()
+        cuts = (np.append(0, ends)[np.append(0, np.cumsum(sizes))] * self.width.itemsize).tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """The ids of each text and the end id, as bytes of `width`."""
         end = np.array([end_id], dtype=self.width).tobytes()
         if not self.by_piece:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(x.ids, dtype=self.width).tobytes() + end for x in found]
-        if len(self.words) > self.limit:
-            self.words = {}
         if len(self.seen) > self.limit:
             self.seen = {}
-        # Words after single blanks are looked up without building " word" first.
-        words, seen, get = self.words, self.seen, self.words.get
-        parts = [[t] if is_loose(t) else t.split(" ") for t in texts]
-        heads = [pieces(part[0]) for part in parts]
-        found = [list(map(get, part[1:])) for part in parts]
-        holes = [k for k, some in enumerate(found) if None in some]
-        cuts = {w: word_pieces(w) for w in {w for k in holes for w, x in zip(parts[k][1:], found[k]) if x is None}}
-        self._learn(list({p for some in (*cuts.values(), *heads) for p in some}.difference(seen)))
-        for word, some in cuts.items():
-            words[word] = b"".join([seen[p] for p in some])
-        for k in holes:
-            found[k] = list(map(words.__getitem__, parts[k][1:]))
-        return [b"".join([seen[p] for p in head]) + b"".join(some) + end for head, some in zip(heads, found)]
+        seen = self.seen
+        loose = [is_loose(t) for t in texts]
+        heads = [pieces(t if own else t.partition(" ")[0]) for t, own in zip(texts, loose)]
+        self._learn(list({p for some in heads for p in some}.difference(seen)))
+        tails = iter(self._tails([t for t, own in zip(texts, loose) if not own]))
+        return [b"".join([seen[p] for p in head]) + (b"" if own else next(tails)) + end for head, own in zip(heads, loose)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -156,7 +178,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _slices(texts: list[str], size: int = 1 << 20):
+def _slices(texts: list[str], size: int = GROUP_CHARS):
     held, n = [], 0
     for text in texts:
         held.append(text)
