@@ -55,6 +55,7 @@ _REPEAT = -0.5  # log cost of a repeated letter typed for one
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _KINDS = len(_LETTERS) + 2  # other letters, word border
 _OTHER, _BORDER = _KINDS - 2, _KINDS - 1
+_LOOK_KINDS = {c: [(x, _LETTERS.index(x)) for x in letters] for c, letters in LOOKS.items()}
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
@@ -113,36 +114,40 @@ class Decoder:
 
     def read(self, token: str) -> str:
         """The likeliest plain reading of a lower-case token."""
-        # State: the last two read characters; value: log probability and the reading,
-        # as a chain from its end, so that time grows with the token's length only.
-        paths: dict = {("", ""): (0.0, None)}
+        # State: the last two read characters; value: log probability, the reading as a
+        # chain from its end, so that time grows with the token's length only, and the
+        # kinds of the two characters.
+        paths: dict = {("", ""): (0.0, None, _BORDER, _BORDER)}
         for c in token:
             found: dict = {}
-
-            def offer(state, value, text, found=found):
-                if state not in found or found[state][0] < value:
-                    found[state] = (value, text)
-
-            looks, letter, own = LOOKS.get(c, ""), c.isalpha(), self.kind(c)
-            for (a, b), (value, text) in paths.items():
-                logp = self.logp[self.kind(a) if a else _BORDER][self.kind(b) if b else _BORDER]
-                if letter:
-                    offer((b, c), value + logp[own], (text, c))
-                    if c == b:
-                        offer((a, b), value + _REPEAT, text)
+            get = found.get
+            letter, own = c.isalpha(), self.kind(c)
+            for (a, b), (value, text, kind_a, kind_b) in paths.items():
+                logp = self.logp[kind_a][kind_b]
+                if letter:  # most characters by far
+                    new = value + logp[own]
+                    have = get((b, c))
+                    if have is None or have[0] < new:
+                        found[b, c] = new, (text, c), kind_b, own
+                    if c != b:
+                        continue
+                    offers = [((a, b), value + _REPEAT, text, kind_a, kind_b)]
                 else:
-                    for x in looks:
-                        offer((b, x), value + _CORRECTION + logp[self.kind(x)], (text, x))
+                    offers = []
+                    for x, kind in _LOOK_KINDS.get(c, ()):
+                        offers.append(((b, x), value + _CORRECTION + logp[kind], (text, x), kind_b, kind))
                         if x == b:
-                            offer((a, b), value + _CORRECTION + _REPEAT, text)
+                            offers.append(((a, b), value + _CORRECTION + _REPEAT, text, kind_a, kind_b))
                     if c in _SEPARATORS:
-                        offer((a, b), value + _CORRECTION, text)
-                    offer((b, c), value + _KEEP, (text, c))
+                        offers.append(((a, b), value + _CORRECTION, text, kind_a, kind_b))
+                    offers.append(((b, c), value + _KEEP, (text, c), kind_b, own))
+                for state, new, chain, first, second in offers:
+                    have = get(state)
+                    if have is None or have[0] < new:
+                        found[state] = new, chain, first, second
             # The number of states is bounded by the look-alikes of two characters.
             paths = found
-        ends = [
-            (value + self.logp[self.kind(a) if a else _BORDER][self.kind(b) if b else _BORDER][_BORDER], text)
-            for (a, b), (value, text) in paths.items()]
+        ends = [(value + self.logp[kind_a][kind_b][_BORDER], text) for value, text, kind_a, kind_b in paths.values()]
         top = max(value for value, _ in ends)
         return max(self._spell(text) for value, text in ends if value == top)
 
@@ -159,7 +164,7 @@ class Reader:
     """Lower-case words of a text, disguised ones restored."""
 
     def __init__(self, decoder: Decoder, limit: int = 300_000):
-        self.decoder, self.limit, self.seen = decoder, limit, {}
+        self.decoder, self.limit, self.seen, self.tokens = decoder, limit, {}, {}
 
     def _restore(self, token: str) -> str:
         if len(token) > 64:  # too rare and long to remember
@@ -170,6 +175,13 @@ class Reader:
             self.seen[token] = self.decoder.read(token)
         return self.seen[token]
 
+    def _readings(self, token: str) -> tuple[str, ...]:
+        """Words of the readings of a token as it stands in a text; none if it is not disguised."""
+        if not _DISGUISED.search(token):
+            return ()
+        parts = {token.strip(_POINTS), token.strip(_EDGES)}
+        return tuple(w for part in parts if _DISGUISED.search(part) for w in _WORD.findall(self._restore(part)))
+
     def words(self, text: str) -> list[str]:
         text = text.lower()
         found = _WORD.findall(text)
@@ -183,11 +195,16 @@ class Reader:
                 for letters in sorted(readings):
                     found.extend(_WORD.findall(self._restore(letters)))
         if _DISGUISED.search(text):
+            if len(self.tokens) >= self.limit:
+                self.tokens = {}
+            known = self.tokens
             for token in _TOKEN.findall(text):
-                if _DISGUISED.search(token):
-                    for part in {token.strip(_POINTS), token.strip(_EDGES)}:
-                        if _DISGUISED.search(part):
-                            found.extend(_WORD.findall(self._restore(part)))
+                more = known.get(token)
+                if more is None:
+                    more = self._readings(token)
+                    if len(token) <= 64:
+                        known[token] = more
+                found.extend(more)
         return found
 
     def entries(self, text: str) -> set[str]:

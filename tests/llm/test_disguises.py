@@ -30,3 +30,17 @@ def test_disguise_is_read(reader, text, word):
 def test_long_token_is_read_whole(reader):
     words = reader.words("q7" * 50_000 + "/st_upid")
     assert "stupid" in words
+
+
+def test_a_token_is_looked_into_once(monkeypatch):
+    looked, pattern = [], toxicity._DISGUISED
+
+    class Counting:
+        def search(self, text):
+            looked.append(text)
+            return pattern.search(text)
+
+    monkeypatch.setattr(toxicity, "_DISGUISED", Counting())
+    words = toxicity.Reader(toxicity.Decoder({})).words("plain words " * 500 + "h3llo, " * 500)
+    assert words.count("plain") == 500 and len(words) > 1500
+    assert len(looked) < 20
