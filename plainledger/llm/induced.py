@@ -140,12 +140,13 @@ class Stack:
 
 def smaller_types(text: np.ndarray) -> np.ndarray:
     """Which suffixes are of type S; the end is smaller than any symbol."""
-    n = len(text)
-    places = np.where(text[1:] != text[:-1], np.arange(n - 1, dtype=np.int64), n)
-    change = np.append(np.minimum.accumulate(places[::-1])[::-1], n) if n > 1 else np.full(n, n)
-    out = np.zeros(n, dtype=bool)
-    some = np.flatnonzero(change < n)
-    out[some] = text[change[some]] < text[change[some] + 1]
+    out = np.zeros(len(text), dtype=bool)
+    np.less(text[:-1], text[1:], out=out[:-1])
+    equal = np.flatnonzero(text[:-1] == text[1:])
+    if len(equal):
+        # Equal neighbours are of the type of the last of them.
+        final = np.append(equal[1:] != equal[:-1] + 1, True)
+        out[equal] = out[equal[final] + 1][np.cumsum(final) - final]
     return out
 
 
@@ -157,18 +158,27 @@ def names(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
     """
     n, count = len(text), len(starts)
     base = int(text.max()) + 3
-    width = max(1, int(62 // np.log2(base)))
+    # Bytes are compared eight at a time. The end needs a zero of its own; a substring that goes on
+    # where another ends goes on with a smaller symbol, so a largest one does for the ended.
+    eight = text.dtype == np.uint8 and text.min() > 0
+    width = 8 if eight else max(1, int(62 // np.log2(base)))
     stop = np.append(starts[1:], n)
     rank = np.zeros(count, dtype=np.int64)
     open_, at = np.arange(count), 0
-    padded = np.append(text.astype(np.int64) + 1, 0)
+    padded = np.append(text, np.zeros(16, dtype=np.uint8)) if eight else np.append(text.astype(np.int64) + 1, 0)
+    words = np.lib.stride_tricks.as_strided(padded, (n + 8, 8), (1, 1)).view(">u8")[:, 0] if eight else None
     while len(open_):
-        key = np.zeros(len(open_), dtype=np.int64)
         begin, end = starts[open_] + at, stop[open_]
-        for k in range(width):
-            key *= base
-            key += np.where(begin + k <= end, padded[np.minimum(begin + k, n)], base - 1)
-        order = np.lexsort((key, rank[open_])) if at else np.argsort(key, kind="stable")
+        if eight:
+            key = words[begin].astype(np.uint64)
+            short = np.flatnonzero(end - begin < width - 1)
+            key[short] |= (np.uint64(1) << (8 * (width - 1 - (end - begin)[short])).astype(np.uint64)) - np.uint64(1)
+        else:
+            key = np.zeros(len(open_), dtype=np.int64)
+            for k in range(width):
+                key *= base
+                key += np.where(begin + k <= end, padded[np.minimum(begin + k, n)], base - 1)
+        order = np.lexsort((key, rank[open_])) if at else np.argsort(key)
         open_, key, done = open_[order], key[order], (begin + width > end)[order]
         group = rank[open_]
         spot = np.arange(len(open_))
@@ -185,20 +195,28 @@ def names(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
 
 def doubled(text: np.ndarray) -> np.ndarray:
     """Suffix array in memory by doubling, for the names at the bottom of the recursion."""
-    n = len(text)
-    order = np.argsort(text, kind="stable")
-    fresh = np.append(True, text[order][1:] != text[order][:-1])
+    n, bits = len(text), (int(text.max()) + 1).bit_length()
+    # As many names at once as one number holds.
+    width = max(1, min(n, 63 // bits))
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(width):
+        key <<= bits
+        key[:n - k] += text[k:] + 1
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.append(True, key[1:] != key[:-1])
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     sizes = np.diff(np.append(np.flatnonzero(fresh), n))
-    open_, width = order[np.repeat(sizes > 1, sizes)], 1
+    open_ = order[np.repeat(sizes > 1, sizes)]
     while len(open_):
-        follow = np.where(open_ + width < n, rank[np.minimum(open_ + width, n - 1)] + 1, 0)
-        by = np.lexsort((follow, rank[open_]))
-        open_, follow = open_[by], follow[by]
+        # Rank and the rank that follows as one number: `base` names are far below the 2^31 that fit.
+        key = rank[open_] * (n + 1) + np.where(open_ + width < n, rank[np.minimum(open_ + width, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        open_, key = open_[by], key[by]
         group, spot = rank[open_], np.arange(len(open_))
         new_group = np.append(True, group[1:] != group[:-1])
-        new_key = np.append(True, follow[1:] != follow[:-1]) | new_group
+        new_key = np.append(True, key[1:] != key[:-1])
         rank[open_] = group + np.maximum.accumulate(np.where(new_key, spot, 0)) - np.maximum.accumulate(np.where(new_group, spot, 0))
         sizes = np.diff(np.append(np.flatnonzero(new_key), len(open_)))
         open_ = open_[np.repeat(sizes > 1, sizes)]
@@ -208,29 +226,34 @@ def doubled(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def common(text: np.ndarray, left: np.ndarray, right: np.ndarray, cap: int) -> np.ndarray:
-    """Equal symbols of the suffixes at `left` and `right`, pairwise, up to the cap."""
-    n, width = len(text), 8 if text.dtype == np.uint8 else 1
-    total = np.zeros(len(left), dtype=np.int64)
-    open_ = np.arange(len(left))
-    if width == 8:
-        # Eight symbols at a time; after the end of the text come bytes that the clip below takes off again.
-        padded = np.append(text, np.zeros(cap + 16, dtype=np.uint8))
-        words = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (n + cap + 8, 8), (1, 1)).view("<u8")[:, 0]
-    else:
-        words = np.append(text, np.zeros(cap + 1, dtype=text.dtype))
-    for at in range(0, cap, width):
-        differ = words[np.minimum(left[open_] + at, n + cap)] ^ words[np.minimum(right[open_] + at, n + cap)]
-        same = differ == 0
-        if width == 8:
-            some = np.flatnonzero(~same)
-            low = differ[some] & (~differ[some] + np.uint64(1))
-            total[open_[some]] = at + (np.frexp(low.astype(np.float64))[1] - 1) // 8
-        open_ = open_[same]
-        total[open_] = at + width
-        if not len(open_):
-            break
-    return np.minimum(total, np.minimum(cap, n - np.maximum(left, right)))
+class Common:
+    """Equal symbols of pairs of suffixes, up to the cap."""
+
+    def __init__(self, text: np.ndarray, cap: int):
+        self.n, self.cap, self.width = len(text), cap, 8 if text.dtype == np.uint8 else 1
+        if self.width == 8:
+            # Eight symbols at a time; after the end of the text come bytes that the clip below takes off again.
+            padded = np.append(text, np.zeros(cap + 16, dtype=np.uint8))
+            self.words = np.lib.stride_tricks.as_strided(padded, (self.n + cap + 8, 8), (1, 1)).view("<u8")[:, 0]
+        else:
+            self.words = np.append(text, np.zeros(cap + 1, dtype=text.dtype))
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        words, width = self.words, self.width
+        total = np.zeros(len(left), dtype=np.int64)
+        open_, a, b = np.arange(len(left)), left, right
+        for at in range(0, self.cap, width):
+            differ = words[a] ^ words[b]
+            same = differ == 0
+            if width == 8:
+                some = np.flatnonzero(~same)
+                low = differ[some] & (~differ[some] + np.uint64(1))
+                total[open_[some]] = at + (np.frexp(low.astype(np.float64))[1] - 1) // 8
+            open_, a, b = open_[same], a[same] + width, b[same] + width
+            total[open_] = at + width
+            if not len(open_):
+                break
+        return np.minimum(total, np.minimum(self.cap, self.n - np.maximum(left, right)))
 
 
 class Scan:
@@ -240,18 +263,20 @@ class Scan:
     """
 
     def __init__(self, text: np.ndarray, small: np.ndarray, wanted: bool, queue: Queue, cap: int):
-        self.text, self.small, self.wanted, self.queue, self.cap = text, small, wanted, queue, cap
+        self.text, self.queue, self.cap = text, queue, cap
+        # Whether the suffix before a place is one that is pushed.
+        self.pushed = np.append(False, small == wanted)
         # Symbols without an entry yet come out as zero.
         self.since = np.full(int(text.max()) + 1, -1, dtype=np.int16) if cap else None
 
     def __call__(self, at: np.ndarray, lcp: np.ndarray | None) -> None:
-        before = at - 1
-        chosen = np.flatnonzero((before >= 0) & (self.small[np.maximum(before, 0)] == self.wanted))
-        symbols = self.text[before[chosen]]
+        chosen = np.flatnonzero(self.pushed[at])
+        before = at[chosen] - 1
+        symbols = self.text[before]
         order = np.argsort(symbols, kind="stable")
         chosen, symbols = chosen[order], symbols[order]
         rows = np.empty(len(chosen), dtype=self.queue.kind)
-        rows["at"] = before[chosen]
+        rows["at"] = before[order]
         if self.cap:
             rows["lcp"] = self._prefixes(chosen, symbols, lcp)
         if len(chosen):
@@ -262,29 +287,31 @@ class Scan:
         if not len(chosen):
             np.minimum(since, lowest, out=since)
             return lcp[:0]
-        tables = [lcp]
-        while 2 << (len(tables) - 1) <= len(lcp):
-            half = 1 << (len(tables) - 1)
-            tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
+        n = len(lcp)
+        # The smallest of each run of 2^k neighbours, k after k.
+        tables = np.empty((n.bit_length(), n), dtype=lcp.dtype)
+        tables[0] = lcp
+        for k in range(1, len(tables)):
+            half = 1 << (k - 1)
+            np.minimum(tables[k - 1, :n - 2 * half + 1], tables[k - 1, half:n - half + 1], out=tables[k, :n - 2 * half + 1])
+        flat = tables.ravel()
 
         def smallest(start, stop):
             level = np.frexp((stop - start).astype(np.float64))[1] - 1
-            out = np.empty(len(start), dtype=np.int64)
-            for k in np.unique(level).tolist():
-                own = np.flatnonzero(level == k)
-                out[own] = np.minimum(tables[k][start[own]], tables[k][stop[own] - (1 << k)])
-            return out
+            row = level.astype(np.int64) * n
+            return np.minimum(flat[row + start], flat[row + stop - (1 << level)])
 
         first = np.append(True, symbols[1:] != symbols[:-1])
-        start = np.where(first, 0, np.append(0, chosen[:-1] + 1))
-        least = smallest(start, chosen + 1)
+        start = np.append(0, chosen[:-1] + 1)
+        start[first] = 0
+        least = smallest(start, chosen + 1).astype(np.int16)
         least[first] = np.minimum(least[first], since[symbols[first]])
         out = np.minimum(least + 1, self.cap)
         final = np.flatnonzero(np.append(first[1:], True))
         np.minimum(since, lowest, out=since)
-        rest = np.full(len(final), NONE, dtype=np.int64)
-        more = chosen[final] + 1 < len(lcp)
-        rest[more] = smallest(chosen[final][more] + 1, np.full(int(more.sum()), len(lcp)))
+        rest = np.full(len(final), NONE, dtype=np.int16)
+        more = chosen[final] + 1 < n
+        rest[more] = smallest(chosen[final][more] + 1, n)
         since[symbols[final]] = rest
         return out
 
@@ -317,9 +344,10 @@ def descending(text: np.ndarray, cap: int, memory: int = MEMORY, base: int = BAS
     small = smaller_types(text)
     stars = starting_suffixes(text, small, memory, base)
     heads = text[stars]
+    common = Common(text, cap) if cap else None
     star_lcp = np.zeros(len(stars), dtype=np.uint8)
     if cap and len(stars) > 1:
-        star_lcp[1:] = common(text, stars[:-1], stars[1:], cap)
+        star_lcp[1:] = common(stars[:-1], stars[1:])
     symbols = np.unique(heads)
     borders = dict(zip(symbols.tolist(), zip(np.searchsorted(heads, symbols).tolist(), np.searchsorted(heads, symbols, "right").tolist())))
     waiting = sorted(borders, reverse=True)
@@ -341,7 +369,7 @@ def descending(text: np.ndarray, cap: int, memory: int = MEMORY, base: int = BAS
                 block = slice(at, min(stop, at + BLOCK))
                 lcp = star_lcp[block].copy()
                 if at == start:
-                    lcp[0] = common(text, last.astype(np.int64), stars[at:at + 1], cap)[0] if cap and last is not None else 0
+                    lcp[0] = common(last.astype(np.int64), stars[at:at + 1])[0] if cap and last is not None else 0
                 scan(stars[block], lcp if cap else None)
         large.finish(symbol)
 
@@ -360,7 +388,7 @@ def descending(text: np.ndarray, cap: int, memory: int = MEMORY, base: int = BAS
             if cap:
                 # Each entry knows the one that is smaller; here it is wanted of the larger.
                 if last is not None:
-                    link = int(common(text, last, at[:1], cap)[0])
+                    link = int(common(last, at[:1])[0])
                 lcp = np.append(np.uint8(link), rows["lcp"][:0:-1])
                 link = int(rows["lcp"][0])
             last = None

@@ -6,11 +6,12 @@ meet in one of them: every window of `length` bytes belongs to its anchor, the s
 hash among its blocks of `BLOCK` bytes, and equal windows have equal anchors. An anchor
 that one document alone holds cannot start a repeat. The stretches of text whose
 windows belong to the other anchors go to the shard of their anchor, each distinct
-stretch once, from its first document. A shard sorts all suffixes of its stretches and
-carries their common prefixes (`induced`); neighbours with `length` common bytes start
-with the same string, and of such a group the document of smallest doc_id keeps its
-bytes. Only these first places go back to the documents: any other window under a
-shared anchor is a repeat.
+stretch once, from its first document. A stretch whose anchor no other distinct stretch
+has shares no window, so its first document keeps it. Of the others a shard sorts all
+suffixes and carries their common prefixes (`induced`); neighbours with `length` common
+bytes start with the same string, and of such a group the document of smallest doc_id
+keeps its bytes. Only these first places go back to the documents: any other window
+under a shared anchor is a repeat.
 
 Anchors that many documents hold (found on a sample that only balances the work) go
 out window by window, so the text around a passage that a third of all documents share
@@ -28,6 +29,7 @@ ignored by `repeats` and kept by `remove_repeats`, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -57,6 +59,8 @@ GROUP_BYTES = 256 << 10
 # in this many of them; the sample has HOT_SAMPLE documents, or more if it takes more to show
 # HOT_LEAST documents of so many.
 HOT_SHARE, HOT_DOCUMENTS, HOT_SAMPLE, HOT_LEAST = 0.01, 100_000, 20_000, 40
+# Bits of an anchor by which stretches of a shard are told apart; a collision only sorts a stretch in vain.
+KEY_MASK = (1 << 24) - 1
 # Ends a stretch: no byte of UTF-8.
 END = 0xFF
 
@@ -130,7 +134,7 @@ def _anchor_rows(length: int):
 ANCHORS = "part int, n int, anchors binary, docs binary, ranks binary"
 _ANCHORS = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("anchors", pa.binary()), ("docs", pa.binary()), ("ranks", pa.binary())])
 # An anchor is told by its hash partition and so many more bits; a collision only sends a stretch in vain.
-ANCHOR_BITS = 40
+ANCHOR_BITS = 32
 
 
 def _runs_of(part: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -152,7 +156,7 @@ def _anchor_tables(length: int, parts: int):
         anchor, owner, rank = (np.concatenate(c) for c in columns)
         part = ((anchor >> np.uint64(ANCHOR_BITS)) % np.uint64(parts)).astype(np.int64)
         low = anchor & np.uint64((1 << ANCHOR_BITS) - 1)
-        order = np.lexsort((low, part))
+        order = np.argsort(part.astype(np.uint64) << np.uint64(ANCHOR_BITS) | low)
         part, low, owner, rank = part[order], low[order], owner[order], rank[order]
         out = []
         for number, own in _runs_of(part):
@@ -169,12 +173,11 @@ def _single_runs(batches):
 
     def solve():
         anchor, owner, rank = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((owner, anchor))
+        order = np.argsort(anchor)
         anchor, owner, rank = anchor[order], owner[order], rank[order]
         start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-        stop = np.append(start[1:], len(anchor)) - 1
-        alone = owner[start] == owner[stop]
-        size = np.where(alone, stop - start + 1, 0)
+        alone = np.minimum.reduceat(owner, start) == np.maximum.reduceat(owner, start)
+        size = np.where(alone, np.diff(np.append(start, len(anchor))), 0)
         at = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         return pa.RecordBatch.from_arrays([pa.array(owner[at]), pa.array(rank[at])], names=["_own", "rank"])
 
@@ -204,22 +207,22 @@ def hot_anchors(docs: DataFrame, length: int, share: float = HOT_SHARE, most: in
     return np.sort(np.array([r["anchor"] for r in found.collect()], dtype=np.int64))
 
 
-def stretches(found: Windows, runs: np.ndarray, hot: np.ndarray, length: int, sent: dict[bytes, int], owner: int) -> Iterator[tuple[bytes, int, int, int]]:
-    """What a text sends of its shared runs: (bytes, key, rank, shift).
+def stretches(text: bytes, runs: Iterator[tuple[int, int, int, bool]], length: int, sent: dict[bytes, int], owner: int) -> Iterator[tuple[bytes, int, int, int, int]]:
+    """What a text sends of its shared runs (first, last, anchor, hot): (bytes, key, owner, rank, shift).
 
-    Rank and shift say where the answer goes: it marks windows of the rank's stretch. A hot
-    stretch that an earlier document has sent is not taken apart again.
+    Rank and shift say where the answer goes: it marks windows of the rank's stretch. A
+    stretch that an earlier document has sent is not sent again, a hot one not taken apart again.
     """
-    for rank, run in enumerate(runs.tolist()):
-        first, last = int(found.first[run]), int(found.last[run])
-        if hot[run]:
-            if sent.setdefault(found.data[first:last + length - 1] + b"\xff", owner) != owner:
-                continue
-            for shift, at in enumerate(range(first, last)):
-                data = found.data[at:at + length]
-                yield data, xxhash.xxh3_64_intdigest(data), rank, shift
-        else:
-            yield found.data[first:last + length - 1], int(found.anchor[run]), rank, 0
+    for rank, (first, last, anchor, hot) in enumerate(runs):
+        data = text[first:last + length - 1]
+        if not hot:
+            if sent.setdefault(data, owner) == owner:
+                yield data, anchor, owner, rank, 0
+        elif sent.setdefault(data + b"\xff", owner) == owner:
+            for shift in range(last - first):
+                part = data[shift:shift + length]
+                if sent.setdefault(part, owner) == owner:
+                    yield part, xxhash.xxh3_64_intdigest(part), owner, rank, shift
 
 
 def cut_runs(found: Windows, single: list, hot: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -248,8 +251,8 @@ def _places(value: pa.Scalar) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, dtype=np.int32)
 
 
-STRETCHES = "shard int, n int, size long, docs binary, ranks binary, shifts binary, data binary"
-_STRETCHES = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), *((c, pa.binary()) for c in ("docs", "ranks", "shifts", "data"))])
+STRETCHES = "shard int, n int, size long, docs binary, ranks binary, shifts binary, keys binary, data binary"
+_STRETCHES = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), *((c, pa.binary()) for c in ("docs", "ranks", "shifts", "keys", "data"))])
 
 
 def _stretch_tables(length: int, hot: np.ndarray, shards: int):
@@ -261,24 +264,23 @@ def _stretch_tables(length: int, hot: np.ndarray, shards: int):
         owners = batch.column("_doc").to_pylist()
         single = [_places(x) for x in batch.column("single")]
         sent: dict[bytes, int] = {}
-        out: list[list] = [[], [], [], [], []]
+        out: list[tuple] = []
         for rows, found in _groups(batch, length):
             is_hot, own = cut_runs(found, [single[r] for r in rows], hot)
+            runs = zip(*(c.tolist() for c in (found.first, found.last, found.anchor, is_hot)))
             for k, row in enumerate(rows):
-                owner = owners[row]
-                for data, key, rank, shift in stretches(found, own[k], is_hot, length, sent, owner):
-                    if sent.setdefault(data, owner) == owner:
-                        for column, value in zip(out, (key % shards, owner, rank, shift, data)):
-                            column.append(value)
-        shard, owner, rank, shift = (np.array(c, dtype=k) for c, k in zip(out, (np.int32, np.int64, np.int32, np.int8)))
+                out.extend(stretches(found.data, itertools.islice(runs, len(own[k])), length, sent, owners[row]))
+        texts, *numbers = zip(*out) if out else [()] * 5
+        key, owner, rank, shift = (np.array(c, dtype=k) for c, k in zip(numbers, (np.uint64, np.int64, np.int32, np.int8)))
+        shard, mark = (key % np.uint64(shards)).astype(np.int32), (key // np.uint64(shards) & np.uint64(KEY_MASK)).astype(np.uint32)
         order = np.argsort(shard, kind="stable")
         tables = []
         for number, own in _runs_of(shard[order]):
             chosen = order[own]
-            text = b"\xff".join([out[4][i] for i in chosen.tolist()])
-            tables.append((number, len(chosen), len(text), pack(owner[chosen]), pack(rank[chosen]), pack(shift[chosen]),
+            text = b"\xff".join([texts[i] for i in chosen.tolist()])
+            tables.append((number, len(chosen), len(text), pack(owner[chosen]), pack(rank[chosen]), pack(shift[chosen]), pack(mark[chosen]),
                            pa.compress(text, codec="zstd", asbytes=True)))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*tables) if tables else [[]] * 7, _STRETCHES)], schema=_STRETCHES)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*tables) if tables else [[]] * 8, _STRETCHES)], schema=_STRETCHES)
 
     return per_batch(run)
 
@@ -290,16 +292,18 @@ def first_windows(owners: np.ndarray, parts: list[bytes], length: int, memory: i
     start = np.cumsum(sizes) - sizes
     part_of = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     marks = np.zeros(len(parts), dtype=np.int64)
+    # Places where a window of a stretch starts.
+    window = np.arange(len(text)) - np.repeat(start, sizes) + length < np.repeat(sizes, sizes)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def settle() -> None:
         """Whole groups: of each, the stretches of the smallest document keep the window."""
         places, group = np.concatenate([h[0] for h in held]), np.cumsum(np.concatenate([h[1] for h in held]))
         # Its members start with the same bytes, so a group fits into its stretches whole or not at all.
+        whole = window[places]
+        places, group = places[whole], group[whole]
         part = part_of[places]
         shift = places - start[part]
-        whole = shift + length < sizes[part]
-        part, shift, group = part[whole], shift[whole], group[whole]
         if len(part):
             new = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             owner = owners[part]
@@ -307,17 +311,18 @@ def first_windows(owners: np.ndarray, parts: list[bytes], length: int, memory: i
             hit = owner == least
             np.bitwise_or.at(marks, part[hit], np.int64(1) << shift[hit])
 
+    waiting = 0
     for at, lcp in induced.descending(text, length, memory, base):
         new = lcp < length
+        held.append((at, new))
+        waiting += len(at)
         # The last group may go on in the next block.
-        ends = np.flatnonzero(new)
-        if len(ends):
+        if waiting >= induced.BLOCK and len(ends := np.flatnonzero(new)):
             last = int(ends[-1])
-            held.append((at[:last], new[:last]))
+            held[-1] = at[:last], new[:last]
             settle()
             held = [(at[last:], new[last:])]
-        else:
-            held.append((at, new))
+            waiting = len(at) - last
     if held:
         settle()
     return marks
@@ -326,38 +331,41 @@ def first_windows(owners: np.ndarray, parts: list[bytes], length: int, memory: i
 def _shard_rows(length: int, memory: int, base: int):
     """Sort each shard; rows come by shard."""
 
-    def solve(stretch: dict[bytes, list]) -> pa.RecordBatch:
-        parts = list(stretch)
-        marks = first_windows(np.array([stretch[p][0] for p in parts], dtype=np.int64), parts, length, memory, base)
-        out: list[list] = [[], [], []]
-        for data, mark in zip(parts, marks.tolist()):
-            owner, places = stretch[data]
-            if mark:
-                for rank, shift in places:
-                    for column, value in zip(out, (owner, rank, mark << shift)):
-                        column.append(value)
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        owners, ranks, shifts, keys = (np.concatenate([h[k] for h in held]) for k in range(4))
+        number: dict[bytes, int] = {}
+        same = np.array([number.setdefault(data, len(number)) for h in held for data in h[4]], dtype=np.int64)
+        parts = list(number)
+        owner = np.full(len(parts), np.iinfo(np.int64).max)
+        np.minimum.at(owner, same, owners)
+        # Windows of a stretch whose anchor no other one has are in no other one: only the rest is sorted.
+        key = np.zeros(len(parts), dtype=keys.dtype)
+        key[same] = keys
+        _, of, holders = np.unique(key, return_inverse=True, return_counts=True)
+        sort = np.flatnonzero(holders[of] > 1)
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        marks = ~(np.int64(-1) << (sizes - length + 1))
+        if len(sort):
+            marks[sort] = first_windows(owner[sort], [parts[k] for k in sort.tolist()], length, memory, base)
+        mark = marks[same]
+        sent = np.flatnonzero((owners == owner[same]) & (mark != 0))
         return pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], names=["_of", "rank", "marks"])
+            [pa.array(owners[sent]), pa.array(ranks[sent]), pa.array(mark[sent] << shifts[sent].astype(np.int64))],
+            names=["_of", "rank", "marks"])
 
     def run(batches):
-        shard, stretch = None, {}
+        shard, held = None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["shard"] != shard:
-                    if stretch:
-                        yield solve(stretch)
-                    shard, stretch = row["shard"], {}
+                    if held:
+                        yield solve(held)
+                    shard, held = row["shard"], []
                 n = row["n"]
-                numbers = (unpack(row[c], n, k).tolist() for c, k in (("docs", np.int64), ("ranks", np.int32), ("shifts", np.int8)))
-                texts = pa.decompress(row["data"], row["size"], codec="zstd", asbytes=True).split(b"\xff")
-                for owner, rank, shift, data in zip(*numbers, texts):
-                    have = stretch.get(data)
-                    if have is None or owner < have[0]:
-                        stretch[data] = [owner, [(rank, shift)]]
-                    elif owner == have[0]:
-                        have[1].append((rank, shift))
-        if stretch:
-            yield solve(stretch)
+                numbers = (unpack(row[c], n, k) for c, k in (("docs", np.int64), ("ranks", np.int32), ("shifts", np.int8), ("keys", np.uint32)))
+                held.append((*numbers, pa.decompress(row["data"], row["size"], codec="zstd", asbytes=True).split(b"\xff")))
+        if held:
+            yield solve(held)
 
     return run
 

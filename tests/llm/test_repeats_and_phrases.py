@@ -234,6 +234,46 @@ def test_induced_order_and_common_prefixes(monkeypatch):
             assert n == same
 
 
+def test_induced_order_of_bytes_with_the_largest(monkeypatch):
+    """Texts without a zero byte are named eight bytes at a time; the largest byte ends stretches."""
+    rnd = random.Random(7)
+    monkeypatch.setattr(induced, "BLOCK", 16)
+    for _ in range(150):
+        x = [255 if rnd.random() < 0.15 else 1 + rnd.randrange(rnd.choice([2, 3, 255])) for _ in range(rnd.choice([20, 200]))] * rnd.choice([1, 2])
+        found = list(induced.descending(np.array(x, dtype=np.uint8), 50, 1 << 20, rnd.choice([1, 1 << 20])))
+        places, lcps = (np.concatenate([f[k] for f in found]).tolist() for k in (0, 1))
+        assert places == sorted(range(len(x)), key=lambda i: x[i:], reverse=True)
+        for a, b, n in zip(places, places[1:], lcps[1:]):
+            assert x[a:a + n] == x[b:b + n] and (n == 50 or x[a + n:a + n + 1] != x[b + n:b + n + 1])
+
+
+def test_stretches_without_a_partner_are_not_sorted(monkeypatch):
+    """Only stretches that share an anchor with another one can have a common window; the others' answer is the same."""
+    rnd = random.Random(3)
+    word = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    whole, cut = word(400), word(400)
+    # `whole` lies in both documents between equal bytes, `cut` between others.
+    texts = [whole + word(60) + cut[:200] + word(80), whole + word(60) + word(80) + cut[:200]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7, 3]), pa.array([t.decode() for t in texts]), pa.array([None, None], pa.list_(pa.int32()))], names=["_doc", "text", "single"])
+    sent = list(suffixes._stretch_tables(50, np.zeros(0, dtype=np.int64), 1)(iter([batch])))
+    held = []
+    real = suffixes.first_windows
+    monkeypatch.setattr(suffixes, "first_windows", lambda owners, parts, *a: held.extend(parts) or real(owners, parts, *a))
+    got = pa.Table.from_batches(list(suffixes._shard_rows(50, 1 << 20, 1 << 20)(iter(sent)))).to_pylist()
+    assert held and not any(p in whole for p in held)
+    runs = suffixes.Windows([t for t in texts], 50)
+    _, own = suffixes.cut_runs(runs, [np.zeros(0, dtype=np.int32)] * 2, np.zeros(0, dtype=np.int64))
+    first = {7: set(), 3: set()}
+    for r in got:
+        k = 0 if r["_of"] == 7 else 1
+        at = int(runs.first[own[k][r["rank"]]]) - int(runs.start[k])
+        first[r["_of"]] |= {at + i for i in range(63) if r["marks"] >> i & 1}
+    for k, doc in enumerate((7, 3)):
+        windows = [texts[k][i:i + 50] for i in range(len(texts[k]) - 49)]
+        assert first[doc] == {i for i, x in enumerate(windows) if doc == 3 or x not in texts[1]}
+
+
 def plain_repeats(docs, length):
     """Result of every row: a string is a repeat if an earlier document has it."""
     texts = [(i, (t or "").encode()) for i, t in docs]
