@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,8 +27,9 @@ SUGGEST_LIMIT = 8
 MAX_HITS = 100
 SLUG_CHARS = 80
 GRAM = 3
-# Postings of a gram and group that a search confirms first.
+# Postings of a gram and group that a search confirms first, and how many times as many next.
 HEADS = 64
+DEEPER = 16
 # Bits of the filter of grams that the tasks get, however many grams there are; bits of
 # a character in a gram's number; characters of records that a task looks at together.
 FILTER_BITS = 22
@@ -164,20 +166,31 @@ def _bit(numbers: np.ndarray) -> np.ndarray:
     return numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)
 
 
+def _salts(batch) -> np.ndarray:
+    """A number for each row of a batch, the same for rows of one group."""
+    known: dict[tuple, int] = {}
+    groups = zip(*(batch.column(c).to_pylist() for c in GROUP))
+    return np.array([known[g] if g in known else known.setdefault(g, zlib.crc32(repr(g).encode())) for g in groups], dtype=np.int64)
+
+
 def gram_filter(asked: DataFrame) -> tuple[np.ndarray, bool]:
     """A bit for every gram asked for, in a table of fixed size; and whether some are shorter than GRAM.
 
-    It spares the tasks most grams that nobody asked for; a join by the grams follows.
+    It spares the tasks most grams that nobody asked for; a join by the grams follows. Grams
+    asked for in some groups only have bits for those.
     """
     import pyarrow as pa
 
+    grouped = set(GROUP) <= set(asked.columns)
+
     def bits(batches: Iterator) -> Iterator:
         for batch in batches:
             numbers = np.array([gram_number(g) for g in batch.column("gram").to_pylist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_bit(numbers).astype(np.int64) + 1)], names=["bit"])
+            bit = _bit(numbers ^ _salts(batch) if grouped else numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(bit.astype(np.int64) + 1)], names=["bit"])
 
     table = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
-    parts = asked.select("gram").mapInArrow(bits, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+    parts = asked.select("gram", *(GROUP if grouped else ())).mapInArrow(bits, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     for row in parts.collect():
         part = np.frombuffer(row["bits"], dtype=np.uint8)[: len(table)]
@@ -186,7 +199,7 @@ def gram_filter(asked: DataFrame) -> tuple[np.ndarray, bool]:
     return table, not asked.filter(F.length("gram") < GRAM).isEmpty()
 
 
-def _found_grams(hays, bits: np.ndarray, short: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+def _found_grams(hays, bits: np.ndarray, short: bool, salts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
     """(rows, places, grams) of the texts of a batch: row rows[i] holds grams[places[i]], each pair once."""
     at = 0
     while at < len(hays):
@@ -207,7 +220,7 @@ def _found_grams(hays, bits: np.ndarray, short: bool) -> Iterator[tuple[np.ndarr
             every = [numbers >> CHAR_BITS * n << CHAR_BITS * n for n in range(GRAM)]
             numbers = np.concatenate([*every, np.zeros(len(texts), dtype=np.int64)])
             rows = np.concatenate([rows] * GRAM + [np.arange(len(texts))])
-        bit = _bit(numbers)
+        bit = _bit(numbers if salts is None else numbers ^ salts[first + rows])
         asked = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         known, places = np.unique(numbers[asked], return_inverse=True)
         if len(known):
@@ -247,7 +260,9 @@ def group_counts(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def postings(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(gram, id, type, _shown, outlook, cls) of the grams asked for, without texts.
+    """(gram, id, type, _shown, outlook, cls) of the grams asked for in a group, without texts.
+
+    Asked: gram, type, _shown, outlook.
 
     `cls` is the best attribute a needle with that gram can have in the record: key,
     title, or text and beyond.
@@ -260,14 +275,14 @@ def postings(rows: DataFrame, asked: DataFrame) -> DataFrame:
     def post(batches: Iterator) -> Iterator:
         for batch in batches:
             others = batch.select(kept)
-            for at, places, found in _found_grams(batch.column("_hay"), bits, short):
+            for at, places, found in _found_grams(batch.column("_hay"), bits, short, _salts(batch)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found, pa.string()).take(pa.array(places)), *others.take(pa.array(at)).columns], names=["gram", *kept])
 
     own = rows.withColumn("_key", F.lower("entity")).withColumn("_name", F.lower("title"))
     best = F.when(v.yes(F.contains("_key", F.col("gram"))), 1).when(v.yes(F.contains("_name", F.col("gram"))), 2).otherwise(3)
     found = own.select(*kept, "_hay").mapInArrow(post, ", ".join(f"{c} string" for c in ("gram", *kept)))
-    return found.join(asked, "gram", "left_semi").select("gram", "id", *GROUP, best.alias("cls"))
+    return found.join(*_same(asked, ("gram", *GROUP)), "left_semi").select("gram", "id", *GROUP, best.alias("cls"))
 
 
 def in_scope() -> Column:
@@ -299,54 +314,68 @@ def search(records: DataFrame, queries: DataFrame, limit: int = SUGGEST_LIMIT, o
     there are. Rank: key, title, text, summary, then id. An empty needle is in every
     record, a null one in none.
 
-    Equi joins over postings only. Each needle takes its rarest gram; one shorter than a
-    gram is a gram itself. Grams are counted first, and only those taken get postings. Of
-    a gram's postings the first `heads` of every group come
-    first, in the order of the best attribute they can have. They are confirmed against
-    the records, and a query is done if its groups have no more or if its last wanted
-    hit ranks no later than all that was left out: so a needle that every record holds
-    costs its heads. Only the other queries, with a rare needle of common grams, meet
-    the rest of their postings, and of those only what can still enter the result.
+    Equi joins over postings only. Grams are counted first, by group. A group that lacks a
+    gram of a needle has no record with it; in every other group the needle takes its rarest
+    gram there, and only those get postings. A needle shorter than a gram is a gram itself.
+    Of a gram's postings the first `heads` of every group come first, in the order of the
+    best attribute they can have, then DEEPER times as many, in the end all; only the best
+    ones are kept before that. They are confirmed against the records, and a query is done
+    if its groups have no more or if its last wanted hit ranks no later than all that was
+    left out: so a needle that every record holds costs its heads, one that shares its gram
+    with others a few times as many. Only the other queries, with a rare needle of common
+    grams, meet the rest of their postings, and of those only what can still enter the result.
     """
-    last = min(offset + limit, MAX_HITS)
+    last, keys = min(offset + limit, MAX_HITS), ("gram", *GROUP)
     asked = queries.select("query_id", F.lower("needle").alias("needle"), "scope", F.col("outlook").alias("_band"))
     rows = records.select(
         "id", "type", "title", "url", "kind", "outlook", "entity", "text", F.coalesce(v.first_text("kind"), F.col("type")).alias("_shown"),
         F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))).alias("_hay"))
     own = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(
         F.filter(runs(F.col("needle")), lambda g: F.length(g) == GRAM))
-    parts = cut(asked.select("needle").distinct().select("needle", F.explode(own).alias("gram")))
-    groups = cut(group_counts(rows, cut(parts.select("gram").distinct())))
-    counts = groups.groupBy("gram").agg(F.sum("n").alias("_n"))
-    rarest = parts.join(counts, "gram", "left").groupBy("needle").agg(
-        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_best"))
-    wanted = cut(asked.join(rarest.select("needle", F.col("_best.gram").alias("gram")), "needle"))
-    held = cut(postings(rows, cut(wanted.select("gram").distinct())))
-
-    place = F.struct("cls", "id")
-    first = held.withColumn("_at", F.row_number().over(Window.partitionBy("gram", *GROUP).orderBy("cls", "id")))
-    head = cut(first.filter(F.col("_at") <= heads))
-    found = cut(confirmed(wanted.join(head, "gram").filter(in_scope()), rows))
+    parts = cut(asked.select("needle").distinct().select("needle", F.size(own).alias("_grams"), F.explode(own).alias("gram")))
+    counts = group_counts(rows, cut(parts.select("gram").distinct()))
+    rarest = parts.join(counts, "gram").groupBy("needle", "_grams", *GROUP).agg(
+        F.count(F.lit(1)).alias("_held"), F.min(F.struct("n", "gram")).alias("_best")).filter(F.col("_held") == F.col("_grams"))
+    wanted = cut(asked.join(rarest.select("needle", *GROUP, "_best.n", "_best.gram"), "needle").filter(in_scope()).select(
+        "query_id", "needle", "n", *keys))
+
+    place, most = F.struct("cls", "id"), heads * DEEPER
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("cls", "id"))
+    head = cut(postings(rows, cut(wanted.select(*keys).distinct())).withColumn("_at", at).filter(F.col("_at") <= most))
     best = F.struct(F.col("attribute").alias("cls"), "id")
-    # What is left out of a group ranks after its last head, and a query's last wanted hit is one row.
-    more = groups.filter(F.col("n") > heads)
-    ends = head.filter(F.col("_at") == heads).join(*_same(more, ("gram", *GROUP)), "left_semi").select(
-        "gram", *GROUP, place.alias("_end"))
-    bounds = wanted.join(ends, "gram").filter(in_scope()).groupBy("query_id").agg(F.min("_end").alias("_end"))
-    ranked = found.withColumn("_pos", F.row_number().over(Window.partitionBy("query_id").orderBy("attribute", "id")))
-    lasts = ranked.filter(F.col("_pos") == last).select("query_id", best.alias("_last"))
-    open_ = bounds.join(lasts, "query_id", "left").filter(F.col("_last").isNull() | (F.col("_last") > F.col("_end")))
-    left = wanted.join(cut(open_), "query_id").join(held, "gram").filter(
-        in_scope() & (F.col("_last").isNull() | (place < F.col("_last"))))
-    pairs = left.join(*_same(head, ("gram", "id", *GROUP)), "left_anti")
-    hits = found.unionByName(confirmed(pairs, rows))
+    left, found, done = wanted.withColumn("_last", F.lit(None).cast("struct<cls:int,id:string>")), None, 0
+    for step in (heads, most, None):
+        if step is None:
+            held = postings(rows, cut(left.select(*keys).distinct()))
+        else:
+            held = head.filter((F.col("_at") > done) & (F.col("_at") <= step))
+        if done:
+            held = held.join(*_same(head.filter(F.col("_at") <= done), ("id", *keys)), "left_anti")
+        renamed, equal = _same(left, keys, ("query_id", "needle", "_last"))
+        # Postings are the many: a join may hold the queries of one gram, not the postings.
+        pairs = held.join(renamed, equal).filter(F.col("_last").isNull() | (place < F.col("_last")))
+        hits = cut(confirmed(pairs, rows))
+        found = hits if found is None else found.unionByName(hits)
+        if step is None:
+            break
+        # What is left out of a group ranks after its last head, and a query's last wanted hit is one row.
+        ends = head.filter(F.col("_at") == step).withColumn("_end", place)
+        more, equal = _same(left.filter(F.col("n") > step).select("query_id", *keys), keys, ("query_id",))
+        bounds = ends.join(more, equal).groupBy("query_id").agg(F.min("_end").alias("_end"))
+        ranked = found.withColumn("_pos", F.row_number().over(Window.partitionBy("query_id").orderBy("attribute", "id")))
+        lasts = ranked.filter(F.col("_pos") == last).select("query_id", best.alias("_last"))
+        open_ = cut(bounds.join(lasts, "query_id", "left").filter(F.col("_last").isNull() | (F.col("_last") > F.col("_end"))))
+        if open_.isEmpty():
+            break
+        left = wanted.filter(F.col("n") > step).join(open_.select("query_id", "_last"), "query_id")
+        done = step
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("attribute", "id"))
-    return hits.withColumn("pos", pos).filter((F.col("pos") <= last) & (F.col("pos") > offset))
+    return found.withColumn("pos", pos).filter((F.col("pos") <= last) & (F.col("pos") > offset))
 
 
-def _same(other: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Column]:
-    """A table to join by equal columns, nulls included, and the condition."""
-    renamed = other.select(*[F.col(c).alias(f"_on_{c}") for c in columns])
+def _same(other: DataFrame, columns: Sequence[str], kept: Sequence[str] = ()) -> tuple[DataFrame, Column]:
+    """A table to join by equal columns, nulls included, with the columns kept, and the condition."""
+    renamed = other.select(*kept, *[F.col(c).alias(f"_on_{c}") for c in columns])
     return renamed, v.all_of(*[F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in columns])
 
 

@@ -184,6 +184,28 @@ def test_only_the_rarest_grams_get_postings(spark, monkeypatch):
     assert {(r["gram"], r["_shown"]): r["n"] for r in counts.collect()} == {k: n for k, n in want.items() if n}
 
 
+def test_search_by_group_and_depth_confirms_few(spark, monkeypatch):
+    """A gram that others hold as well is followed a few steps, not to its end; a group without one of a needle's grams not at all."""
+    key, first = F.col("id"), F.array(*map(F.lit, ("blue anvil", "large anvil", "blue plate", "large plate")))
+    second = F.array(*map(F.lit, ("green bolt", "red bolt", "green vice")))
+    rows = spark.range(2300).select(
+        F.format_string("r%04d", key).alias("id"), F.when(key < 2000, "funding").otherwise("airport").alias("type"), F.lit("T").alias("title"),
+        F.lit("/u").alias("url"), F.lit(None).cast("string").alias("kind"), F.when(key >= 2000, "growing").alias("outlook"), F.lit("k").alias("entity"),
+        F.when(key < 2000, F.concat_ws(", ", F.get(first, key % 4), F.get(second, key % 3))).otherwise("iron bridge").alias("text"))
+    asked = [("near", "blue anvil", "projects", ""), ("absent", "green bolt", "all", "growing"), ("rare", "plate, red", "all", "")]
+    queries = spark.createDataFrame(asked, "query_id string, needle string, scope string, outlook string")
+    confirmed, pairs = search.confirmed, []
+    monkeypatch.setattr(search, "confirmed", lambda p, r: pairs.append(p) or confirmed(p, r))
+    got = search.search(rows, queries, heads=4).collect()
+    plain = [r.asDict() for r in rows.collect()]
+    assert {(r["query_id"], r["id"], r["attribute"], r["pos"]) for r in got} == {
+        (q, *hit) for q, n, s, o in asked for hit in plain_search(plain, n, s, o, 0, 8)}
+    counts = {"near": 0, "absent": 0, "rare": 0}
+    for p in pairs:
+        counts |= {r["query_id"]: counts[r["query_id"]] + r["count"] for r in p.groupBy("query_id").count().collect()}
+    assert counts["absent"] == 0 and counts["near"] <= 4 * search.DEEPER and counts["rare"] <= 4 * search.DEEPER
+
+
 def large_sheet(spark):
     """One sheet of 2,000,000 cells below its title and header."""
     key = F.col("id")
