@@ -6,12 +6,12 @@ meet in one of them: every window of `length` bytes belongs to its anchor, the s
 hash among its blocks of `BLOCK` bytes, and equal windows have equal anchors. An anchor
 that one document alone holds cannot start a repeat. The stretches of text whose
 windows belong to the other anchors go to the shard of their anchor, each distinct
-stretch once, from its first document. A stretch whose anchor no other distinct stretch
-has shares no window, so its first document keeps it. Of the others a shard sorts all
-suffixes and carries their common prefixes (`induced`); neighbours with `length` common
-bytes start with the same string, and of such a group the document of smallest doc_id
-keeps its bytes. Only these first places go back to the documents: any other window
-under a shared anchor is a repeat.
+stretch once, from its first document. A stretch none of whose windows has a hash
+that comes twice shares no window, so its first document keeps it. Of the others a shard
+sorts all suffixes and carries their common prefixes (`induced`); neighbours with
+`length` common bytes start with the same string, and of such a group the document of
+smallest doc_id keeps its bytes. Only these first places go back to the documents: any
+other window under a shared anchor is a repeat.
 
 Anchors that many documents hold (found on a sample that only balances the work) go
 out window by window, so the text around a passage that a third of all documents share
@@ -59,8 +59,6 @@ GROUP_BYTES = 256 << 10
 # in this many of them; the sample has HOT_SAMPLE documents, or more if it takes more to show
 # HOT_LEAST documents of so many.
 HOT_SHARE, HOT_DOCUMENTS, HOT_SAMPLE, HOT_LEAST = 0.01, 100_000, 20_000, 40
-# Bits of an anchor by which stretches of a shard are told apart; a collision only sorts a stretch in vain.
-KEY_MASK = (1 << 24) - 1
 # Ends a stretch: no byte of UTF-8.
 END = 0xFF
 
@@ -78,6 +76,12 @@ def block_hashes(at: np.ndarray) -> np.ndarray:
     return value
 
 
+def eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the end."""
+    padded = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    return np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).view("<u8")[:, 0] if data else np.zeros(0, dtype=np.uint64)
+
+
 class Windows:
     """Runs of windows with one anchor in several texts: text, first window, end, anchor, number in the text."""
 
@@ -86,10 +90,8 @@ class Windows:
         self.data = b"".join(texts)
         self.start = np.cumsum(sizes) - sizes
         n = len(self.data)
-        padded = np.frombuffer(self.data + bytes(8), dtype=np.uint8)
-        at = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).view("<u8")[:, 0] if n else np.zeros(0, dtype=np.uint64)
         blocks = length - BLOCK + 1
-        anchor = w.lowest(block_hashes(at), blocks) if n >= length else np.zeros(0, dtype=np.uint64)
+        anchor = w.lowest(block_hashes(eights(self.data)), blocks) if n >= length else np.zeros(0, dtype=np.uint64)
         count = max(0, n - length + 1)
         anchor = anchor[:count]
         # A run ends where the anchor changes and where a text ends; windows across texts are none.
@@ -251,8 +253,8 @@ def _places(value: pa.Scalar) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, dtype=np.int32)
 
 
-STRETCHES = "shard int, n int, size long, docs binary, ranks binary, shifts binary, keys binary, data binary"
-_STRETCHES = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), *((c, pa.binary()) for c in ("docs", "ranks", "shifts", "keys", "data"))])
+STRETCHES = "shard int, n int, size long, docs binary, ranks binary, shifts binary, data binary"
+_STRETCHES = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), *((c, pa.binary()) for c in ("docs", "ranks", "shifts", "data"))])
 
 
 def _stretch_tables(length: int, hot: np.ndarray, shards: int):
@@ -272,19 +274,40 @@ def _stretch_tables(length: int, hot: np.ndarray, shards: int):
                 out.extend(stretches(found.data, itertools.islice(runs, len(own[k])), length, sent, owners[row]))
         texts, *numbers = zip(*out) if out else [()] * 5
         key, owner, rank, shift = (np.array(c, dtype=k) for c, k in zip(numbers, (np.uint64, np.int64, np.int32, np.int8)))
-        shard, mark = (key % np.uint64(shards)).astype(np.int32), (key // np.uint64(shards) & np.uint64(KEY_MASK)).astype(np.uint32)
+        shard = (key % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         tables = []
         for number, own in _runs_of(shard[order]):
             chosen = order[own]
             text = b"\xff".join([texts[i] for i in chosen.tolist()])
-            tables.append((number, len(chosen), len(text), pack(owner[chosen]), pack(rank[chosen]), pack(shift[chosen]), pack(mark[chosen]),
+            tables.append((number, len(chosen), len(text), pack(owner[chosen]), pack(rank[chosen]), pack(shift[chosen]),
                            pa.compress(text, codec="zstd", asbytes=True)))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*tables) if tables else [[]] * 8, _STRETCHES)], schema=_STRETCHES)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*tables) if tables else [[]] * 7, _STRETCHES)], schema=_STRETCHES)
 
     return per_batch(run)
 
 
+def partnered(parts: list[bytes], length: int) -> np.ndarray:
+    """Numbers of the stretches that may share a window: a hash of one comes twice. A collision only sorts a stretch in vain."""
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    counts = sizes - length + 1
+    ends = np.cumsum(sizes)
+    found = []
+    for rows in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(ends // GROUP_BYTES)) + 1):
+        blocks = block_hashes(eights(b"".join(parts[rows[0]:rows[-1] + 1])))
+        first = ends[rows] - sizes[rows] - (ends[rows[0]] - sizes[rows[0]])
+        n = counts[rows]
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        middle, last = blocks[at + (length - BLOCK) // 2], blocks[at + length - BLOCK]
+        found.append(blocks[at] + middle * np.uint64(0x9E3779B97F4A7C15) + last * np.uint64(0xD6E8FEB86659FD93))
+    hashes = np.concatenate(found)
+    order = np.argsort(hashes)
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    twice = np.zeros(len(hashes), dtype=bool)
+    twice[order[same]] = twice[order[same + 1]] = True
+    return np.unique(np.repeat(np.arange(len(parts)), counts)[twice])
+
+
 def first_windows(owners: np.ndarray, parts: list[bytes], length: int, memory: int, base: int) -> np.ndarray:
     """Which windows of each stretch no document of smaller number has: one bit for each."""
     text = np.frombuffer(b"".join(p + b"\xff" for p in parts), dtype=np.uint8)
@@ -332,19 +355,15 @@ def _shard_rows(length: int, memory: int, base: int):
     """Sort each shard; rows come by shard."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        owners, ranks, shifts, keys = (np.concatenate([h[k] for h in held]) for k in range(4))
+        owners, ranks, shifts = (np.concatenate([h[k] for h in held]) for k in range(3))
         number: dict[bytes, int] = {}
-        same = np.array([number.setdefault(data, len(number)) for h in held for data in h[4]], dtype=np.int64)
+        same = np.array([number.setdefault(data, len(number)) for h in held for data in h[3]], dtype=np.int64)
         parts = list(number)
         owner = np.full(len(parts), np.iinfo(np.int64).max)
         np.minimum.at(owner, same, owners)
-        # Windows of a stretch whose anchor no other one has are in no other one: only the rest is sorted.
-        key = np.zeros(len(parts), dtype=keys.dtype)
-        key[same] = keys
-        _, of, holders = np.unique(key, return_inverse=True, return_counts=True)
-        sort = np.flatnonzero(holders[of] > 1)
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        marks = ~(np.int64(-1) << (sizes - length + 1))
+        # A stretch that shares no window is its first document's; only the rest is sorted.
+        sort = partnered(parts, length)
+        marks = ~(np.int64(-1) << np.array([len(p) - length + 1 for p in parts], dtype=np.int64))
         if len(sort):
             marks[sort] = first_windows(owner[sort], [parts[k] for k in sort.tolist()], length, memory, base)
         mark = marks[same]
@@ -362,7 +381,7 @@ def _shard_rows(length: int, memory: int, base: int):
                         yield solve(held)
                     shard, held = row["shard"], []
                 n = row["n"]
-                numbers = (unpack(row[c], n, k) for c, k in (("docs", np.int64), ("ranks", np.int32), ("shifts", np.int8), ("keys", np.uint32)))
+                numbers = (unpack(row[c], n, k) for c, k in (("docs", np.int64), ("ranks", np.int32), ("shifts", np.int8)))
                 held.append((*numbers, pa.decompress(row["data"], row["size"], codec="zstd", asbytes=True).split(b"\xff")))
         if held:
             yield solve(held)

@@ -248,12 +248,13 @@ def test_induced_order_of_bytes_with_the_largest(monkeypatch):
 
 
 def test_stretches_without_a_partner_are_not_sorted(monkeypatch):
-    """Only stretches that share an anchor with another one can have a common window; the others' answer is the same."""
+    """A stretch with a window of another one is sorted, any other is its first document's; the answer is that of a plain search."""
     rnd = random.Random(3)
     word = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
     whole, cut = word(400), word(400)
-    # `whole` lies in both documents between equal bytes, `cut` between others.
-    texts = [whole + word(60) + cut[:200] + word(80), whole + word(60) + word(80) + cut[:200]]
+    # `whole` lies in both documents from their start, `cut` between other bytes, and the short ones are no window.
+    short = [word(30) for _ in range(20)]
+    texts = [whole + word(60) + cut[:200] + word(80) + b"".join(s + word(60) for s in short) for _ in range(2)]
     batch = pa.RecordBatch.from_arrays(
         [pa.array([7, 3]), pa.array([t.decode() for t in texts]), pa.array([None, None], pa.list_(pa.int32()))], names=["_doc", "text", "single"])
     sent = list(suffixes._stretch_tables(50, np.zeros(0, dtype=np.int64), 1)(iter([batch])))
@@ -261,8 +262,9 @@ def test_stretches_without_a_partner_are_not_sorted(monkeypatch):
     real = suffixes.first_windows
     monkeypatch.setattr(suffixes, "first_windows", lambda owners, parts, *a: held.extend(parts) or real(owners, parts, *a))
     got = pa.Table.from_batches(list(suffixes._shard_rows(50, 1 << 20, 1 << 20)(iter(sent)))).to_pylist()
-    assert held and not any(p in whole for p in held)
-    runs = suffixes.Windows([t for t in texts], 50)
+    windows = Counter(p[i:i + 50] for p in held for i in range(len(p) - 49))
+    assert held and not any(p in whole for p in held) and all(any(windows[p[i:i + 50]] > 1 for i in range(len(p) - 49)) for p in held)
+    runs = suffixes.Windows(texts, 50)
     _, own = suffixes.cut_runs(runs, [np.zeros(0, dtype=np.int32)] * 2, np.zeros(0, dtype=np.int64))
     first = {7: set(), 3: set()}
     for r in got:
